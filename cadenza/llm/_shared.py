@@ -32,13 +32,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def dropped(df: DataFrame) -> None:
-    """Deletes the files of a table made by ``written`` that nothing reads any more."""
+    """Deletes the folder of a table made by ``written`` that nothing reads any more."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(shared_dir(spark)).toUri().getPath()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if folder.startswith(("file:", "hdfs:", "s3")) or "://" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if path.toUri().getPath().startswith(f"{top}/"):
             path.getFileSystem(conf).delete(path, True)
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm._shared import dropped, written
+from cadenza.llm._shared import written
 from cadenza.llm.components import connected_components
 
 _BLOCK = 1 << 16
@@ -65,7 +65,8 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     masks = [sum(1 << b for b in bits) for n in range(radius // 2 + 1) for bits in combinations(range(64), n)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     ball = F.array(*[F.lit(m).cast("long") for m in signed])
-    variants = fps.select("fp").distinct().select("fp", F.explode(F.transform(ball, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
+    dealt = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp").distinct()
+    variants = dealt.select("fp", F.explode(F.transform(ball, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
     buckets = variants.groupBy("variant").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
     stars = buckets.select(F.array_min("fps").alias("v"), F.explode("fps").alias("u")).filter("u <> v")
     return stars.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius).distinct()
