@@ -17,7 +17,8 @@ def _stars(edges: DataFrame, both: bool) -> DataFrame:
     """
     if both:
         edges = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+    # Written, so that both sides of the join are shuffled for it alone and adaptive execution can split a hub.
+    least = written(edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "least")
     near = edges.join(least, "u")
     if both:
         hung = near.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -265,14 +265,15 @@ def _counted(bodies: DataFrame, unit: type, window: int) -> DataFrame:
     return windows.filter("open").join(many, ["seed", "window"], "left_semi").select("key", "lo", F.col("lo").alias("hi"))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with text as a string (null: empty) and a column key: a 64-bit hash of doc_id and text.
+def keyed(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, text, key, rest): text as a string (null: empty), a 64-bit hash of doc_id and text, and the columns ``keep``.
 
     Rows with one key are repeated rows, for which every result is the same.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc_id = F.col("doc_id").cast("long")
-    return docs.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(doc_id, text).alias("key"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(True)
+    return docs.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(doc_id, text).alias("key"), rest.alias("rest"))
 
 
 def repeated_starts(docs: DataFrame, unit: type, window: int, anchor: int, resolver: Resolver, group_limit: int = 1500) -> DataFrame:

@@ -38,16 +38,17 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp long) for every row of docs; see ``fingerprint``."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """(doc_id, key, fp long) for every row of docs; see ``fingerprint``. key: a hash of doc_id and text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t, shingle) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], schema=schema)
+            fps = [fingerprint(t, shingle) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], schema=schema)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("key"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def links(fps: DataFrame, radius: int = 2) -> DataFrame:
@@ -65,7 +66,8 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     masks = [sum(1 << b for b in bits) for n in range(radius // 2 + 1) for bits in combinations(range(64), n)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     ball = F.array(*[F.lit(m).cast("long") for m in signed])
-    dealt = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp").distinct()
+    # Copies meet before the shuffle; the few distinct fingerprints are then dealt evenly, as each makes many variants.
+    dealt = fps.select("fp").distinct().repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     variants = dealt.select("fp", F.explode(F.transform(ball, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
     buckets = variants.groupBy("variant").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
     stars = buckets.select(F.array_min("fps").alias("v"), F.explode("fps").alias("u")).filter("u <> v")
@@ -73,24 +75,37 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of docs.
+    """(doc_id, fingerprint, component_id, key) for every row of docs.
 
     fingerprint: 16 lowercase hex digits. component_id: the smallest doc_id
     that can be reached over links of at most ``radius`` differing bits; equal
     fingerprints are always linked. A null text counts as an empty one
     (fingerprint zero); all such documents are linked. Rows with a null doc_id
     are kept and take part, but name no component unless alone (then null).
-    Repeated rows are kept. An empty table gives an empty result. Only doc_id
+    Repeated rows are kept; key, a hash of doc_id and text, is the same in them. An empty table gives an empty result. Only doc_id
     and text are read, so other columns can't clash.
     """
     fps = written(fingerprints(docs, shingle), "fingerprints")
-    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    component = connected_components(links(fps, radius))
+    least = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "least")
+    component = connected_components(links(least, radius))
     member = least.join(component, least.fp == component.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     smallest = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = member.join(smallest, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = written(member.join(smallest, "root").select("fp", "component_id"), "named")
+    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "key")
+
+
+def representatives(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """docs with one row of every component of ``near_duplicates``: the smallest doc_id, null last.
+
+    Groups whose rows all have a null doc_id are kept one row per fingerprint.
+    """
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    groups = near_duplicates(docs, shingle, radius).withColumn("unnamed", F.when(F.col("component_id").isNull(), F.col("fingerprint")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key"))
+    chosen = groups.groupBy("component_id", "unnamed").agg(first.alias("first")).select(F.col("first.key").alias("_key"))
+    rows = docs.withColumn("_of", key).join(written(chosen, "chosen"), F.col("_of") == F.col("_key"), "left_semi")
+    return rows.dropDuplicates(["_of"]).drop("_of")
 
 
 def op4_simhash_near_dedup(spark, sf_dir):
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 2)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 2).drop("key")

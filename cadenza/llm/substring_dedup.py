@@ -84,3 +84,17 @@ def op9_substring_dedup(spark, sf_dir):
     found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), 35)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t FROM documents),
+w AS (SELECT r, unnest(range(0, len(t) - 34)) AS i FROM d),
+k AS (SELECT r, i, md5(array_to_string(t[i + 1 : i + 35], ' ')) AS m FROM w JOIN d USING (r)),
+s AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY m) AS n FROM k) WHERE n > 1),
+c AS (SELECT DISTINCT r, i + unnest(range(0, 35)) AS p FROM s),
+g AS (SELECT r, count(*) AS n, list(p) AS ps FROM c GROUP BY r)
+SELECT doc_id, len(t) AS n_words, coalesce(n, 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN n IS NULL THEN t ELSE list_filter(t, lambda x, i: NOT list_contains(ps, i - 1)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (r)
+"""
