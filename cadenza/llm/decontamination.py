@@ -190,10 +190,10 @@ united AS (
   SELECT side, id, t, list_transform(c, lambda x, i: CASE
     WHEN i > 1 AND c[i - 1] = '<number>' AND x IN ('mm','cm','m','km','in','inch','inches','ft','foot','feet','yd','yard','yards','mi','mile','miles','mg','g','kg','gram','grams','kilogram','kilograms','lb','lbs','pound','pounds','oz','ounce','ounces','ml','l','liter','liters','litre','litres','s','sec','second','seconds','min','minute','minutes','h','hr','hour','hours','day','days','week','weeks','month','months','year','years','meter','meters','metre','metres','kilometer','kilometers','kilometre','kilometres','kmh','mph','percent','cent','cents','dollar','dollars','euro','euros','usd','eur','gbp','degree','degrees','w','kw','v','kv','j','kj','cal','kcal','hz','khz','mhz','ghz','b','kb','mb','gb','tb') THEN '<unit>'
     ELSE x END) AS c FROM coded),
-places AS (SELECT side, id, t, c, least(5, len(c)) AS w, unnest(range(0, len(c) - least(5, len(c)) + 1)) AS at FROM united),
+places AS (SELECT side, id, t, c, least(5, len(c)) AS w, unnest(range(0, len(c) - least(5, len(c)) + 1)) AS pos FROM united),
 wins AS (
-  SELECT side, id, at, array_to_string(c[at + 1 : at + w], ' ') AS win,
-    list_transform(list_filter(range(at + 1, at + w + 1), lambda i: c[i] IN ('<number>', '<unit>', '<name>')), lambda i: lower(t[i])) AS slots FROM places),
+  SELECT side, id, pos, array_to_string(c[pos + 1 : pos + w], ' ') AS win,
+    list_transform(list_filter(range(pos + 1, pos + w + 1), lambda i: c[i] IN ('<number>', '<unit>', '<name>')), lambda i: lower(t[i])) AS slots FROM places),
 pairs AS (
   SELECT d.id AS doc_id, i.id AS item_id, i.win, i.slots AS item_slots, d.slots FROM wins i JOIN wins d ON i.win = d.win WHERE i.side = 'i' AND d.side = 'd'),
 total AS (SELECT id AS item_id, count(DISTINCT win) AS item_windows FROM wins WHERE side = 'i' GROUP BY id),

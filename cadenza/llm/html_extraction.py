@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -354,7 +354,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """
 
     @F.pandas_udf("string")
-    def rendered(htmls: Iterator) -> Iterator:
+    def rendered(htmls: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in htmls:
             yield part.map(render)
 

@@ -92,8 +92,8 @@ def top_k(items: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 81
     asked, longest, largest = queries.agg(F.count("*"), F.max(F.size("vector")), F.max(F.array_max(F.transform("vector", lambda x: F.abs(x))))).first()
     width, largest = max(1, width or 0, longest or 0), max(1, largest or 0)
     shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(asked / block_rows))
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64("id", "vector"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
-    posed = queries.withColumn("block", F.pmod(F.xxhash64("query_id", "vector"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long"))
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("id", "vector"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    posed = queries.withColumn("block", F.pmod(F.xxhash64("query_id", "vector"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
 
     def run(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.repeats import Bytes, covered, keyed, repeated_starts, spans_of
@@ -87,10 +87,14 @@ def remove_repeats(docs: DataFrame, window: int = 200, anchor: int = ANCHOR, kee
     return joined.mapInArrow(run, f"doc_id long, n_bytes long, kept binary, spans array<struct<start: long, end: long>>, rest {rows.schema['rest'].dataType.simpleString()}")
 
 
-@F.pandas_udf("string")
-def as_text(kept: pd.Series) -> pd.Series:
-    """Bytes as text, without the rests of cut characters."""
-    return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+def as_text(kept: str) -> Column:
+    """A column of bytes as text, without the rests of cut characters."""
+
+    @F.pandas_udf("string")
+    def decoded(part: pd.Series) -> pd.Series:
+        return part.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+
+    return decoded(kept)
 
 
 def op6_suffix_array_dedup(spark, sf_dir):

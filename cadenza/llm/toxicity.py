@@ -1,80 +1,179 @@
-"""Toxicity by a classifier chain over hashed word features."""
+"""Toxicity by a classifier chain of sparse logistic regressions over words."""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import math
+import re
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm._shared import written
 
-#: About so many labelled rows, by hash of doc_id, fit the models; a rate of the penalty on weights (all of it absolute, so that chance words weigh nothing).
-SAMPLE, PENALTY, FEATURES = 20_000, 0.003, 1 << 18
+#: About so many labelled rows, chosen by hash of doc_id, fit the models; so many words, those most related to a category's label, are tried as its inputs.
+SAMPLE, VOCABULARY = 20_000, 4096
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def with_words(docs: DataFrame, features: int = FEATURES) -> DataFrame:
-    """docs with the column words: which lower-cased words (runs of letters) a whole text holds, hashed. Null text: none."""
-    split = F.array_distinct(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"[^\p{L}]+"))
-    hashing = HashingTF(numFeatures=features, binary=True, inputCol="_split", outputCol="words")
-    return hashing.transform(docs.withColumn("_split", F.array_remove(split, ""))).drop("_split")
+def words_of(text: str | None) -> set[str]:
+    """The distinct lower-cased words (runs of letters) of a whole text."""
+    return set(_LETTERS.findall(text.lower())) if text else set()
 
 
-class Link:
-    """One category's linear model; its inputs are the words and the probabilities of the categories before it."""
+def with_words(rows: DataFrame) -> DataFrame:
+    """(id, words) of rows (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [sorted(words_of(t)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.string()))], names=["id", "words"])
+
+    return rows.select("id", "text").mapInArrow(run, "id long, words array<string>")
+
+
+def _product(rows: np.ndarray, columns: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(rows, w[columns], minlength=n)
+
 
-    def __init__(self, category: str, before: list[str], rows: DataFrame, penalty: float):
-        self.category, self.before = category, before
-        seen = {r[0]: r[1] for r in rows.filter(F.col(category).isNotNull()).groupBy(category).count().collect()}
-        self.constant = float(next(iter(seen), 0)) if len(seen) < 2 else None
-        if self.constant is None:
-            fit = LogisticRegression(featuresCol="_input", labelCol=category, regParam=penalty, elasticNetParam=1.0, maxIter=30, tol=1e-4, probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_predicted")
-            self.model = fit.fit(self._input(rows.filter(F.col(category).isNotNull())).select("_input", F.col(category).cast("double").alias(category)))
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
-    def _input(self, rows: DataFrame) -> DataFrame:
-        return VectorAssembler(inputCols=["words", *(f"p_{c}" for c in self.before)], outputCol="_input").transform(rows)
 
-    def transform(self, rows: DataFrame) -> DataFrame:
-        """rows with the column p_<category>."""
-        name = f"p_{self.category}"
-        if self.constant is not None:
-            return rows.withColumn(name, F.lit(self.constant))
-        scored = self.model.transform(self._input(rows))
-        return scored.withColumn(name, vector_to_array("_probability")[1]).drop("_input", "_probability", "_raw", "_predicted")
+def fit_logistic(words: list[np.ndarray], dense: np.ndarray, y: np.ndarray, size: int, tried: int, rounds: int = 150) -> tuple[np.ndarray, np.ndarray, float]:
+    """(word weights, weights of the dense inputs, intercept).
+
+    First an L1-penalised fit by accelerated proximal gradient chooses words;
+    its penalty is the universal threshold for ``tried`` chance words. Then a
+    ridge fit by Newton steps on the chosen words and the dense inputs.
+    """
+    n, share = len(y), y.mean()
+    row = np.repeat(np.arange(n), [len(x) for x in words])
+    column = np.concatenate(words).astype(np.int64) if len(row) else np.zeros(0, dtype=np.int64)
+    rate = np.bincount(column, minlength=size) / n
+    scale = np.sqrt(np.maximum(rate * (1 - rate), 1e-12))
+    penalty = math.sqrt(share * (1 - share)) * math.sqrt(2 * math.log(max(2, tried)) / n)
+    w, base = np.zeros(size), math.log(share / (1 - share))
+    ahead, ahead_base, momentum = w.copy(), base, 1.0
+    step = 4.0 / max(1.0, np.sqrt(size) / 8)
+    for _ in range(rounds):
+        inner = ahead / scale
+        error = _sigmoid(_product(row, column, inner, n) + ahead_base - inner @ rate) - y
+        gradient = (np.bincount(column, error[row], minlength=size) / n - rate * error.mean()) / scale
+        new = ahead - step * gradient
+        new = np.sign(new) * np.maximum(np.abs(new) - step * penalty, 0)
+        new_base = ahead_base - step * error.mean()
+        later = (1 + math.sqrt(1 + 4 * momentum**2)) / 2
+        ahead, ahead_base = new + (momentum - 1) / later * (new - w), new_base + (momentum - 1) / later * (new_base - base)
+        change = np.abs(new - w).max(initial=0)
+        w, base, momentum = new, new_base, later
+        if change < 1e-5:
+            break
+    chosen = np.argsort(-np.abs(w), kind="stable")[: min(512, int((w != 0).sum()))]
+    place = np.full(size, -1)
+    place[chosen] = np.arange(len(chosen))
+    x = np.zeros((n, len(chosen) + dense.shape[1] + 1))
+    inside = place[column] >= 0
+    x[row[inside], place[column[inside]]] = 1
+    x[:, len(chosen) : -1], x[:, -1] = dense, 1
+    beta = np.zeros(x.shape[1])
+    beta[-1] = math.log(share / (1 - share))
+    ridge = np.full(len(beta), 0.2)
+    ridge[-1] = 1e-6
+    for _ in range(25):
+        p = _sigmoid(x @ beta)
+        curve = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(ridge)
+        change = np.linalg.solve(curve, x.T @ (y - p) - ridge * beta)
+        beta += change * min(1.0, 4.0 / max(1e-9, np.abs(change).max()))
+        if np.abs(change).max() < 1e-6:
+            break
+    out = np.zeros(size)
+    out[chosen] = beta[: len(chosen)]
+    return out, beta[len(chosen) : -1], float(beta[-1])
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], folds: int = 3, sample: int = SAMPLE, penalty: float = PENALTY) -> list[Link]:
+class Link:
+    """One category's linear model; its inputs are a text's words and the probabilities of the categories before it."""
+
+    def __init__(self, category: str, weights: dict[str, float], before: list[float], intercept: float):
+        self.category, self.weights, self.before, self.intercept = category, weights, before, intercept
+
+    def probability(self, words: set[str], before: list[float]) -> float:
+        z = self.intercept + sum(self.weights[w] for w in sorted(self.weights.keys() & words)) + sum(a * b for a, b in zip(self.before, before))
+        return 1 / (1 + math.exp(-max(-35.0, min(35.0, z))))
+
+
+def _links(rows: DataFrame, category: str, before: list[str], folds: int, vocabulary: int) -> list[Link]:
+    """The category's models: one without each fold, then one from all rows (id, words, fold, labels, p_<before>)."""
+    rows = rows.filter(F.col(category).isNotNull())
+    n, positive = rows.agg(F.count("*"), F.sum(category)).first()
+    if not n or positive in (0, n):
+        return [Link(category, {}, [0.0] * len(before), 35.0 if n and positive else -35.0)] * (folds + 1)
+    share = positive / n
+    counts = rows.select(F.explode("words").alias("word"), category).groupBy("word").agg(F.count("*").alias("n"), F.sum(category).alias("hit")).filter("n > 1")
+    related = F.abs(F.col("hit") - F.col("n") * share) / F.sqrt(F.col("n") * (1 - F.col("n") / (n + 1.0)))
+    tried = counts.count()
+    best = [r["word"] for r in counts.orderBy(related.desc(), "word").limit(vocabulary).collect()]
+    handle = rows.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(best)})
+    size, inputs = len(best), [f"p_{c}" for c in before]
+    models = F.filter(F.sequence(F.lit(0), F.lit(folds)), lambda m: m != F.col("fold"))
+    dealt = rows.select("id", "words", F.col(category).alias("y"), F.array(*inputs).cast("array<double>").alias("dense"), F.explode(models).alias("model"))
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("id")
+        y, known = part["y"].to_numpy(dtype=float), handle.value
+        if y.min() == y.max():
+            return pd.DataFrame({"model": part["model"].iloc[:1], "weights": [[]], "before": [[0.0] * len(before)], "intercept": [35.0 if y[0] else -35.0]})
+        words = [np.array([known[w] for w in ws if w in known], dtype=np.int64) for ws in part["words"]]
+        weights, own, intercept = fit_logistic(words, np.array(part["dense"].tolist(), dtype=float).reshape(len(y), -1), y, size, tried)
+        return pd.DataFrame({"model": part["model"].iloc[:1], "weights": [weights.tolist()], "before": [own.tolist()], "intercept": [intercept]})
+
+    found = dealt.groupBy("model").applyInPandas(fit, "model int, weights array<double>, before array<double>, intercept double").collect()
+    made = {r["model"]: Link(category, {w: x for w, x in zip(best, r["weights"]) if x}, list(r["before"]), r["intercept"]) for r in found}
+    return [made.get(m, made[folds] if folds in made else next(iter(made.values()))) for m in range(folds + 1)]
+
+
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], folds: int = 3, sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> list[Link]:
     """The models of the categories, in their order.
 
     labels: doc_id and a 0/1 column for each category. Of several rows for one
-    doc_id the largest label counts; a null label leaves the row out for that
-    category only. About ``sample`` labelled documents, chosen by hash of
+    doc_id the largest label counts; a null label leaves the document out for
+    that category only. About ``sample`` labelled documents, chosen by hash of
     doc_id, are used (all, if there are fewer). A later model learns from
-    probabilities that the earlier models gave out of fold: each of ``folds``
-    parts is scored by models that did not see it. A category with one label
-    value, or none, gets that value (or 0) as a constant.
+    probabilities that the earlier ones gave out of fold: each of ``folds``
+    parts is scored by models that did not see it. A category with a single
+    label value is a constant; without any label it is 0.
     """
-    labels = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(*[F.max(c).cast("int").alias(c) for c in categories])
+    labels = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(*[F.max(c).cast("int").alias(c) for c in categories])
     n = max(1, labels.count())
-    place = F.pmod(F.xxhash64("_id"), F.lit(1_000_000))
-    chosen = labels.filter(place < min(1.0, sample / n) * 1_000_000)  # about `sample` rows of a few numbers: small enough for every task
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
-    rows = with_words(texts.join(F.broadcast(chosen), "_id")).select("_id", "words", *categories, F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(folds)).alias("fold"))
-    rows = written(rows, "labelled")
+    chosen = labels.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < min(1.0, sample / n) * 1_000_000)
+    # chosen has about `sample` rows of a few numbers, so it may go to every task.
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    own = with_words(texts.join(F.broadcast(chosen), "id", "left_semi"))
+    rows = written(own.join(F.broadcast(chosen), "id").withColumn("fold", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(folds))), "labelled")
     chain: list[Link] = []
     for i, category in enumerate(categories):
-        before = categories[:i]
-        chain.append(Link(category, before, rows, penalty))
+        links = _links(rows, category, categories[:i], folds, vocabulary)
+        chain.append(links[-1])
         if i + 1 < len(categories):
-            parts = [Link(category, before, rows.filter(F.col("fold") != k), penalty).transform(rows.filter(F.col("fold") == k)) for k in range(folds)]
-            out = parts[0]
-            for part in parts[1:]:
-                out = out.unionByName(part)
-            rows = written(out, "labelled")
+            before = F.array(*[f"p_{c}" for c in categories[:i]]).cast("array<double>")
+            rows = written(rows.withColumn(f"p_{category}", _out_of_fold(links)("words", "fold", before)), "labelled")
     return chain
 
 
+def _out_of_fold(links: list[Link]) -> Callable:
+    """The probability of a row by the model that was fit without its fold."""
+
+    @F.pandas_udf("double")
+    def scored(words: pd.Series, fold: pd.Series, before: pd.Series) -> pd.Series:
+        return pd.Series([links[f].probability(set(w), list(b)) for w, f, b in zip(words, fold, before)], dtype=float)
+
+    return scored
+
+
 def score(docs: DataFrame, chain: list[Link], threshold: float = 0.5) -> DataFrame:
     """docs with p_<category> for every model of the chain and ``<last category>``: whether its probability reaches ``threshold``.
 
@@ -82,12 +181,23 @@ def score(docs: DataFrame, chain: list[Link], threshold: float = 0.5) -> DataFra
     base rates. Repeated rows are kept; an empty table gives an empty result.
     Columns of docs with these names are replaced, others are kept.
     """
-    last = chain[-1].category
-    made = ["words", last, *(f"p_{link.category}" for link in chain)]
-    rows = with_words(docs.drop(*made))
-    for link in chain:
-        rows = link.transform(rows)
-    return rows.withColumn(last, F.col(f"p_{last}") >= threshold).drop("words")
+    last, names = chain[-1].category, [f"p_{link.category}" for link in chain]
+    handle = docs.sparkSession.sparkContext.broadcast(chain)
+
+    @F.pandas_udf(", ".join(f"{n} double" for n in names))
+    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in texts:
+            out = []
+            for text in part:
+                words, found = words_of(text), []
+                for link in handle.value:
+                    found.append(link.probability(words, found))
+                out.append(found)
+            yield pd.DataFrame(out, columns=names)
+
+    kept = docs.drop(last, *names)
+    rows = kept.withColumn("_toxicity", scored(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return rows.select(*[F.col(f"`{c}`") for c in kept.columns], "_toxicity.*").withColumn(last, F.col(names[-1]) >= threshold)
 
 
 def op1_toxicity(spark, sf_dir):
