@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm._shared import written
+from cadenza.llm.repeats import _Rolling
 
 _U = np.uint64
-_TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|[%$€£°]")
+_NONE = np.zeros(1, dtype=np.uint8)
 #: Words that count as numbers, units that follow a number, and symbols that are units anywhere.
 NUMBER_WORDS = (
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
@@ -28,96 +29,137 @@ UNITS = (
 ).split()
 SYMBOLS = "%$€£°"
 _NUMBER, _UNIT, _NAME = (xxhash.xxh64_intdigest(x) for x in ("<number>", "<unit>", "<name>"))
-_NUMBERS, _UNITS = frozenset(NUMBER_WORDS), frozenset(UNITS)
 #: Benchmarks of up to so many template windows are sent to every task (8 bytes a window); larger ones are joined by a shuffle.
 BROADCAST_WINDOWS = 1_000_000
 
 
-class _Codes(dict):
-    """The code of a token by itself: a placeholder's, or the hash of the lower-cased word."""
 
-    def __missing__(self, token: str) -> int:
-        lower = token.lower()
-        if token[0].isdecimal() or lower in _NUMBERS:
-            code = _NUMBER
-        elif token in SYMBOLS:
-            code = _UNIT
-        elif len(token) > 1 and token[0].isupper() and not token.isupper():
-            code = _NAME
-        else:
-            code = xxhash.xxh64_intdigest(lower)
-        if len(self) > 500_000:
-            self.clear()
-        self[token] = code
-        return code
 
+@lru_cache(maxsize=1)
+def _characters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: its kind (0 none, 1 letter, 2 digit, 3 symbol, 4 joins digits), its lower case, its case (1 upper, 2 lower)."""
+    chars = [chr(c) for c in range(0x110000)]
+    kind = np.fromiter((2 if c.isdecimal() else 1 if c.isalnum() else 0 for c in chars), dtype=np.uint8, count=len(chars))
+    kind[[ord(c) for c in SYMBOLS]] = 3
+    kind[[ord(c) for c in ".,:/"]] = 4
+    lower = np.fromiter((ord(x) if len(x := c.lower()) == 1 else ord(c) for c in chars), dtype=np.uint32, count=len(chars))
+    case = np.fromiter((1 if c.isupper() else 2 if c.islower() else 0 for c in chars), dtype=np.uint8, count=len(chars))
+    return kind, lower, case
 
-_codes = _Codes()
-_UNIT_CODES = np.array(sorted(xxhash.xxh64_intdigest(u) for u in UNITS), dtype=_U)
 
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
-def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(tokens, codes, slots): a token's code is that of its word or placeholder; slots tells which are placeholders.
 
-    Numbers (digits or number words), capitalised words (names, wherever they
-    stand) and units (symbols, or unit words right after a number) become
-    typed placeholders. Other words are compared in lower case; punctuation
-    isn't.
+def _word_codes(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return _Rolling(np.multiply(points, _U(0x9E3779B97F4A7C15), dtype=_U)).ranges(start, end)
+
+
+@lru_cache(maxsize=1)
+def _octets() -> tuple[bytes, bytes, bytes]:
+    """The same for Latin-1 texts, as translation tables."""
+    return tuple(x[:256].astype(np.uint8).tobytes() for x in _characters())
+
+
+def _read(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kind, lower case and case of every character."""
+    try:
+        octets = text.encode("latin-1")
+    except UnicodeEncodeError:
+        points = _points(text)
+        return tuple(x[points] for x in _characters())
+    return tuple(np.frombuffer(bytearray(octets.translate(x)), dtype=np.uint8) for x in _octets())
+
+
+@lru_cache(maxsize=2)
+def _codes_of(words: tuple[str, ...]) -> np.ndarray:
+    return np.sort(np.concatenate([_word_codes(_points(w), np.array([0]), np.array([len(w)])) for w in words]))
+
+
+def _among(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The places of codes that are in the sorted array known."""
+    if not len(known):
+        return np.zeros(0, dtype=np.int64)
+    shift = _U(64 - max(16, min(26, 4 + len(known).bit_length())))
+    bitmap = np.zeros(1 << (64 - int(shift)), dtype=bool)
+    bitmap[known >> shift] = True
+    at = np.flatnonzero(bitmap[codes >> shift])
+    return at[known[np.minimum(np.searchsorted(known, codes[at]), len(known) - 1)] == codes[at]]
+
+
+def template(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, codes, slots) of a text's tokens: a code is that of the word or placeholder; slots tells which are placeholders.
+
+    Numbers (digits, also joined by .,:/ or number words), capitalised words
+    (first letter upper, last lower case: names, wherever they stand) and units
+    (symbols, or unit words right after a number) become typed placeholders.
+    Other words are compared in lower case; punctuation isn't.
     """
-    tokens = _TOKEN.findall(text or "")
-    codes = np.fromiter(map(_codes.__getitem__, tokens), dtype=_U, count=len(tokens))
-    number = codes == _U(_NUMBER)
-    after = np.concatenate([[False], number[:-1]]) if len(codes) else number
-    codes[after & np.isin(codes, _UNIT_CODES)] = _UNIT
-    return tokens, codes, number | (codes == _U(_UNIT)) | (codes == _U(_NAME))
+    kind, lower, case = _read(text or "")
+    joint = np.flatnonzero(kind == 4)
+    inside = joint[(joint > 0) & (joint < len(kind) - 1)]
+    kind[joint] = 0
+    kind[inside[(kind[inside - 1] == 2) & (kind[inside + 1] == 2)]] = 2
+    bounds = np.concatenate([_NONE, kind, _NONE])
+    edge = np.flatnonzero(bounds[1:] != bounds[:-1])
+    edge = np.union1d(edge, np.flatnonzero(kind == 3) + 1) if (kind == 3).any() else edge
+    start, end = edge[:-1], edge[1:]
+    token = kind[start] > 0 if len(start) else np.zeros(0, dtype=bool)
+    start, end = start[token], end[token]
+    if not len(start):
+        return start, end, np.zeros(0, dtype=_U), np.zeros(0, dtype=bool)
+    codes = _word_codes(lower, start, end)
+    number = kind[start] == 2
+    number[_among(codes, _codes_of(tuple(NUMBER_WORDS)))] = True
+    unit = kind[start] == 3
+    measure = _among(codes, _codes_of(tuple(UNITS)))
+    measure = measure[measure > 0]
+    unit[measure[number[measure - 1]]] = True
+    name = (case[start] == 1) & (case[end - 1] == 2) & ~number & ~unit
+    codes[number], codes[unit], codes[name] = _NUMBER, _UNIT, _NAME
+    return start, end, codes, number | unit | name
 
 
 def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
     """A hash for every window of ``size`` codes; fewer codes: one window of all of them; none: no window."""
     size = min(size, len(codes))
-    if not size:
-        return np.zeros(0, dtype=_U)
-    n = len(codes) - size + 1
+    n = len(codes) - size + 1 if size else 0
     total = np.full(n, size, dtype=_U)
     for i in range(size):
-        total = (total ^ (codes[i : i + n] >> _U(29))) * _U(0x9E3779B97F4A7C15) + codes[i : i + n]
+        total = (total ^ (total >> _U(29))) * _U(0x9E3779B97F4A7C15) + codes[i : i + n]
     return (total ^ (total >> _U(32))) * _U(0xD6E8FEB86659FD93)
 
 
 def windows(rows: DataFrame, size: int, wanted: np.ndarray | None = None) -> DataFrame:
-    """(key, at, n, hash, slots) for the template windows of rows (key, text): position, number of windows in the text, placeholders' values.
+    """(key, hash, slots) for the template windows of rows (key, text): the hash and the placeholders' values.
 
     wanted: only windows whose hash is in this sorted array.
     """
     value = pa.list_(pa.string())
-    schema = pa.schema([("key", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("hash", pa.int64()), ("slots", value)])
+    schema = pa.schema([("key", pa.int64()), ("hash", pa.int64()), ("slots", value)])
     handle = None if wanted is None else rows.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = handle.value if handle else None
-        if known is not None:
-            bitmap = np.zeros(1 << 22, dtype=bool)
-            bitmap[known >> _U(42)] = True
+        asked = handle.value if handle else None
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], []]
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                tokens, codes, slots = template(text)
+                start, end, codes, slots = template(text)
                 hashes = window_hashes(codes, size)
-                at = np.arange(len(hashes))
-                if known is not None:
-                    at = np.flatnonzero(bitmap[hashes >> _U(42)])
-                    at = at[np.isin(hashes[at], known)]
-                own = min(size, len(tokens))
-                found = [[tokens[i].lower() for i in range(a, a + own) if slots[i]] for a in at.tolist()]
-                for column, x in zip(out, ([key] * len(at), at.tolist(), [len(hashes)] * len(at), hashes[at].view(np.int64).tolist(), found)):
+                at = np.arange(len(hashes)) if asked is None else _among(hashes, asked)
+                if not len(at):
+                    continue
+                own = min(size, len(codes))
+                found = [[text[start[i] : end[i]].lower() for i in range(a, a + own) if slots[i]] for a in at.tolist()]
+                for column, x in zip(out, ([key] * len(at), hashes[at].view(np.int64).tolist(), found)):
                     column.extend(x)
                 if len(out[0]) >= 1 << 16:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
-                    out = [[], [], [], [], []]
+                    out = [[], [], []]
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
 
-    return rows.select("key", "text").mapInArrow(run, "key long, at long, n long, hash long, slots array<string>")
+    return rows.select("key", "text").mapInArrow(run, "key long, hash long, slots array<string>")
 
 
 def leaks(docs: DataFrame, items: DataFrame, size: int = 5, share: float = 0.8, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -139,20 +181,20 @@ def leaks(docs: DataFrame, items: DataFrame, size: int = 5, share: float = 0.8,
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     rows = docs.select(F.xxhash64(doc_id, text).alias("key"), doc_id.alias("doc_id"), text.alias("text"))
     asked = items.select(F.col("item_id").cast("long").alias("key"), F.col("text").cast("string").alias("text")).filter("key is not null").distinct()
-    known = written(windows(asked, size).select(F.col("key").alias("item_id"), F.col("at").alias("item_at"), F.col("n").alias("item_n"), "hash", F.col("slots").alias("item_slots")), "benchmark")
+    known = written(windows(asked, size).select(F.col("key").alias("item_id"), "hash", F.col("slots").alias("item_slots")), "benchmark")
     small = known.count() <= broadcast_windows
     if small:
-        hashes = np.array(sorted({r["hash"] for r in known.select("hash").distinct().collect()}), dtype=np.int64).view(_U)
+        hashes = np.array([r["hash"] for r in known.select("hash").distinct().collect()], dtype=np.int64).view(_U)
         hits = windows(rows, size, np.sort(hashes))
     else:
         hits = windows(rows, size).join(known.select("hash").distinct(), "hash", "left_semi")
     hits = written(hits.distinct(), "hits")
-    # A text shorter than a window has n = 1; windows of different lengths have different hashes.
+    # A hash also takes the number of tokens, so a short text's only window equals no full one.
     pairs = hits.join(F.broadcast(known) if small else known, "hash")
     total = known.groupBy("item_id").agg(F.countDistinct("hash").alias("item_windows"))
     matched = pairs.groupBy("key", "item_id").agg(F.countDistinct("hash").alias("matched")).join(F.broadcast(total) if small else total, "item_id")
     likely = matched.filter(F.col("matched") >= share * F.col("item_windows"))
-    pairs = written(pairs.join(likely, ["key", "item_id"]).select("key", "item_id", "item_windows", "matched", "hash", "at", "item_at", F.arrays_zip("item_slots", "slots").alias("filled")), "pairs")
+    pairs = written(pairs.join(likely, ["key", "item_id"]).select("key", "item_id", "item_windows", "matched", "hash", F.arrays_zip("item_slots", "slots").alias("filled")), "pairs")
     votes = pairs.select("key", "item_id", F.explode("filled").alias("f")).groupBy("key", "item_id", F.col("f.item_slots").alias("value"), F.col("f.slots").alias("held")).agg(F.count("*").alias("n"))
     usual = votes.groupBy("key", "item_id", "value").agg(F.max_by("held", F.struct("n", "held")).alias("held"))
     usual = usual.groupBy("key", "item_id").agg(F.map_from_entries(F.collect_list(F.struct("value", "held"))).alias("usual"))
@@ -184,7 +226,7 @@ coded AS (
   SELECT side, id, t, list_transform(t, lambda x: CASE
     WHEN regexp_matches(x, '^\d') OR lower(x) IN ('zero','one','two','three','four','five','six','seven','eight','nine','ten','eleven','twelve','thirteen','fourteen','fifteen','sixteen','seventeen','eighteen','nineteen','twenty','thirty','forty','fifty','sixty','seventy','eighty','ninety','hundred','thousand','million','billion') THEN '<number>'
     WHEN x IN ('%','$','€','£','°') THEN '<unit>'
-    WHEN length(x) > 1 AND upper(x[1]) = x[1] AND lower(x[1]) <> x[1] AND upper(x) <> x THEN '<name>'
+    WHEN regexp_matches(x, '^\p{Lu}.*\p{Ll}$') THEN '<name>'
     ELSE lower(x) END) AS c FROM tokens WHERE len(t) > 0),
 united AS (
   SELECT side, id, t, list_transform(c, lambda x, i: CASE
