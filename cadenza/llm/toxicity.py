@@ -120,15 +120,20 @@ def _links(rows: DataFrame, category: str, before: list[str], folds: int, vocabu
     handle = rows.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(best)})
     size, inputs = len(best), [f"p_{c}" for c in before]
     models = F.filter(F.sequence(F.lit(0), F.lit(folds)), lambda m: m != F.col("fold"))
-    dealt = rows.select("id", "words", F.col(category).alias("y"), F.array(*inputs).cast("array<double>").alias("dense"), F.explode(models).alias("model"))
+
+    @F.pandas_udf("array<int>")
+    def places(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in words:
+            yield part.map(lambda ws: [handle.value[w] for w in ws if w in handle.value])
+
+    dealt = rows.select("id", places("words").alias("places"), F.col(category).alias("y"), F.array(*inputs).cast("array<double>").alias("dense"), F.explode(models).alias("model"))
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id")
-        y, known = part["y"].to_numpy(dtype=float), handle.value
+        y = part["y"].to_numpy(dtype=float)
         if y.min() == y.max():
             return pd.DataFrame({"model": part["model"].iloc[:1], "weights": [[]], "before": [[0.0] * len(before)], "intercept": [35.0 if y[0] else -35.0]})
-        words = [np.array([known[w] for w in ws if w in known], dtype=np.int64) for ws in part["words"]]
-        weights, own, intercept = fit_logistic(words, np.array(part["dense"].tolist(), dtype=float).reshape(len(y), -1), y, size, tried)
+        weights, own, intercept = fit_logistic(list(part["places"]), np.array(part["dense"].tolist(), dtype=float).reshape(len(y), -1), y, size, tried)
         return pd.DataFrame({"model": part["model"].iloc[:1], "weights": [weights.tolist()], "before": [own.tolist()], "intercept": [intercept]})
 
     found = dealt.groupBy("model").applyInPandas(fit, "model int, weights array<double>, before array<double>, intercept double").collect()
