@@ -16,7 +16,8 @@ of byte positions (8 % of word positions) begin a run.
    suffix by suffix. A resolver gets complete anchor groups of a bounded size.
    An anchor with more distinct runs than ``group_limit`` (a passage that a
    large part of the corpus shares) is divided by whole windows instead:
-   counts by (anchor, window hash), again combined before the shuffle.
+   counts by (anchor, stretch) and (anchor, window hash), again combined
+   before the shuffle.
 
 No step gathers the occurrences of an anchor in one task: joins back to the
 runs have one large side only, whose hot keys adaptive execution can split.
@@ -36,6 +37,7 @@ from cadenza.llm._shared import dropped, written
 
 _U = np.uint64
 _PIECE = 1 << 20  # starts scanned at once; anchors are local, so pieces change nothing but run ends
+_STRETCH = 8  # window starts in a stretch
 _POSITION = 24  # low bits of an anchor's rank that hold its position in a piece
 
 
@@ -245,24 +247,39 @@ def _resolved(bodies: DataFrame, unit: type, window: int, resolver: Resolver) ->
 
 
 def _counted(bodies: DataFrame, unit: type, window: int) -> DataFrame:
-    """As ``_resolved`` for anchors with very many distinct runs: windows are counted by (anchor, hash)."""
-    schema = pa.schema([("key", pa.int64()), ("lo", pa.int32()), ("seed", pa.int64()), ("open", pa.bool_()), ("window", pa.int64())])
+    """As ``_resolved`` for anchors with very many distinct runs: stretches, then windows are counted by (anchor, hash).
+
+    A run is cut into stretches of up to ``_STRETCH`` starts at fixed distances
+    from the anchor, so that equal windows lie in stretches of one place. A
+    stretch that occurs again settles all its starts; windows are listed for
+    one representative of every distinct stretch only.
+    """
+    names = ["key", "seed", "open", "lo", "hi", "off", "stretch", "windows"]
+    schema = pa.schema(zip(names, (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, lo, hi, seed, is_open, body = (b.column(n).to_pylist() for n in ("key", "lo", "hi", "seed", "open", "body"))
-            counts = np.array(hi) - np.array(lo) + 1
-            if not len(counts):
-                continue
-            at = [np.arange(c) for c in counts]
-            windows = [_Rolling(unit.values(unit.unpack(x))).ranges(i, i + window).view(np.int64) for x, i in zip(body, at)]
-            start = np.concatenate(at) + np.repeat(lo, counts)
-            columns = [np.repeat(key, counts), start.astype(np.int32), np.repeat(seed, counts), np.repeat(is_open, counts), np.concatenate(windows)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
-
-    windows = bodies.mapInArrow(run, "key long, lo int, seed long, open boolean, window long")
-    many = windows.groupBy("seed", "window").agg(F.count("*").alias("n")).filter("n > 1").select("seed", "window")
-    return windows.filter("open").join(many, ["seed", "window"], "left_semi").select("key", "lo", F.col("lo").alias("hi"))
+            out: list[tuple] = []
+            for key, lo, hi, p, seed, is_open, body in zip(*(b.column(n).to_pylist() for n in ("key", "lo", "hi", "p", "seed", "open", "body"))):
+                rolling = _Rolling(unit.values(unit.unpack(body)))
+                inner = np.arange(hi - lo + 1)
+                each = rolling.ranges(inner, inner + window).view(np.int64)
+                place = (p - lo - inner) // _STRETCH
+                first = np.flatnonzero(np.diff(place, prepend=place[0] + 1))
+                last = np.append(first[1:] - 1, hi - lo)
+                whole = rolling.ranges(first, last + window).view(np.int64)
+                out += [(key, seed, is_open, lo + i, lo + k, p - lo - k, h, each[i : k + 1].tolist()) for i, k, h in zip(first.tolist(), last.tolist(), whole.tolist())]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+
+    stretches = bodies.mapInArrow(run, "key long, seed long, open boolean, lo int, hi int, off int, stretch long, windows array<long>")
+    same = ["seed", "off", "stretch"]
+    distinct = written(stretches.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "hi", "open", "windows")).alias("one")), "stretches")
+    settled = stretches.filter("open").join(distinct.filter("n > 1").select(*same), same, "left_semi").select("key", "lo", "hi")
+    windows = distinct.select("seed", "n", "one.key", "one.lo", "one.open", F.posexplode("one.windows").alias("at", "window"))
+    many = windows.groupBy("seed", "window").agg(F.sum(F.least("n", F.lit(2))).alias("n")).filter("n > 1").select("seed", "window")
+    single = windows.filter("n = 1 and open").join(many, ["seed", "window"], "left_semi").select("key", (F.col("lo") + F.col("at")).alias("lo"))
+    return settled.unionByName(single.select("key", "lo", F.col("lo").alias("hi")))
 
 
 def keyed(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
