@@ -297,6 +297,8 @@ def repeated_starts(docs: DataFrame, unit: type, window: int, anchor: int, resol
     """(key, starts): per document of docs (key, text) the ranges (lo, hi) of starts whose window occurs more than once."""
     found = written(_scan(docs.select("key", "text"), unit, window, anchor), "runs")
     by_seed = found.groupBy("seed").agg(F.count("*").alias("n"), F.min("run").alias("a"), F.max("run").alias("b")).filter("n > 1").select("seed", (F.col("a") != F.col("b")).alias("mixed"))
+    # Written, so that the join reads two shuffles (or sends the small side) and adaptive execution can split a hot anchor.
+    by_seed = written(by_seed, "anchors")
     known = written(found.join(by_seed, "seed"), "repeated")
     dropped(found)
     same = known.filter("not mixed").select("key", "lo", "hi")
