@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -131,18 +134,18 @@ def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
 
 
 def windows(rows: DataFrame, size: int, wanted: np.ndarray | None = None) -> DataFrame:
-    """(key, hash, slots) for the template windows of rows (key, text): the hash and the placeholders' values.
+    """(key, pos, hash, slots) for the template windows of rows (key, text): the first token's place, the hash and the placeholders' values.
 
     wanted: only windows whose hash is in this sorted array.
     """
     value = pa.list_(pa.string())
-    schema = pa.schema([("key", pa.int64()), ("hash", pa.int64()), ("slots", value)])
+    schema = pa.schema([("key", pa.int64()), ("pos", pa.int64()), ("hash", pa.int64()), ("slots", value)])
     handle = None if wanted is None else rows.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = handle.value if handle else None
         for b in batches:
-            out: list[list] = [[], [], []]
+            out: list[list] = [[], [], [], []]
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 start, end, codes, slots = template(text)
                 hashes = window_hashes(codes, size)
@@ -151,15 +154,69 @@ def windows(rows: DataFrame, size: int, wanted: np.ndarray | None = None) -> Dat
                     continue
                 own = min(size, len(codes))
                 found = [[text[start[i] : end[i]].lower() for i in range(a, a + own) if slots[i]] for a in at.tolist()]
-                for column, x in zip(out, ([key] * len(at), hashes[at].view(np.int64).tolist(), found)):
+                for column, x in zip(out, ([key] * len(at), at.tolist(), hashes[at].view(np.int64).tolist(), found)):
                     column.extend(x)
                 if len(out[0]) >= 1 << 16:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
-                    out = [[], [], []]
+                    out = [[], [], [], []]
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
 
-    return rows.select("key", "text").mapInArrow(run, "key long, hash long, slots array<string>")
+    return rows.select("key", "text").mapInArrow(run, "key long, pos long, hash long, slots array<string>")
+
+
+def _fitting(hits: list[tuple]) -> int:
+    """How many distinct windows fit the usual fillings of the hits (place in the text, place in the item, hash, item's values, text's values).
+
+    A value's usual filling is the one held most often, of equals the greatest string.
+    """
+    votes: dict[str, Counter] = {}
+    for _, _, _, values, held in hits:
+        for v, h in zip(values, held):
+            votes.setdefault(v, Counter())[h] += 1
+    usual = {v: max(c.items(), key=lambda x: (x[1], x[0]))[0] for v, c in votes.items()}
+    return len({h for _, _, h, values, held in hits if all(usual[v] == x for v, x in zip(values, held))})
+
+
+def _occurrences(hits: list[tuple]) -> Iterator[list[tuple]]:
+    """Parts of the hits that may each be one copy of the item.
+
+    Hits of one offset (place in the text less place in the item); hits of
+    offsets up to half an item apart, for copies with words put in or left out;
+    and chains along the text in which the item's places increase, for copies
+    with whole passages put in. A hit is in at most seven parts.
+    """
+    by_offset = sorted(hits, key=lambda x: x[0] - x[1])
+    offsets = [p - q for p, q, *_ in by_offset]
+    for _, part in groupby(by_offset, key=lambda x: x[0] - x[1]):
+        yield list(part)
+    width = max(q for _, q, *_ in hits) // 2
+    begin = None
+    for o in offsets:
+        if begin is None or o > begin + width // 4:
+            begin = o
+            yield by_offset[bisect_left(offsets, o) : bisect_right(offsets, o + width)]
+    chain: list[tuple] = []
+    for _, part in groupby(sorted(hits, key=lambda x: x[:2]), key=lambda x: x[0]):
+        same = list(part)
+        following = next((x for x in same if chain and x[1] > chain[-1][1]), None)
+        if following is None and chain:
+            yield chain
+            chain = []
+        chain.append(following or same[0])
+    yield chain
+
+
+def best_consistent(hits: list[tuple], needed: float) -> int:
+    """The most windows that fit each other, over the whole text or in any one occurrence with at least ``needed`` distinct windows."""
+    matched = len({x[2] for x in hits})
+    best = _fitting(hits)
+    for part in _occurrences(hits) if best < matched else ():
+        if len({x[2] for x in part}) >= max(needed, best + 1):
+            best = max(best, _fitting(part))
+            if best == matched:
+                break
+    return best
 
 
 def leaks(docs: DataFrame, items: DataFrame, size: int = 5, share: float = 0.8, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -169,8 +226,11 @@ def leaks(docs: DataFrame, items: DataFrame, size: int = 5, share: float = 0.8,
     template tokens are looked up in the documents (a text of fewer tokens is
     one window, so it equals only such a whole text). Slots are consistent if
     each value of the item stands for one value of the document; a window with
-    a slot that differs from the document's usual value for it doesn't count.
-    An item is leaked if ``share`` of its distinct windows match consistently.
+    a slot that differs from the usual value for it doesn't count. This is
+    judged over the whole text and in each occurrence on its own, so that
+    copies with different fillings in one text don't spoil each other;
+    ``consistent`` is the best of these. An item is leaked if ``share`` of its
+    distinct windows match consistently.
     key: a hash of doc_id and text. Null texts and texts without a token match
     nothing; rows with a null item_id are left out; a null doc_id is kept;
     repeated rows (of either) are listed once. Only these columns are read.
@@ -181,7 +241,7 @@ def leaks(docs: DataFrame, items: DataFrame, size: int = 5, share: float = 0.8,
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     rows = docs.select(F.xxhash64(doc_id, text).alias("key"), doc_id.alias("doc_id"), text.alias("text"))
     asked = items.select(F.col("item_id").cast("long").alias("key"), F.col("text").cast("string").alias("text")).filter("key is not null").distinct()
-    known = written(windows(asked, size).select(F.col("key").alias("item_id"), "hash", F.col("slots").alias("item_slots")), "benchmark")
+    known = written(windows(asked, size).select(F.col("key").alias("item_id"), F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots")), "benchmark")
     small = known.count() <= broadcast_windows
     if small:
         hashes = np.array([r["hash"] for r in known.select("hash").distinct().collect()], dtype=np.int64).view(_U)
@@ -190,18 +250,23 @@ def leaks(docs: DataFrame, items: DataFrame, size: int = 5, share: float = 0.8,
         hits = windows(rows, size).join(known.select("hash").distinct(), "hash", "left_semi")
     hits = written(hits.distinct(), "hits")
     # A hash also takes the number of tokens, so a short text's only window equals no full one.
-    pairs = hits.join(F.broadcast(known) if small else known, "hash")
+    placed = known.groupBy("item_id", "hash").agg(F.collect_list(F.struct("item_pos", "item_slots")).alias("places"))
+    pairs = hits.join(F.broadcast(placed) if small else placed, "hash")
     total = known.groupBy("item_id").agg(F.countDistinct("hash").alias("item_windows"))
     matched = pairs.groupBy("key", "item_id").agg(F.countDistinct("hash").alias("matched")).join(F.broadcast(total) if small else total, "item_id")
     likely = matched.filter(F.col("matched") >= share * F.col("item_windows"))
-    pairs = written(pairs.join(likely, ["key", "item_id"]).select("key", "item_id", "item_windows", "matched", "hash", F.arrays_zip("item_slots", "slots").alias("filled")), "pairs")
-    votes = pairs.select("key", "item_id", F.explode("filled").alias("f")).groupBy("key", "item_id", F.col("f.item_slots").alias("value"), F.col("f.slots").alias("held")).agg(F.count("*").alias("n"))
-    usual = votes.groupBy("key", "item_id", "value").agg(F.max_by("held", F.struct("n", "held")).alias("held"))
-    usual = usual.groupBy("key", "item_id").agg(F.map_from_entries(F.collect_list(F.struct("value", "held"))).alias("usual"))
-    judged = pairs.join(usual, ["key", "item_id"], "left")
-    sound = judged.filter(~F.exists("filled", lambda f: F.coalesce(F.col("usual")[f["item_slots"]] != f["slots"], F.lit(False))))
-    found = sound.groupBy("key", "item_id", "item_windows", "matched").agg(F.countDistinct("hash").alias("consistent"))
-    found = found.withColumn("share", F.col("consistent") / F.col("item_windows")).filter(F.col("share") >= share)
+    pairs = pairs.join(likely, ["key", "item_id"]).groupBy("key", "item_id", "item_windows", "matched").agg(F.collect_list(F.struct("pos", "hash", "slots", "places")).alias("hits"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            best = []
+            for n, group in zip(b.column("item_windows").to_pylist(), b.column("hits").to_pylist()):
+                own = [(h["pos"], p["item_pos"], h["hash"], tuple(p["item_slots"]), tuple(h["slots"])) for h in group for p in h["places"]]
+                best.append(best_consistent(own, share * n))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(best, pa.int64())], names=["key", "item_id", "item_windows", "matched", "consistent"])
+
+    found = pairs.mapInArrow(judge, "key long, item_id long, item_windows long, matched long, consistent long")
+    found = written(found.withColumn("share", F.col("consistent") / F.col("item_windows")).filter(F.col("share") >= share), "found")
     named = rows.select("key", "doc_id").join(found.select("key").distinct(), "key", "left_semi").distinct()
     return named.join(found, "key").select("key", "doc_id", "item_id", "item_windows", "matched", "consistent", "share")
 

@@ -66,6 +66,20 @@ def test_slots_must_be_consistent(spark):
     assert [r["doc_id"] for r in decontamination.leaks(docs(spark, [good, bad]), items).collect()] == [0]
 
 
+def test_copies_with_different_fillings_in_one_text(spark):
+    item = "Alice buys 3 apples and 4 pears from the market near Paris, then walks 12 km home with all of them."
+    fill = lambda name, a, b, place, way: item.replace("Alice", name).replace("3", a).replace("4", b).replace("Paris", place).replace("12 km", way)
+    one, two = fill("Bob", "17", "20", "Berlin", "9 miles"), fill("Carol", "12", "35", "Rome", "8 hours")
+    spread = lambda text: text.replace("market", "market (which was, as on any other day of that long and hot summer, quite full of people)")
+    texts = [one, two, f"{one} {two}", f"{item} and so on {one}", f"{two}\n{item}\n{one}\n{two}", f"{one} {spread(two)} {item}", f"{one[:60]} {two[60:]}", f"{one[:40]} {two[:40]} {item[:40]}"]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for bound in (1_000_000, 0):
+        found = {r["doc_id"]: r["consistent"] for r in decontamination.leaks(docs(spark, texts), items, broadcast_windows=bound).collect()}
+        assert {d: n for d, n in found.items() if d < 6} == dict.fromkeys(range(6), 17) and 7 not in found
+    hits = [(p, p % 40, p % 40, (str(p % 40),), (str(p),)) for p in range(4000)]
+    assert decontamination.best_consistent(hits, 32) == 40 and decontamination.best_consistent(hits[:35:2], 32) == 18
+
+
 def test_simhash_components_match_brute_force(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(6)]
