@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import decontamination, language_id, packing, simhash, suffix_dedup
+from cadenza.llm import decontamination, edited, language_id, packing, simhash, suffix_dedup
 from cadenza.llm._shared import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -26,6 +26,14 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return simhash.representatives(docs.select(*COLUMNS), 3, 2)
 
 
+def singled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``deduplicated``, then without the edited copies (Jaccard of 5-word shingles of 0.8 or more) of a document with a smaller doc_id."""
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    kept = written(deduplicated(spark, docs, sf_dir).withColumn("_key", key), "single")
+    copies = edited.edited_copies(kept.select(F.col("_key").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    return kept.join(copies, F.col("_key") == F.col("key"), "left_anti").select(*COLUMNS)
+
+
 def trimmed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages of 200 bytes or more that occur more than once; a character cut in two goes too."""
     found = suffix_dedup.remove_repeats(docs, 200, keep=["lang", "source"])
@@ -45,7 +53,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language_id", identified),
-    ("simhash_near_dedup", deduplicated),
+    ("simhash_near_dedup", singled),
     ("suffix_array_dedup", trimmed),
     ("benchmark_decontamination", decontaminated),
     ("packing", packed),

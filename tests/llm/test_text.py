@@ -113,6 +113,30 @@ def test_simhash_edge_cases(spark):
     assert simhash.near_duplicates(docs(spark, texts).filter("false")).count() == 0
 
 
+def test_edited_copies_leave_the_pipeline(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(4000)}"
+    line = " ".join(word() for _ in range(12))
+    texts = [None, "", "one", "two words here"]
+    for n in (30, 120, 400, 3000):
+        text = [word() for _ in range(n)]
+        for edits in (0, 1, n // 60, n // 45, n // 30, n // 12):
+            copy = list(text)
+            for at in rng.sample(range(n), edits):
+                copy[at] = rng.choice([word(), "", "x y"])
+            texts.append(" ".join(copy) + " " + line)
+    crowd = [word() for _ in range(60)]
+    texts += [" ".join([*crowd, f"v{i}"]) for i in range(90)] + [f"{line} {word()} {word()}" for _ in range(90)]
+    sets = [set(zip(*[(t or "").split()[k:] for k in range(min(5, len((t or "").split())))])) for t in texts]
+    near = lambda a, b: bool(sets[a]) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    before = {r["doc_id"] for r in corpus_pipeline.deduplicated(spark, docs(spark, texts), SF).collect()}
+    kept = {r["doc_id"] for r in stage(spark, docs(spark, texts), SF).collect()}
+    assert kept < before and not any(near(a, b) for a, b in itertools.combinations(sorted(kept), 2))
+    assert all(any(near(a, b) for a in before if a < b) for b in before - kept)
+    assert stage(spark, docs(spark, texts).filter("false"), SF).count() == 0
+
+
 def test_top_k_matches_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = [(int(i), [float(x) for x in rng.integers(-2, 3, 12) / 4]) for i in range(300)] + [(300, None), (301, [float("nan")] * 12), (302, [None] * 12)]
