@@ -91,7 +91,7 @@ def download_state(origin: Column, secs: Column) -> Column:
 
 
 def semitone(key: Column) -> Column:
-    return F.get(F.map_values(F.map_filter(_lookup(SEMITONES), lambda k, v: k == key)), F.lit(0))
+    return F.try_element_at(_lookup(SEMITONES), key)
 
 
 def semitone_shift(vocal_key: Column, inst_key: Column) -> Column:

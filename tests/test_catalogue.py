@@ -44,10 +44,31 @@ def test_upsert_is_sequential(spark):
     assert st.upsert_songs(target.filter("false"), batch.filter("false")).count() == 0
 
 
-def test_numbering_has_no_gaps(spark):
-    rows = spark.range(1000).withColumn("k", F.pmod(F.xxhash64("id"), F.lit(10_000))).repartition(7)
-    found = st.numbered(rows, ["k", "id"], "n").orderBy("k", "id").collect()
-    assert [r["n"] for r in found] == list(range(1, 1001))
+@pytest.mark.parametrize("adaptive, coalesce", [("true", "true"), ("true", "false"), ("false", "false")])
+def test_numbering_has_no_gaps(spark, tmp_path, adaptive, coalesce):
+    """600,000 wide rows, so that ranges are sampled and partitions coalesced."""
+    wide = [F.sha2(F.concat(F.lit(f"{i}-"), F.col("id").cast("string")), 256).alias(f"c{i}") for i in range(8)]
+    rows = spark.range(600_000).select("id", F.pmod(F.xxhash64("id"), F.lit(1_000_000_007)).alias("k"), *wide)
+    old = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for c, v in zip(old, (adaptive, coalesce, "13")):
+            spark.conf.set(c, v)
+        st.numbered(rows, ["k", "id"], "n").write.parquet(str(tmp_path / "n"))
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    found = spark.read.parquet(str(tmp_path / "n"))
+    best = found.agg(F.count("*"), F.countDistinct("n"), F.min("n"), F.max("n"), F.countDistinct("id")).first()
+    assert tuple(best) == (600_000, 600_000, 1, 600_000, 600_000)
+    places = found.select("k", "id", "n").toPandas().sort_values(["k", "id"])["n"]
+    assert places.tolist() == list(range(1, 600_001))
+
+
+def test_repeated_changes_do_not_multiply_songs(spark):
+    songs = spark.createDataFrame([(1, "queued", "", 5.0, "0:05"), (2, "queued", "/b", 6.0, "0:06")], "id long, status string, raw_path string, duration_secs double, duration_str string")
+    changes = spark.createDataFrame([(1, "downloaded", "/a", 9.0), (1, "downloaded", "/a", 9.0), (1, "downloaded", None, 8.0)], "id long, status string, raw_path string, duration_secs double")
+    assert sorted(map(tuple, st.update_status(songs, changes).collect())) == [(1, "downloaded", "/a", 5.0, "0:05"), (2, "queued", "/b", 6.0, "0:06")]
+    assert sorted(map(tuple, st.update_duration(songs, changes).collect())) == [(1, "queued", "", 9.0, "0:09"), (2, "queued", "/b", 6.0, "0:06")]
 
 
 @pytest.mark.parametrize("key_min", [0.85, 0.55, 0.5, 0.25])
