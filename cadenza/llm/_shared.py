@@ -1,49 +1,28 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Tables in the shared folder, and memory that a worker gives back at a task's end."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
+import ctypes
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
 
+from cadenza.tables import dropped, release, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset (tests), a new temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="cadenza-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+__all__ = ["dropped", "lean", "release", "shared_dir", "written"]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again.
-
-    This cuts the lineage so that a lost executor costs a re-read, not a
-    recomputation, and a frame with several consumers is computed once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    release(spark)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes the folder of a table made by ``written`` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    top = jvm.org.apache.hadoop.fs.Path(shared_dir(spark)).toUri().getPath()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        if path.toUri().getPath().startswith(f"{top}/"):
-            path.getFileSystem(conf).delete(path, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove shuffle files of frames that are out of use."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def lean(*caches: dict) -> Iterator[None]:
+    """Inside a task: at its end the caches are emptied and freed memory goes back to the system, as workers are used again by later stages."""
+    try:
+        yield
+    finally:
+        for c in caches:
+            c.clear()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass

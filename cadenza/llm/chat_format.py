@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm._shared import written
+from cadenza.llm._shared import dropped, written
 
 #: Template: "### role: text</turn>\n" for each turn. In texts and roles, what could be a control string is escaped.
 OPEN, COLON, CLOSE = "### ", ": ", "</turn>\n"
@@ -83,11 +83,14 @@ def paths(nodes: DataFrame, top: int | None = None) -> DataFrame:
     ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.col("score").desc(), "node")).cast("long"))
     if top is not None:
         ranked = ranked.filter(F.col("rank") <= top)
-    found = ranked.select("tree", F.col("node").alias("leaf"), "rank", F.col("steps").alias("position"), "node")
+    found = written(ranked.select("tree", F.col("node").alias("leaf"), "rank", F.col("steps").alias("position"), "node"), "paths")
     for table in reversed(tables):
+        # Written at every level, so that no plan holds more than one join.
         jump = table.filter("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("from"), "up", "steps")
         more = found.join(jump, _same(F.col("tree"), F.col("t")) & (F.col("node") == F.col("from")))
-        found = found.unionByName(more.select("tree", "leaf", "rank", (F.col("position") - F.col("steps")).alias("position"), F.col("up").alias("node")))
+        more = found.unionByName(more.select("tree", "leaf", "rank", (F.col("position") - F.col("steps")).alias("position"), F.col("up").alias("node")))
+        before, found = found, written(more, "paths")
+        dropped(before, table)
     return found
 
 
@@ -117,11 +120,11 @@ def format_trees(messages: DataFrame, top: int | None = None) -> DataFrame:
 def from_turns(rows: DataFrame) -> DataFrame:
     """Messages of the conversations in rows (conv_id, turn, role, text): every turn replies to the one before.
 
-    Turns of a conversation are ordered by turn (null first), then role and
-    text, so repeated turns all stay. Rows with a null conv_id form one
-    conversation. The score of a message is the length of its text.
+    Turns of a conversation are ordered by turn (null last), then role and
+    text (null as empty), so repeated turns all stay. Rows with a null conv_id
+    form one conversation. The score of a message is the length of its text.
     """
-    order = Window.partitionBy("tree").orderBy("turn", "role", "text")
+    order = Window.partitionBy("tree").orderBy(F.col("turn").asc_nulls_last(), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
     rows = rows.select(F.col("conv_id").cast("long").alias("tree"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     numbered = rows.withColumn("node", F.row_number().over(order).cast("long"))
     return numbered.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.length("text").cast("double").alias("score"), "role", "text")
@@ -144,6 +147,7 @@ def read_back(conversations: DataFrame) -> DataFrame:
 
 
 def op2_chat_formatting(spark, sf_dir):
+    """Every conversation formatted and read back; edge cases as in ``from_turns`` and ``format_trees``."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     text = r"\### Assistant: </turn> ok"
     added = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
