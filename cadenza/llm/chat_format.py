@@ -67,30 +67,31 @@ def paths(nodes: DataFrame, top: int | None = None) -> DataFrame:
     nodes = nodes.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     known = nodes.select(F.col("tree").alias("t"), F.col("node").alias("known"))
     linked = nodes.join(known, _same(F.col("tree"), F.col("t")) & (F.col("parent") == F.col("known")), "left")
-    up = written(linked.select("tree", "node", F.col("known").alias("up"), "score", F.lit(1).cast("long").alias("steps")), "replies")
-    tables = []
+    first = written(linked.select("tree", "node", F.col("known").alias("up"), "score", F.lit(1).cast("long").alias("steps")), "replies")
+    # A node whose root is found rests in done; the others, in open, know an ancestor 1, 2, 4, ... steps up.
+    done, open_, tables = first.filter("up is null"), first.filter("up is not null"), []
     longest = nodes.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     for _ in range(longest.bit_length()):
-        if up.filter("up is not null").isEmpty():
+        if open_.isEmpty():
             break
-        tables.append(up)
-        far = up.select(F.col("tree").alias("t"), F.col("node").alias("mid"), F.col("up").alias("far"), F.col("score").alias("more"), F.col("steps").alias("on"))
-        joined = up.join(far, _same(F.col("tree"), F.col("t")) & (F.col("up") == F.col("mid")), "left")
-        up = written(joined.select("tree", "node", F.col("far").alias("up"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"), (F.col("steps") + F.coalesce("on", F.lit(0))).alias("steps")), "replies")
-    first = tables[0] if tables else up
+        tables.append(open_)
+        far = done.unionByName(open_).select(F.col("tree").alias("t"), F.col("node").alias("mid"), F.col("up").alias("far"), F.col("score").alias("more"), F.col("steps").alias("on"))
+        joined = open_.join(far, _same(F.col("tree"), F.col("t")) & (F.col("up") == F.col("mid")))
+        up = written(joined.select("tree", "node", F.col("far").alias("up"), (F.col("score") + F.col("more")).alias("score"), (F.col("steps") + F.col("on")).alias("steps")), "replies")
+        done, open_ = done.unionByName(up.filter("up is null")), up.filter("up is not null")
     inner = first.filter("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("inner")).distinct()
-    leaves = up.filter("up is null").join(inner, _same(F.col("tree"), F.col("t")) & (F.col("node") == F.col("inner")), "left_anti")
+    leaves = done.join(inner, _same(F.col("tree"), F.col("t")) & (F.col("node") == F.col("inner")), "left_anti")
     ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.col("score").desc(), "node")).cast("long"))
     if top is not None:
         ranked = ranked.filter(F.col("rank") <= top)
     found = written(ranked.select("tree", F.col("node").alias("leaf"), "rank", F.col("steps").alias("position"), "node"), "paths")
     for table in reversed(tables):
         # Written at every level, so that no plan holds more than one join.
-        jump = table.filter("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("from"), "up", "steps")
+        jump = table.select(F.col("tree").alias("t"), F.col("node").alias("from"), "up", "steps")
         more = found.join(jump, _same(F.col("tree"), F.col("t")) & (F.col("node") == F.col("from")))
         more = found.unionByName(more.select("tree", "leaf", "rank", (F.col("position") - F.col("steps")).alias("position"), F.col("up").alias("node")))
         before, found = found, written(more, "paths")
-        dropped(before, table)
+        dropped(before)
     return found
 
 

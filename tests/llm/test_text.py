@@ -43,6 +43,20 @@ def test_reply_trees_give_every_path(spark):
     assert chat_format.format_trees(df.filter("false")).count() == 0
 
 
+def test_long_conversations_and_odd_turns(spark):
+    """2,000 turns in one conversation, a hot one with null turns, roles, texts and repeats, a null conv_id, and columns with clashing names."""
+    rows = [(1, i, "user" if i % 2 else "assistant", f"t{i}") for i in range(2000)]
+    rows += [(2, t, r, x) for t in (None, 3, 3, 1) for r in ("assistant", None, "") for x in ("<b>", None, "")]
+    rows += [(None, 1, "user", "a"), (None, 0, "assistant", "#")]
+    df = spark.createDataFrame([(*r, 9, 9, "x") for r in rows], "conv_id long, turn long, role string, text string, tree long, node long, up string")
+    found = {r["tree"]: ([(t["role"], t["text"]) for t in r["turns"]], r["loss"]) for r in chat_format.read_back(chat_format.format_trees(chat_format.from_turns(df), 1)).collect()}
+    order = lambda r: (r[1] is None, r[1] or 0, r[2] or "", r[3] or "")
+    for conv in (1, 2, None):
+        expected = [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == conv), key=order)]
+        assert found[conv] == (expected, "".join(x for role, x in expected if role == "assistant"))
+    assert len(found) == 3 and chat_format.format_trees(chat_format.from_turns(df.filter("false")), 1).count() == 0
+
+
 def test_decontamination(spark):
     item = "Alice buys 3 apples and 4 pears from the market near Paris, then walks 12 km home with all of them."
     texts = [
