@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.llm._shared import lean
+
 #: Buckets that hold the 1- to 3-grams of letters.
 BITS = 13
 _U = np.uint32
@@ -94,11 +96,16 @@ def _clusters(vectors: np.ndarray, k: int, rounds: int = 10) -> tuple[np.ndarray
     return means, of
 
 
+def _band(counts: np.ndarray) -> int:
+    """A text's length band: the number of binary digits of its letter count, about."""
+    return int(counts.sum() // 3).bit_length()
+
+
 class LanguageModel:
-    """Centroids, their languages and the inverse document frequencies: a few MB, whatever the corpus."""
+    """Centroids, their languages, inverse document frequencies and rejection bounds by length band: a few MB, whatever the corpus."""
 
-    def __init__(self, langs: list[str], centroids: np.ndarray, idf: np.ndarray, reject_below: float):
-        self.langs, self.centroids, self.idf, self.reject_below = langs, centroids, idf, reject_below
+    def __init__(self, langs: list[str], centroids: np.ndarray, idf: np.ndarray, bounds: np.ndarray):
+        self.langs, self.centroids, self.idf, self.bounds = langs, centroids, idf, bounds
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, cosine to its nearest centroid, rejected)."""
@@ -108,20 +115,34 @@ class LanguageModel:
         cosines = self.centroids @ _vector(counts, self.idf)
         best = int(np.argmax(cosines))
         score = float(min(1.0, max(0.0, cosines[best])))
-        return self.langs[best], score, score < self.reject_below
+        return self.langs[best], score, score < self.bounds[min(_band(counts), len(self.bounds) - 1)]
 
 
-def train(train: DataFrame, clusters: int = 4, sample: int = 1500, reject_below: float = 0.05) -> LanguageModel:
+def rejection_bounds(bands: np.ndarray, cosines: np.ndarray, share: float, slack: float) -> np.ndarray:
+    """For every length band ``slack`` x the ``share`` quantile of its cosines; bands of under 20 rows take the least bound of the others."""
+    bounds = np.full(64, np.nan)
+    for band in np.unique(bands):
+        own = cosines[bands == band]
+        if len(own) >= 20:
+            bounds[band] = slack * np.quantile(own, share)
+    least = np.nanmin(bounds) if not np.isnan(bounds).all() else slack * np.quantile(cosines, share) if len(cosines) else 0.0
+    return np.where(np.isnan(bounds), least, bounds)
+
+
+def train(train: DataFrame, clusters: int = 4, sample: int = 1500, reject_share: float = 0.01, slack: float = 0.6) -> LanguageModel:
     """Learns from the rows (doc_id, lang, text) whose lang and text aren't null.
 
     Inverse document frequencies come from all of them. Centroids are
     clustered, per language, from a sample by hash of doc_id of about
-    ``sample`` rows a language (all, if there are fewer).
+    ``sample`` rows a language (all, if there are fewer). The same sample gives
+    the rejection bounds: see ``rejection_bounds``. They go by length, as long
+    texts of any kind share more n-grams with a centroid than short ones.
+    Without a row there is no language, and every text is ``und``.
     """
     train = train.filter("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return LanguageModel([], np.zeros((0, 1 << BITS), dtype=np.float32), np.ones(1 << BITS), reject_below)
+        return LanguageModel([], np.zeros((0, 1 << BITS), dtype=np.float32), np.ones(1 << BITS), np.zeros(64))
     frequency, n = _frequencies(train)
     idf = np.log((1 + n) / (1 + frequency)) + 1
     shares = F.create_map(*[F.lit(x) for lang, c in sorted(counts.items()) for x in (lang, min(1.0, sample / c))])
@@ -129,24 +150,34 @@ def train(train: DataFrame, clusters: int = 4, sample: int = 1500, reject_below:
     chosen = train.filter(place < shares[F.col("lang")]).select("doc_id", "lang", "text")
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "text"])
-        counts = [c for t in rows["text"] if (c := ngram_counts(t)) is not None]
-        if not counts:
-            return pd.DataFrame({"lang": [], "centroid": []})
-        means, _ = _clusters(np.array([_vector(c, idf) for c in counts]), clusters)
-        return pd.DataFrame({"lang": [rows["lang"].iloc[0]] * len(means), "centroid": [m.tolist() for m in means]})
-
-    found = chosen.groupBy("lang").applyInPandas(fit, "lang string, centroid array<float>").collect()
+        with lean():
+            rows = rows.sort_values(["doc_id", "text"])
+            vectors, bands = np.empty((len(rows), 1 << BITS), dtype=np.float32), []
+            for text in rows["text"]:
+                if (counts := ngram_counts(text)) is not None:
+                    vectors[len(bands)] = _vector(counts, idf)
+                    bands.append(_band(counts))
+            if not bands:
+                return pd.DataFrame({"lang": [], "centroid": [], "bands": [], "cosines": []})
+            vectors = vectors[: len(bands)]
+            means, of = _clusters(vectors, clusters)
+            cosines = np.einsum("ij,ij->i", vectors, means[of]).astype(float).tolist()
+            del vectors
+            rest = [[]] * (len(means) - 1)
+            return pd.DataFrame({"lang": [rows["lang"].iloc[0]] * len(means), "centroid": [m.tolist() for m in means], "bands": [bands, *rest], "cosines": [cosines, *rest]})
+
+    found = chosen.groupBy("lang").applyInPandas(fit, "lang string, centroid array<float>, bands array<int>, cosines array<double>").collect()
     found = sorted(found, key=lambda r: (r["lang"], r["centroid"]))
-    return LanguageModel([r["lang"] for r in found], np.array([r["centroid"] for r in found], dtype=np.float32).reshape(-1, 1 << BITS), idf, reject_below)
+    bounds = rejection_bounds(np.array([x for r in found for x in r["bands"]], dtype=int), np.array([x for r in found for x in r["cosines"]]), reject_share, slack)
+    return LanguageModel([r["lang"] for r in found], np.array([r["centroid"] for r in found], dtype=np.float32).reshape(-1, 1 << BITS), idf, bounds)
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """docs with the columns lang_pred, score and rejected, from whole texts.
 
     A text that is null or has no letter: ``und``, 0.0, rejected. A text whose
-    nearest centroid has a cosine under the model's bound is rejected too, with
-    its nearest language and score. Ties go to the first language. Other
+    nearest centroid has a cosine under the model's bound for its length is
+    rejected too, with its nearest language and score. Ties go to the first language. Other
     columns are kept; columns of these three names are replaced. Repeated rows
     are kept; an empty table gives an empty result.
     """
@@ -174,6 +205,7 @@ def learned(docs: DataFrame) -> LanguageModel:
 
 
 def op8_language_id(spark, sf_dir):
+    """Every document's language; edge cases as in ``identify``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = identify(docs.select("doc_id", "text"), learned(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")

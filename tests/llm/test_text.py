@@ -194,6 +194,17 @@ def test_language_id_on_held_out_documents(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
     assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.95 * len(held) and all(0 <= r["score"] <= 1 for r in rows)
     model = language_id.learned(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert sum(r["rejected"] for r in rows) <= 0.02 * len(rows)
+    rng = random.Random(6)
+    letters = {"latin": [chr(c) for c in range(97, 123)] + [" "] * 4, "greek": [chr(c) for c in range(0x3B1, 0x3CA)] + [" "] * 4, "han": [chr(c) for c in range(0x4E00, 0x5E00)]}
+    strange = ["".join(rng.choice(x) for _ in range(k)) for x in letters.values() for k in (60, 1000, 20_000)]
+    polish = "w nie na się że do jest to po jak ale za od który przez był oraz może tylko wszystko człowiek państwo źródło".split()
+    strange += [" ".join(rng.choice(polish) for _ in range(k)) for k in (30, 3000)]
+    assert all(r["rejected"] for r in language_id.identify(docs(spark, strange), model).collect())
+    clash = spark.createDataFrame([(1, "the of and", "old", 9.0, "x")] * 2, "doc_id long, text string, lang_pred string, score double, rejected string")
+    assert [tuple(r)[:3] for r in language_id.identify(clash, model).collect()] == [(1, "the of and", "en")] * 2 and language_id.identify(clash.filter("false"), model).count() == 0
+    none = language_id.train(docs(spark, ["x"]).filter("false"))
+    assert [(r["lang_pred"], r["rejected"]) for r in language_id.identify(clash, none).collect()] == [("und", True)] * 2
     odd = {r["doc_id"]: r for r in language_id.identify(docs(spark, [None, "", "123 !?", "你好" * 20, "the of and"]), model).collect()}
     assert [odd[i]["lang_pred"] for i in range(3)] == ["und"] * 3 and all(odd[i]["rejected"] for i in range(4)) and odd[4]["lang_pred"] == "en"
 
