@@ -7,6 +7,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cadenza.llm._shared import written
+from cadenza.llm._shared import lean, written
 
 #: Ends every document.
 END = 1
@@ -27,7 +28,8 @@ _SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f
 _PLAIN = re.compile(r"(?!.*<\|)[!-~\u00c0-\u024f]+")
 #: The vocabulary's own division of words (fixed).
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_WORDS = 800_000
+#: Words whose ids a task keeps; beyond, the store begins anew.
+_WORDS = 200_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -40,8 +42,8 @@ def _byte_letters() -> dict[str, int]:
 class Words:
     """Ids by word for a vocabulary that drops white space and joins nothing across it.
 
-    A text's ids are those of its words in a row, so up to 800,000 words are
-    kept with their ids. Words not seen before are merged in bulk: the same
+    A text's ids are those of its words in a row, so up to 200,000 words are
+    kept with their ids while a task lasts. Words not seen before are merged in bulk: the same
     vocabulary as ranks, in which a zero byte stands for the end of a piece.
     Words outside plain Latin are left to the tokenizer itself.
     """
@@ -94,7 +96,11 @@ class Words:
 
 
 _END = np.array([END], dtype="<u4").tobytes()
-_own: dict[str, Words] = {}
+
+
+@lru_cache(maxsize=1)
+def _words(vocabulary: str) -> Words:
+    return Words(vocabulary)
 
 
 def public_vocabulary() -> str:
@@ -106,9 +112,7 @@ def public_vocabulary() -> str:
 
 def token_ids(texts: list[str], vocabulary: str) -> list[np.ndarray]:
     """The ids of whole texts, each followed by ``END``, by this worker's own word store."""
-    if vocabulary not in _own:
-        _own[vocabulary] = Words(vocabulary)
-    return _own[vocabulary].ids(texts)
+    return _words(vocabulary).ids(texts)
 
 
 def tokenized(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -120,6 +124,10 @@ def tokenized(docs: DataFrame, vocabulary: str) -> DataFrame:
     width = "<u2" if Tokenizer.from_file(vocabulary).get_vocab_size() <= 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with lean(_words(vocabulary).known):
+            yield from parts(batches)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = 0
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
