@@ -36,17 +36,16 @@ _NUMBER, _UNIT, _NAME = (xxhash.xxh64_intdigest(x) for x in ("<number>", "<unit>
 BROADCAST_WINDOWS = 1_000_000
 
 
-
-
 @lru_cache(maxsize=1)
 def _characters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By code point: its kind (0 none, 1 letter, 2 digit, 3 symbol, 4 joins digits), its lower case, its case (1 upper, 2 lower)."""
-    chars = [chr(c) for c in range(0x110000)]
-    kind = np.fromiter((2 if c.isdecimal() else 1 if c.isalnum() else 0 for c in chars), dtype=np.uint8, count=len(chars))
+    size = 0x110000
+    chars = lambda: map(chr, range(size))
+    kind = np.fromiter((2 if c.isdecimal() else 1 if c.isalnum() else 0 for c in chars()), dtype=np.uint8, count=size)
     kind[[ord(c) for c in SYMBOLS]] = 3
     kind[[ord(c) for c in ".,:/"]] = 4
-    lower = np.fromiter((ord(x) if len(x := c.lower()) == 1 else ord(c) for c in chars), dtype=np.uint32, count=len(chars))
-    case = np.fromiter((1 if c.isupper() else 2 if c.islower() else 0 for c in chars), dtype=np.uint8, count=len(chars))
+    lower = np.fromiter((ord(x) if len(x := c.lower()) == 1 else ord(c) for c in chars()), dtype=np.uint32, count=size)
+    case = np.fromiter((1 if c.isupper() else 2 if c.islower() else 0 for c in chars()), dtype=np.uint8, count=size)
     return kind, lower, case
 
 
