@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm._shared import written
+from cadenza.llm._shared import dropped, written
 from cadenza.llm.decontamination import window_hashes
 
 #: Buckets of the sketch of shingle frequencies, and leaders that a shingle's documents are compared with in one round.
@@ -26,8 +26,8 @@ def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.unique(window_hashes(np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words)), shingle))
 
 
-def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(key, rank, shingles) for the rows with a word; rank orders documents by doc_id, null last."""
+def _shingled(docs: DataFrame, shingle: int) -> DataFrame:
+    """(key, doc_id, shingles) for docs (key, doc_id, text)."""
     schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,90 +37,96 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
                 found = [shingle_hashes(t, shingle).view(np.int64) for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, schema.types[2])], schema=schema)
 
-    found = docs.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, shingles array<long>")
-    rank = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")
-    return found.filter(F.size("shingles") > 0).select("key", rank.alias("rank"), "shingles")
+    return docs.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, shingles array<long>")
 
 
-def _frequencies(sets: DataFrame) -> np.ndarray:
-    """How many shingles fall into each bucket of the sketch."""
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _frequencies(docs: DataFrame, shingle: int) -> np.ndarray:
+    """How many shingles of all documents fall into each bucket of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for b in batches:
-            hashes = b.column(0).flatten().to_numpy().view(np.uint64)
-            found += np.bincount((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(found))
+            for text in b.column(0).to_pylist():
+                np.add.at(found, _bucket(shingle_hashes(text, shingle)), 1)
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], names=["bucket", "n"])
 
     out = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    for r in sets.select("shingles").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r["bucket"]] = r["n"]
     return out
 
 
-def _prefixes(sets: DataFrame, share: float) -> DataFrame:
-    """(shingle, doc): every document's rarest shingles, so many that two documents of the similarity have one in common.
+def _prefixes(docs: DataFrame, often: np.ndarray, shingle: int, share: float) -> DataFrame:
+    """(shingle, key, n, pos): every document's rarest shingles, so many that two documents of the similarity have one in common.
 
-    doc: rank, key, n (number of shingles) and pos, the shingle's place by
+    n is the number of the document's shingles, pos the shingle's place by
     (frequency in the sketch, hash). This order is the same for all documents,
     which is all that the filter needs; a coarse sketch only costs time.
     """
-    handle = sets.sparkSession.sparkContext.broadcast(_frequencies(sets))
+    handle = docs.sparkSession.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = handle.value
         for b in batches:
-            lists = b.column(1)
-            out: list[list] = [[], [], [], []]
-            for key, own in zip(b.column(0).to_pylist(), lists):
-                hashes = own.values.to_numpy().view(np.uint64)
-                n = len(hashes)
-                order = np.lexsort((hashes, often[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[: n - math.ceil(share * n - 1e-9) + 1]
-                for column, x in zip(out, (np.full(len(order), key), hashes[order].view(np.int64), np.full(len(order), n), np.arange(len(order)))):
-                    column.append(x)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["key", "shingle", "n", "pos"])
-
-    ranks = sets.select("key", "rank")
-    found = sets.select("key", "shingles").mapInArrow(run, "key long, shingle long, n long, pos long")
-    # A shingle of one document alone makes no pair.
-    found = written(found, "prefixes")
-    shared = found.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1").select("shingle")
-    return found.join(shared, "shingle").join(ranks, "key").select("shingle", F.struct("rank", "key", "n", "pos").alias("doc"))
+            for at in range(0, b.num_rows, _ROWS):
+                part = b.slice(at, _ROWS)
+                out: list[list] = [[], [], [], []]
+                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    hashes = shingle_hashes(text, shingle)
+                    n = len(hashes)
+                    if n:
+                        order = np.lexsort((hashes, handle.value[_bucket(hashes)]))[: n - math.ceil(share * n - 1e-9) + 1]
+                        for column, x in zip(out, (hashes[order].view(np.int64), np.full(len(order), key), np.full(len(order), n, dtype=np.int32), np.arange(len(order), dtype=np.int32))):
+                            column.append(x)
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["shingle", "key", "n", "pos"])
+
+    return docs.select("key", "text").mapInArrow(run, "shingle long, key long, n int, pos int")
 
 
 def edited_copies(docs: DataFrame, shingle: int = 5, share: float = 0.8) -> DataFrame:
-    """(key): documents of docs (key, doc_id, text; distinct keys) that are edited copies of one with a smaller doc_id (null last).
+    """(key): documents of docs (key, doc_id, text; distinct keys) that are edited copies of one with a smaller doc_id (null last, ties by key).
 
     Two documents are copies if the Jaccard similarity of their word shingles
     (compared by 64-bit hashes) is at least ``share``. No two of the other
     documents are, and each one listed has a copy with a smaller doc_id.
-    In rounds, every shingle names up to ``LEADERS`` of its documents, and the
-    rest are compared with them; found copies and the leaders leave the
-    shingle, until no shingle has two documents. So a large group of copies
-    costs rows in proportion to its size. Texts without a word aren't listed.
+    Candidates share a shingle that is rare enough: prefix filtering, in which
+    the smaller one of a pair holds it among its first (1 - share)/(1 + share)
+    shingles. Only such documents (the shingle's index) are compared with the
+    others, in rounds: every shingle names up to ``LEADERS`` of its index; found
+    copies and the leaders leave the shingle, until no index is left. So a
+    large group of copies costs rows in proportion to its size, and a common
+    line none. Candidates are verified on their whole texts. Texts without a
+    word aren't listed. docs is read in every round: give a written table.
     """
-    sets = written(_sets(docs, shingle), "sets")
-    rest = written(_prefixes(sets, share), "prefixes")
-    gone = written(sets.select("key").filter("false"), "gone")
+    least = share / (1 + share)
+    prefixes = written(_prefixes(docs, _frequencies(docs, shingle), shingle, share), "prefixes")
+    index = (F.col("n") - F.col("pos")) + 1e-6 >= 2 * least * F.col("n")
+    live = written(prefixes.groupBy("shingle").agg(F.count("*").alias("c"), F.max(index).alias("index")).filter("c > 1 and index").select("shingle"), "live")
+    rest = written(prefixes.join(live, "shingle").select("shingle", F.struct("key", "n", "pos").alias("doc"), index.alias("index")), "rest")
+    dropped(prefixes, live)
+    gone = written(docs.select("key").filter("false"), "gone")
     turn = 0
-    while rest.head(1):
-        salted = rest.groupBy("shingle", F.pmod(F.xxhash64("doc.key", F.lit(turn)), F.lit(LEADERS)).alias("salt")).agg(F.min("doc").alias("doc"), F.count("*").alias("c"))
-        leaders = written(salted.groupBy("shingle").agg(F.collect_list("doc").alias("leaders"), F.sum("c").alias("c")).filter("c > 1"), "leaders")
+    while rest.filter("index").head(1):
+        salt = F.pmod(F.xxhash64("doc.key", F.lit(turn)), F.lit(LEADERS))
+        leaders = written(rest.filter("index").groupBy("shingle", salt.alias("salt")).agg(F.min("doc").alias("doc")).groupBy("shingle").agg(F.collect_list("doc").alias("leaders")), "leaders")
         met = rest.join(leaders, "shingle").select("doc", F.explode("leaders").alias("other")).filter("doc.key <> other.key")
         n, m = F.col("doc.n"), F.col("other.n")
         # The first shingle that two copies have in common leaves room for the overlap they need.
-        room = 1 + F.least(n - F.col("doc.pos"), m - F.col("other.pos")) - 1
-        met = met.filter((room + 1e-6 >= share / (1 + share) * (n + m)) & (F.least(n, m) + 1e-6 >= share * F.greatest(n, m)))
-        first = F.col("doc.rank") < F.col("other.rank")
-        pairs = met.select(F.when(first, F.col("doc.key")).otherwise(F.col("other.key")).alias("u"), F.when(first, F.col("other.key")).otherwise(F.col("doc.key")).alias("v"))
-        pairs = written(pairs.distinct(), "pairs")
-        one, two = (sets.select(F.col("key").alias(k), F.col("shingles").alias(f"s{k}")) for k in "uv")
-        both = pairs.join(one, "u").join(two, "v").select("v", F.size("su").alias("n"), F.size("sv").alias("m"), F.size(F.array_intersect("su", "sv")).alias("common"))
-        found = written(both.filter(F.col("common") / (F.col("n") + F.col("m") - F.col("common")) >= share).select(F.col("v").alias("key")).distinct(), "copies")
+        met = met.filter((F.least(n - F.col("doc.pos"), m - F.col("other.pos")) + 1e-6 >= least * (n + m)) & (F.least(n, m) + 1e-6 >= share * F.greatest(n, m)))
+        pairs = written(met.select(F.least("doc.key", "other.key").alias("u"), F.greatest("doc.key", "other.key").alias("v")).distinct(), "pairs")
+        asked = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
+        sets = written(_shingled(docs.join(asked, "key", "left_semi"), shingle).withColumn("rank", F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")), "sets")
+        one, two = (sets.select(F.col("key").alias(k), F.col("shingles").alias(f"s{k}"), F.col("rank").alias(f"r{k}")) for k in "uv")
+        both = pairs.join(one, "u").join(two, "v").select(F.greatest("ru", "rv")["key"].alias("key"), F.size("su").alias("n"), F.size("sv").alias("m"), F.size(F.array_intersect("su", "sv")).alias("common"))
+        found = written(both.filter(F.col("common") / (F.col("n") + F.col("m") - F.col("common")) >= share).select("key").distinct(), "copies")
         gone = written(gone.unionByName(found).distinct(), "gone")
-        left = rest.join(leaders.filter(F.col("c") > F.size("leaders")), "shingle").filter(~F.exists("leaders", lambda x: x["key"] == F.col("doc.key"))).select("shingle", "doc")
-        rest = written(left.join(found, F.col("doc.key") == found["key"], "left_anti"), "prefixes")
+        led = rest.join(leaders, "shingle").filter(~F.exists("leaders", lambda x: x["key"] == F.col("doc.key"))).select("shingle", "doc", "index")
+        before, rest = rest, written(led.join(found, F.col("doc.key") == found["key"], "left_anti"), "rest")
+        dropped(before, leaders, pairs, sets)
         turn += 1
     return gone
