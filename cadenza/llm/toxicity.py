@@ -12,10 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm._shared import written
+from cadenza.llm._shared import dropped, lean, written
 
 #: About so many labelled rows, chosen by hash of doc_id, fit the models; so many words, those most related to a category's label, are tried as its inputs.
 SAMPLE, VOCABULARY = 20_000, 4096
+#: Words a model keeps at most; a bound of the fit, as its last step solves a dense system.
+CHOSEN = 512
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -43,12 +45,13 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit_logistic(words: list[np.ndarray], dense: np.ndarray, y: np.ndarray, size: int, tried: int, rounds: int = 150) -> tuple[np.ndarray, np.ndarray, float]:
+def fit_logistic(words: list[np.ndarray], dense: np.ndarray, y: np.ndarray, size: int, tried: int, most_chosen: int = CHOSEN, rounds: int = 150) -> tuple[np.ndarray, np.ndarray, float]:
     """(word weights, weights of the dense inputs, intercept).
 
     First an L1-penalised fit by accelerated proximal gradient chooses words;
     its penalty is the universal threshold for ``tried`` chance words. Then a
-    ridge fit by Newton steps on the chosen words and the dense inputs.
+    ridge fit by Newton steps on the dense inputs and the chosen words, of which
+    the ``most_chosen`` with the greatest weights are taken.
     """
     n, share = len(y), y.mean()
     row = np.repeat(np.arange(n), [len(x) for x in words])
@@ -72,7 +75,7 @@ def fit_logistic(words: list[np.ndarray], dense: np.ndarray, y: np.ndarray, size
         w, base, momentum = new, new_base, later
         if change < 1e-5:
             break
-    chosen = np.argsort(-np.abs(w), kind="stable")[: min(512, int((w != 0).sum()))]
+    chosen = np.argsort(-np.abs(w), kind="stable")[: min(most_chosen, int((w != 0).sum()))]
     place = np.full(size, -1)
     place[chosen] = np.arange(len(chosen))
     x = np.zeros((n, len(chosen) + dense.shape[1] + 1))
@@ -106,42 +109,66 @@ class Link:
         return 1 / (1 + math.exp(-max(-35.0, min(35.0, z))))
 
 
-def _links(rows: DataFrame, category: str, before: list[str], folds: int, vocabulary: int) -> list[Link]:
-    """The category's models: one without each fold, then one from all rows (id, words, fold, labels, p_<before>)."""
+def vocabularies(rows: DataFrame, category: str, folds: int, most: int) -> list[tuple[int, int, int, list[str]]]:
+    """For every model, without fold 0, 1, ... and then from all rows: (rows, positive rows, words tried, its words).
+
+    A model's words are counted over its own rows alone, so that a fold's texts
+    and labels have no part in the model that scores it. Its words are the
+    ``most`` that are most related to the label, of those in two rows or more.
+    """
+    exploded = rows.select("fold", category, F.explode("words").alias("word"))
+    part = lambda c, m: F.sum(F.when(F.col("fold") != m, c).otherwise(0))
+    own = [x for m in range(folds + 1) for x in (part(F.lit(1), m).alias(f"n{m}"), part(F.col(category), m).alias(f"hit{m}"))]
+    counts = written(exploded.groupBy("word").agg(*own), "vocabulary")
+    sizes = rows.agg(*own).first()
+    out = []
+    for m in range(folds + 1):
+        n, positive = sizes[f"n{m}"] or 0, sizes[f"hit{m}"] or 0
+        c, hit = F.col(f"n{m}"), F.col(f"hit{m}")
+        known = counts.filter(c > 1)
+        if positive in (0, n):
+            out.append((n, positive, 0, []))
+            continue
+        related = F.abs(hit - c * (positive / n)) / F.sqrt(c * (1 - c / (n + 1.0)))
+        out.append((n, positive, known.count(), [r["word"] for r in known.orderBy(related.desc(), "word").limit(most).collect()]))
+    dropped(counts)
+    return out
+
+
+def _links(rows: DataFrame, category: str, before: list[str], folds: int, vocabulary: int, most_chosen: int) -> list[Link]:
+    """The category's models: one without each fold, then one from all rows (id, words, fold, labels, p_<before>).
+
+    A model whose rows all have one label is a constant: 1 or 0; without any row it is 0.
+    """
     rows = rows.filter(F.col(category).isNotNull())
-    n, positive = rows.agg(F.count("*"), F.sum(category)).first()
-    if not n or positive in (0, n):
-        return [Link(category, {}, [0.0] * len(before), 35.0 if n and positive else -35.0)] * (folds + 1)
-    share = positive / n
-    counts = rows.select(F.explode("words").alias("word"), category).groupBy("word").agg(F.count("*").alias("n"), F.sum(category).alias("hit")).filter("n > 1")
-    related = F.abs(F.col("hit") - F.col("n") * share) / F.sqrt(F.col("n") * (1 - F.col("n") / (n + 1.0)))
-    tried = counts.count()
-    best = [r["word"] for r in counts.orderBy(related.desc(), "word").limit(vocabulary).collect()]
-    handle = rows.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(best)})
-    size, inputs = len(best), [f"p_{c}" for c in before]
-    models = F.filter(F.sequence(F.lit(0), F.lit(folds)), lambda m: m != F.col("fold"))
-
-    @F.pandas_udf("array<int>")
+    known = vocabularies(rows, category, folds, vocabulary)
+    made = {m: Link(category, {}, [0.0] * len(before), 35.0 if n and n == positive else -35.0) for m, (n, positive, _, _) in enumerate(known) if positive in (0, n)}
+    handle = rows.sparkSession.sparkContext.broadcast([{w: i for i, w in enumerate(best)} for *_, best in known])
+    inputs = [f"p_{c}" for c in before]
+
+    @F.pandas_udf("array<array<int>>")
     def places(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in words:
-            yield part.map(lambda ws: [handle.value[w] for w in ws if w in handle.value])
+            yield part.map(lambda ws: [[own[w] for w in ws if w in own] for own in handle.value])
 
-    dealt = rows.select("id", places("words").alias("places"), F.col(category).alias("y"), F.array(*inputs).cast("array<double>").alias("dense"), F.explode(models).alias("model"))
+    dealt = rows.select("id", "fold", F.col(category).alias("y"), F.array(*inputs).cast("array<double>").alias("dense"), F.posexplode(places("words")).alias("model", "places"))
+    dealt = dealt.filter((F.col("model") != F.col("fold")) & ~F.col("model").isin(list(made)) if made else F.col("model") != F.col("fold"))
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("id")
-        y = part["y"].to_numpy(dtype=float)
-        if y.min() == y.max():
-            return pd.DataFrame({"model": part["model"].iloc[:1], "weights": [[]], "before": [[0.0] * len(before)], "intercept": [35.0 if y[0] else -35.0]})
-        weights, own, intercept = fit_logistic(list(part["places"]), np.array(part["dense"].tolist(), dtype=float).reshape(len(y), -1), y, size, tried)
-        return pd.DataFrame({"model": part["model"].iloc[:1], "weights": [weights.tolist()], "before": [own.tolist()], "intercept": [intercept]})
+        with lean():
+            part = part.sort_values("id")
+            _, _, tried, best = known[int(part["model"].iloc[0])]
+            y = part["y"].to_numpy(dtype=float)
+            dense = np.array(part["dense"].tolist(), dtype=float).reshape(len(y), -1)
+            weights, own, intercept = fit_logistic(list(part["places"]), dense, y, len(best), tried, most_chosen)
+            return pd.DataFrame({"model": part["model"].iloc[:1], "weights": [weights.tolist()], "before": [own.tolist()], "intercept": [intercept]})
 
     found = dealt.groupBy("model").applyInPandas(fit, "model int, weights array<double>, before array<double>, intercept double").collect()
-    made = {r["model"]: Link(category, {w: x for w, x in zip(best, r["weights"]) if x}, list(r["before"]), r["intercept"]) for r in found}
-    return [made.get(m, made[folds] if folds in made else next(iter(made.values()))) for m in range(folds + 1)]
+    made |= {r["model"]: Link(category, {w: x for w, x in zip(known[r["model"]][3], r["weights"]) if x}, list(r["before"]), r["intercept"]) for r in found}
+    return [made[m] for m in range(folds + 1)]
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], folds: int = 3, sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> list[Link]:
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], folds: int = 3, sample: int = SAMPLE, vocabulary: int = VOCABULARY, most_chosen: int = CHOSEN) -> list[Link]:
     """The models of the categories, in their order.
 
     labels: doc_id and a 0/1 column for each category. Of several rows for one
@@ -149,8 +176,10 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], folds:
     that category only. About ``sample`` labelled documents, chosen by hash of
     doc_id, are used (all, if there are fewer). A later model learns from
     probabilities that the earlier ones gave out of fold: each of ``folds``
-    parts is scored by models that did not see it. A category with a single
-    label value is a constant; without any label it is 0.
+    parts is scored by models that saw neither its texts nor its labels. A
+    model tries the ``vocabulary`` words most related to its label and keeps at
+    most ``most_chosen`` of them. A category with a single label value is a
+    constant; without any label it is 0.
     """
     labels = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(*[F.max(c).cast("int").alias(c) for c in categories])
     n = max(1, labels.count())
@@ -161,7 +190,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], folds:
     rows = written(own.join(F.broadcast(chosen), "id").withColumn("fold", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(folds))), "labelled")
     chain: list[Link] = []
     for i, category in enumerate(categories):
-        links = _links(rows, category, categories[:i], folds, vocabulary)
+        links = _links(rows, category, categories[:i], folds, vocabulary, most_chosen)
         chain.append(links[-1])
         if i + 1 < len(categories):
             before = F.array(*[f"p_{c}" for c in categories[:i]]).cast("array<double>")
@@ -206,6 +235,7 @@ def score(docs: DataFrame, chain: list[Link], threshold: float = 0.5) -> DataFra
 
 
 def op1_toxicity(spark, sf_dir):
+    """The toxicity of every document; edge cases as in ``fit_chain`` and ``score``."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     chain = fit_chain(docs, labels, ["quality", "toxic"])
     return score(docs.select("doc_id", "text"), chain).drop("text")

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -184,10 +185,40 @@ def test_toxicity_finds_held_out_documents(spark):
     assert sum(found[i]["toxic"] == (i % 4 == 0) for i in range(400, 600)) >= 195
     assert not found[600]["toxic"] and not found[601]["toxic"] and found[600]["lang"] == "en"
     assert toxicity.score(docs(spark, texts).filter("false"), chain).count() == 0
+    clash = spark.createDataFrame([(1, "idiot " * 50_000, 7.0, "x")] * 2, "doc_id long, text string, p_quality double, toxic string")
+    assert [r["toxic"] for r in toxicity.score(clash, chain).collect()] == [True, True]
+    p = toxicity.score(clash, chain).first()["p_toxic"]
+    assert toxicity.score(clash, chain, p).first()["toxic"] and not toxicity.score(clash, chain, p + 1e-9).first()["toxic"]  # a tie reaches the threshold
     none = toxicity.fit_chain(docs(spark, texts), table.filter("false"), ["quality", "toxic"])
     assert {r["toxic"] for r in toxicity.score(docs(spark, texts[:3]), none).collect()} == {False}
 
 
+def test_out_of_fold_models_do_not_see_their_fold(spark):
+    """Each fold's model, refit by hand from the other folds' rows alone; a word of one fold's positives is no input of its model."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(240):
+        fold, y = i % 3, int(rng.random() < 0.4)
+        words = {rng.choice("abcdefghij") for _ in range(5)} | ({f"only{fold}"} if y else set()) | ({"bad"} if y and rng.random() < 0.9 else set())
+        rows.append((i, sorted(words), fold, y, rng.random()))
+    df = spark.createDataFrame(rows, "id long, words array<string>, fold int, toxic int, p_quality double")
+    links = toxicity._links(df, "toxic", ["quality"], 3, 50, 512)
+    for m in range(4):
+        own = [r for r in rows if r[2] != m]
+        share = sum(r[3] for r in own) / len(own)
+        n, hit = Counter(w for r in own for w in r[1]), Counter(w for r in own if r[3] for w in r[1])
+        related = lambda w: abs(hit[w] - n[w] * share) / (n[w] * (1 - n[w] / (len(own) + 1.0))) ** 0.5  # noqa: E731, B023
+        best = sorted((w for w in n if n[w] > 1), key=lambda w: (-related(w), w))  # noqa: B023
+        assert m == 3 or f"only{m}" not in best
+        place = {w: i for i, w in enumerate(best)}
+        weights, before, base = toxicity.fit_logistic([np.array([place[w] for w in r[1] if w in place]) for r in own], np.array([[r[4]] for r in own]), np.array([float(r[3]) for r in own]), len(best), len(best))
+        expected = {w: x for w, x in zip(best, weights) if x}
+        assert links[m].weights == pytest.approx(expected, abs=1e-6) and expected
+        assert links[m].before == pytest.approx(list(before), abs=1e-6) and links[m].intercept == pytest.approx(base, abs=1e-6)
+    constant = toxicity._links(df.filter("fold = 1 or toxic = 1"), "toxic", [], 3, 50, 512)
+    assert constant[1].weights == {} and constant[1].intercept == 35.0 and constant[3].weights
+
+
 def test_language_id_on_held_out_documents(spark):
     rows = language_id.op8_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in rows if r["held_out"]]
