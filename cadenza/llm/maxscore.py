@@ -43,7 +43,7 @@ class Postings:
         beat = np.partition(first, len(first) - k)[len(first) - k] if len(first) >= k else -np.inf
         # Essential terms: without one of them, an item can't reach the score to beat.
         essential = int(np.searchsorted(-rest, -beat, side="left")) if beat > -np.inf else len(terms)
-        essential = max(essential, min(len(terms), 8))
+        essential = min(len(terms), max(essential, 8))
         scores = query[terms[:essential]] @ self.lists[terms[:essential]] if essential else np.zeros(self.n, dtype=self.lists.dtype)
         alive = np.flatnonzero((scores + rest[essential] >= beat) & ~barred)
         scores = scores[alive]
@@ -66,34 +66,48 @@ class Postings:
 
 
 def quantised(vector: Column, scale: int) -> Column:
-    """floor(scale * x) of every component as a double; null for vectors that are null or hold null or non-finite components."""
+    """floor(scale * x) of every component as a double, as a long; null for vectors that are null or hold null or non-finite components.
+
+    Components beyond the longs are cut to the greatest or least one, which
+    ``top_k`` refuses.
+    """
     doubles = F.transform(vector, lambda x: x.cast("double"))
     sound = ~F.exists(doubles, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(sound, F.transform(doubles, lambda x: F.floor(x * F.lit(float(scale))).cast("long")))
+    whole = lambda x: F.least(F.greatest(F.floor(x * F.lit(float(scale))).cast("double"), F.lit(-9.2e18)), F.lit(9.2e18)).cast("long")
+    return F.when(sound, F.transform(doubles, whole))
 
 
-def top_k(items: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 8192, block_rows: int = 1024) -> DataFrame:
+def top_k(items: DataFrame, queries: DataFrame, k: int = 5, block_mb: int = 32) -> DataFrame:
     """(query_id, rank int, id, score long): the k items with the greatest inner product for every query.
 
     items: id long, vector array<long>; queries: query_id long, vector
     array<long>. Items with a query's id are its own and not candidates. Ties
     go to the smaller id; shorter vectors count as padded with zeros. Rows with
-    a null id or vector take no part; repeated rows of an id are one item if
-    their vectors are equal (else each counts). With no other item a query has
-    no rows. Other columns are ignored.
-
-    Items are dealt by hash over shards of about ``shard_rows``, queries over
-    blocks of about ``block_rows``; each pair of a shard and a block is one
-    task of bounded size, whose best k a query are merged at the end.
+    a null id or vector take no part. Every row counts: an item given twice can
+    be found twice, and the rows of one query_id share its k places. With no
+    other item a query has no rows. Other columns are ignored. If a score could
+    pass the range of a long, a ValueError is raised.
+
+    Items are dealt by hash over shards, queries over blocks, each of at most
+    about ``block_mb`` MB (small tables: so many shards that all cores work);
+    each pair of a shard and a block is one task, whose best k a query are
+    merged at the end. So an item is copied once for every block of queries
+    (for 64 components, of 65,536), a query once for every shard.
     """
-    items = items.select(F.col("id").cast("long").alias("id"), "vector").filter("id is not null and vector is not null").distinct()
-    queries = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").filter("query_id is not null and vector is not null").distinct()
-    n, width, m = items.agg(F.count("*"), F.max(F.size("vector")), F.count("*")).first()
-    asked, longest, largest = queries.agg(F.count("*"), F.max(F.size("vector")), F.max(F.array_max(F.transform("vector", lambda x: F.abs(x))))).first()
-    width, largest = max(1, width or 0, longest or 0), max(1, largest or 0)
-    shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(asked / block_rows))
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64("id", "vector"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    posed = queries.withColumn("block", F.pmod(F.xxhash64("query_id", "vector"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    items = items.select(F.col("id").cast("long").alias("id"), "vector").filter("id is not null and vector is not null")
+    queries = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").filter("query_id is not null and vector is not null")
+    size = F.aggregate("vector", F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x.cast("double"))))
+    n, width, greatest = items.agg(F.count("*"), F.max(F.size("vector")), F.max(size)).first()
+    asked, longest, largest = queries.agg(F.count("*"), F.max(F.size("vector")), F.max(size)).first()
+    width, largest = max(1, width or 0, longest or 0), max(1, int(largest or 0))
+    if (greatest or 0) * largest * width >= 2.0**63:
+        raise ValueError("scores could pass the range of 64 bits: scale the vectors down")
+    most = max(1, (block_mb << 20) // (8 * width))
+    cores = items.sparkSession.sparkContext.defaultParallelism
+    shards, blocks = max(1, math.ceil(n / most), min(2 * cores, math.ceil(n / 4096))), max(1, math.ceil(asked / most))
+    # A row's place in its task takes part in the hash, so that repeated rows are spread too.
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("id", "vector", F.monotonically_increasing_id()), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    posed = queries.withColumn("block", F.pmod(F.xxhash64("query_id", "vector", F.monotonically_increasing_id()), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
 
     def run(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -115,6 +129,7 @@ def top_k(items: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 81
 
 
 def op5_exact_top_k(spark, sf_dir):
+    """The 5 nearest vectors of every 50th vector; edge cases as in ``quantised`` and ``top_k``."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), quantised(F.col("embedding"), 256).alias("vector"))
     queries = vectors.filter("id % 50 = 0").withColumnRenamed("id", "query_id")
     return top_k(vectors, queries, 5).withColumnRenamed("id", "vec_id")
