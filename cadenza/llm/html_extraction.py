@@ -32,8 +32,13 @@ CLOSES = {
 }
 #: Columns are padded to their widest line of at most so many characters, so that one long cell doesn't widen every row.
 PAD = 80
+#: Levels of lists and quotations that are indented; deeper ones stand below the last.
+LEVELS = 50
 _SPACES = re.compile(r"[ \t\n\f\r]+")
-_STYLE = re.compile(r"\b(display|visibility)\s*:\s*([a-z-]+)")
+_STYLE = re.compile(r"(?<![\w-])(display|visibility)\s*:\s*([a-z-]+)")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.S)
+_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+_SELECTOR = re.compile(r"(\*|[a-z][a-z0-9]*)?((?:[.#][\w-]+)*)", re.I)
 
 
 class Node:
@@ -44,40 +49,58 @@ class Node:
 
 
 class Tree(HTMLParser):
-    """Builds the element tree; start and end tags that HTML lets authors leave out are implied."""
+    """Builds the element tree; start and end tags that HTML lets authors leave out are implied.
+
+    The places of the open elements are kept by name, so that no tag walks the
+    whole stack: time is linear in the page, however deep it nests.
+    """
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
-        self.open = [self.root]
+        self.open: list[Node] = []
+        self.places: dict[str, list[int]] = {}
+        self.styles: list[str] = []
+        self._enter(self.root)
         self.feed(html)
         self.close()
 
+    def _enter(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.open))
+        self.open.append(node)
+
+    def _cut(self, at: int) -> None:
+        """Closes the open elements from place ``at`` on."""
+        for node in reversed(self.open[at:]):
+            self.places[node.tag].pop()
+        del self.open[at:]
+
+    def _innermost(self, names: set[str]) -> int:
+        """The place of the innermost open element among names, but for the root; -1 if there is none."""
+        return max((p[-1] for n in names if (p := self.places.get(n)) and p[-1] > 0), default=-1)
+
     def _pop_to(self, names: set[str], scope: set[str]) -> bool:
         """Closes the innermost open element among names, if it is open inside the scope."""
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in names:
-                del self.open[i:]
-                return True
-            if self.open[i].tag in scope:
-                return False
-        return False
+        at = self._innermost(names)
+        if at < 0 or at < self._innermost(scope - names):
+            return False
+        self._cut(at)
+        return True
 
     def _pop_until(self, names: set[str]) -> bool:
         """Closes what is open inside the innermost element among names."""
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in names:
-                del self.open[i + 1 :]
-                return True
-        return False
+        at = self._innermost(names)
+        if at < 0:
+            return False
+        self._cut(at + 1)
+        return True
 
     def _add(self, child: Node | str) -> None:
         """Appends where the parser stands; what can't stand between a table's parts goes before the table."""
         parent = self.open[-1]
         part = isinstance(child, Node) and (child.tag in TABLE_PARTS or child.tag in HEAD)
         if parent.tag in SECTIONS | {"table", "tr"} and not part:
-            at = max(i for i, n in enumerate(self.open) if n.tag == "table")
-            outer = self.open[at - 1].children
+            outer = self.open[self.places["table"][-1] - 1].children
             outer.insert(len(outer) - 1, child)
         else:
             parent.children.append(child)
@@ -86,21 +109,20 @@ class Tree(HTMLParser):
         node = Node(tag, attrs)
         self._add(node)
         if tag not in VOID:
-            self.open.append(node)
+            self._enter(node)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         own = dict(reversed(attrs))
         if tag == "html":
             return
         if tag in ("head", "body"):
-            if any(n.tag == "body" for n in self.open):
+            if self.places.get("body"):
                 return
             self._pop_to({"head"}, set())
         elif tag not in HEAD:
             self._pop_to({"head"}, set())
         if tag in TABLE_PARTS:
-            table = any(n.tag == "table" for n in self.open)
-            if not table:
+            if not self.places.get("table"):
                 return
             if tag in CELLS:
                 self._pop_until({"tr", "table"} | SECTIONS)
@@ -119,7 +141,7 @@ class Tree(HTMLParser):
         if tag in BLOCK and tag not in TABLE_PARTS:
             self._pop_to({"p"}, {"button", "table", "td", "th", "caption"})
         if tag in HEADINGS and self.open[-1].tag in HEADINGS:
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         self._push(tag, own)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -140,10 +162,12 @@ class Tree(HTMLParser):
             self._add(Node("p", {}))
 
     def handle_data(self, data: str) -> None:
+        if self.open[-1].tag == "style":
+            self.styles.append(data)
         if self.open[-1].tag == "head":
             if not data.strip():
                 return
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         if data.strip(" \t\n\f\r") or self.open[-1].tag not in SECTIONS | {"table", "tr", "colgroup"}:
             self._add(data)
 
@@ -151,7 +175,8 @@ class Tree(HTMLParser):
 class Box:
     """Lines of text under construction."""
 
-    def __init__(self) -> None:
+    def __init__(self, levels: int) -> None:
+        self.levels = levels
         self.lines: list[str] = []
         self.line: list[str] = []
         self.gap = self.space = False
@@ -177,9 +202,9 @@ class Box:
             self.space = not words[-1]
 
     def _lead(self) -> str:
-        lead = "".join(self.indents)
+        lead = "".join(self.indents[: self.levels])
         if self.marker:
-            lead = lead[: len(lead) - len(self.marker)] + self.marker
+            lead = lead[: len(lead) - len(self.marker)] + self.marker if len(self.indents) <= self.levels else lead + self.marker
             self.marker = ""
         return lead
 
@@ -208,7 +233,7 @@ class Table:
     def __init__(self) -> None:
         self.rows: list[list[tuple[int, int, list[str]]]] = []
 
-    def lines(self) -> list[str]:
+    def lines(self, pad: int) -> list[str]:
         placed, busy = [], {}
         for cells in self.rows:
             row, at = [], 0
@@ -226,13 +251,15 @@ class Table:
         for row in placed:
             for at, across, lines in row:
                 if across == 1:
-                    width[at] = max([width.get(at, 0), *(len(x) for x in lines if len(x) <= PAD)])
-        out = []
+                    width[at] = max([width.get(at, 0), *(len(x) for x in lines if len(x) <= pad)])
+        ends, out = [0], []
+        for c in range(min(1000, max(width, default=-1) + 1)):
+            ends.append(ends[-1] + width.get(c, 0) + 2)
         for row in placed:
             for i in range(max([1, *(len(lines) for _, _, lines in row)]) if row else 0):
                 text = ""
                 for at, _, lines in row:
-                    left = sum(width.get(c, 0) + 2 for c in range(at)) if at < 1000 else len(text)
+                    left = ends[at] if at < len(ends) else ends[-1] + 2 * (at - len(ends) + 1) if at < 1000 else len(text)
                     if i < len(lines) and lines[i]:
                         text = text.ljust(left) if len(text) <= left else f"{text}  "
                         text += lines[i]
@@ -245,16 +272,60 @@ def _number(node: Node, name: str, most: int) -> int:
     return min(most, max(1, int(value))) if value.isdecimal() and len(value) < 9 else 1
 
 
-def _hidden(node: Node, hidden: bool) -> tuple[bool, bool]:
+class Styles:
+    """Rules of a page's style elements that set display or visibility.
+
+    Selectors of one element are honoured: a tag, classes and an id, alone or
+    together (``p``, ``.a``, ``#x``, ``p.a.b``), also in lists. Others
+    (descendants, attributes, pseudo-classes) and at-rules are passed over.
+    """
+
+    def __init__(self, texts: list[str]):
+        self.rules: dict[str, list[tuple]] = {}
+        css, depth, start, flat = _COMMENT.sub("", "\n".join(texts)), 0, 0, []
+        if "@" in css:  # at-rules go, with their blocks
+            for m in re.finditer(r"@[^{};]*[;{]|[{}]", css):
+                if depth == 0 and m[0][0] == "@":
+                    flat.append(css[start : m.start()])
+                    start, depth = m.end(), int(m[0][-1] == "{")
+                elif depth:
+                    depth += {"{": 1, "}": -1}.get(m[0][-1], 0)
+                    start = m.end()
+            css = "".join([*flat, css[start:] if not depth else ""])
+        for at, (selectors, body) in enumerate(_RULE.findall(css)):
+            found = dict(_STYLE.findall(body.lower()))
+            for one in selectors.split(",") if found else ():
+                m = _SELECTOR.fullmatch(one.strip())
+                if not m or not m[0]:
+                    continue
+                tag = (m[1] or "*").lower()
+                marks = re.findall(r"[.#][\w-]+", m[2])
+                weight = (sum(x[0] == "#" for x in marks), sum(x[0] == "." for x in marks), tag != "*", at)
+                # Filed under its rarest part, so that an element looks at few rules.
+                key = next((x for x in marks if x[0] == "#"), next(iter(marks), tag))
+                self.rules.setdefault(key, []).append((weight, tag, set(marks), found))
+
+    def of(self, node: Node) -> list[tuple[str, str]]:
+        """(property, value) for an element, the weightiest last: rules, then its own style."""
+        out = []
+        if self.rules:
+            marks = {f".{c}" for c in (node.attrs.get("class") or "").split()} | ({f"#{node.attrs['id']}"} if node.attrs.get("id") else set())
+            fit = [r for key in (*marks, node.tag, "*") for r in self.rules.get(key, ()) if r[1] in ("*", node.tag) and r[2] <= marks]
+            out = [x for r in sorted(fit, key=lambda r: r[0]) for x in r[3].items()]
+        return out + _STYLE.findall((node.attrs.get("style") or "").lower())
+
+
+def _hidden(node: Node, hidden: bool, styles: Styles) -> tuple[bool, bool]:
     """(not rendered at all, text is invisible) for an element inside one whose text is ``hidden``."""
-    if node.tag in UNSEEN or "hidden" in node.attrs or node.tag == "dialog" and "open" not in node.attrs:
+    if node.tag in UNSEEN or node.tag == "dialog" and "open" not in node.attrs:
         return True, hidden
-    for name, value in _STYLE.findall((node.attrs.get("style") or "").lower()):
-        if name == "display" and value == "none":
-            return True, hidden
-        if name == "visibility":
-            hidden = value in ("hidden", "collapse")
-    return False, hidden
+    gone = "hidden" in node.attrs
+    for name, value in styles.of(node):
+        if name == "display":
+            gone = value == "none"
+        else:
+            hidden = hidden if value == "inherit" else value in ("hidden", "collapse")
+    return gone, hidden
 
 
 def _shown_option(select: Node) -> list[Node]:
@@ -269,15 +340,24 @@ def _shown_option(select: Node) -> list[Node]:
     return [n for n in found if "selected" in n.attrs][:1] or found[:1]
 
 
-def render(html: str | None) -> str:
-    """All visible text of a page, with line breaks, blank lines, list markers and aligned table cells as it would be laid out."""
+def render(html: str | None, pad: int = PAD, levels: int = LEVELS) -> str:
+    """All visible text of a page, with line breaks, blank lines, list markers and aligned table cells as it would be laid out.
+
+    Visibility follows element types, the hidden attribute, inline styles and
+    the rules of style elements (see ``Styles``; no linked sheets or scripts).
+    A table's columns are as wide as their widest line of at most ``pad``
+    characters: longer lines push what follows in their row, but lose nothing.
+    ``levels`` of lists and quotations are indented. Null or empty: ''.
+    """
     if not html:
         return ""
-    boxes: list[Box] = [Box()]
+    tree = Tree(html)
+    styles = Styles(tree.styles)
+    boxes: list[Box] = [Box(levels)]
     tables: list[Table] = []
     lists: list[list] = []
     # (node or text, text is invisible, white space is kept); None for the node: leave the element
-    todo: list[tuple] = [(Tree(html).root, False, False, False)]
+    todo: list[tuple] = [(tree.root, False, False, False)]
     while todo:
         node, hidden, pre, leave = todo.pop()
         box = boxes[-1]
@@ -293,7 +373,7 @@ def render(html: str | None) -> str:
                 if tables[-1].rows:
                     tables[-1].rows[-1].append((_number(node, "colspan", 1000), _number(node, "rowspan", 65534), lines))
             elif tag == "table":
-                lines = tables.pop().lines()
+                lines = tables.pop().lines(pad)
                 box.whole(lines)
                 box.block(True)
             elif tag in BLOCK:
@@ -304,7 +384,7 @@ def render(html: str | None) -> str:
                 box.indents.pop()
                 box.marker = ""
             continue
-        gone, hidden = _hidden(node, hidden)
+        gone, hidden = _hidden(node, hidden, styles)
         if gone:
             continue
         pre = pre or tag in ("pre", "textarea", "listing")
@@ -321,7 +401,7 @@ def render(html: str | None) -> str:
         elif tag == "details" and "open" not in node.attrs:
             children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
         if tag in CELLS:
-            boxes.append(Box())
+            boxes.append(Box(levels))
         elif tag == "tr" and tables:
             tables[-1].rows.append([])
         elif tag in BLOCK or tag == "table":
@@ -345,8 +425,8 @@ def render(html: str | None) -> str:
     return "\n".join(boxes[0].lines).strip("\n")
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """pages with the column text: everything visible on the whole page.
+def extract(pages: DataFrame, pad: int = PAD) -> DataFrame:
+    """pages with the column text: everything visible on the whole page (see ``render``).
 
     Null or empty html: empty text. Repeated rows and rows with null ids are
     kept; an empty table gives an empty result. A column text of pages is
@@ -356,11 +436,12 @@ def extract(pages: DataFrame) -> DataFrame:
     @F.pandas_udf("string")
     def rendered(htmls: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in htmls:
-            yield part.map(render)
+            yield part.map(lambda html: render(html, pad))
 
     return pages.withColumn("text", rendered(F.coalesce(F.col("html").cast("string"), F.lit(""))))
 
 
 def op7_html_extraction(spark, sf_dir):
+    """The text of every page; edge cases as in ``extract``."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return extract(pages).drop("html")

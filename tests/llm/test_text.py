@@ -3,9 +3,11 @@
 import hashlib
 import itertools
 import random
+import time
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -152,12 +154,13 @@ def test_edited_copies_leave_the_pipeline(spark):
     assert stage(spark, docs(spark, texts).filter("false"), SF).count() == 0
 
 
-def test_top_k_matches_brute_force(spark):
+@pytest.mark.parametrize("block", [32, 0])
+def test_top_k_matches_brute_force(spark, block):
     rng = np.random.default_rng(4)
     rows = [(int(i), [float(x) for x in rng.integers(-2, 3, 12) / 4]) for i in range(300)] + [(300, None), (301, [float("nan")] * 12), (302, [None] * 12)]
     df = spark.createDataFrame(rows, "id long, embedding array<float>")
     items = df.select("id", maxscore.quantised(F.col("embedding"), 256).alias("vector"))
-    found = sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in maxscore.top_k(items, items.filter("id % 20 = 0").withColumnRenamed("id", "query_id"), 5, 40, 7).collect())
+    found = sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in maxscore.top_k(items, items.filter("id % 20 = 0").withColumnRenamed("id", "query_id"), 5, block).collect())
     table = {i: np.floor(256 * np.array(v)).astype(int) for i, v in rows[:300]}
     expected = []
     for q in range(0, 300, 20):
@@ -193,6 +196,24 @@ def test_toxicity_finds_held_out_documents(spark):
     assert {r["toxic"] for r in toxicity.score(docs(spark, texts[:3]), none).collect()} == {False}
 
 
+def test_top_k_of_repeated_short_and_large_vectors(spark, tmp_path):
+    """Against the query's own SQL: repeated rows (also of a query), shorter vectors, infinities; scores beyond 64 bits are refused."""
+    inf = float("inf")
+    rows = [(0, [1.0, 1.0]), (0, [1.0, 1.0]), (1, [2.0, 0.5]), (1, [2.0, 0.5]), (2, [2.0, 0.5]), (3, [inf, 1.0]), (4, [-inf, 1.0]), (5, None), (50, [0.0, 0.0]), (51, [-3.0, 9.0]), (None, [9.0, 9.0])]
+    spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, vector string, score int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    names = ["query_id", "rank", "vec_id", "score"]
+    found = sorted(tuple(r[n] for n in names) for r in maxscore.op5_exact_top_k(spark, str(tmp_path)).collect())
+    assert found == sorted(con.execute(f"SELECT {', '.join(names)} FROM ({maxscore.OP5_SQL})").fetchall()) and len(found) == 10
+    short = spark.createDataFrame([(1, [3]), (2, [1, 1, 7]), (3, [])], "id long, vector array<long>")
+    asked = spark.createDataFrame([(9, [2, 5])], "query_id long, vector array<long>")
+    assert [(r["id"], r["score"]) for r in maxscore.top_k(short, asked).orderBy("rank").collect()] == [(2, 7), (1, 6), (3, 0)]
+    huge = spark.createDataFrame([(1, [1e30, 1.0]), (2, [1.0, 2.0])], "id long, embedding array<double>").select("id", maxscore.quantised(F.col("embedding"), 256).alias("vector"))
+    with pytest.raises(ValueError):
+        maxscore.top_k(huge, huge.withColumnRenamed("id", "query_id"))
+
+
 def test_out_of_fold_models_do_not_see_their_fold(spark):
     """Each fold's model, refit by hand from the other folds' rows alone; a word of one fold's positives is no input of its model."""
     rng = random.Random(9)
@@ -249,12 +270,57 @@ PAGE = """<!doctype html><title>no</title><style>p{}</style><script>"</p>"</scri
 def test_rendering():
     expected = "Head line\n\none\ntwo\n\nthree four\n\n- a\n- b\n  3. x\n  4. y\n\nyes\n\nName       N\nlong name  1\nwide\n\n  a\n   b\n\nq\ns\n<end>"
     found = html_extraction.render(PAGE)
-    assert [x for x in found.split("\n") if x.strip()] == [x for x in expected.split("\n") if x], found
+    assert found == expected, found  # blank lines and columns included
     assert html_extraction.render(None) == html_extraction.render("") == html_extraction.render("<p hidden>x") == ""
     assert html_extraction.render("<div>" * 3000 + "deep") == "deep"
     assert html_extraction.render("<table>out<tr><td>in</table>").split() == ["out", "in"]
 
 
+def test_style_rules():
+    css = "/* .a{display:none} */ .x, p.y {display : none} #z{visibility:hidden} @media print{.m{display:none}} @import 'a'; b{display:none} b.on{display:inline} div p{display:none} .t{xdisplay:none}"
+    page = f"<style>{css}</style><div class='q x'>1</div><p class=y>2<p class=m>3<span class=y>4</span><i id=z>5<u style='visibility:visible'>6</u></i><b>7</b><b class=on>8</b><b style='display:inline'>9</b><div><p>10</div><p class=t>11"
+    assert "".join(html_extraction.render(page).split()) == "346891011"
+
+
+def test_block_spacing():
+    r = html_extraction.render
+    assert r("<p>a</p>\n\n<p>b") == "a\n\nb" and r("<div>a</div><div>b") == "a\nb" and r("a<br><br>b") == "a\n\nb"
+    assert r("<h1>t</h1>x<ul><li>a<ul><li>b</ul><li>c</ul>y") == "t\n\nx\n\n- a\n  - b\n- c\n\ny"
+    assert r("<blockquote>a<p>b</blockquote>c") == "  a\n\n  b\n\nc" and r("<ol><li>a<br>b<li>c</ol>") == "1. a\n   b\n2. c"
+    assert r("a  \n b<span> c</span> <b>d </b> e") == "a b c d e" and r("<pre>a\n\n  b</pre>c") == "a\n\n  b\n\nc"
+
+
+def test_tables_match_a_plain_layout():
+    """Cells without spans, laid out a second time from their texts alone."""
+    rng = random.Random(2)
+    for _ in range(60):
+        cells = [["" if rng.random() < 0.15 else "\n".join("w" * rng.randint(1, 12) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 5))] for _ in range(rng.randint(1, 6))]
+        ends = rng.random() < 0.5
+        html = "<table>" + "".join("<tr>" + "".join(f"<td>{c.replace(chr(10), '<br>')}" + "</td>" * ends for c in row) + "</tr>" * ends for row in cells) + "</table>"
+        pad = rng.choice([6, 80])
+        width = [max([len(x) for row in cells if i < len(row) for x in row[i].split("\n") if len(x) <= pad], default=0) for i in range(5)]
+        out = []
+        for row in cells:
+            for k in range(max(c.count("\n") + 1 for c in row)):
+                line = ""
+                for i, c in enumerate(row):
+                    part = (c.split("\n")[k : k + 1] or [""])[0]
+                    if part:
+                        left = sum(width[:i]) + 2 * i
+                        line = (line.ljust(left) if len(line) <= left else line + "  ") + part
+                out.append(line.rstrip())
+        assert html_extraction.render(html, pad) == "\n".join(out).strip("\n")
+
+
+def test_deep_pages_take_linear_time():
+    began = time.time()
+    for tag in ("div", "b", "p", "li", "span", "ul><li", "blockquote", "x-y"):
+        assert html_extraction.render(f"<{tag}>" * 50_000 + "deep" + f"</{tag.split('>')[0]}>" * 50_000).endswith("deep")
+    assert html_extraction.render("<table><td>" + "<i>" * 50_000 + "deep" + "</u></b></p>" * 50_000).startswith("deep")
+    assert html_extraction.render("<ol>" + "<li>x" * 20_000).count("\n") == 19_999
+    assert time.time() - began < 60
+
+
 def test_extract_keeps_rows(spark):
     df = spark.createDataFrame([(1, "<p>x</p>", "old"), (1, "<p>x</p>", "old"), (None, None, "old")], "page_id long, html string, text string")
     assert sorted((r["page_id"] or 0, r["text"]) for r in html_extraction.extract(df).collect()) == [(0, ""), (1, "x"), (1, "x")]
