@@ -11,7 +11,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm._shared import written
@@ -32,8 +32,8 @@ UNITS = (
 ).split()
 SYMBOLS = "%$€£°"
 _NUMBER, _UNIT, _NAME = (xxhash.xxh64_intdigest(x) for x in ("<number>", "<unit>", "<name>"))
-#: Benchmarks of up to so many template windows are sent to every task (8 bytes a window); larger ones are joined by a shuffle.
-BROADCAST_WINDOWS = 1_000_000
+#: Benchmarks whose template windows, with the values of their slots, take up to so many bytes are sent to every task; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
 @lru_cache(maxsize=1)
@@ -218,7 +218,7 @@ def best_consistent(hits: list[tuple], needed: float) -> int:
     return best
 
 
-def leaks(docs: DataFrame, items: DataFrame, size: int = 5, share: float = 0.8, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, size: int = 5, share: float = 0.8, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(key, doc_id, item_id, item_windows, matched, consistent, share): benchmark items that a document holds, also with other numbers, names or units.
 
     docs: doc_id, text; items: item_id, text. An item's windows of ``size``
@@ -234,14 +234,20 @@ def leaks(docs: DataFrame, items: DataFrame, size: int = 5, share: float = 0.8,
     nothing; rows with a null item_id are left out; a null doc_id is kept;
     repeated rows (of either) are listed once. Only these columns are read.
 
-    Tasks know the item windows' hashes up to ``broadcast_windows``; beyond,
-    documents' windows are joined with them by a shuffle.
+    Pairs of a document and an item begin with the item's rarest windows among
+    all items, so many that no item can be leaked without one of them; a
+    window that many items share (five numbers, say) so makes pairs only for
+    items that hold little else. Tasks know the item windows up to
+    ``broadcast_bytes``; beyond, documents' windows are joined with them by a
+    shuffle.
     """
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     rows = docs.select(F.xxhash64(doc_id, text).alias("key"), doc_id.alias("doc_id"), text.alias("text"))
     asked = items.select(F.col("item_id").cast("long").alias("key"), F.col("text").cast("string").alias("text")).filter("key is not null").distinct()
     known = written(windows(asked, size).select(F.col("key").alias("item_id"), F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots")), "benchmark")
-    small = known.count() <= broadcast_windows
+    held = F.lit(48) + F.aggregate("item_slots", F.lit(0), lambda n, x: n + F.octet_length(x) + 16)
+    small = (known.agg(F.sum(held)).first()[0] or 0) <= broadcast_bytes
+    sent = F.broadcast if small else lambda df: df
     if small:
         hashes = np.array([r["hash"] for r in known.select("hash").distinct().collect()], dtype=np.int64).view(_U)
         hits = windows(rows, size, np.sort(hashes))
@@ -250,11 +256,15 @@ def leaks(docs: DataFrame, items: DataFrame, size: int = 5, share: float = 0.8,
     hits = written(hits.distinct(), "hits")
     # A hash also takes the number of tokens, so a short text's only window equals no full one.
     placed = known.groupBy("item_id", "hash").agg(F.collect_list(F.struct("item_pos", "item_slots")).alias("places"))
-    pairs = hits.join(F.broadcast(placed) if small else placed, "hash")
     total = known.groupBy("item_id").agg(F.countDistinct("hash").alias("item_windows"))
-    matched = pairs.groupBy("key", "item_id").agg(F.countDistinct("hash").alias("matched")).join(F.broadcast(total) if small else total, "item_id")
-    likely = matched.filter(F.col("matched") >= share * F.col("item_windows"))
-    pairs = pairs.join(likely, ["key", "item_id"]).groupBy("key", "item_id", "item_windows", "matched").agg(F.collect_list(F.struct("pos", "hash", "slots", "places")).alias("hits"))
+    spread = known.select("item_id", "hash").distinct().withColumn("n", F.count("*").over(Window.partitionBy("hash")))
+    spread = spread.withColumn("at", F.row_number().over(Window.partitionBy("item_id").orderBy("n", "hash"))).join(total, "item_id")
+    rare = written(spread.filter(F.col("at") <= F.col("item_windows") - F.ceil(share * F.col("item_windows") - 1e-9) + 1).select("item_id", "hash"), "rare")
+    seen = hits.select("key", "hash").distinct()
+    likely = seen.join(sent(rare), "hash").select("key", "item_id").distinct()
+    likely = likely.join(sent(known.select("item_id", "hash").distinct()), "item_id").join(seen, ["key", "hash"]).groupBy("key", "item_id").agg(F.count("*").alias("matched"))
+    likely = written(likely.join(sent(total), "item_id").filter(F.col("matched") >= share * F.col("item_windows")), "likely")
+    pairs = likely.join(sent(placed), "item_id").join(hits, ["key", "hash"]).groupBy("key", "item_id", "item_windows", "matched").agg(F.collect_list(F.struct("pos", "hash", "slots", "places")).alias("hits"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -278,6 +288,7 @@ def clean(docs: DataFrame, items: DataFrame, size: int = 5, share: float = 0.8)
 
 
 def op3_benchmark_decontamination(spark, sf_dir):
+    """Every benchmark item in every document; edge cases as in ``leaks``."""
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return leaks(docs, items).drop("key")
 

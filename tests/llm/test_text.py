@@ -69,8 +69,8 @@ def test_decontamination(spark):
         "three words only", None, "", "nothing of the kind is said in this clean text about apples and the market", "THREE words only!",
     ]
     items = spark.createDataFrame([(1, item, "x"), (2, "three words only", "x"), (3, None, "x"), (None, item, "x"), (1, item, "x")], "item_id long, text string, key string")
-    for bound in (1_000_000, 0):
-        found = sorted((r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs(spark, texts), items, broadcast_windows=bound).collect())
+    for bound in (1 << 26, 0):
+        found = sorted((r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs(spark, texts), items, broadcast_bytes=bound).collect())
         assert found == [(0, 1), (1, 1), (3, 2), (7, 2)]
     assert sorted(r["doc_id"] for r in decontamination.clean(docs(spark, texts), items).collect()) == [2, 4, 5, 6]
     assert decontamination.leaks(docs(spark, texts).filter("false"), items).count() == 0 == decontamination.leaks(docs(spark, texts), items.filter("false")).count()
@@ -90,13 +90,27 @@ def test_copies_with_different_fillings_in_one_text(spark):
     spread = lambda text: text.replace("market", "market (which was, as on any other day of that long and hot summer, quite full of people)")
     texts = [one, two, f"{one} {two}", f"{item} and so on {one}", f"{two}\n{item}\n{one}\n{two}", f"{one} {spread(two)} {item}", f"{one[:60]} {two[60:]}", f"{one[:40]} {two[:40]} {item[:40]}"]
     items = spark.createDataFrame([(1, item)], "item_id long, text string")
-    for bound in (1_000_000, 0):
-        found = {r["doc_id"]: r["consistent"] for r in decontamination.leaks(docs(spark, texts), items, broadcast_windows=bound).collect()}
+    for bound in (1 << 26, 0):
+        found = {r["doc_id"]: r["consistent"] for r in decontamination.leaks(docs(spark, texts), items, broadcast_bytes=bound).collect()}
         assert {d: n for d, n in found.items() if d < 6} == dict.fromkeys(range(6), 17) and 7 not in found
     hits = [(p, p % 40, p % 40, (str(p % 40),), (str(p),)) for p in range(4000)]
     assert decontamination.best_consistent(hits, 32) == 40 and decontamination.best_consistent(hits[:35:2], 32) == 18
 
 
+def test_common_windows_ties_and_long_texts(spark):
+    """Items that share a hot window of five numbers; a tied vote; a text of 60,000 words that holds an item."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("bcdfg") for _ in range(5))
+    items = [f"{' '.join(word() for _ in range(8))} 1 2 3 4 5 6 {' '.join(word() for _ in range(8))}" for _ in range(40)] + ["1 2 3 4 5 6 7", "see x be 5 and 5 then stop"]
+    texts = [f"{word()} 7 8 9 10 11 12 13 {word()}" for _ in range(300)] + [items[3].replace("1 2 3", "9 8 7"), " ".join(word() for _ in range(30_000)) + f" {items[7]} " + " ".join(word() for _ in range(30_000))]
+    texts += ["see x be 6 and 7 then stop", "see x be 7 and 7 then stop"]
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for bound in (1 << 26, 0):
+        found = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs(spark, texts), table, broadcast_bytes=bound).collect()}
+        # All windows of item 40 have one template. The tied vote keeps the windows with the usual value only: too few.
+        assert found == {(i, 40) for i in range(302)} | {(300, 3), (301, 7), (303, 41)}, found
+
+
 def test_simhash_components_match_brute_force(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(6)]
