@@ -10,10 +10,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -256,17 +256,40 @@ def fill(docs: list[np.ndarray], index: Index, length: int) -> Iterator[tuple[in
             sequence += 1
 
 
+def content_keys(tokens: DataFrame, frequency: np.ndarray) -> DataFrame:
+    """tokens with key, three ids by which documents of like content come near each other in order.
+
+    They are the document's ids of the least document frequency, of those in
+    two documents or more; missing ones are -1. Ties go to the smaller id.
+    """
+    handle = tokens.sparkSession.sparkContext.broadcast(frequency)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = []
+            for ids, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                terms = np.unique(_unpacked(ids, n)[:-1])
+                often = handle.value[terms]
+                rare = terms[often > 1][np.argsort(often[often > 1], kind="stable")[:3]].tolist()
+                keys.append([*rare, *[-1] * (3 - len(rare))])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.list_(pa.int32()))], names=["doc_id", "part", "ids", "n", "key"])
+
+    return tokens.select("doc_id", "part", "ids", "n").mapInArrow(run, "doc_id long, part long, ids binary, n long, key array<int>")
+
+
 def pack(docs: DataFrame, vocabulary: str | None = None, length: int = 2048, shard_tokens: int = 400_000) -> DataFrame:
     """(doc_id, start, length, ids binary, doc_tokens, sequence_id, offset): one row per piece of a document.
 
     Whole texts become ids of the vocabulary file plus ``END``; documents are
     cut freely, and every id lies in one piece. ids holds the piece's ids as
-    little-endian unsigned 32-bit numbers. The documents are dealt by hash over
-    shards of about ``shard_tokens`` ids; each shard is an inverted index of
-    its own, scored by BM25 with document frequencies and mean length of the
-    whole corpus. Null text: empty, so END alone. A null doc_id is kept, and
-    repeated rows are packed each on its own. An empty table gives an empty
-    result. Only doc_id and text are read.
+    little-endian unsigned 32-bit numbers. The documents are ordered by content
+    (``content_keys``) over range partitions and cut into shards of about
+    ``shard_tokens`` ids (a longer document is a shard with what came before);
+    each shard is an inverted index of its own, scored by BM25 with document
+    frequencies and mean length of the whole corpus. So a seed's neighbours
+    come from its shard, which like documents share. Null text: empty, so END
+    alone. A null doc_id is kept, and repeated rows are packed each on its own.
+    An empty table gives an empty result. Only doc_id and text are read.
     """
     vocabulary = vocabulary or public_vocabulary()
     size = Tokenizer.from_file(vocabulary).get_vocab_size()
@@ -275,26 +298,38 @@ def pack(docs: DataFrame, vocabulary: str | None = None, length: int = 2048, sha
     frequency = document_frequencies(tokens, size)
     idf = np.log(1 + (n - frequency + 0.5) / (frequency + 0.5))
     mean = (total or 1) / max(1, n)
-    shards = max(1, math.ceil((total or 0) / shard_tokens))
     handle = docs.sparkSession.sparkContext.broadcast(idf)
-    schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "part"], kind="stable")
-        ids = [_unpacked(x, n) for x, n in zip(rows["ids"], rows["n"])]
-        index = Index(ids, handle.value, mean)
-        doc_ids = rows["doc_id"].tolist()
-        out = [
-            (None if pd.isna(doc_ids[d]) else int(doc_ids[d]), start, n, ids[d][start : start + n].astype("<u4").tobytes(), len(ids[d]), (int(key[0]) << 32) + sequence, offset)
-            for d, start, n, sequence, offset in fill(ids, index, length)
-        ]
-        found = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-        return found.astype({"doc_id": "Int64"})
+    def shard(doc_ids: list, ids: list[np.ndarray], begin: int) -> tuple[pa.RecordBatch, int]:
+        found = list(fill(ids, Index(ids, handle.value, mean), length))
+        doc, start, size, sequence, offset = zip(*found)
+        pieces = [ids[d][a : a + n].astype("<u4").tobytes() for d, a, n, _, _ in found]
+        columns = [[doc_ids[d] for d in doc], start, size, pieces, [len(ids[d]) for d in doc], [begin + q for q in sequence], offset]
+        kinds = [pa.binary() if c is pieces else pa.int64() for c in columns]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names), begin + sequence[-1] + 1
 
-    dealt = tokens.withColumn("shard", F.pmod("part", F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin, doc_ids, ids, held = TaskContext.get().partitionId() << 32, [], [], 0
+        for b in batches:
+            for doc_id, x, n in zip(*(b.column(i).to_pylist() for i in range(3))):
+                doc_ids.append(doc_id)
+                ids.append(_unpacked(x, n))
+                held += n
+                if held >= shard_tokens:
+                    out, begin = shard(doc_ids, ids, begin)
+                    yield out
+                    doc_ids, ids, held = [], [], 0
+        if ids:
+            yield shard(doc_ids, ids, begin)[0]
+
+    ranges = max(1, math.ceil((total or 0) / (4 * shard_tokens)))
+    order = [*[F.col("key")[i] for i in range(3)], "part"]
+    dealt = content_keys(tokens, frequency).repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "ids", "n")
+    return dealt.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def op10_packing(spark, sf_dir):
+    """All documents packed; edge cases as in ``pack``."""
     found = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
