@@ -299,7 +299,8 @@ def repeated_starts(docs: DataFrame, unit: type, window: int, anchor: int, resol
     by_seed = found.groupBy("seed").agg(F.count("*").alias("n"), F.min("run").alias("a"), F.max("run").alias("b")).filter("n > 1").select("seed", (F.col("a") != F.col("b")).alias("mixed"))
     # Written, so that the join reads two shuffles (or sends the small side) and adaptive execution can split a hot anchor.
     by_seed = written(by_seed, "anchors")
-    known = written(found.join(by_seed, "seed"), "repeated")
+    # Dealt anew, as the join leaves a hot anchor's rows together.
+    known = written(found.join(by_seed, "seed").repartition("key", "lo"), "repeated")
     dropped(found)
     same = known.filter("not mixed").select("key", "lo", "hi")
     mixed = known.filter("mixed")
@@ -310,7 +311,8 @@ def repeated_starts(docs: DataFrame, unit: type, window: int, anchor: int, resol
     wanted = by_run.join(size, "seed").select("one.*", "seed", (F.col("distinct") > group_limit).alias("large"), (F.col("n") == 1).alias("open"))
     bodies = written(_bodies(docs, wanted, unit, window), "bodies")
     ranges = same.unionByName(settled).unionByName(_resolved(bodies.filter("not large"), unit, window, resolver)).unionByName(_counted(bodies.filter("large"), unit, window))
-    return written(ranges.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("starts")), "starts")
+    # Repeated rows have one key and the same ranges; the set holds each once.
+    return written(ranges.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("starts")), "starts")
 
 
 def covered(n: int, starts: list[dict] | None, window: int) -> np.ndarray:
