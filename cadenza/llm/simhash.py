@@ -108,4 +108,5 @@ def representatives(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
 
 
 def op4_simhash_near_dedup(spark, sf_dir):
+    """Every document's fingerprint and component; edge cases as in ``near_duplicates``."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 2).drop("key")

@@ -14,24 +14,38 @@ from cadenza.llm.repeats import Words, covered, keyed, repeated_starts, spans_of
 PREFIX = 8
 
 
+def internal_nodes(kind: np.ndarray, leaves: np.ndarray) -> list[tuple[int, int, int]]:
+    """(depth, first leaf, last leaf) of the internal nodes of the suffix trees of sorted leaves, one tree a kind.
+
+    Neighbouring leaves part at an internal node as deep as their common
+    prefix. The open nodes of the way to the last leaf lie on a stack; a node
+    is closed by the first leaf that leaves it.
+    """
+    equal = leaves[1:] == leaves[:-1]
+    depths = np.where(kind[1:] == kind[:-1], np.where(equal.all(axis=1), leaves.shape[1], equal.argmin(axis=1)), 0)
+    nodes, way = [], [(0, 0)]
+    for i, depth in enumerate([*depths.tolist(), 0]):
+        first = i
+        while way[-1][0] > depth:
+            deep, first = way.pop()
+            nodes.append((deep, first, i))
+        if way[-1][0] < depth:
+            way.append((depth, first))
+    return nodes
+
+
 def deep_nodes(kind: np.ndarray, units: np.ndarray) -> np.ndarray:
     """Which suffixes hang below an internal node at least as deep as the window.
 
-    units: one row of word hashes per suffix, cut at the window's length. Per
-    kind, the leaves of the suffix tree are put in order; the common prefix of
-    neighbouring leaves is the depth of the internal node that parts them, so
-    a node as deep as the window joins all leaves with the same window.
+    units: one row of word hashes per suffix, cut at the window's length, so a
+    node as deep as the window joins all leaves with the same window.
     """
     n, window = units.shape
-    if n < 2:
-        return np.zeros(n, dtype=bool)
     order = np.lexsort([units[:, i] for i in range(window - 1, -1, -1)] + [kind])
-    leaf, of = units[order], kind[order]
-    equal = leaf[1:] == leaf[:-1]
-    depth = np.where(of[1:] == of[:-1], np.where(equal.all(axis=1), window, equal.argmin(axis=1)), 0)
-    deep = depth >= window
     hit = np.zeros(n, dtype=bool)
-    hit[order] = np.concatenate([[False], deep]) | np.concatenate([deep, [False]])
+    for depth, first, last in internal_nodes(kind[order], units[order]) if n > 1 else ():
+        if depth >= window:
+            hit[order[first : last + 1]] = True
     return hit
 
 
@@ -81,6 +95,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, prefix: int = PREFIX) -> D
 
 
 def op9_substring_dedup(spark, sf_dir):
+    """Every document without its repeated word sequences; edge cases as in ``remove_repeats``."""
     found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), 35)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -98,6 +98,7 @@ def as_text(kept: str) -> Column:
 
 
 def op6_suffix_array_dedup(spark, sf_dir):
+    """Every document without its repeated byte strings; edge cases as in ``remove_repeats``."""
     found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), 200)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

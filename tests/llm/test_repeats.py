@@ -1,6 +1,8 @@
 import hashlib
+import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from cadenza.llm import repeats, substring_dedup, suffix_dedup
@@ -68,6 +70,42 @@ def test_hot_anchors_give_the_same(spark, unit, resolver, window, anchor):
     assert masks(1) == masks(1500) != {}
 
 
+def test_internal_nodes_match_brute_force():
+    rng = random.Random(3)
+    leaves = np.array(sorted([rng.randrange(2) for _ in range(6)] for _ in range(40)), dtype=np.uint64)
+    kind = np.array([0] * 25 + [1] * 15)
+    expected = set()
+    for k in (0, 1):
+        own = [(i, tuple(x)) for i, x in enumerate(leaves.tolist()) if kind[i] == k]
+        for depth in range(1, 7):
+            for prefix in {x[:depth] for _, x in own}:
+                below = [i for i, x in own if x[:depth] == prefix]
+                # a node: its leaves part right after the prefix, or end there
+                if len(below) > 1 and (depth == 6 or len({tuple(leaves[i][: depth + 1]) for i in below}) > 1):
+                    expected.add((depth, below[0], below[-1]))
+    assert set(substring_dedup.internal_nodes(kind, leaves)) == expected
+    alone = substring_dedup.deep_nodes(np.zeros(1, dtype=int), leaves[:1])
+    assert alone.tolist() == [False] and substring_dedup.deep_nodes(kind[:0], leaves[:0]).tolist() == []
+
+
+@pytest.mark.parametrize("rows", [1, 40])
+def test_a_passage_in_half_of_all_documents(spark, rows):
+    """Also with repeated rows of one id and text, null ids and ties."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(5000)}"
+    passage = " ".join(word() for _ in range(60))
+    texts = [f"{' '.join(word() for _ in range(20))} {passage if i % 2 else word()} {' '.join(word() for _ in range(20))}" for i in range(120)]
+    texts += [texts[1]] * rows + [None, passage]
+    ids = [*range(120), *[1] * rows, None, None]
+    key = lambda x: (x[0] is None, x[0] or 0, *x[1:])
+    expected = sorted(((i, *x) for i, x in zip(ids, brute_words(texts, 35))), key=key)
+    found = substring_dedup.remove_repeats(docs(spark, texts, ids), 35).collect()
+    assert sorted(((r["doc_id"], r["n_words"], sum(s["end"] - s["start"] for s in r["spans"]), hashlib.sha256(r["kept"].encode()).hexdigest()) for r in found), key=key) == expected
+    expected = sorted(((i, *x) for i, x in zip(ids, brute_bytes(texts, 200))), key=key)
+    found = suffix_dedup.remove_repeats(docs(spark, texts, ids), 200).collect()
+    assert sorted(((r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in found), key=key) == expected
+
+
 def test_pieces_do_not_change_the_result(spark, monkeypatch):
     values = repeats.Bytes.values(repeats.Bytes.split(corpus(6)[-1]))
     whole = {(int(s), int(g)) for lo, hi, p, seed, _ in repeats.runs(values, 50, 16) for a, b, g in zip(lo, hi, seed) for s in range(a, b + 1)}

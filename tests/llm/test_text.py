@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import re
 import time
 import zlib
 from collections import Counter
@@ -10,6 +11,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -134,6 +136,20 @@ def test_simhash_components_match_brute_force(spark):
         simhash.links(df, 3)
 
 
+def test_fingerprints_from_the_definition(spark):
+    """Bits counted one by one, with whole long texts."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["Aa", "b", "Éé", "c\x0bd", "E\u00a0f", "g"]) for _ in range(k)) for k in (0, 1, 2, 3, 4, 50, 30_000)] + [None, "\t \r", "X y z"]
+    expected = []
+    for t in texts:
+        words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
+        shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [b" ".join(words)] if words else []
+        hashes = [xxhash.xxh64_intdigest(x, seed=42) for x in shingles]
+        expected.append(f"{sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)):016x}")
+    found = {r["doc_id"]: r["fingerprint"] for r in simhash.near_duplicates(docs(spark, texts)).collect()}
+    assert [found[i] for i in range(len(texts))] == expected
+
+
 def test_simhash_edge_cases(spark):
     texts = ["a b c d e", "A b\tC d  e", None, "", "zz", None]
     found = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(docs(spark, texts, [5, 3, 8, 9, 1, None])).collect())
@@ -362,6 +378,79 @@ def test_packing_round_trip(spark):
     assert packing.pack(docs(spark, texts).filter("false")).count() == 0
 
 
+def test_neighbours_and_filling_match_brute_force():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(2, 40, rng.integers(0, 60)).tolist() + [1] for _ in range(30)]
+    df = np.array([max(1, sum(t in x for x in texts)) for t in range(40)])
+    idf, mean = np.log(1 + (30 - df + 0.5) / (df + 0.5)), sum(map(len, texts)) / 30
+    arrays = [np.array(x, dtype="<u4") for x in texts]
+    index = packing.Index(arrays, idf, mean)
+
+    def bm25(a, b):
+        return sum(idf[t] * texts[b].count(t) * 2.2 / (texts[b].count(t) + 1.2 * (0.25 + 0.75 * len(texts[b]) / mean)) for t in set(texts[a]) if t in texts[b])
+
+    for seed in range(30):
+        unused = rng.random(30) < 0.7
+        expected = sorted(np.flatnonzero(unused).tolist(), key=lambda d: (-round(bm25(seed, d), 9), d))  # noqa: B023
+        assert [round(bm25(seed, d), 9) for d in index.neighbours(seed, unused)] == [round(bm25(seed, d), 9) for d in expected]
+    # Greedy filling, said again: a cut document or the first unused one, then its best unused neighbours.
+    unused, sequences, cut = np.ones(30, dtype=bool), [], None
+    while cut is not None or unused.any():
+        seed, at = cut or (int(np.argmax(unused)), 0)
+        unused[seed] = False
+        room, pieces, cut = 64, [], None
+        for doc in [seed, *index.neighbours(seed, unused).tolist()]:
+            begin = at if doc == seed else 0
+            n = min(room, len(texts[doc]) - begin)
+            unused[doc] = False
+            pieces.append((doc, begin, n))
+            room -= n
+            if begin + n < len(texts[doc]):
+                cut = (doc, begin + n)
+            if not room:
+                break
+        sequences.append(pieces)
+    found = {}
+    for doc, start, n, sequence, offset in packing.fill(arrays, index, 64):
+        assert offset == sum(x[2] for x in found.get(sequence, []))
+        found.setdefault(sequence, []).append((doc, start, n))
+    assert [found[i] for i in range(len(sequences) - 1)] == sequences[:-1]
+    assert sum(x[2] for p in list(found.values())[len(sequences) - 1 :] for x in p) == sum(x[2] for x in sequences[-1])
+
+
+def test_like_documents_share_a_shard(spark):
+    """Documents with a planted passage lie in the shards of their likes, in a corpus of many shards; null ids, repeated rows and a document longer than a shard are packed whole."""
+    rng = random.Random(3)
+    known = sorted(t.removesuffix("</w>") for t in Tokenizer.from_file(packing.public_vocabulary()).get_vocab() if re.fullmatch("[a-z]{5,}</w>", t))
+    rng.shuffle(known)
+    words, rare = known[:1500], known[1500:4500]
+    plain = lambda k: " ".join(rng.choice(words) for _ in range(k))
+    strange = [" ".join(rng.choice(rare) for _ in range(40)) for _ in range(20)]
+    texts = [f"{plain(60)} {strange[i % 20] if i < 200 else ''} {plain(60)}" for i in range(600)] + [plain(4000), None, None, "x", "x"]
+    ids = [*range(600), 600, None, None, 7, 7]
+    rows = packing.pack(docs(spark, texts, ids), None, 2048, 4000).collect()
+    place = {}
+    for r in rows:
+        if r["doc_id"] is not None and r["doc_id"] < 200 and r["doc_tokens"] > 2:
+            place.setdefault(r["doc_id"], set()).add(r["sequence_id"])
+    near = [bool(place[a] & place[b]) for k in range(20) for a in range(k, 200, 20) for b in range(a + 20, 200, 20)]
+    far = [bool(place[a] & place[a + 1]) for a in range(199)]
+    assert sum(near) / len(near) > 0.5 > 5 * sum(far) / len(far), (sum(near) / len(near), sum(far) / len(far))
+    tokenizer = Tokenizer.from_file(packing.public_vocabulary())
+    sizes = sorted(len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts)
+    assert sum(sizes) == sum(r["length"] for r in rows) and sum(r["start"] == 0 for r in rows) == len(texts)
+
+
+def test_ids_of_odd_texts_are_the_tokenizers():
+    """Ids of plain words come from the vocabulary rebuilt for bulk merging; here they are compared with the tokenizer itself."""
+    rng = random.Random(7)
+    signs = "abcdefgzABCXYZ0189 \t\n.,;:!?'\"()<|>-_/#@$%&*+=~^`{}[]\\" + "éüßñçøÅÉœŠž\u0301\u00a0\u2028\u3000你好日本кириллα👍\x1c\x85\u200d"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(4000)] + ["<|endoftext|>", "don't we'll I'D", "x" * 5000, "\u00e9" * 300]
+    tokenizer = Tokenizer.from_file(packing.public_vocabulary())
+    for text, ids in zip(texts, packing.token_ids(texts, packing.public_vocabulary())):
+        assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1], text
+
+
 def test_pipeline_stages(spark):
     docs_in = spark.read.parquet(f"{SF}/documents.parquet")
     kept = corpus_pipeline.identified(spark, docs_in, SF)
