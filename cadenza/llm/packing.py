@@ -28,8 +28,8 @@ _SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f
 _PLAIN = re.compile(r"(?!.*<\|)[!-~\u00c0-\u024f]+")
 #: The vocabulary's own division of words (fixed).
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Words whose ids a task keeps; beyond, the store begins anew.
-_WORDS = 200_000
+#: Words whose ids a worker keeps; beyond, the store begins anew.
+_WORDS = 400_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -42,8 +42,8 @@ def _byte_letters() -> dict[str, int]:
 class Words:
     """Ids by word for a vocabulary that drops white space and joins nothing across it.
 
-    A text's ids are those of its words in a row, so up to 200,000 words are
-    kept with their ids while a task lasts. Words not seen before are merged in bulk: the same
+    A text's ids are those of its words in a row, so up to 400,000 words are
+    kept with their ids. Words not seen before are merged in bulk: the same
     vocabulary as ranks, in which a zero byte stands for the end of a piece.
     Words outside plain Latin are left to the tokenizer itself.
     """
@@ -124,7 +124,7 @@ def tokenized(docs: DataFrame, vocabulary: str) -> DataFrame:
     width = "<u2" if Tokenizer.from_file(vocabulary).get_vocab_size() <= 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with lean(_words(vocabulary).known):
+        with lean():
             yield from parts(batches)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,25 +256,28 @@ def fill(docs: list[np.ndarray], index: Index, length: int) -> Iterator[tuple[in
             sequence += 1
 
 
-def content_keys(tokens: DataFrame, frequency: np.ndarray) -> DataFrame:
-    """tokens with key, three ids by which documents of like content come near each other in order.
+def content_keys(tokens: DataFrame, frequency: np.ndarray, n: int, most: int = 2000) -> DataFrame:
+    """tokens with key, three ids by which documents of like content come near each other, and salt.
 
     They are the document's ids of the least document frequency, of those in
-    two documents or more; missing ones are -1. Ties go to the smaller id.
+    two documents or more; missing ones are -1. Ties go to the smaller id. No
+    more documents than the first id's frequency can have it first, so ids of
+    more than ``most`` documents (-1: of n) are split by salt.
     """
     handle = tokens.sparkSession.sparkContext.broadcast(frequency)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = []
-            for ids, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                terms = np.unique(_unpacked(ids, n)[:-1])
+            keys, salts = [], []
+            for part, ids, size in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
+                terms = np.unique(_unpacked(ids, size)[:-1])
                 often = handle.value[terms]
                 rare = terms[often > 1][np.argsort(often[often > 1], kind="stable")[:3]].tolist()
                 keys.append([*rare, *[-1] * (3 - len(rare))])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.list_(pa.int32()))], names=["doc_id", "part", "ids", "n", "key"])
+                salts.append(part % -(-int(handle.value[rare[0]] if rare else n) // most))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.list_(pa.int32())), pa.array(salts, pa.int64())], names=["doc_id", "part", "ids", "n", "key", "salt"])
 
-    return tokens.select("doc_id", "part", "ids", "n").mapInArrow(run, "doc_id long, part long, ids binary, n long, key array<int>")
+    return tokens.select("doc_id", "part", "ids", "n").mapInArrow(run, "doc_id long, part long, ids binary, n long, key array<int>, salt long")
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, length: int = 2048, shard_tokens: int = 400_000) -> DataFrame:
@@ -282,8 +285,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, length: int = 2048, sha
 
     Whole texts become ids of the vocabulary file plus ``END``; documents are
     cut freely, and every id lies in one piece. ids holds the piece's ids as
-    little-endian unsigned 32-bit numbers. The documents are ordered by content
-    (``content_keys``) over range partitions and cut into shards of about
+    little-endian unsigned 32-bit numbers. The documents are dealt by content
+    (``content_keys``), ordered by it and cut into shards of about
     ``shard_tokens`` ids (a longer document is a shard with what came before);
     each shard is an inverted index of its own, scored by BM25 with document
     frequencies and mean length of the whole corpus. So a seed's neighbours
@@ -323,9 +326,9 @@ def pack(docs: DataFrame, vocabulary: str | None = None, length: int = 2048, sha
         if ids:
             yield shard(doc_ids, ids, begin)[0]
 
-    ranges = max(1, math.ceil((total or 0) / (4 * shard_tokens)))
-    order = [*[F.col("key")[i] for i in range(3)], "part"]
-    dealt = content_keys(tokens, frequency).repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "ids", "n")
+    parts = max(1, math.ceil((total or 0) / (4 * shard_tokens)))
+    dealt = content_keys(tokens, frequency, n).withColumn("first", F.col("key")[0]).repartition(parts, "first", "salt")
+    dealt = dealt.sortWithinPartitions("first", "salt", "key", "part").select("doc_id", "ids", "n")
     return dealt.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
