@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
 
 from cadenza.tables import dropped, release, shared_dir, written
 
-__all__ = ["dropped", "lean", "release", "shared_dir", "written"]
+__all__ = ["dropped", "lean", "leaning", "release", "shared_dir", "written"]
 
 
 @contextmanager
@@ -26,3 +26,13 @@ def lean(*caches: dict) -> Iterator[None]:
             ctypes.CDLL(None).malloc_trim(0)
         except (AttributeError, OSError):  # another C library
             pass
+
+
+def leaning(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function over batches, inside ``lean``."""
+
+    def inside(batches: Iterator) -> Iterator:
+        with lean():
+            yield from run(batches)
+
+    return inside

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm._shared import written
+from cadenza.llm._shared import leaning, written
 from cadenza.llm.repeats import _Rolling
 
 _U = np.uint64
@@ -161,7 +161,7 @@ def windows(rows: DataFrame, size: int, wanted: np.ndarray | None = None) -> Dat
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
 
-    return rows.select("key", "text").mapInArrow(run, "key long, pos long, hash long, slots array<string>")
+    return rows.select("key", "text").mapInArrow(leaning(run), "key long, pos long, hash long, slots array<string>")
 
 
 def _fitting(hits: list[tuple]) -> int:
@@ -274,7 +274,7 @@ def leaks(docs: DataFrame, items: DataFrame, size: int = 5, share: float = 0.8,
                 best.append(best_consistent(own, share * n))
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(best, pa.int64())], names=["key", "item_id", "item_windows", "matched", "consistent"])
 
-    found = pairs.mapInArrow(judge, "key long, item_id long, item_windows long, matched long, consistent long")
+    found = pairs.mapInArrow(leaning(judge), "key long, item_id long, item_windows long, matched long, consistent long")
     found = written(found.withColumn("share", F.col("consistent") / F.col("item_windows")).filter(F.col("share") >= share), "found")
     named = rows.select("key", "doc_id").join(found.select("key").distinct(), "key", "left_semi").distinct()
     return named.join(found, "key").select("key", "doc_id", "item_id", "item_windows", "matched", "consistent", "share")

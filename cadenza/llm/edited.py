@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm._shared import dropped, written
+from cadenza.llm._shared import dropped, leaning, written
 from cadenza.llm.decontamination import window_hashes
 
 #: Buckets of the sketch of shingle frequencies, and leaders that a shingle's documents are compared with in one round.
@@ -37,7 +37,7 @@ def _shingled(docs: DataFrame, shingle: int) -> DataFrame:
                 found = [shingle_hashes(t, shingle).view(np.int64) for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, schema.types[2])], schema=schema)
 
-    return docs.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, shingles array<long>")
+    return docs.select("key", "doc_id", "text").mapInArrow(leaning(run), "key long, doc_id long, shingles array<long>")
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
@@ -56,7 +56,7 @@ def _frequencies(docs: DataFrame, shingle: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], names=["bucket", "n"])
 
     out = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    for r in docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in docs.select("text").mapInArrow(leaning(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r["bucket"]] = r["n"]
     return out
 
@@ -85,7 +85,7 @@ def _prefixes(docs: DataFrame, often: np.ndarray, shingle: int, share: float) ->
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["shingle", "key", "n", "pos"])
 
-    return docs.select("key", "text").mapInArrow(run, "shingle long, key long, n int, pos int")
+    return docs.select("key", "text").mapInArrow(leaning(run), "shingle long, key long, n int, pos int")
 
 
 def edited_copies(docs: DataFrame, shingle: int = 5, share: float = 0.8) -> DataFrame:

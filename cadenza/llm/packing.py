@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cadenza.llm._shared import lean, written
+from cadenza.llm._shared import leaning, written
 
 #: Ends every document.
 END = 1
@@ -29,7 +29,7 @@ _PLAIN = re.compile(r"(?!.*<\|)[!-~\u00c0-\u024f]+")
 #: The vocabulary's own division of words (fixed).
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Words whose ids a worker keeps; beyond, the store begins anew.
-_WORDS = 400_000
+_WORDS = 600_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -42,7 +42,7 @@ def _byte_letters() -> dict[str, int]:
 class Words:
     """Ids by word for a vocabulary that drops white space and joins nothing across it.
 
-    A text's ids are those of its words in a row, so up to 400,000 words are
+    A text's ids are those of its words in a row, so up to 600,000 words are
     kept with their ids. Words not seen before are merged in bulk: the same
     vocabulary as ranks, in which a zero byte stands for the end of a piece.
     Words outside plain Latin are left to the tokenizer itself.
@@ -124,10 +124,6 @@ def tokenized(docs: DataFrame, vocabulary: str) -> DataFrame:
     width = "<u2" if Tokenizer.from_file(vocabulary).get_vocab_size() <= 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with lean():
-            yield from parts(batches)
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = 0
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
@@ -141,7 +137,7 @@ def tokenized(docs: DataFrame, vocabulary: str) -> DataFrame:
                 place += n
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = rows.mapInArrow(run, "doc_id long, place long, ids binary, n long")
+    found = rows.mapInArrow(leaning(run), "doc_id long, place long, ids binary, n long")
     return found.select("doc_id", F.xxhash64("doc_id", "place", F.crc32("ids")).alias("part"), "ids", "n")
 
 
@@ -165,7 +161,7 @@ def document_frequencies(tokens: DataFrame, size: int) -> np.ndarray:
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], names=["id", "n"])
 
-    rows = tokens.select("ids", "n").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.select("ids", "n").mapInArrow(leaning(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(size, dtype=np.int64)
     for r in rows:
         out[r["id"]] = r["n"]
@@ -256,7 +252,7 @@ def fill(docs: list[np.ndarray], index: Index, length: int) -> Iterator[tuple[in
             sequence += 1
 
 
-def content_keys(tokens: DataFrame, frequency: np.ndarray, n: int, most: int = 2000) -> DataFrame:
+def content_keys(tokens: DataFrame, frequency: np.ndarray, n: int, most: int = 500) -> DataFrame:
     """tokens with key, three ids by which documents of like content come near each other, and salt.
 
     They are the document's ids of the least document frequency, of those in
@@ -277,7 +273,7 @@ def content_keys(tokens: DataFrame, frequency: np.ndarray, n: int, most: int = 2
                 salts.append(part % -(-int(handle.value[rare[0]] if rare else n) // most))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.list_(pa.int32())), pa.array(salts, pa.int64())], names=["doc_id", "part", "ids", "n", "key", "salt"])
 
-    return tokens.select("doc_id", "part", "ids", "n").mapInArrow(run, "doc_id long, part long, ids binary, n long, key array<int>, salt long")
+    return tokens.select("doc_id", "part", "ids", "n").mapInArrow(leaning(run), "doc_id long, part long, ids binary, n long, key array<int>, salt long")
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, length: int = 2048, shard_tokens: int = 400_000) -> DataFrame:
@@ -329,7 +325,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, length: int = 2048, sha
     parts = max(1, math.ceil((total or 0) / (4 * shard_tokens)))
     dealt = content_keys(tokens, frequency, n).withColumn("first", F.col("key")[0]).repartition(parts, "first", "salt")
     dealt = dealt.sortWithinPartitions("first", "salt", "key", "part").select("doc_id", "ids", "n")
-    return dealt.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return dealt.mapInArrow(leaning(run), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def op10_packing(spark, sf_dir):

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm._shared import dropped, written
+from cadenza.llm._shared import dropped, leaning, written
 
 _U = np.uint64
 _PIECE = 1 << 20  # starts scanned at once; anchors are local, so pieces change nothing but run ends
@@ -168,7 +168,7 @@ def _scan(docs: DataFrame, unit: type, window: int, anchor: int) -> DataFrame:
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], schema=schema)
 
-    return docs.mapInArrow(run, "key long, lo int, hi int, p int, seed long, run long")
+    return docs.mapInArrow(leaning(run), "key long, lo int, hi int, p int, seed long, run long")
 
 
 def _bodies(docs: DataFrame, wanted: DataFrame, unit: type, window: int) -> DataFrame:
@@ -195,7 +195,7 @@ def _bodies(docs: DataFrame, wanted: DataFrame, unit: type, window: int) -> Data
         if rows:
             yield batch(rows)
 
-    return joined.mapInArrow(run, "key long, lo int, hi int, p int, seed long, large boolean, open boolean, body binary")
+    return joined.mapInArrow(leaning(run), "key long, lo int, hi int, p int, seed long, large boolean, open boolean, body binary")
 
 
 def suffixes(bodies: list[np.ndarray], lo: np.ndarray, hi: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -243,7 +243,7 @@ def _resolved(bodies: DataFrame, unit: type, window: int, resolver: Resolver) ->
         if rows:
             yield solve(rows)
 
-    return bodies.repartition("seed").sortWithinPartitions("seed").mapInArrow(run, "key long, lo int, hi int")
+    return bodies.repartition("seed").sortWithinPartitions("seed").mapInArrow(leaning(run), "key long, lo int, hi int")
 
 
 def _counted(bodies: DataFrame, unit: type, window: int) -> DataFrame:
@@ -272,7 +272,7 @@ def _counted(bodies: DataFrame, unit: type, window: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
-    stretches = bodies.mapInArrow(run, "key long, seed long, open boolean, lo int, hi int, off int, stretch long, windows array<long>")
+    stretches = bodies.mapInArrow(leaning(run), "key long, seed long, open boolean, lo int, hi int, off int, stretch long, windows array<long>")
     same = ["seed", "off", "stretch"]
     distinct = written(stretches.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "hi", "open", "windows")).alias("one")), "stretches")
     settled = stretches.filter("open").join(distinct.filter("n > 1").select(*same), same, "left_semi").select("key", "lo", "hi")

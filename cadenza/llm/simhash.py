@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm._shared import written
+from cadenza.llm._shared import leaning, written
 from cadenza.llm.components import connected_components
 
 _BLOCK = 1 << 16
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("key"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, key long, fp long")
+    return rows.mapInArrow(leaning(run), "doc_id long, key long, fp long")
 
 
 def links(fps: DataFrame, radius: int = 2) -> DataFrame:

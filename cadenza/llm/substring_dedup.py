@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.llm._shared import leaning
 from cadenza.llm.repeats import Words, covered, keyed, repeated_starts, spans_of
 
 PREFIX = 8
@@ -91,7 +92,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, prefix: int = PREFIX) -> D
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, span)], schema=schema)
 
     joined = rows.join(starts, "key", "left").select("doc_id", "text", "starts")
-    return joined.mapInArrow(run, "doc_id long, n_words long, kept string, spans array<struct<start: long, end: long>>")
+    return joined.mapInArrow(leaning(run), "doc_id long, n_words long, kept string, spans array<struct<start: long, end: long>>")
 
 
 def op9_substring_dedup(spark, sf_dir):

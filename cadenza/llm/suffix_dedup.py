@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.llm._shared import leaning
 from cadenza.llm.repeats import Bytes, covered, keyed, repeated_starts, spans_of
 
 ANCHOR = 64
@@ -84,7 +85,7 @@ def remove_repeats(docs: DataFrame, window: int = 200, anchor: int = ANCHOR, kee
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, span), b.column(3)], names=names)
 
     joined = rows.join(starts, "key", "left").select("doc_id", "text", "starts", "rest")
-    return joined.mapInArrow(run, f"doc_id long, n_bytes long, kept binary, spans array<struct<start: long, end: long>>, rest {rows.schema['rest'].dataType.simpleString()}")
+    return joined.mapInArrow(leaning(run), f"doc_id long, n_bytes long, kept binary, spans array<struct<start: long, end: long>>, rest {rows.schema['rest'].dataType.simpleString()}")
 
 
 def as_text(kept: str) -> Column:
