@@ -18,6 +18,7 @@ STATUSES = ["queued", "downloaded", "stemmed", "analysed", "error"]
 STEM_TYPES = ["full", "vocals", "instrumental"]
 VOCAL_OVER_INSTRUMENTAL = "vocal_over_instrumental"
 INSTRUMENTAL_OVER_INSTRUMENTAL = "instrumental_over_instrumental"
+# Download attempts, searches, preview bounds, defaults of matching.
 #: Download attempts in order: label, format, player clients, with cookies.
 ATTEMPTS = [
     ("ios+bestaudio", "bestaudio/best", "youtube:player_client=ios", False),
@@ -38,11 +39,3 @@ class MatchConfig:
     bpm_max: float = 10.0
     key_min: float = 0.55
     weights: dict[str, float] = field(default_factory=lambda: {"bpm": 0.25, "key": 0.30, "energy": 0.20, "timbre": 0.25})
-
-
-@dataclass(frozen=True)
-class AudioConfig:
-    sample_rate: int = 22050
-    hop: int = 512
-    n_mfcc: int = 13
-    trim_secs: float | None = 30.0

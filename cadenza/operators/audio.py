@@ -11,40 +11,40 @@ from cadenza.constants import KEY_NAMES, MAJOR_PROFILE, MINOR_PROFILE
 from cadenza.functions.scalars import camelot_of
 
 
-def _mean(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x)
-
-
 def _rolled(profile: list[float], by: int) -> list[float]:
     return [profile[(i - by) % 12] for i in range(12)]
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+
+
 def detect_key(chroma: Column) -> Column:
     """struct(key, mode, camelot) of a mean chroma vector of 12: the best Pearson correlation with 24 rotated profiles.
 
     Ties go to major, then to the first key. A constant vector has no
-    correlation; it counts as C minor. Null stays null.
+    correlation; it counts as C minor. Null stays null. The profiles are
+    centred constants, so that the vector needn't be.
     """
-    mean = _mean(chroma)
-    centred = F.transform(chroma, lambda x: x - mean)
-    spread = F.aggregate(centred, F.lit(0.0), lambda s, v: s + v * v)
-
-    def rows(mode: str, profile: list[float]) -> list[Column]:
-        out = []
+    fits = []
+    for mode, profile in (("major", MAJOR_PROFILE), ("minor", MINOR_PROFILE)):
         for i in range(12):
             own = _rolled(profile, i)
             middle = sum(own) / 12
             norm = sum((x - middle) ** 2 for x in own) ** 0.5
-            weights = F.array(*[F.lit((x - middle) / norm) for x in own])
-            r = F.aggregate(F.zip_with(centred, weights, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-            out.append(F.struct(F.round(r / F.sqrt(spread), 12).alias("r"), F.lit(0 if mode == "major" else -1).alias("prefer"), F.lit(-i).alias("minus"), F.lit(mode).alias("mode")))
-        return out
-
-    best = F.array_max(F.array(*rows("major", MAJOR_PROFILE), *rows("minor", MINOR_PROFILE)))
+            fits.append(F.struct(F.lit(0 if mode == "major" else -1).alias("prefer"), F.lit(-i).alias("minus"), F.lit(mode).alias("mode"), F.array(*[F.lit((x - middle) / norm) for x in own]).alias("weights")))
+    spread = _let(_sum(chroma) / F.size(chroma), lambda m: _sum(F.transform(chroma, lambda x: (x - m) * (x - m))))
+    fit = lambda q: lambda c: F.struct(F.round(_sum(F.zip_with(chroma, c["weights"], lambda x, w: x * w)) / F.sqrt(q), 12).alias("r"), c["prefer"].alias("prefer"), c["minus"].alias("minus"), c["mode"].alias("mode"))
+    best = _let(spread, lambda q: F.when(q > 0, F.array_max(F.transform(F.array(*fits), fit(q)))))
     names = F.array(*[F.lit(k) for k in KEY_NAMES])
-    found = F.struct(F.get(names, -best["minus"]).alias("key"), best["mode"].alias("mode"), camelot_of(-best["minus"], best["mode"]).alias("camelot"))
+    found = _let(best, lambda b: F.when(b.isNotNull(), F.struct(F.get(names, -b["minus"]).alias("key"), b["mode"].alias("mode"), camelot_of(-b["minus"], b["mode"]).alias("camelot"))))
     silent = F.struct(F.lit("C").alias("key"), F.lit("minor").alias("mode"), F.lit("5A").alias("camelot"))
-    return F.when(chroma.isNull(), None).when(spread == 0, silent).otherwise(found)
+    return F.when(chroma.isNotNull(), F.coalesce(found, silent))
 
 
 def rms(samples: Column) -> Column:
@@ -58,6 +58,30 @@ def zero_crossing_rate(samples: Column) -> Column:
     return F.aggregate(changes, F.lit(0), lambda s, v: s + v).cast("double") / F.size(samples)
 
 
+def frame_mean(frames: Column) -> Column:
+    """The mean vector of frames (array of equally long arrays); null for none."""
+    total = F.aggregate(F.slice(frames, 2, F.greatest(F.size(frames) - 1, F.lit(0))), F.get(frames, F.lit(0)), lambda s, f: F.zip_with(s, f, lambda a, b: a + b))
+    return F.when(F.size(frames) > 0, F.transform(total, lambda v: v / F.size(frames)))
+
+
+def _framed(samples: Column, value: Callable[[Column], Column], frame: int, hop: int) -> Column:
+    """The mean over frames, centred at every ``hop`` samples, of what value makes of a frame's samples."""
+    starts = F.transform(F.sequence(F.lit(0), F.floor(F.size(samples) / hop).cast("int")), lambda i: i * hop - frame // 2)
+    cut = lambda at: F.slice(samples, F.greatest(at, F.lit(0)) + 1, F.least(at + frame, F.size(samples)) - F.greatest(at, F.lit(0)))
+    values = F.transform(starts, lambda at: value(cut(at)))
+    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v) / F.size(values)
+
+
+def frame_rms(samples: Column, frame: int = 2048, hop: int = 512) -> Column:
+    """The mean of the frames' RMS; beyond the ends there is silence."""
+    return _framed(samples, lambda f: F.sqrt(F.aggregate(f, F.lit(0.0), lambda s, v: s + v * v) / frame), frame, hop)
+
+
+def frame_zero_crossing_rate(samples: Column, frame: int = 2048, hop: int = 512) -> Column:
+    """The mean of the frames' sign changes over the frame's length; beyond the ends nothing changes."""
+    return _framed(samples, lambda f: zero_crossing_rate(f) * F.size(f) / frame, frame, hop)
+
+
 def analyse(files: DataFrame, backend: Callable[[dict], dict]) -> DataFrame:
     """Features of files (song_id, stem_type, file_path) by a backend that decodes audio.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import json
 import shutil
 from pathlib import Path
 
@@ -18,6 +19,10 @@ CSV_FIELDS = (
     "rank combo_type vocal_title vocal_artist inst_title inst_artist vocal_bpm inst_bpm bpm_stretch_ratio vocal_key vocal_mode inst_key inst_mode "
     "vocal_camelot inst_camelot semitone_shift score_total score_bpm score_key score_energy score_timbre vocal_wav_path inst_wav_path"
 ).split()
+#: Columns of the catalogue report.
+SONG_COLUMNS = "id title artist status genre source_url track_id duration_secs duration_str plays likes upload_date".split()
+FEATURE_COLUMNS = "bpm bpm_confidence key mode camelot loudness_rms energy spectral_centroid spectral_rolloff zero_crossing_rate mfcc_json".split()
+# The names of the kinds of pairs, and the layout of a match's text in format_results.
 LABELS = {VOCAL_OVER_INSTRUMENTAL: "Vocals → Instrumental", INSTRUMENTAL_OVER_INSTRUMENTAL: "Instrumental → Instrumental"}
 RULE = "─" * 72
 
@@ -56,9 +61,40 @@ def session_plan(candidates: DataFrame, stems: DataFrame, n: int = 10) -> DataFr
 
 
 def report_features(songs: DataFrame, features: DataFrame) -> DataFrame:
-    """Every song with its stems' features (none: nulls), by id and stem."""
-    own = features.select("song_id", "stem_type", "bpm", "key", "mode", "camelot", "loudness_rms", "energy")
-    return songs.select("id", "title", "artist", "status").join(own, F.col("id") == F.col("song_id"), "left").drop("song_id").orderBy("id", F.col("stem_type").asc_nulls_first())
+    """Every song with its stems' features (none: nulls), by id and stem; of both, the report's columns that the tables have."""
+    own = features.select("song_id", "stem_type", *[c for c in FEATURE_COLUMNS if c in features.columns])
+    rows = songs.select(*[c for c in SONG_COLUMNS if c in songs.columns]).join(own, F.col("id") == F.col("song_id"), "left").drop("song_id")
+    return rows.orderBy("id", F.col("stem_type").asc_nulls_first())
+
+
+def report_text(songs: DataFrame, features: DataFrame, candidates: DataFrame, n: int = 20) -> str:
+    """The first n songs with their features and the best 20 pairs of either kind, as text; says how many songs there are and are shown."""
+    total = songs.count()
+    first = songs.orderBy("id").limit(n)
+    rows = report_features(first, features.join(first.select(F.col("id").alias("song_id")), "song_id", "left_semi")).collect()
+    lines, last = [f"Songs: {total} (shown: {min(n, total)})"], None
+    for r in (x.asDict() for x in rows):
+        if r["id"] != last:
+            last = r["id"]
+            length = r.get("duration_str") or (f"{r['duration_secs']:.0f}s" if r.get("duration_secs") else "—")
+            lines += ["", f"[{r['id']:>2}] {r['title']} — {r['artist']}", f"     {r['status']}  |  {r.get('genre') or '—'}  |  {r.get('source_url') or '—'}"]
+            lines.append(f"     track {r.get('track_id') or '—'}  length {length}  plays {_plain(r.get('plays'))}  likes {_plain(r.get('likes'))}  upload {r.get('upload_date') or '—'}")
+        if r["stem_type"]:
+            mfcc = [round(x, 1) for x in json.loads(r.get("mfcc_json") or "[]")]
+            lines.append(f"     {r['stem_type']:>12}: {_plain(r['bpm'])} BPM (confidence {_num(r.get('bpm_confidence'), '.3f')})  {_plain(r['key'])} {_plain(r['mode'])} {_plain(r['camelot'])}  RMS {_plain(r['loudness_rms'])}  energy {_plain(r['energy'])}")
+            lines.append(f"                   centroid {_plain(r.get('spectral_centroid'))}  rolloff {_plain(r.get('spectral_rolloff'))}  ZCR {_plain(r.get('zero_crossing_rate'))}" + (f"  MFCC {mfcc}" if mfcc else ""))
+    sizes = {r["combo_type"]: r["n"] for r in candidates.groupBy("combo_type").agg(F.count("*").alias("n")).collect()}
+    best = top_per_combo(candidates, 20).orderBy("combo_type", "rank").collect()
+    for combo, label in LABELS.items():
+        own = [r.asDict() for r in best if r["combo_type"] == combo]
+        if own:
+            lines += ["", f"{label}: {sizes[combo]} pairs (shown: {len(own)})"]
+            lines += [f"  {_num(r['score_total'], '.3f')}  {_scores(r, '  ')}  {r['vocal_title']} — {r['vocal_artist']} [{_plain(r['vocal_bpm'])} BPM {_plain(r['vocal_camelot'])}] over {r['inst_title']} — {r['inst_artist']} [{_plain(r['inst_bpm'])} BPM {_plain(r['inst_camelot'])}]" for r in own]
+    return "\n".join(lines) + "\n"
+
+
+def _plain(x: object) -> str:
+    return "—" if x is None else str(x)
 
 
 def report_pairs(candidates: DataFrame, n: int = 20) -> DataFrame:
@@ -82,13 +118,19 @@ def format_results(rows: list[Row], seed_title: str = "", combo_type: str = "")
         return "\n".join([*lines, "  No qualifying matches found for this seed.", "  (Check bpm_max and key_min)"])
     for i, r in enumerate(rows, 1):
         r = r.asDict()
-        name = lambda side: f"{r[side + '_title']} — {r[side + '_artist']}  [{r[side + '_bpm']} BPM  {r[side + '_camelot']}]"  # noqa: E731, B023
-        lines.append(f"\n  #{i:>2}  TOP:   {name('vocal')}\n       BED:   {name('inst')}\n       Score: {_num(r['score_total'], '.3f')}  |  {_scores(r, '  ')}")
+        of = lambda side, n: r.get(f"{side}_{n}", "?")  # noqa: E731, B023
+        name = lambda side: f"{of(side, 'title')} — {of(side, 'artist')}  [{of(side, 'bpm')} BPM  {of(side, 'camelot')}]"  # noqa: E731, B023
+        lines.append(f"\n  #{i:>2}  TOP:   {name('vocal')}\n       BED:   {name('inst')}\n       Score: {_num(_score(r, 'total'), '.3f')}  |  {_scores(r, '  ')}")
     return "\n".join(lines)
 
 
+def _score(r: dict, name: str) -> float | None:
+    """A score by its stored name or, where that is missing, null or 0, by the name it has in unstored results; 0 for none."""
+    return r.get(f"score_{name}") or r.get("total" if name == "total" else f"{name}_score", 0)
+
+
 def _scores(r: dict, gap: str) -> str:
-    return gap.join(f"{n}: {_num(r['score_' + n.lower()], '.2f')}" for n in ("BPM", "Key", "Energy", "Timbre"))
+    return gap.join(f"{n}: {_num(_score(r, n.lower()), '.2f')}" for n in ("BPM", "Key", "Energy", "Timbre"))
 
 
 def _song_lines(r: dict, side: str) -> list[str]:

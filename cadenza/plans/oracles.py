@@ -139,7 +139,7 @@ SQL: dict[str, str] = {
         more=", b AS (SELECT song_id * 2 AS song_id, stem_type, bpm + 1 AS bpm, camelot, loudness_rms, energy, key, mode, id AS seq FROM features WHERE song_id % 3 = 0)"),
     "upsert_candidate": _sql(
         f"SELECT CASE WHEN vocal_song_id % 2 = 0 THEN vocal_song_id * 10000000 + inst_song_id * 2 + CASE WHEN combo_type = 'vocal_over_instrumental' THEN 1 ELSE 0 END ELSE (SELECT max(vocal_song_id * 10000000 + inst_song_id * 2 + CASE WHEN combo_type = 'vocal_over_instrumental' THEN 1 ELSE 0 END) FROM candidates WHERE vocal_song_id % 2 = 0) + n END AS id, combo_type, vocal_song_id, inst_song_id, CASE WHEN vocal_song_id % 2 = 0 THEN 'old' ELSE vocal_title END AS vocal_title, {_SCORES} FROM "
-        "(SELECT * REPLACE (CASE WHEN vocal_song_id % 4 < 2 THEN score_total ELSE CAST(0 AS DOUBLE) END AS score_total), row_number() OVER (PARTITION BY vocal_song_id % 2 ORDER BY combo_type, vocal_song_id, inst_song_id) AS n FROM candidates WHERE vocal_song_id % 2 = 0 OR vocal_song_id % 4 < 2)", True),
+        "(SELECT * REPLACE (CASE WHEN vocal_song_id % 4 <> 2 THEN score_total ELSE CAST(0 AS DOUBLE) END AS score_total), row_number() OVER (PARTITION BY vocal_song_id % 2 ORDER BY combo_type, vocal_song_id, inst_song_id) AS n FROM candidates)", True),
     "update_status": _sql("SELECT id, CASE WHEN id % 4 = 0 THEN 'stemmed' ELSE status END AS status, CASE WHEN id % 4 = 0 AND id % 8 <> 0 THEN '/new/' || id ELSE raw_path END AS raw_path FROM songs"),
     "update_duration": _sql("SELECT id, CASE WHEN id % 4 = 0 THEN duration_secs * 20 ELSE duration_secs END AS duration_secs, CASE WHEN id % 4 = 0 THEN DUR(duration_secs * 20) ELSE duration_str END AS duration_str FROM songs"),
     "migrate_columns": _sql("SELECT * EXCLUDE (duration_str), CAST(NULL AS VARCHAR) AS artist_id, CAST(NULL AS VARCHAR) AS track_id, CAST(NULL AS VARCHAR) AS duration_str, CAST(NULL AS VARCHAR) AS upload_date, CAST(0 AS BIGINT) AS likes, CAST(0 AS BIGINT) AS reposts, CAST(0 AS BIGINT) AS comments, CAST(0 AS BIGINT) AS plays, CAST(NULL AS VARCHAR) AS thumbnail FROM songs"),
@@ -148,7 +148,7 @@ SQL: dict[str, str] = {
     "normalise_tracks": _sql(
         "SELECT page_id AS line, 'T' || page_id AS title, CASE WHEN page_id % 3 = 0 THEN 'ch' ELSE 'up' END AS artist, '' AS genre, url AS source_url, page_id * CAST(1.5 AS DOUBLE) AS duration_secs, DUR(page_id * CAST(1.5 AS DOUBLE)) AS duration_str, '' AS artist_id, '' AS track_id, '' AS upload_date, '' AS thumbnail, page_id AS likes, CAST(CASE WHEN page_id % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS reposts, CAST(0 AS BIGINT) AS comments, CASE WHEN page_id % 2 = 0 THEN CAST(0 AS BIGINT) ELSE page_id END AS plays FROM pages WHERE page_id % 7 <> 0"),
     "duration_strings": _sql("SELECT event_id, DUR(value * 50 - 10) AS text FROM events"),
-    "safe_names": r"WITH d AS (SELECT doc_id, substring(text, 1, 60) || ' - (é)' AS t, 'Ça va? ' || source AS a FROM documents) SELECT doc_id, regexp_replace(trim(regexp_replace(t, '[^\p{L}\p{N}_\s-]', '', 'g')), '[\s-]+', '_', 'g')[1:40] AS file_part, regexp_replace(t, '[^\p{L}\p{N}_]', '_', 'g')[1:40] || '_' || regexp_replace(a, '[^\p{L}\p{N}_]', '_', 'g')[1:30] || '_vocals.wav' AS stem_name, trim(regexp_replace(regexp_replace(t, '[^\p{L}\p{N}_]', '_', 'g'), '_+', '_', 'g'), '_')[1:40] AS folder FROM d",
+    "safe_names": r"WITH d AS (SELECT doc_id, text || ' - (é)' AS t, 'Ça va? ' || source AS a FROM documents) SELECT doc_id, regexp_replace(trim(regexp_replace(t, '[^\p{L}\p{N}_\s-]', '', 'g')), '[\s-]+', '_', 'g')[1:40] AS file_part, regexp_replace(t, '[^\p{L}\p{N}_]', '_', 'g')[1:40] || '_' || regexp_replace(a, '[^\p{L}\p{N}_]', '_', 'g')[1:30] || '_vocals.wav' AS stem_name, trim(regexp_replace(regexp_replace(t, '[^\p{L}\p{N}_]', '_', 'g'), '_+', '_', 'g'), '_')[1:40] AS folder FROM d",
     "clean_titles": r"SELECT p_partkey, trim(regexp_replace(p_name || ' (Official) [HD] ' || p_partkey, '\s*[\(\[].*?[\)\]]', '', 'g')) AS title FROM part",
     "youtube_like_urls": "SELECT page_id, (u LIKE 'ytsearch%' OR u LIKE '%youtube.com/%' OR u LIKE '%youtu.be/%') AS is_youtube FROM (SELECT page_id, lower(trim(CASE page_id % 4 WHEN 0 THEN ' HTTPS://YouTu.be/' || page_id WHEN 1 THEN 'ytsearch5:' || url ELSE url END)) AS u FROM pages)",
     "search_plan": _sql(r"SELECT id, CAST(o AS INTEGER) AS query_ord, 'ytsearch5:' || artist || ' ' || trim(regexp_replace(title, '\s*[\(\[].*?[\)\]]', '', 'g')) || q AS query, CAST(r AS INTEGER) AS result_rank FROM songs, (VALUES (0, ' official audio'), (1, ' lyrics'), (2, '')) s(o, q), range(1, 6) t(r)"),
@@ -160,6 +160,13 @@ SQL: dict[str, str] = {
         more=", names(idx, key) AS (VALUES (0,'C'),(1,'C#'),(2,'D'),(3,'D#'),(4,'E'),(5,'F'),(6,'F#'),(7,'G'),(8,'G#'),(9,'A'),(10,'A#'),(11,'B')), profiles(mode, p) AS (VALUES ('major', [6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88]::DOUBLE[]), ('minor', [6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17]::DOUBLE[])), "
         "fits AS (SELECT vec_id, mode, idx, corr(abs(CAST(embedding[t + 1] AS DOUBLE)), p[(t - idx + 12) % 12 + 1]) AS r FROM embeddings, profiles, names, range(0, 12) x(t) GROUP BY vec_id, mode, idx)"),
     "rms_zcr": "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings) SELECT vec_id, round(sqrt(list_dot_product(x, x) / len(x)), 6) AS rms, round(len(list_filter(range(1, len(x)), lambda i: (x[i] >= 0) <> (x[i + 1] >= 0))) / len(x), 6) AS zcr FROM e",
+    "frame_rms_zcr": (
+        "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), f AS (SELECT vec_id, x, unnest(range(0, len(x) // 4 + 1)) AS i FROM e), g AS (SELECT vec_id, x[greatest(1, 4 * i - 7) : least(len(x), 4 * i + 8)] AS y FROM f) "
+        "SELECT vec_id, round(avg(sqrt(coalesce(list_sum(list_transform(y, lambda v: v * v)), 0) / 16)), 6) AS rms, round(avg(len(list_filter(range(1, len(y)), lambda i: (y[i] >= 0) <> (y[i + 1] >= 0))) / CAST(16 AS DOUBLE)), 6) AS zcr FROM g GROUP BY vec_id"),
+    "download_outcomes": _sql(
+        "SELECT id, CASE WHEN old THEN '/old/' || id WHEN fresh AND id % 3 <> 0 THEN '/new/' || id || '/0' WHEN fresh AND id % 5 <> 0 THEN '/alt/' || id || '/' || ((k - 1) // 5) || '/' || ((k - 1) % 5 + 1) ELSE '' END AS raw_path, "
+        "CASE WHEN old OR (fresh AND (id % 3 <> 0 OR id % 5 <> 0)) THEN 'downloaded' ELSE 'error' END AS status, CASE WHEN NOT old AND fresh AND id % 3 = 0 AND id % 5 <> 0 THEN CAST(36 AS DOUBLE) ELSE duration_secs END AS duration_secs "
+        "FROM (SELECT *, id % 7 = 0 AND id % 2 = 1 AS old, id % 2 = 0 AS fresh, 11 - id % 11 AS k FROM songs WHERE status IN ('queued', 'error'))"),
     "bpm_confidence": "SELECT user_id, round(least(b / (s / CAST(512 AS DOUBLE)), 1), 6) AS confidence FROM (SELECT user_id, CAST(count(*) AS DOUBLE) AS b, nullif(sum(floor(value * 10)), 0) AS s FROM events GROUP BY user_id)",
     "mfcc_json_roundtrip": _sql("SELECT id, CAST(coalesce(len(mfcc), -1) AS INTEGER) AS n, true AS same FROM features"),
     "status_counts": _sql("SELECT status, count(*) AS n, CAST(list_position(['queued', 'downloaded', 'stemmed', 'analysed', 'error'], status) AS BIGINT) AS step FROM songs GROUP BY status"),

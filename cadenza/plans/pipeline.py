@@ -3,36 +3,39 @@
 from __future__ import annotations
 
 import argparse
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.constants import INSTRUMENTAL_OVER_INSTRUMENTAL, VOCAL_OVER_INSTRUMENTAL, MatchConfig
+from cadenza.constants import INSTRUMENTAL_OVER_INSTRUMENTAL, STEM_TYPES, VOCAL_OVER_INSTRUMENTAL, MatchConfig
 from cadenza.operators import audio, pairs, rank, report
-from cadenza.operators.store import Store, numbered, update_status, upsert_candidates, upsert_features, upsert_songs, upsert_stems
+from cadenza.operators.store import TABLES, Store, numbered, update_status, upsert_candidates, upsert_features, upsert_songs, upsert_stems
 from cadenza.sources import acquire
-from cadenza.sources.ingest import read_tracks
+from cadenza.sources.ingest import fetch_tracks, read_tracks, run_metadata_tool
+from cadenza.tables import written
 
 STAGES = ["ingest", "download", "stems", "analysis", "match"]
 
 
-def run_ingest(store: Store, path: str) -> DataFrame:
-    """Upserts the tracks of JSON lines; every one is queued (again)."""
-    tracks = numbered(read_tracks(store.spark, path), ["line", "entry"], "seq").drop("line", "entry")
+def run_ingest(store: Store, path: str | None = None, urls: list[str] | None = None, fetch: Callable[[str], str] = run_metadata_tool) -> DataFrame:
+    """Upserts the tracks of JSON lines in files (path), or of what fetch gives for addresses; every one is queued (again)."""
+    spark = store.spark
+    found = read_tracks(spark, path) if path else fetch_tracks(spark.createDataFrame([(u,) for u in urls or []], "url string"), fetch)
+    tracks = numbered(found, ["line", "entry"], "seq").drop("line", "entry")
     return store.put("songs", upsert_songs(store.read("songs"), tracks.withColumn("status", F.lit("queued")).withColumn("raw_path", F.lit(""))))
 
 
-def run_download(store: Store, fetch: acquire.Effect, probe: acquire.Effect) -> DataFrame:
+def run_download(store: Store, fetch: acquire.Effect, probe: acquire.Effect, existing: acquire.Effect | None = None, discard: acquire.Effect | None = None) -> DataFrame:
+    """Downloads what is queued or failed before; see ``acquire.download``. The effects run once: their outcome is written before songs are changed."""
     songs = store.read("songs")
-    got = acquire.download(songs, fetch, probe)
-    status = F.when(F.col("error").isNull() & (F.col("state") == "full"), "downloaded").otherwise("error")
-    songs = update_status(songs, got.select("id", status.alias("status"), F.when(status == "downloaded", F.col("raw_path")).otherwise("").alias("raw_path")))
-    return store.put("songs", songs)
+    got = written(acquire.download(songs, fetch, probe, existing, discard), "downloads")
+    return store.put("songs", acquire.settled(songs, got))
 
 
 def run_stems(store: Store, split: acquire.Effect) -> DataFrame:
     songs, stems = store.read("songs"), store.read("stems")
-    made = acquire.separate(songs, stems, split)
+    made = written(acquire.separate(songs, stems, split), "separated")
     good = made.filter("error is null")
     stems = store.put("stems", upsert_stems(stems, numbered(good.select("song_id", "stem_type", "file_path"), ["song_id", "stem_type"], "seq")))
     whole = stems.groupBy("song_id").agg(F.countDistinct("stem_type").alias("n")).filter("n = 3")
@@ -40,14 +43,28 @@ def run_stems(store: Store, split: acquire.Effect) -> DataFrame:
     return stems
 
 
-def run_analysis(store: Store, backend: acquire.Effect) -> DataFrame:
-    found = audio.analyse(store.read("stems"), backend).filter("error is null").drop("error")
+def audio_files(stems: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """The stems to analyse, by song and in the order full, vocals, instrumental; files (path): those that exist, others are skipped (None: all)."""
+    order = F.array_position(F.array(*[F.lit(s) for s in STEM_TYPES]), F.col("stem_type"))
+    if files is not None:
+        stems = stems.join(files.select(F.col("path").alias("file_path")).distinct(), "file_path", "left_semi")
+    return stems.filter(order > 0).orderBy("song_id", order).select("song_id", "stem_type", "file_path")
+
+
+def run_analysis(store: Store, backend: acquire.Effect, files: DataFrame | None = None) -> DataFrame:
+    found = written(audio.analyse(audio_files(store.read("stems"), files), backend).filter("error is null").drop("error"), "analysed")
     features = store.put("features", upsert_features(store.read("features"), numbered(found, ["song_id", "stem_type"], "seq")))
-    done = features.select(F.col("song_id").alias("id"), F.lit("analysed").alias("status"), F.lit("").alias("raw_path")).distinct()
+    done = found.select(F.col("song_id").alias("id"), F.lit("analysed").alias("status"), F.lit("").alias("raw_path")).distinct()
     store.put("songs", update_status(store.read("songs"), done))
     return features
 
 
+def totals(store: Store) -> dict[str, int]:
+    """How many rows every table has, and how many songs are in each status."""
+    out = {t: store.read(t).count() for t in TABLES}
+    return out | {f"songs {r['status']}": r["n"] for r in store.read("songs").groupBy("status").agg(F.count("*").alias("n")).orderBy("status").collect()}
+
+
 def run_match(store: Store, config: MatchConfig | None = None) -> DataFrame:
     features = store.read("features").withColumn("mfcc", F.from_json("mfcc_json", "array<double>"))
     scored = pairs.score_all(features, store.read("songs"), config)
@@ -83,18 +100,25 @@ def main(argv: list[str] | None = None) -> int:
     if args.reset:
         store.reset(sure=True)
     stages = STAGES if args.stages == [] else args.stages or []
-    if "ingest" in stages and args.tracks:
-        run_ingest(store, args.tracks)
+    for stage in ("download", "stems", "analysis"):
+        if stage in stages:
+            print(f"{stage}: skipped, as it needs a backend (run_{stage} takes one)")
+    if "ingest" in stages:
+        if args.tracks:
+            run_ingest(store, args.tracks)
+        else:
+            print("ingest: skipped, as --tracks is missing")
     if "match" in stages:
         run_match(store)
         print(seed_text(store, args.seed))
+    if stages:
+        print("  ".join(f"{k}: {n}" for k, n in totals(store).items()))
     if args.export:
         report.write_report(report.export_rows(store.read("mashup_candidates"), store.read("stems"), None, args.top_n), args.export)
     if args.prep:
         report.write_sessions(report.session_plan(store.read("mashup_candidates"), store.read("stems"), args.top_n), args.prep)
     if args.db_report:
-        report.report_features(store.read("songs"), store.read("features")).show(args.top_n, False)
-        report.report_pairs(store.read("mashup_candidates"), args.top_n).show(2 * args.top_n, False)
+        print(report.report_text(store.read("songs"), store.read("features"), store.read("mashup_candidates"), args.top_n))
     return 0
 
 

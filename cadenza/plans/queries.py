@@ -134,7 +134,7 @@ def db_report_top20(spark, sf):
 
 
 def db_report_features(spark, sf):
-    return report.report_features(songs(spark, sf), features(spark, sf))
+    return report.report_features(songs(spark, sf), features(spark, sf)).select("id", "title", "artist", "status", "stem_type", "bpm", "key", "mode", "camelot", "loudness_rms", "energy")
 
 
 def export_rows(spark, sf):
@@ -179,7 +179,7 @@ def upsert_features(spark, sf):
 def upsert_candidate(spark, sf):
     found = candidates(spark, sf).drop("vocal_key", "vocal_mode", "inst_key", "inst_mode")
     old = found.filter("vocal_song_id % 2 = 0").withColumn("id", c("vocal_song_id") * 10_000_000 + c("inst_song_id") * 2 + (c("combo_type") == VOCAL_OVER_INSTRUMENTAL).cast("long")).withColumn("vocal_title", F.lit("old")).withColumn("score_total", F.lit(0.0))
-    batch = found.filter("vocal_song_id % 4 < 2").withColumn("seq", F.struct("combo_type", "vocal_song_id", "inst_song_id"))
+    batch = found.filter("vocal_song_id % 4 <> 2").withColumn("seq", F.struct("combo_type", "vocal_song_id", "inst_song_id"))
     merged = store.upsert_candidates(old, batch)
     return _round_scores(merged.select("id", "combo_type", "vocal_song_id", "inst_song_id", "vocal_title", *SCORES))
 
@@ -221,7 +221,7 @@ def duration_strings(spark, sf):
 
 
 def safe_names(spark, sf):
-    t = F.concat(F.substring("text", 1, 60), F.lit(" - (é)"))
+    t = F.concat("text", F.lit(" - (é)"))
     a = F.concat(F.lit("Ça va? "), c("source"))
     return table(spark, sf, "documents").select("doc_id", S.file_name_part(t).alias("file_part"), S.stem_file_name(t, a, "vocals").alias("stem_name"), S.folder_name_part(t).alias("folder"))
 
@@ -268,6 +268,34 @@ def rms_zcr(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.round(audio.rms(samples), 6).alias("rms"), F.round(audio.zero_crossing_rate(samples), 6).alias("zcr"))
 
 
+def frame_rms_zcr(spark, sf):
+    samples = F.transform("embedding", lambda x: x.cast("double"))
+    return table(spark, sf, "embeddings").select("vec_id", F.round(audio.frame_rms(samples, 16, 4), 6).alias("rms"), F.round(audio.frame_zero_crossing_rate(samples, 16, 4), 6).alias("zcr"))
+
+
+def _attempted(row: dict) -> dict:
+    """A made-up download tool: the fallback's results exist unless the id divides by 5, even ids' own addresses work at once."""
+    if row.get("query"):
+        return {"path": f"/alt/{row['id']}/{row['query_ord']}/{row['result_rank']}"} if row["id"] % 5 and row["ord"] == 0 else {}
+    return {"path": f"/new/{row['id']}/{row['ord']}"} if row["id"] % 2 == 0 else {}
+
+
+def _probed(got: dict) -> dict:
+    _, kind, song, *rest = got["path"].split("/")
+    if kind == "old":
+        return {"secs": 20.0 if int(song) % 2 == 0 else 200.0}
+    if kind == "new":
+        return {"secs": 30.0 if int(song) % 3 == 0 else 180.0}
+    return {"secs": 36.0 if (5 * int(rest[0]) + int(rest[1]) + int(song)) % 11 == 0 else 10.0}
+
+
+def download_outcomes(spark, sf):
+    """Files there already, fresh downloads, previews with their search fallback, failures; and what they change in the songs."""
+    got = acquire.download(songs(spark, sf), _attempted, _probed, lambda row: {"path": f"/old/{row['id']}"} if row["id"] % 7 == 0 else {})
+    todo = acquire.work_queue(songs(spark, sf))
+    return acquire.settled(todo, got).select("id", "raw_path", "status", "duration_secs")
+
+
 def bpm_confidence(spark, sf):
     per_user = table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("beats"), F.sum(F.floor(c("value") * 10)).alias("samples"))
     return per_user.select("user_id", F.round(S.bpm_confidence(c("beats"), c("samples")), 6).alias("confidence"))

@@ -6,16 +6,20 @@ dict, and a raised error becomes the row's ``error``.
 
 from __future__ import annotations
 
+import subprocess
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.constants import PREVIEW_SECS, SEARCH_RESULTS
+from cadenza.constants import ATTEMPTS, PREVIEW_KB, PREVIEW_SECS, SEARCH_RESULTS
 from cadenza.functions import scalars as S
+from cadenza.operators.store import update_duration, update_status
 
 Effect = Callable[[dict], dict]
+LADDER = [dict(zip(("ord", "label", "format", "extractor_args", "use_cookies"), (i, *a))) for i, a in enumerate(ATTEMPTS)]
 
 
 def run_effect(rows: DataFrame, effect: Effect, schema: str) -> DataFrame:
@@ -81,24 +85,93 @@ def download_arguments(url: str, target: str, fmt: str, extractor_args: str = ""
     return [*out, url]
 
 
-def download(songs: DataFrame, fetch: Effect, probe: Effect) -> DataFrame:
-    """(id, raw_path, duration_secs, state): each song's attempts run until one succeeds; fetch gives path and size_bytes, probe gives secs."""
+def clean_outputs(target: Path) -> None:
+    """Deletes what a tool left under the target's stem; what can't be deleted stays."""
+    for path in target.parent.glob(f"{target.stem}.*"):
+        try:
+            path.unlink()
+        except OSError:
+            pass
+
+
+def run_download_tool(row: dict, target: Path, run: Callable = subprocess.run, seconds: int = 300) -> dict:
+    """One attempt: cleans up, runs the download tool and gives the target's path and size; a file of its stem is renamed to it. {}: failed.
+
+    row: source_url or query (with result_rank), format, extractor_args, use_cookies.
+    """
+    clean_outputs(target)
+    argv = download_arguments(row.get("query") or row["source_url"], f"{target.with_suffix('')}.%(ext)s", row["format"], row.get("extractor_args") or "", bool(row.get("use_cookies")), row.get("result_rank"))
+    try:
+        done = run(argv, capture_output=True, text=True, timeout=seconds)
+    except (FileNotFoundError, subprocess.TimeoutExpired):
+        return {}
+    if done.returncode:
+        return {}
+    if not target.exists():
+        found = next(iter(sorted(target.parent.glob(f"{target.stem}.*"))), None)
+        if found is None:
+            return {}
+        found.rename(target)
+    return {"path": str(target), "size_bytes": target.stat().st_size}
+
+
+def download(songs: DataFrame, fetch: Effect, probe: Effect, existing: Effect | None = None, discard: Effect | None = None) -> DataFrame:
+    """(id, raw_path, duration_secs, state, error) of the songs to download.
+
+    fetch gives path and size_bytes ({}: failed), probe gives secs, existing
+    the file that is there already, discard deletes a file. A full file that is
+    there is used again. Else the attempts at the song's address run until one
+    gives a file; if it is a preview, the searches' results are tried in order,
+    each by its own attempts, until one is longer. state: 'full', 'preview'
+    (nothing longer was found) or 'error'. duration_secs is known for files of
+    the fallback only, as the song's own metadata hold for the others.
+    """
+    probed = lambda got: _or_small(probe(got).get("secs"), got.get("size_bytes"))
+    drop = discard or (lambda got: {})
+
+    def first(row: dict, attempts: list) -> dict:
+        return next((got for a in attempts if (got := fetch(row | dict(a))).get("path")), {})
 
     def tried(row: dict) -> dict:
-        for a in row["attempts"]:
-            got = fetch(row | dict(a))
-            if got.get("path"):
-                secs = probe(got).get("secs")
-                return {"raw_path": got["path"], "probe_secs": secs, "size_bytes": got.get("size_bytes")}
-        raise RuntimeError("no attempt succeeded")
+        got = existing(row) if existing else {}
+        if got.get("path"):
+            if (probed(got) or 0) > PREVIEW_SECS:
+                return {"raw_path": got["path"], "state": "full"}
+            drop(got)
+        got = first(row, [a.asDict() if hasattr(a, "asDict") else a for a in row["attempts"]])
+        if not got:
+            raise RuntimeError("no attempt succeeded")
+        secs = probed(got)
+        if not secs or secs > PREVIEW_SECS:
+            return {"raw_path": got["path"], "state": "full"}
+        drop(got)
+        for query_ord, query in enumerate(row["queries"]):
+            for rank in range(1, SEARCH_RESULTS + 1):
+                got = first(row | {"query": query, "query_ord": query_ord, "result_rank": rank}, LADDER)
+                if got:
+                    if (secs := probed(got) or 0) > PREVIEW_SECS:
+                        return {"raw_path": got["path"], "duration_secs": secs, "state": "full"}
+                    drop(got)
+        return {"state": "preview"}
 
     plan = attempt_plan(work_queue(songs).select("id", "title", "artist", "source_url"))
     fields = F.struct("ord", "label", "format", "extractor_args", "use_cookies")
     per_song = plan.groupBy("id", "title", "artist", "source_url").agg(F.array_sort(F.collect_list(fields)).alias("attempts"))
-    got = run_effect(per_song, tried, "raw_path string, probe_secs double, size_bytes long")
-    secs = S.probed_duration(F.col("probe_secs"), F.col("size_bytes"))
-    state = F.when(F.col("error").isNotNull(), "error").otherwise(S.download_state(F.lit("fresh"), secs))
-    return got.select("id", F.coalesce("raw_path", F.lit("")).alias("raw_path"), secs.alias("duration_secs"), state.alias("state"), "error")
+    per_song = per_song.withColumn("queries", S.search_queries(F.col("title"), F.col("artist")))
+    got = run_effect(per_song, tried, "raw_path string, duration_secs double, state string")
+    return got.select("id", F.coalesce("raw_path", F.lit("")).alias("raw_path"), "duration_secs", F.coalesce("state", F.lit("error")).alias("state"), "error")
+
+
+def settled(songs: DataFrame, got: DataFrame) -> DataFrame:
+    """songs after ``download`` gave got: downloaded with a path (and the fallback's duration), or error."""
+    status = F.when(F.col("state") == "full", "downloaded").otherwise("error")
+    songs = update_status(songs, got.select("id", status.alias("status"), "raw_path"))
+    return update_duration(songs, got.filter("duration_secs is not null").select("id", "duration_secs"))
+
+
+def _or_small(secs: float | None, size_bytes: int | None) -> float | None:
+    """As ``scalars.probed_duration``, for one file inside an effect."""
+    return secs if secs is not None else 30.0 if size_bytes is not None and size_bytes / 1024 < PREVIEW_KB else None
 
 
 def separate(songs: DataFrame, stems: DataFrame, split: Effect) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import subprocess
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +61,28 @@ def read_tracks(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
     ordered = raw.select(F.struct("file", "block", "n").alias("line"), "value")
     return normalise(ordered)
+
+
+def run_metadata_tool(url: str, run: Callable = subprocess.run, seconds: int = 120) -> str:
+    """What the metadata tool prints for an address; '' if it is missing, fails or takes too long."""
+    try:
+        done = run(["yt-dlp", "--dump-json", "--no-warnings", url], capture_output=True, text=True, timeout=seconds)
+    except (FileNotFoundError, subprocess.TimeoutExpired):
+        return ""
+    return done.stdout if done.returncode == 0 else ""
+
+
+def fetch_tracks(urls: DataFrame, fetch: Callable[[str], str] = run_metadata_tool) -> DataFrame:
+    """Normalised tracks of addresses (column url); fetch gives an address's JSON lines and runs once for each, on the executors."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame([(url, i, text) for url in part["url"] for i, text in enumerate(fetch(url).splitlines())], columns=["url", "n", "value"])
+
+    lines = urls.select("url").mapInPandas(run, "url string, n long, value string")
+    return normalise(lines.select(F.struct("url", "n").alias("line"), "value"))
+
+
+def first_track(tracks: DataFrame) -> DataFrame:
+    """The first track by place; no row if there is none."""
+    return tracks.orderBy("line", "entry").limit(1)

@@ -2,13 +2,14 @@
 
 import csv
 import json
+import subprocess
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from cadenza.constants import VOCAL_OVER_INSTRUMENTAL, MatchConfig
-from cadenza.operators import pairs, rank, report
+from cadenza.operators import audio, pairs, rank, report
 from cadenza.operators import store as st
 from cadenza.plans import fixtures, pipeline
 from cadenza.sources import acquire, ingest
@@ -47,7 +48,7 @@ def test_upsert_is_sequential(spark):
 @pytest.mark.parametrize("adaptive, coalesce", [("true", "true"), ("true", "false"), ("false", "false")])
 def test_numbering_has_no_gaps(spark, tmp_path, adaptive, coalesce):
     """600,000 wide rows, so that ranges are sampled and partitions coalesced."""
-    wide = [F.sha2(F.concat(F.lit(f"{i}-"), F.col("id").cast("string")), 256).alias(f"c{i}") for i in range(8)]
+    wide = [F.sha2(F.concat(F.lit(f"{i}-"), F.col("id").cast("string")), 256).alias(f"c{i}") for i in range(3)]
     rows = spark.range(600_000).select("id", F.pmod(F.xxhash64("id"), F.lit(1_000_000_007)).alias("k"), *wide)
     old = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
     try:
@@ -130,12 +131,84 @@ def test_stages_end_to_end(spark, tmp_path):
     assert "SCORE:" in (tmp_path / "r.txt").read_text()
     assert report.write_sessions(report.session_plan(candidates, stems, 2), str(tmp_path / "fl")) == 2
     assert len(list(Path(tmp_path / "fl").glob("*/session_info.txt"))) == 2
+    text = report.report_text(store.read("songs"), store.read("features"), candidates, 2)
+    assert text.startswith("Songs: 6 (shown: 2)") and "MFCC [1.0" in text and "(shown: 12)" in text and "centroid 1.0" in text
+    assert pipeline.totals(store)["stems"] == 12 and pipeline.totals(store)["songs analysed"] == 4
     with pytest.raises(ValueError):
         store.reset()
     store.reset(sure=True)
     assert store.read("songs").count() == 0 and not report.write_report(report.export_rows(store.read("mashup_candidates"), store.read("stems")), str(tmp_path / "none"))
 
 
+def test_download_reuses_falls_back_and_cleans_up(spark):
+    songs = spark.createDataFrame([(i, f"S{i} (live)", "A", u, "queued", "", 10.0, "0:10") for i, u in ((1, "https://youtu.be/1"), (2, "u2"), (3, "u3"), (4, "u4"), (5, "https://youtu.be/5"))], "id long, title string, artist string, source_url string, status string, raw_path string, duration_secs double, duration_str string")
+
+    def fetch(row):
+        if row.get("query"):
+            hit = row["id"] == 3 and (row["query"], row["result_rank"], row["ord"]) == ("ytsearch5:A S3 lyrics", 2, 3)
+            return {"path": "/alt/long"} if hit else {"path": "/alt/short"} if row["id"] == 4 and row["ord"] == 0 else {}
+        return {} if row["id"] == 5 else {"path": f"/raw/{row['id']}/{row['ord']}", "size_bytes": 1000 if row["id"] in (3, 4) else 10**7} if row["ord"] == (2 if row["id"] == 1 else 0) else {}
+
+    probe = lambda got: {"secs": {"/old/2": 99.0, "/old/1": 9.0, "/alt/long": 50.0, "/alt/short": 35.0}.get(got["path"])}
+    got = acquire.download(songs, fetch, probe, lambda row: {"path": f"/old/{row['id']}"} if row["id"] < 3 else {})
+    found = {r["id"]: (r["status"], r["raw_path"], r["duration_secs"], r["duration_str"]) for r in acquire.settled(songs, got).collect()}
+    assert found == {1: ("downloaded", "/raw/1/2", 10.0, "0:10"), 2: ("downloaded", "/old/2", 10.0, "0:10"), 3: ("downloaded", "/alt/long", 50.0, "0:50"), 4: ("error", "", 10.0, "0:10"), 5: ("error", "", 10.0, "0:10")}
+
+
+def test_download_tool(tmp_path):
+    target = tmp_path / "song.mp3"
+    (tmp_path / "song.part").write_text("old")
+    (tmp_path / "song2.mp3").write_text("other")
+    row = {"source_url": "u", "format": "f", "extractor_args": "e", "use_cookies": True}
+    calls = []
+
+    def run(argv, **kw):
+        calls.append((argv, kw["timeout"], sorted(p.name for p in tmp_path.iterdir())))
+        (tmp_path / "song.webm").write_text("abc")
+        return subprocess.CompletedProcess(argv, 0, "", "")
+
+    assert acquire.run_download_tool(row, target, run) == {"path": str(target), "size_bytes": 3} and target.read_text() == "abc"
+    assert calls[0][1:] == (300, ["song2.mp3"]) and calls[0][0][-1] == "u" and "--no-playlist" in calls[0][0]
+    acquire.run_download_tool(row | {"query": "ytsearch5:q", "result_rank": 4}, target, run)
+    assert calls[1][0][-1] == "ytsearch5:q" and "4" in calls[1][0]
+    assert acquire.run_download_tool(row, target, lambda a, **k: subprocess.CompletedProcess(a, 1, "", "")) == {}
+    assert acquire.run_download_tool(row, target, lambda a, **k: subprocess.CompletedProcess(a, 0, "", "")) == {}
+    assert ingest.run_metadata_tool("u", lambda a, **k: subprocess.CompletedProcess(a, 0, "x", "")) == "x" and ingest.run_metadata_tool("u", lambda a, **k: subprocess.CompletedProcess(a, 2, "x", "")) == ""
+    for e in (FileNotFoundError(), subprocess.TimeoutExpired("x", 1)):
+        def fail(*a, error=e, **k):
+            raise error
+        assert acquire.run_download_tool(row, target, fail) == {} and ingest.run_metadata_tool("u", fail) == ""
+
+
+def test_fetched_tracks(spark):
+    urls = spark.createDataFrame([("a",), ("b",), ("c",)], "url string")
+    tracks = ingest.fetch_tracks(urls, lambda u: {"a": "\n".join(LINES), "c": ""}.get(u, '{"title":"B"}\n'))
+    assert [r["title"] for r in tracks.orderBy("line", "entry").collect()] == ["A", "E1", "Unknown", "P", "Z", "B"]
+    assert [r["title"] for r in ingest.first_track(tracks).collect()] == ["A"] and ingest.first_track(tracks.filter("false")).count() == 0
+
+
+def test_stem_order_skips_missing_files(spark):
+    stems = spark.createDataFrame([(2, "full", "/f"), (1, "instrumental", "/i"), (1, "vocals", "/v"), (1, "full", "/g"), (1, "odd", "/o")], "song_id long, stem_type string, file_path string")
+    files = spark.createDataFrame([("/i",), ("/g",), ("/o",), ("/f",), ("/f",)], "path string")
+    assert [r["file_path"] for r in pipeline.audio_files(stems, files).collect()] == ["/g", "/i", "/f"] and pipeline.audio_files(stems).count() == 4
+
+
+def test_frame_means(spark):
+    y = [float(x) for x in (1, -2, 3, 4, -5, 6, 0, -1, 2)]
+    row = spark.createDataFrame([(y, [[1.0, 4.0], [3.0, 0.0]], [])], "y array<double>, f array<array<double>>, e array<array<double>>").select(
+        audio.frame_rms(F.col("y"), 4, 2).alias("rms"), audio.frame_zero_crossing_rate(F.col("y"), 4, 2).alias("zcr"), audio.frame_mean(F.col("f")).alias("mean"), audio.frame_mean(F.col("e")).alias("none")).first()
+    frames = [y[max(0, i * 2 - 2) : i * 2 + 2] for i in range(len(y) // 2 + 1)]
+    assert row["rms"] == pytest.approx(sum((sum(v * v for v in f) / 4) ** 0.5 for f in frames) / len(frames))
+    assert row["zcr"] == pytest.approx(sum(sum((a >= 0) != (b >= 0) for a, b in zip(f, f[1:])) / 4 for f in frames) / len(frames))
+    assert row["mean"] == [2.0, 2.0] and row["none"] is None
+
+
+def test_score_names_fall_back():
+    old = {"vocal_title": "V", "total": 0.5, "score_bpm": 0.0, "bpm_score": 0.25, "score_key": 0.75}
+    text = report.format_results([type("R", (), {"asDict": lambda self: old})()])
+    assert "Score: 0.500  |  BPM: 0.25  Key: 0.75  Energy: 0.00  Timbre: 0.00" in text and "V — ?  [? BPM  ?]" in text
+
+
 def test_stream_merges_into_the_store(spark, tmp_path):
     schema = "seq long, title string, artist string, source_url string"
     spark.createDataFrame([(1, "a", "x", "u1"), (2, "b", "x", "u2"), (3, "c", "x", "u1")], schema).write.parquet(str(tmp_path / "in"))
