@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cadenza.llm._shared import leaning, written
+from cadenza.llm._shared import lean, leaning, written
 
 #: Ends every document.
 END = 1
@@ -28,7 +28,7 @@ _SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f
 _PLAIN = re.compile(r"(?!.*<\|)[!-~\u00c0-\u024f]+")
 #: The vocabulary's own division of words (fixed).
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Words whose ids a worker keeps; beyond, the store begins anew.
+#: Words whose ids a task keeps; beyond, the store begins anew.
 _WORDS = 600_000
 
 
@@ -43,7 +43,7 @@ class Words:
     """Ids by word for a vocabulary that drops white space and joins nothing across it.
 
     A text's ids are those of its words in a row, so up to 600,000 words are
-    kept with their ids. Words not seen before are merged in bulk: the same
+    kept with their ids while a task lasts. Words not seen before are merged in bulk: the same
     vocabulary as ranks, in which a zero byte stands for the end of a piece.
     Words outside plain Latin are left to the tokenizer itself.
     """
@@ -124,6 +124,10 @@ def tokenized(docs: DataFrame, vocabulary: str) -> DataFrame:
     width = "<u2" if Tokenizer.from_file(vocabulary).get_vocab_size() <= 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with lean(_words(vocabulary).known):
+            yield from parts(batches)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = 0
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
@@ -137,7 +141,7 @@ def tokenized(docs: DataFrame, vocabulary: str) -> DataFrame:
                 place += n
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = rows.mapInArrow(leaning(run), "doc_id long, place long, ids binary, n long")
+    found = rows.mapInArrow(run, "doc_id long, place long, ids binary, n long")
     return found.select("doc_id", F.xxhash64("doc_id", "place", F.crc32("ids")).alias("part"), "ids", "n")
 
 
@@ -266,9 +270,13 @@ def content_keys(tokens: DataFrame, frequency: np.ndarray, n: int, most: int = 5
         for b in batches:
             keys, salts = [], []
             for part, ids, size in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
-                terms = np.unique(_unpacked(ids, size)[:-1])
-                often = handle.value[terms]
-                rare = terms[often > 1][np.argsort(often[often > 1], kind="stable")[:3]].tolist()
+                terms = _unpacked(ids, size)[:-1].astype(np.int64)
+                ranks = (handle.value[terms] << 32) + terms
+                ranks = ranks[ranks >= 2 << 32]
+                least = np.unique(np.partition(ranks, 15)[:16] if len(ranks) > 16 else ranks)[:3]
+                if len(least) < 3 and len(ranks) > 16:
+                    least = np.unique(ranks)[:3]
+                rare = (least & 0xFFFFFFFF).tolist()
                 keys.append([*rare, *[-1] * (3 - len(rare))])
                 salts.append(part % -(-int(handle.value[rare[0]] if rare else n) // most))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.list_(pa.int32())), pa.array(salts, pa.int64())], names=["doc_id", "part", "ids", "n", "key", "salt"])
