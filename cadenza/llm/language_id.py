@@ -88,9 +88,10 @@ def _clusters(vectors: np.ndarray, k: int, rounds: int = 10) -> tuple[np.ndarray
     means = np.array(chosen)
     for _ in range(rounds):
         of = np.argmax(vectors @ means.T, axis=1)
-        for j in range(len(means)):
-            if (of == j).any():
-                means[j] = vectors[of == j].mean(axis=0)
+        # Sums by product, without a copy of the members.
+        member = (of == np.arange(len(means))[:, None]).astype(np.float32)
+        full = member.any(axis=1)
+        means[full] = (member @ vectors)[full]
         means /= np.linalg.norm(means, axis=1, keepdims=True)
     of = np.argmax(vectors @ means.T, axis=1)
     return means, of
@@ -151,9 +152,9 @@ def train(train: DataFrame, clusters: int = 4, sample: int = 1500, reject_share:
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         with lean():
-            rows = rows.sort_values(["doc_id", "text"])
+            order = rows[["doc_id", "text"]].sort_values(["doc_id", "text"]).index
             vectors, bands = np.empty((len(rows), 1 << BITS), dtype=np.float32), []
-            for text in rows["text"]:
+            for text in map(rows["text"].__getitem__, order):
                 if (counts := ngram_counts(text)) is not None:
                     vectors[len(bands)] = _vector(counts, idf)
                     bands.append(_band(counts))
