@@ -171,6 +171,13 @@ def _scan(docs: DataFrame, unit: type, window: int, anchor: int) -> DataFrame:
     return docs.mapInArrow(leaning(run), "key long, lo int, hi int, p int, seed long, run long")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, as lists of ranges take much memory once they are Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _bodies(docs: DataFrame, wanted: DataFrame, unit: type, window: int) -> DataFrame:
     """The wanted runs (key, lo, hi, p, seed, large) with the units they span as a binary column body."""
     per_doc = wanted.groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "p", "seed", "large", "open")).alias("runs"))
@@ -183,7 +190,7 @@ def _bodies(docs: DataFrame, wanted: DataFrame, unit: type, window: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held = 0
-        for b in batches:
+        for b in slices(batches):
             for key, text, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 units = unit.split(text)
                 for r in found:

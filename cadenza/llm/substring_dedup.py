@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm._shared import leaning
-from cadenza.llm.repeats import Words, covered, keyed, repeated_starts, spans_of
+from cadenza.llm.repeats import Words, covered, keyed, repeated_starts, slices, spans_of
 
 PREFIX = 8
 
@@ -76,7 +76,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, prefix: int = PREFIX) -> D
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept", pa.string()), ("spans", span)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sizes, kept, spans = [], [], []
             for text, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 words = text.encode("utf-8", "surrogatepass").split()

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm._shared import leaning
-from cadenza.llm.repeats import Bytes, covered, keyed, repeated_starts, spans_of
+from cadenza.llm.repeats import Bytes, covered, keyed, repeated_starts, slices, spans_of
 
 ANCHOR = 64
 
@@ -74,7 +74,7 @@ def remove_repeats(docs: DataFrame, window: int = 200, anchor: int = ANCHOR, kee
     names = ["doc_id", "n_bytes", "kept", "spans", "rest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sizes, kept, spans = [], [], []
             for text, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 units = Bytes.split(text)
