@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from cadenza.llm import chat_format, decontamination, html_extraction, language_id, maxscore, packing, simhash, toxicity
+from cadenza.llm import chat_format, decontamination, edited, html_extraction, language_id, maxscore, packing, simhash, toxicity
 from tests.llm.helpers import SCHEMA, SF, corpus, docs
 
 MESSAGES = "tree long, node long, parent long, score double, role string, text string, t string, known string"
@@ -184,6 +184,16 @@ def test_edited_copies_leave_the_pipeline(spark):
     assert stage(spark, docs(spark, texts).filter("false"), SF).count() == 0
 
 
+def test_bitmaps_differ_in_no_more_bits_than_the_sets():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 50, 700, 20_000):
+        hashes = np.unique(rng.integers(0, 1 << 63, n + 200, dtype=np.uint64) << np.uint64(1))
+        one, two = hashes[: n + 100], hashes[rng.integers(0, 100) :]
+        bits = sum(int(x).bit_count() for x in (edited._bitmap(one) ^ edited._bitmap(two)).view(np.uint64))
+        assert bits <= len(set(one.tolist()) ^ set(two.tolist())) and (n == 20_000 or bits)
+        assert len(edited._bitmap(one)) == 32 and not (edited._bitmap(one) ^ edited._bitmap(one[::-1])).any()
+
+
 @pytest.mark.parametrize("block", [32, 0])
 def test_top_k_matches_brute_force(spark, block):
     rng = np.random.default_rng(4)
