@@ -138,7 +138,8 @@ def edited_copies(docs: DataFrame, shingle: int = 5, share: float = 0.8) -> Data
         met = met.filter((F.least(n - F.col("doc.pos"), m - F.col("other.pos")) + 1e-6 >= least * (n + m)) & (F.least(n, m) + 1e-6 >= share * F.greatest(n, m)))
         met = met.select(F.least("doc.key", "other.key").alias("u"), F.greatest("doc.key", "other.key").alias("v")).distinct()
         pairs = written(met.join(ends[0], "u").join(ends[1], "v").filter(apart <= (1 - 2 * least) * (F.col("nu") + F.col("nv")) + 1e-6).select("u", "v"), "pairs")
-        asked = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
+        # Written, so that its size is known: a small one is sent to the texts, which then aren't shuffled.
+        asked = written(pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct(), "asked")
         sets = written(_shingled(docs.join(asked, "key", "left_semi"), shingle).withColumn("rank", F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")), "sets")
         one, two = (sets.select(F.col("key").alias(k), F.col("shingles").alias(f"s{k}"), F.col("rank").alias(f"r{k}")) for k in "uv")
         both = pairs.join(one, "u").join(two, "v").select(F.greatest("ru", "rv")["key"].alias("key"), F.size("su").alias("n"), F.size("sv").alias("m"), F.size(F.array_intersect("su", "sv")).alias("common"))
@@ -146,6 +147,6 @@ def edited_copies(docs: DataFrame, shingle: int = 5, share: float = 0.8) -> Data
         gone = written(gone.unionByName(found).distinct(), "gone")
         led = rest.join(leaders, "shingle").filter(~F.exists("leaders", lambda x: x["key"] == F.col("doc.key"))).select("shingle", "doc", "index")
         before, rest = rest, written(led.join(found, F.col("doc.key") == found["key"], "left_anti"), "rest")
-        dropped(before, leaders, pairs, sets)
+        dropped(before, leaders, pairs, asked, sets)
         turn += 1
     return gone
