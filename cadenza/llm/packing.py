@@ -89,10 +89,10 @@ class Words:
         """The ids of whole texts, each followed by ``END``."""
         if len(self.known) > _WORDS:
             self.known.clear()
-        known = self.known
         split = [_SPACE.split(t) if _SEPARATORS.search(t) else t.split() for t in texts]
-        self._learn(list({w for words in split for w in words if w not in known}))
-        return [np.frombuffer(b"".join(map(known.__getitem__, words)) + _END, dtype="<u4") for words in split]
+        self._learn(list(set().union(*split).difference(self.known)))
+        ids_of = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(ids_of, words)) + _END, dtype="<u4") for words in split]
 
 
 _END = np.array([END], dtype="<u4").tobytes()
@@ -131,8 +131,8 @@ def tokenized(docs: DataFrame, vocabulary: str) -> DataFrame:
         place = 0
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            for at in range(0, len(texts), 500):
-                ids = token_ids(texts[at : at + 500], vocabulary)
+            for at in range(0, len(texts), 100):
+                ids = token_ids(texts[at : at + 100], vocabulary)
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0)[at : at + n], pa.array(np.arange(place, place + n)), pa.array([x.astype(width).tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())],
