@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cadenza.llm.chat_format import OP2_SQL, op2_chat_formatting
 from cadenza.llm.decontamination import OP3_SQL, op3_benchmark_decontamination
+from cadenza.llm.filter_audit import OP11_SQL, op11_filter_interaction_audit
 from cadenza.llm.html_extraction import op7_html_extraction
 from cadenza.llm.language_id import op8_language_id
 from cadenza.llm.maxscore import OP5_SQL, op5_exact_top_k
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
+    "op11_filter_interaction_audit": op11_filter_interaction_audit,
 }
 
 SQL: dict[str, str] = {
@@ -32,4 +34,5 @@ SQL: dict[str, str] = {
     "op5_exact_top_k": OP5_SQL,
     "op6_suffix_array_dedup": OP6_SQL,
     "op9_substring_dedup": OP9_SQL,
+    "op11_filter_interaction_audit": OP11_SQL,
 }
