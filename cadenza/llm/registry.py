@@ -12,6 +12,7 @@ from cadenza.llm.packing import op10_packing
 from cadenza.llm.simhash import op4_simhash_near_dedup
 from cadenza.llm.substring_dedup import OP9_SQL, op9_substring_dedup
 from cadenza.llm.suffix_dedup import OP6_SQL, op6_suffix_array_dedup
+from cadenza.llm.token_counts import op12_token_counts
 from cadenza.llm.toxicity import op1_toxicity
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
     "op11_filter_interaction_audit": op11_filter_interaction_audit,
+    "op12_token_counts": op12_token_counts,
 }
 
 SQL: dict[str, str] = {
