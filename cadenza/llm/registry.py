@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cadenza.llm.chat_format import OP2_SQL, op2_chat_formatting
+from cadenza.llm.conversation_repair import OP13_SQL, op13_conversation_structure_repair
 from cadenza.llm.decontamination import OP3_SQL, op3_benchmark_decontamination
 from cadenza.llm.filter_audit import OP11_SQL, op11_filter_interaction_audit
 from cadenza.llm.html_extraction import op7_html_extraction
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_filter_interaction_audit": op11_filter_interaction_audit,
     "op12_token_counts": op12_token_counts,
+    "op13_conversation_structure_repair": op13_conversation_structure_repair,
 }
 
 SQL: dict[str, str] = {
@@ -37,4 +39,5 @@ SQL: dict[str, str] = {
     "op6_suffix_array_dedup": OP6_SQL,
     "op9_substring_dedup": OP9_SQL,
     "op11_filter_interaction_audit": OP11_SQL,
+    "op13_conversation_structure_repair": OP13_SQL,
 }
