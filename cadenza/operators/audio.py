@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -82,6 +83,23 @@ def frame_zero_crossing_rate(samples: Column, frame: int = 2048, hop: int = 512)
     return _framed(samples, lambda f: zero_crossing_rate(f) * F.size(f) / frame, frame, hop)
 
 
+def frame_energy(samples: Column, frame: int = 2048, hop: int = 512) -> Column:
+    """The mean power of the spectrum's bins over windowed frames, without a transform.
+
+    By Parseval's identity the power of all bins is that of the samples times
+    the frame's length; of the bins from 0 to the highest all but these two
+    occur twice, so half the sum of everything and of the two is theirs.
+    """
+    window = F.array(*[F.lit(0.5 - 0.5 * math.cos(2 * math.pi * i / frame)) for i in range(frame)])
+    padded = F.concat(F.array_repeat(F.lit(0.0), frame // 2), samples, F.array_repeat(F.lit(0.0), frame))
+    rows = F.transform(F.sequence(F.lit(0), F.floor(F.size(samples) / hop).cast("int")), lambda i: F.zip_with(F.slice(padded, i * hop + 1, F.lit(frame)), window, lambda x, w: x * w))
+    square = lambda v: v * v
+    turning = lambda f: _sum(F.transform(f, lambda v, i: F.when(i % 2 == 0, v).otherwise(-v)))
+    power = lambda f: (frame * _sum(F.transform(f, square)) + square(_sum(f)) + square(turning(f))) / (2 * (frame // 2 + 1))
+    values = F.transform(rows, power)
+    return _sum(values) / F.size(values)
+
+
 def analyse(files: DataFrame, backend: Callable[[dict], dict]) -> DataFrame:
     """Features of files (song_id, stem_type, file_path) by a backend that decodes audio.
 

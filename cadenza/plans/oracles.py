@@ -96,6 +96,21 @@ folded AS (
 _ATTEMPTS = "VALUES (0, 'ios+bestaudio', 'bestaudio/best', false), (1, 'android_web+bestaudio', 'bestaudio/best', false), (2, 'android_web+ba/b', 'ba/b', false), (3, 'cookies+android_web+ba/b', 'ba/b', true)"
 _STATE = "CASE {0} WHEN 'existing' THEN CASE WHEN secs > 35 THEN 'full' ELSE 'redo' END WHEN 'fresh' THEN CASE WHEN secs <= 35 THEN 'preview' ELSE 'full' END ELSE CASE WHEN secs > 35 THEN 'full' ELSE 'preview' END END"
 
+#: Signals of embeddings in frames of 16 samples at every HOP of them (half a frame of silence before, more after), and the frames' magnitudes by direct sums.
+_MAGNITUDES = """
+WITH x AS (SELECT vec_id, list_concat([0, 0, 0, 0, 0, 0, 0, 0]::DOUBLE[], CAST(embedding AS DOUBLE[]), [0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0]::DOUBLE[]) AS p, len(embedding) AS n FROM embeddings WHERE len(embedding) > 0),
+fr AS (SELECT vec_id, i, p[HOP * i + 1 : HOP * i + 16] AS y FROM (SELECT *, unnest(range(0, n // HOP + 1)) AS i FROM x)),
+s AS (SELECT vec_id, i, j, y[j + 1] * (0.5 - 0.5 * cos(2 * pi() * j / 16)) AS v FROM fr, range(0, 16) r(j)),
+m AS (SELECT vec_id, i, k, sqrt(pow(sum(v * cos(2 * pi() * j * k / 16)), 2) + pow(sum(v * sin(2 * pi() * j * k / 16)), 2)) AS mag FROM s, range(0, 9) q(k) GROUP BY vec_id, i, k)"""
+#: Six mel bands of those frames at 8,000 samples a second, in decibels at most 80 below the signal's greatest.
+_DECIBELS = _MAGNITUDES + """,
+top(mel) AS (SELECT 15 + ln(4) * 27 / ln(6.4)),
+edge AS (SELECT b, CASE WHEN mel * b / 7 < 15 THEN mel * b / 7 * 200 / 3 ELSE 1000 * exp((mel * b / 7 - 15) * ln(6.4) / 27) END AS f FROM top, range(0, 8) r(b)),
+weights AS (
+  SELECT l.b, k, greatest(0, least((500 * k - l.f) / (c.f - l.f), (h.f - 500 * k) / (h.f - c.f))) * 2 / (h.f - l.f) AS w
+  FROM edge l JOIN edge c ON c.b = l.b + 1 JOIN edge h ON h.b = l.b + 2, range(0, 9) q(k)),
+power AS (SELECT vec_id, i, b, 10 * log10(greatest(sum(mag * mag * w), 1e-10)) AS db FROM m JOIN weights USING (k) GROUP BY vec_id, i, b),
+db AS (SELECT vec_id, i, b, greatest(db, max(db) OVER (PARTITION BY vec_id) - 80) AS db FROM power)"""
 SQL: dict[str, str] = {
     "songs_scan": _sql("SELECT * FROM songs ORDER BY id"),
     "work_queue": _sql("SELECT id, title, status FROM songs WHERE status IN ('queued', 'error')"),
@@ -163,6 +178,25 @@ SQL: dict[str, str] = {
     "frame_rms_zcr": (
         "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), f AS (SELECT vec_id, x, unnest(range(0, len(x) // 4 + 1)) AS i FROM e), g AS (SELECT vec_id, x[greatest(1, 4 * i - 7) : least(len(x), 4 * i + 8)] AS y FROM f) "
         "SELECT vec_id, round(avg(sqrt(coalesce(list_sum(list_transform(y, lambda v: v * v)), 0) / 16)), 6) AS rms, round(avg(len(list_filter(range(1, len(y)), lambda i: (y[i] >= 0) <> (y[i + 1] >= 0))) / CAST(16 AS DOUBLE)), 6) AS zcr FROM g GROUP BY vec_id"),
+    "frame_energy": _MAGNITUDES.replace("HOP", "4") + " SELECT vec_id, round(energy, 6) AS energy FROM embeddings LEFT JOIN (SELECT vec_id, avg(mag * mag) AS energy FROM m GROUP BY vec_id) USING (vec_id)",
+    "spectral_shape": _MAGNITUDES.replace("HOP", "4") + (
+        ", r AS (SELECT *, sum(mag) OVER (PARTITION BY vec_id, i ORDER BY k) AS running, sum(mag) OVER (PARTITION BY vec_id, i) AS total FROM m), "
+        "f AS (SELECT vec_id, i, avg(mag * mag) AS energy, coalesce(sum(mag * k * 500) / nullif(sum(mag), 0), 0) AS centroid, min(k * 500) FILTER (WHERE running >= 0.85 * total) AS rolloff FROM r GROUP BY vec_id, i) "
+        "SELECT vec_id, round(avg(energy), 6) AS energy, round(avg(centroid), 6) AS centroid, round(avg(rolloff), 6) AS rolloff FROM f GROUP BY vec_id"),
+    "mfcc_means": _DECIBELS.replace("HOP", "4") + (
+        ", means AS (SELECT vec_id, b, avg(db) AS v FROM db GROUP BY vec_id, b) "
+        "SELECT vec_id, CAST(k AS INTEGER) AS k, round(sum(v * cos(pi() * k * (b + 0.5) / 6)) * sqrt((CASE k WHEN 0 THEN 1 ELSE 2 END) / 6), 4) + 0 AS value FROM means, range(0, 5) q(k) GROUP BY vec_id, k"),
+    "chroma_means": (
+        "WITH x AS (SELECT vec_id, list_concat(list_transform(range(0, 16), lambda z: CAST(0 AS DOUBLE)), CAST(embedding AS DOUBLE[]), list_transform(range(0, 32), lambda z: CAST(0 AS DOUBLE))) AS p, len(embedding) AS n FROM embeddings WHERE len(embedding) > 0), "
+        "fr AS (SELECT vec_id, i, p[8 * i + 1 : 8 * i + 32] AS y FROM (SELECT *, unnest(range(0, n // 8 + 1)) AS i FROM x)), s AS (SELECT vec_id, i, j, y[j + 1] * (0.5 - 0.5 * cos(2 * pi() * j / 32)) / 32 AS v FROM fr, range(0, 32) r(j)), "
+        "q AS (SELECT vec_id, i, t, sqrt(pow(sum(v * cos(2 * pi() * 4 * pow(2, t / CAST(12 AS DOUBLE)) * (j - 16) / 64)), 2) + pow(sum(v * sin(2 * pi() * 4 * pow(2, t / CAST(12 AS DOUBLE)) * (j - 16) / 64)), 2)) AS mag FROM s, range(0, 24) p(t) GROUP BY vec_id, i, t), "
+        "c AS (SELECT vec_id, i, t % 12 AS class, sum(mag) AS v FROM q GROUP BY vec_id, i, t % 12), u AS (SELECT vec_id, class, coalesce(v / nullif(max(v) OVER (PARTITION BY vec_id, i), 0), 0) AS v FROM c) "
+        "SELECT vec_id, CAST(class AS INTEGER) AS class, round(avg(v), 6) AS value FROM u GROUP BY vec_id, class"),
+    "beat_periods": _DECIBELS.replace("HOP", "1") + (
+        ", o AS (SELECT vec_id, i, coalesce(avg(rise), 0) AS v FROM (SELECT vec_id, i, greatest(db - lag(db) OVER (PARTITION BY vec_id, b ORDER BY i), 0) AS rise FROM db) GROUP BY vec_id, i), l AS (SELECT vec_id, i, v - avg(v) OVER (PARTITION BY vec_id) AS v FROM o), "
+        "ac AS (SELECT a.vec_id, b.i - a.i AS lag, greatest(0, sum(a.v * b.v)) AS r FROM l a JOIN l b ON a.vec_id = b.vec_id AND b.i >= a.i GROUP BY a.vec_id, b.i - a.i), own AS (SELECT vec_id, list(r / r0 ORDER BY lag) AS r FROM ac JOIN (SELECT vec_id, r AS r0 FROM ac WHERE lag = 0 AND r > 0) USING (vec_id) GROUP BY vec_id), "
+        "sc AS (SELECT vec_id, lag, greatest(0, r[lag + 1] - list_max(list_transform([2, 3, 4, 5], lambda m: r[lag // m + 1] + (lag % m) / CAST(m AS DOUBLE) * (r[lag // m + 2] - r[lag // m + 1])))) * exp(-0.5 * pow(log2(480 / CAST(lag AS DOUBLE) / 120), 2)) AS score FROM own, range(2, 17) p(lag) WHERE lag < len(r)) "
+        "SELECT vec_id, coalesce(lag, 0) AS lag FROM (SELECT DISTINCT vec_id FROM x) LEFT JOIN (SELECT vec_id, arg_max(lag, score) AS lag FROM sc WHERE score > 0 GROUP BY vec_id) USING (vec_id)"),
     "download_outcomes": _sql(
         "SELECT id, CASE WHEN old THEN '/old/' || id WHEN fresh AND id % 3 <> 0 THEN '/new/' || id || '/0' WHEN fresh AND id % 5 <> 0 THEN '/alt/' || id || '/' || ((k - 1) // 5) || '/' || ((k - 1) % 5 + 1) ELSE '' END AS raw_path, "
         "CASE WHEN old OR (fresh AND (id % 3 <> 0 OR id % 5 <> 0)) THEN 'downloaded' ELSE 'error' END AS status, CASE WHEN NOT old AND fresh AND id % 3 = 0 AND id % 5 <> 0 THEN CAST(36 AS DOUBLE) ELSE duration_secs END AS duration_secs "

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from cadenza.constants import CAMELOT_MAJOR, CAMELOT_MINOR, INSTRUMENTAL_OVER_INSTRUMENTAL, KEY_NAMES, SEMITONES, STATUSES, VOCAL_OVER_INSTRUMENTAL
 from cadenza.functions import scalars as S
-from cadenza.operators import audio, pairs, rank, report, store
+from cadenza.operators import audio, pairs, rank, report, spectrum, store
 from cadenza.plans.fixtures import candidates, features, songs, stems, table
 from cadenza.sources import acquire, ingest
+from cadenza.tables import written
 
 c = F.col
 SCORES = ["score_total", "score_bpm", "score_key", "score_energy", "score_timbre"]
@@ -273,6 +274,40 @@ def frame_rms_zcr(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.round(audio.frame_rms(samples, 16, 4), 6).alias("rms"), F.round(audio.frame_zero_crossing_rate(samples, 16, 4), 6).alias("zcr"))
 
 
+def frame_energy(spark, sf):
+    samples = F.transform("embedding", lambda x: x.cast("double"))
+    return table(spark, sf, "embeddings").select("vec_id", F.round(audio.frame_energy(samples, 16, 4), 6).alias("energy"))
+
+
+def _chunks(spark: SparkSession, sf: str, size: int) -> DataFrame:
+    """Embeddings as signals, cut into chunks."""
+    return spectrum.chunked(table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("samples")), size, ("vec_id",))
+
+
+def _frames(spark: SparkSession, sf: str, hop: int) -> DataFrame:
+    return written(spectrum.spectra(_chunks(spark, sf, 16), 16, 8000, 16, hop, 6, ("vec_id",)), "frames")
+
+
+def spectral_shape(spark, sf):
+    frames = spectrum.spectra(_chunks(spark, sf, 16), 16, 8000, 16, 4, 6, ("vec_id",))
+    return frames.groupBy("vec_id").agg(*[F.round(F.avg(n), 6).alias(n) for n in ("energy", "centroid", "rolloff")])
+
+
+def mfcc_means(spark, sf):
+    found = spectrum.mfcc(spectrum.decibels(_frames(spark, sf, 4), ("vec_id",)), 6, 5, ("vec_id",))
+    return found.select("vec_id", F.posexplode("mfcc").alias("k", "v")).select("vec_id", "k", (F.round("v", 4) + 0.0).alias("value"))
+
+
+def chroma_means(spark, sf):
+    found = spectrum.chroma(_chunks(spark, sf, 32), 32, 64, 32, 8, 4.0, 2, 0.0, ("vec_id",))
+    return found.select("vec_id", F.posexplode("chroma").alias("class", "v")).select("vec_id", "class", F.round("v", 6).alias("value"))
+
+
+def beat_periods(spark, sf):
+    envelopes = spectrum.onsets(spectrum.decibels(_frames(spark, sf, 1), ("vec_id",)), ("vec_id",))
+    return spectrum.rhythm(envelopes, 8, 1, ("vec_id",)).select("vec_id", "lag")
+
+
 def _attempted(row: dict) -> dict:
     """A made-up download tool: the fallback's results exist unless the id divides by 5, even ids' own addresses work at once."""
     if row.get("query"):
