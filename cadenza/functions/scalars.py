@@ -37,6 +37,10 @@ def file_name_part(name: Column, most: int = 40) -> Column:
     return F.substring(F.regexp_replace(kept, r"(?U)[\s-]+", "_"), 1, most)
 
 
+def download_name(title: Column, artist: Column) -> Column:
+    return F.concat(file_name_part(title), F.lit("_"), file_name_part(artist), F.lit(".mp3"))
+
+
 def stem_file_name(title: Column, artist: Column, suffix: str) -> Column:
     part = lambda c, n: F.substring(F.regexp_replace(text_or_empty(c), r"(?U)[^\w]", "_"), 1, n)
     return F.concat(part(title, 40), F.lit("_"), part(artist, 30), F.lit(f"_{suffix}.wav"))

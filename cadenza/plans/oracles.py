@@ -93,7 +93,9 @@ batch AS (
 folded AS (
   SELECT source_url, min(seq) AS first_seq, max_by(title, seq) AS title, max_by(artist, seq) AS artist, max_by(genre, seq) AS genre, max_by(duration_secs, seq) AS duration_secs, max_by(status, seq) AS status,
     coalesce(max_by(raw_path, seq) FILTER (WHERE raw_path <> ''), '') AS raw_path, max_by(duration_str, seq) AS duration_str FROM batch GROUP BY source_url)"""
-_ATTEMPTS = "VALUES (0, 'ios+bestaudio', 'bestaudio/best', false), (1, 'android_web+bestaudio', 'bestaudio/best', false), (2, 'android_web+ba/b', 'ba/b', false), (3, 'cookies+android_web+ba/b', 'ba/b', true)"
+_ATTEMPTS = (
+    "VALUES (0, 'ios+bestaudio', 'bestaudio/best', 'youtube:player_client=ios', false), (1, 'android_web+bestaudio', 'bestaudio/best', 'youtube:player_client=android,web', false), "
+    "(2, 'android_web+ba/b', 'ba/b', 'youtube:player_client=android,web', false), (3, 'cookies+android_web+ba/b', 'ba/b', 'youtube:player_client=android,web', true)")
 _STATE = "CASE {0} WHEN 'existing' THEN CASE WHEN secs > 35 THEN 'full' ELSE 'redo' END WHEN 'fresh' THEN CASE WHEN secs <= 35 THEN 'preview' ELSE 'full' END ELSE CASE WHEN secs > 35 THEN 'full' ELSE 'preview' END END"
 
 #: Signals of embeddings in frames of 16 samples at every HOP of them (half a frame of silence before, more after), and the frames' magnitudes by direct sums.
@@ -167,7 +169,7 @@ SQL: dict[str, str] = {
     "clean_titles": r"SELECT p_partkey, trim(regexp_replace(p_name || ' (Official) [HD] ' || p_partkey, '\s*[\(\[].*?[\)\]]', '', 'g')) AS title FROM part",
     "youtube_like_urls": "SELECT page_id, (u LIKE 'ytsearch%' OR u LIKE '%youtube.com/%' OR u LIKE '%youtu.be/%') AS is_youtube FROM (SELECT page_id, lower(trim(CASE page_id % 4 WHEN 0 THEN ' HTTPS://YouTu.be/' || page_id WHEN 1 THEN 'ytsearch5:' || url ELSE url END)) AS u FROM pages)",
     "search_plan": _sql(r"SELECT id, CAST(o AS INTEGER) AS query_ord, 'ytsearch5:' || artist || ' ' || trim(regexp_replace(title, '\s*[\(\[].*?[\)\]]', '', 'g')) || q AS query, CAST(r AS INTEGER) AS result_rank FROM songs, (VALUES (0, ' official audio'), (1, ' lyrics'), (2, '')) s(o, q), range(1, 6) t(r)"),
-    "attempt_ladder_first_success": _sql(f"SELECT id, CAST(ord AS INTEGER) AS ord, label, format, use_cookies FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord) AS n FROM songs, ({_ATTEMPTS}) a(ord, label, format, use_cookies) WHERE (id % 2 = 0 OR ord = 0) AND (id + ord) % 3 = 2) WHERE n = 1"),
+    "attempt_ladder_first_success": _sql(f"SELECT id, CAST(ord AS INTEGER) AS ord, label, format, CASE WHEN id % 2 = 0 THEN args ELSE '' END AS extractor_args, use_cookies FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord) AS n FROM songs, ({_ATTEMPTS}) a(ord, label, format, args, use_cookies) WHERE (id % 2 = 0 OR ord = 0) AND (id + ord) % 3 = 2) WHERE n = 1"),
     "fallback_search_first_long": _sql("SELECT id, CAST(o AS INTEGER) AS query_ord, CAST(r AS INTEGER) AS result_rank, CAST(d AS DOUBLE) AS duration_secs FROM (SELECT id, o, r, (id * 7 + o * 5 + r * 3) % 40 AS d, row_number() OVER (PARTITION BY id ORDER BY o, r) AS n FROM songs, range(0, 3) q(o), range(1, 6) t(r) WHERE (id * 7 + o * 5 + r * 3) % 40 > 35) WHERE n = 1"),
     "preview_decision": f"WITH e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 AND value IS NOT NULL THEN value WHEN event_id * 1000 / 1024 < 560 THEN 30 END AS secs, (['existing', 'fresh', 'fallback'])[event_id % 3 + 1] AS a, (['fresh', 'fallback', 'existing'])[event_id % 3 + 1] AS b FROM events) SELECT event_id, {_STATE.format('a')} AS state, {_STATE.format('b')} AS other_state FROM e",
     "key_detection": _sql(

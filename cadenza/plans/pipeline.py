@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.constants import INSTRUMENTAL_OVER_INSTRUMENTAL, STEM_TYPES, VOCAL_OVER_INSTRUMENTAL, MatchConfig
-from cadenza.operators import audio, pairs, rank, report
+from cadenza.operators import audio, pairs, rank, report, spectrum
 from cadenza.operators.store import TABLES, Store, numbered, update_status, upsert_candidates, upsert_features, upsert_songs, upsert_stems
-from cadenza.sources import acquire
-from cadenza.sources.ingest import fetch_tracks, read_tracks, run_metadata_tool
+from cadenza.sources import acquire, listing, waves
+from cadenza.sources.ingest import read_tracks, run_metadata_tool
+from cadenza.sources.track_source import tracks_of
 from cadenza.tables import written
 
 STAGES = ["ingest", "download", "stems", "analysis", "match"]
@@ -21,7 +22,7 @@ STAGES = ["ingest", "download", "stems", "analysis", "match"]
 def run_ingest(store: Store, path: str | None = None, urls: list[str] | None = None, fetch: Callable[[str], str] = run_metadata_tool) -> DataFrame:
     """Upserts the tracks of JSON lines in files (path), or of what fetch gives for addresses; every one is queued (again)."""
     spark = store.spark
-    found = read_tracks(spark, path) if path else fetch_tracks(spark.createDataFrame([(u,) for u in urls or []], "url string"), fetch)
+    found = written(read_tracks(spark, path) if path else tracks_of(spark, urls or [], fetch), "tracks")  # the addresses are asked once
     tracks = numbered(found, ["line", "entry"], "seq").drop("line", "entry")
     return store.put("songs", upsert_songs(store.read("songs"), tracks.withColumn("status", F.lit("queued")).withColumn("raw_path", F.lit(""))))
 
@@ -33,13 +34,18 @@ def run_download(store: Store, fetch: acquire.Effect, probe: acquire.Effect, exi
     return store.put("songs", acquire.settled(songs, got))
 
 
-def run_stems(store: Store, split: acquire.Effect) -> DataFrame:
+def run_stems(store: Store, split: acquire.Effect, exists: Callable[[DataFrame], DataFrame] = listing.existing) -> DataFrame:
+    """Stems of every song whose raw file exists: those that are there are kept, the others come from split; the raw file is stem 'full'.
+
+    A song is then stemmed, or error where split failed. exists: which of paths are files.
+    """
     songs, stems = store.read("songs"), store.read("stems")
-    made = written(acquire.separate(songs, stems, split), "separated")
+    files = written(exists(songs.select(F.col("raw_path").alias("path")).unionByName(stems.select(F.col("file_path").alias("path")))), "files")
+    made = written(acquire.separate(songs, stems, split, files), "separated")
     good = made.filter("error is null")
     stems = store.put("stems", upsert_stems(stems, numbered(good.select("song_id", "stem_type", "file_path"), ["song_id", "stem_type"], "seq")))
-    whole = stems.groupBy("song_id").agg(F.countDistinct("stem_type").alias("n")).filter("n = 3")
-    store.put("songs", update_status(songs, songs.filter("raw_path <> ''").join(whole, F.col("id") == F.col("song_id"), "left").select("id", F.when(F.col("n").isNotNull(), "stemmed").otherwise("error").alias("status"), F.lit("").alias("raw_path"))))
+    status = F.when(F.max("error").isNull(), "stemmed").otherwise("error").alias("status")
+    store.put("songs", update_status(songs, made.groupBy(F.col("song_id").alias("id")).agg(status).withColumn("raw_path", F.lit(""))))
     return stems
 
 
@@ -51,8 +57,27 @@ def audio_files(stems: DataFrame, files: DataFrame | None = None) -> DataFrame:
     return stems.filter(order > 0).orderBy("song_id", order).select("song_id", "stem_type", "file_path")
 
 
-def run_analysis(store: Store, backend: acquire.Effect, files: DataFrame | None = None) -> DataFrame:
-    found = written(audio.analyse(audio_files(store.read("stems"), files), backend).filter("error is null").drop("error"), "analysed")
+def wave_features(stems: DataFrame, folder: str, size: int = 65536, seconds: float | None = 30.0) -> DataFrame:
+    """Features of stems (song_id, stem_type, file_path) whose files are WAV files below a folder; others have none, unreadable ones an error."""
+    chunks = written(waves.load_waves(stems.sparkSession, folder, size, spectrum.RATE, seconds), "chunks")
+    named = chunks.join(stems.withColumn("path", waves.plain_path(F.col("file_path"))), "path")
+    found = spectrum.analysed(named.filter("samples is not null"), size)
+    failed = named.filter("samples is null").select("song_id", "stem_type", F.coalesce("error", F.lit("no samples")).alias("error")).distinct()
+    return found.unionByName(failed, allowMissingColumns=True)
+
+
+def run_analysis(store: Store, backend: acquire.Effect | None = None, files: DataFrame | None = None, folder: str | None = None, exists: Callable[[DataFrame], DataFrame] = listing.existing) -> DataFrame:
+    """Features of the stems whose files exist, by a backend or, without one, of the WAV files below a folder; their songs are then analysed.
+
+    files (path): those that exist, where that is known already.
+    """
+    stems = store.read("stems")
+    files = exists(stems.select(F.col("file_path").alias("path"))) if files is None else files
+    todo = audio_files(stems, files)
+    if backend is None and folder is None:
+        raise ValueError("name a backend or a folder of WAV files")
+    got = audio.analyse(todo, backend) if backend else wave_features(todo, folder)
+    found = written(got, "analysed").filter("error is null").drop("error")
     features = store.put("features", upsert_features(store.read("features"), numbered(found, ["song_id", "stem_type"], "seq")))
     done = found.select(F.col("song_id").alias("id"), F.lit("analysed").alias("status"), F.lit("").alias("raw_path")).distinct()
     store.put("songs", update_status(store.read("songs"), done))
@@ -82,45 +107,76 @@ def seed_text(store: Store, seed: int, top_k: int = 10) -> str:
 def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     p = argparse.ArgumentParser(description="Catalogue pairing on Spark")
     p.add_argument("--store", required=True)
-    p.add_argument("--tracks", help="JSON lines to ingest")
-    p.add_argument("--stages", nargs="*", choices=STAGES, help="ingest and match run here; the others need backends (see run_download, run_stems, run_analysis)")
+    p.add_argument("--url", action="append", default=[], help="address to ingest by the metadata tool (may be repeated)")
+    p.add_argument("--tracks", help="JSON lines to ingest instead")
+    p.add_argument("--audio", help="folder, shared by all executors, for downloads and with the stems' WAV files")
+    p.add_argument("--stages", nargs="*", choices=STAGES, help="default: all")
     p.add_argument("--seed", type=int, default=1)
+    p.add_argument("--seed-stem", choices=STEM_TYPES, default="vocals", help="accepted; as before, the seed is looked up as the upper layer of either kind")
+    p.add_argument("--cand-stem", choices=STEM_TYPES, default="instrumental", help="accepted; see --seed-stem")
     p.add_argument("--top-n", type=int, default=20)
-    p.add_argument("--export")
-    p.add_argument("--prep")
-    p.add_argument("--db-report", action="store_true")
+    p.add_argument("--export", "--export-mashups", nargs="?", const="mashup_report", metavar="FILE")
+    p.add_argument("--prep", "--prep-session", nargs="?", const="fl_session", metavar="DIR")
+    p.add_argument("--db-report", action="store_true", help="print the report and end")
     p.add_argument("--reset", action="store_true")
     return p.parse_args(argv)
 
 
+def _exports(store: Store, args: argparse.Namespace) -> None:
+    if args.export:
+        report.write_report(report.export_rows(store.read("mashup_candidates"), store.read("stems"), None, args.top_n), args.export)
+    if args.prep:
+        report.write_sessions(report.session_plan(store.read("mashup_candidates"), store.read("stems"), args.top_n), args.prep)
+
+
 def main(argv: list[str] | None = None) -> int:
+    """Runs the stages asked for (all, if none is named) in their order, then the report and the exports.
+
+    Without an address, tracks and stages, exports run alone. Stems need a
+    model that isn't part of this library; the stage takes those that exist.
+    """
     args = parse_args(argv)
     spark = SparkSession.builder.appName("cadenza").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     store = Store(spark, args.store)
     if args.reset:
         store.reset(sure=True)
-    stages = STAGES if args.stages == [] else args.stages or []
-    for stage in ("download", "stems", "analysis"):
-        if stage in stages:
-            print(f"{stage}: skipped, as it needs a backend (run_{stage} takes one)")
+    show = lambda: print(report.report_text(store.read("songs"), store.read("features"), store.read("mashup_candidates"), args.top_n))
+    if args.db_report:
+        show()
+        return 0
+    if (args.export or args.prep) and not (args.url or args.tracks or args.stages):
+        _exports(store, args)
+        return 0
+    stages = args.stages or STAGES
     if "ingest" in stages:
-        if args.tracks:
-            run_ingest(store, args.tracks)
-        else:
-            print("ingest: skipped, as --tracks is missing")
+        if not args.tracks and not args.url:
+            print("ingest: --url or --tracks is missing")
+            return 1
+        if run_ingest(store, args.tracks, args.url).isEmpty():
+            print("ingest: no songs found")
+            return 1
+    for stage in ("download", "analysis"):
+        if stage in stages and not args.audio:
+            print(f"{stage}: skipped, as --audio is missing")
+    if "download" in stages and args.audio:
+        run_download(store, **acquire.tool_effects(args.audio))
+    if "stems" in stages:
+        run_stems(store, no_model)
+    if "analysis" in stages and args.audio:
+        run_analysis(store, folder=args.audio)
     if "match" in stages:
         run_match(store)
         print(seed_text(store, args.seed))
-    if stages:
-        print("  ".join(f"{k}: {n}" for k, n in totals(store).items()))
-    if args.export:
-        report.write_report(report.export_rows(store.read("mashup_candidates"), store.read("stems"), None, args.top_n), args.export)
-    if args.prep:
-        report.write_sessions(report.session_plan(store.read("mashup_candidates"), store.read("stems"), args.top_n), args.prep)
-    if args.db_report:
-        print(report.report_text(store.read("songs"), store.read("features"), store.read("mashup_candidates"), args.top_n))
+    print("  ".join(f"{k}: {n}" for k, n in totals(store).items()))
+    show()
+    _exports(store, args)
     return 0
 
 
+def no_model(row: dict) -> dict:
+    """Stands for the separation model, which is handed to ``run_stems`` where there is one."""
+    raise RuntimeError("no separation model")
+
+
 if __name__ == "__main__":
     raise SystemExit(main())

@@ -244,7 +244,7 @@ def search_plan(spark, sf):
 def attempt_ladder_first_success(spark, sf):
     s = songs(spark, sf).withColumn("source_url", F.when(c("id") % 2 == 0, F.lit("https://youtu.be/x")).otherwise(c("source_url")))
     plan = acquire.attempt_plan(s.select("id", "source_url")).withColumn("ok", (c("id") + c("ord")) % 3 == 2)
-    return acquire.first_success(plan.select("id", "ord", "label", "format", "use_cookies", "ok"), ["id"], "ord", "ok").select("id", "ord", "label", "format", "use_cookies")
+    return acquire.first_success(plan, ["id"], "ord", "ok").select("id", "ord", "label", "format", "extractor_args", "use_cookies")
 
 
 def fallback_search_first_long(spark, sf):

@@ -52,8 +52,9 @@ def with_files(songs: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def attempt_plan(songs: DataFrame) -> DataFrame:
-    """Every song's ordered download attempts: four for video-site addresses, else one."""
-    ladder = F.when(S.is_youtube_like(F.col("source_url")), S.attempts()).otherwise(F.slice(S.attempts(), 1, 1))
+    """Every song's ordered download attempts: four for video-site addresses, else one without their extractor arguments."""
+    plain = F.transform(F.slice(S.attempts(), 1, 1), lambda a: a.withField("extractor_args", F.lit("")))
+    ladder = F.when(S.is_youtube_like(F.col("source_url")), S.attempts()).otherwise(plain)
     return songs.withColumn("attempt", F.explode(ladder)).select(*songs.columns, "attempt.*")
 
 
@@ -157,7 +158,7 @@ def download(songs: DataFrame, fetch: Effect, probe: Effect, existing: Effect |
     plan = attempt_plan(work_queue(songs).select("id", "title", "artist", "source_url"))
     fields = F.struct("ord", "label", "format", "extractor_args", "use_cookies")
     per_song = plan.groupBy("id", "title", "artist", "source_url").agg(F.array_sort(F.collect_list(fields)).alias("attempts"))
-    per_song = per_song.withColumn("queries", S.search_queries(F.col("title"), F.col("artist")))
+    per_song = per_song.withColumn("queries", S.search_queries(F.col("title"), F.col("artist"))).withColumn("_file", S.download_name(F.col("title"), F.col("artist")))
     got = run_effect(per_song, tried, "raw_path string, duration_secs double, state string")
     return got.select("id", F.coalesce("raw_path", F.lit("")).alias("raw_path"), "duration_secs", F.coalesce("state", F.lit("error")).alias("state"), "error")
 
@@ -174,10 +175,46 @@ def _or_small(secs: float | None, size_bytes: int | None) -> float | None:
     return secs if secs is not None else 30.0 if size_bytes is not None and size_bytes / 1024 < PREVIEW_KB else None
 
 
-def separate(songs: DataFrame, stems: DataFrame, split: Effect) -> DataFrame:
-    """(song_id, stem_type, file_path, error) of songs that lack a stem; split gives vocals and instrumental paths. The raw file is stem 'full'."""
-    have = stems.filter("stem_type in ('vocals', 'instrumental')").groupBy("song_id").agg(F.countDistinct("stem_type").alias("n")).filter("n = 2")
-    todo = songs.filter("raw_path <> ''").join(have, F.col("id") == F.col("song_id"), "left_anti").select("id", "title", "artist", "raw_path")
-    done = run_effect(todo, split, "vocals string, instrumental string")
+def separate(songs: DataFrame, stems: DataFrame, split: Effect, files: DataFrame | None = None) -> DataFrame:
+    """(song_id, stem_type, file_path, error) of songs with a raw file: vocals, instrumental and the raw file as 'full'.
+
+    files (path): those that exist (None: all that are named). A song whose two
+    stems exist keeps them without a call; split gives the paths of the others.
+    """
+    if files is not None:
+        songs = with_files(songs, files)
+        stems = stems.join(files.select(F.col("path").alias("file_path")).distinct(), "file_path", "left_semi")
+    last = lambda kind: F.max_by("file_path", F.when(F.col("stem_type") == kind, F.col("id"))).alias(kind)
+    have = stems.filter("stem_type in ('vocals', 'instrumental')").groupBy("song_id").agg(last("vocals"), last("instrumental")).filter("vocals is not null and instrumental is not null")
+    todo = songs.filter("raw_path <> ''").select("id", "title", "artist", "raw_path").join(have, F.col("id") == F.col("song_id"), "left").drop("song_id")
+    there = todo.filter("vocals is not null").withColumn("error", F.lit(None).cast("string"))
+    done = run_effect(todo.filter("vocals is null").drop("vocals", "instrumental"), split, "vocals string, instrumental string").unionByName(there)
     made = F.array(*[F.struct(F.lit(t).alias("stem_type"), F.col(c).alias("file_path")) for t, c in (("vocals", "vocals"), ("instrumental", "instrumental"), ("full", "raw_path"))])
     return done.select(F.col("id").alias("song_id"), F.explode(made).alias("s"), "error").select("song_id", "s.*", "error")
+
+
+def probe_seconds(path: str, run: Callable = subprocess.run, seconds: int = 15) -> float | None:
+    """A file's length by the probing tool; None if that is missing, fails, takes too long or prints no number."""
+    argv = ["ffprobe", "-v", "error", "-show_entries", "format=duration", "-of", "default=noprint_wrappers=1:nokey=1", path]
+    try:
+        done = run(argv, capture_output=True, text=True, timeout=seconds)
+        return float(done.stdout.strip()) if done.returncode == 0 else None
+    except (FileNotFoundError, subprocess.TimeoutExpired, ValueError):
+        return None
+
+
+def tool_effects(folder: str) -> dict[str, Effect]:
+    """The effects of ``download`` by outside tools, with files ``{title}_{artist}.mp3`` in a folder that all executors share."""
+
+    def target(row: dict) -> Path:
+        return Path(folder) / row["_file"]
+
+    def existing(row: dict) -> dict:
+        path = target(row)
+        return {"path": str(path), "size_bytes": path.stat().st_size} if path.exists() else {}
+
+    def discard(got: dict) -> dict:
+        Path(got["path"]).unlink(missing_ok=True)
+        return {}
+
+    return {"fetch": lambda row: run_download_tool(row, target(row)), "probe": lambda got: {"secs": probe_seconds(got["path"])}, "existing": existing, "discard": discard}

@@ -115,10 +115,10 @@ def test_stages_end_to_end(spark, tmp_path):
 
     pipeline.run_download(store, fetch, lambda got: {"secs": 20.0 if "/1." in got["path"] else 200.0})
     assert {r["status"]: r["n"] for r in store.read("songs").groupBy("status").agg(F.count("*").alias("n")).collect()} == {"downloaded": 4, "error": 2}
-    pipeline.run_stems(store, lambda row: {"vocals": f"/s/{row['id']}v.wav", "instrumental": f"/s/{row['id']}i.wav"})
+    pipeline.run_stems(store, lambda row: {"vocals": f"/s/{row['id']}v.wav", "instrumental": f"/s/{row['id']}i.wav"}, exists=lambda paths: paths)
     assert store.read("stems").count() == 12
     base = {"n_beats": 60, "n_samples": 661500, "chroma": [1.0, 0, 0.5, 0, 0.7, 0.3, 0, 0.9, 0, 0.4, 0, 0.2], "loudness_rms": 0.1, "energy": 5.0, "mfcc": [1.0] * 13, "spectral_centroid": 1.0, "spectral_rolloff": 2.0, "zero_crossing_rate": 0.1}
-    pipeline.run_analysis(store, lambda row: base | {"bpm": 100.0 + row["song_id"]})
+    pipeline.run_analysis(store, lambda row: base | {"bpm": 100.0 + row["song_id"]}, exists=lambda paths: paths)
     assert store.read("features").filter("camelot = '8B'").count() == 12
     first = pipeline.run_match(store).count()
     assert first == 4 * 3 + 6 and pipeline.run_match(store).count() == first
