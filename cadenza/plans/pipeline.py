@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cadenza.constants import INSTRUMENTAL_OVER_INSTRUMENTAL, STEM_TYPES, VOCAL_OVER_INSTRUMENTAL, MatchConfig
 from cadenza.operators import audio, pairs, rank, report, spectrum
-from cadenza.operators.store import TABLES, Store, numbered, update_status, upsert_candidates, upsert_features, upsert_songs, upsert_stems
+from cadenza.operators.store import TABLES, Store, numbered, update_status
 from cadenza.sources import acquire, listing, waves
 from cadenza.sources.ingest import read_tracks, run_metadata_tool
 from cadenza.sources.track_source import tracks_of
@@ -24,14 +24,13 @@ def run_ingest(store: Store, path: str | None = None, urls: list[str] | None = N
     spark = store.spark
     found = written(read_tracks(spark, path) if path else tracks_of(spark, urls or [], fetch), "tracks")  # the addresses are asked once
     tracks = numbered(found, ["line", "entry"], "seq").drop("line", "entry")
-    return store.put("songs", upsert_songs(store.read("songs"), tracks.withColumn("status", F.lit("queued")).withColumn("raw_path", F.lit(""))))
+    return store.merge("songs", tracks.withColumn("status", F.lit("queued")).withColumn("raw_path", F.lit("")))
 
 
 def run_download(store: Store, fetch: acquire.Effect, probe: acquire.Effect, existing: acquire.Effect | None = None, discard: acquire.Effect | None = None) -> DataFrame:
     """Downloads what is queued or failed before; see ``acquire.download``. The effects run once: their outcome is written before songs are changed."""
-    songs = store.read("songs")
-    got = written(acquire.download(songs, fetch, probe, existing, discard), "downloads")
-    return store.put("songs", acquire.settled(songs, got))
+    got = written(acquire.download(store.read("songs"), fetch, probe, existing, discard), "downloads")
+    return store.update("songs", got, acquire.settled)
 
 
 def run_stems(store: Store, split: acquire.Effect, exists: Callable[[DataFrame], DataFrame] = listing.existing) -> DataFrame:
@@ -43,9 +42,9 @@ def run_stems(store: Store, split: acquire.Effect, exists: Callable[[DataFrame],
     files = written(exists(songs.select(F.col("raw_path").alias("path")).unionByName(stems.select(F.col("file_path").alias("path")))), "files")
     made = written(acquire.separate(songs, stems, split, files), "separated")
     good = made.filter("error is null")
-    stems = store.put("stems", upsert_stems(stems, numbered(good.select("song_id", "stem_type", "file_path"), ["song_id", "stem_type"], "seq")))
+    stems = store.merge("stems", numbered(good.select("song_id", "stem_type", "file_path"), ["song_id", "stem_type"], "seq"))
     status = F.when(F.max("error").isNull(), "stemmed").otherwise("error").alias("status")
-    store.put("songs", update_status(songs, made.groupBy(F.col("song_id").alias("id")).agg(status).withColumn("raw_path", F.lit(""))))
+    store.update("songs", made.groupBy(F.col("song_id").alias("id")).agg(status).withColumn("raw_path", F.lit("")), update_status)
     return stems
 
 
@@ -78,9 +77,9 @@ def run_analysis(store: Store, backend: acquire.Effect | None = None, files: Dat
         raise ValueError("name a backend or a folder of WAV files")
     got = audio.analyse(todo, backend) if backend else wave_features(todo, folder)
     found = written(got, "analysed").filter("error is null").drop("error")
-    features = store.put("features", upsert_features(store.read("features"), numbered(found, ["song_id", "stem_type"], "seq")))
+    features = store.merge("features", numbered(found, ["song_id", "stem_type"], "seq"))
     done = found.select(F.col("song_id").alias("id"), F.lit("analysed").alias("status"), F.lit("").alias("raw_path")).distinct()
-    store.put("songs", update_status(store.read("songs"), done))
+    store.update("songs", done, update_status)
     return features
 
 
@@ -93,7 +92,7 @@ def totals(store: Store) -> dict[str, int]:
 def run_match(store: Store, config: MatchConfig | None = None) -> DataFrame:
     features = store.read("features").withColumn("mfcc", F.from_json("mfcc_json", "array<double>"))
     scored = pairs.score_all(features, store.read("songs"), config)
-    return store.put("mashup_candidates", upsert_candidates(store.read("mashup_candidates"), numbered(scored, ["combo_type", "vocal_song_id", "inst_song_id"], "seq")))
+    return store.merge("mashup_candidates", numbered(scored, ["combo_type", "vocal_song_id", "inst_song_id"], "seq"))
 
 
 def seed_text(store: Store, seed: int, top_k: int = 10) -> str:

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cadenza.operators.store import Store, upsert_songs
+from cadenza.operators.store import Store
 
 
 def ingest_stream(tracks: DataFrame, store: Store, checkpoint: str, order: str = "seq") -> StreamingQuery:
     """Upserts a streaming frame of song rows (with the order column ``order``) into the store's songs; runs what is available, then stops."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        store.put("songs", upsert_songs(store.read("songs"), batch.withColumn("status", F.lit("queued")), order))
+        store.merge("songs", batch.withColumn("status", F.lit("queued")), order)
 
     return tracks.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
