@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.constants import INSTRUMENTAL_OVER_INSTRUMENTAL, VOCAL_OVER_INSTRUMENTAL, MatchConfig
 from cadenza.functions import scalars as S
+from cadenza.tables import written
 
 SIDE = ["song_id", "title", "artist", "bpm", "key", "mode", "camelot", "loudness_rms", "energy"]
 #: Up to so many features of one side (about 300 bytes each) are sent to every task; beyond, both sides are shuffled.
@@ -68,6 +69,13 @@ def equi_pairs(top: DataFrame, bed: DataFrame, combo: str, config: MatchConfig,
     return reached.join(inst, keys).filter(_orders(combo) & passes(config)).drop("vocal_code", "inst_code", "band")
 
 
+def few_pairs(top: DataFrame, bed: DataFrame, combo: str, config: MatchConfig, role: str = "vocal") -> DataFrame:
+    """Unscored pairs where one side (role 'vocal': the top) is a seed of a row or two, which is sent to the other side's scan."""
+    vocal, inst = _sided(top, "vocal"), _sided(bed, "inst")
+    vocal, inst = (F.broadcast(vocal), inst) if role == "vocal" else (vocal, F.broadcast(inst))
+    return vocal.join(inst, _orders(combo) & passes(config))
+
+
 def pairs(top: DataFrame, bed: DataFrame, combo: str, config: MatchConfig | None = None, strategy: str = "auto", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Scored pairs of features (with titles): combo_type, vocal_*, inst_*, score_total, score_bpm, score_key, score_energy, score_timbre.
 
@@ -81,14 +89,19 @@ def pairs(top: DataFrame, bed: DataFrame, combo: str, config: MatchConfig | None
         joined = literal_pairs(top, bed, combo, config)
     else:
         joined = equi_pairs(top, bed, combo, config, strategy == "banded")
+    return scored(joined, combo, config)
+
+
+def scored(joined: DataFrame, combo: str, config: MatchConfig) -> DataFrame:
+    """The columns of ``pairs`` of unscored ones."""
     c = F.col
     loud = lambda side: S.loudness(c(f"{side}_loudness_rms"), c(f"{side}_energy"))
-    scored = joined.select(
+    parts = joined.select(
         F.lit(combo).alias("combo_type"), *[c(f"{side}_{n}") for side in ("vocal", "inst") for n in SIDE],
         S.bpm_score(c("vocal_bpm"), c("inst_bpm")).alias("score_bpm"), S.camelot_score(c("vocal_camelot"), c("inst_camelot")).alias("score_key"),
         S.energy_score(loud("vocal"), loud("inst")).alias("score_energy"), S.mfcc_cosine(c("vocal_mfcc"), c("inst_mfcc")).alias("score_timbre"),
     )
-    return scored.withColumn("score_total", S.total_score(c("score_bpm"), c("score_key"), c("score_energy"), c("score_timbre"), config))
+    return parts.withColumn("score_total", S.total_score(c("score_bpm"), c("score_key"), c("score_energy"), c("score_timbre"), config))
 
 
 def score_all(features: DataFrame, songs: DataFrame, config: MatchConfig | None = None, strategy: str = "auto") -> DataFrame:
@@ -99,6 +112,25 @@ def score_all(features: DataFrame, songs: DataFrame, config: MatchConfig | None
     return over.unionByName(pairs(beds, beds, INSTRUMENTAL_OVER_INSTRUMENTAL, config, strategy))
 
 
+def score_changed(features: DataFrame, songs: DataFrame, old_features: DataFrame, old_songs: DataFrame, config: MatchConfig | None = None, strategy: str = "auto") -> DataFrame:
+    """Those pairs of ``score_all`` in which a side is new or has changed in a column that pairs are made of.
+
+    Changed sides meet all, and unchanged ones the changed, so no pair comes
+    twice. Pairs of which neither side has changed keep their scores.
+    """
+    read = [*SIDE, "stem_type", "mfcc"]
+    now = written(with_titles(features, songs).select(*read), "sides")
+    new = written(now.join(with_titles(old_features, old_songs).select(*read).alias("o"), [F.col(f"o.{c}").eqNullSafe(now[c]) for c in read], "left_anti"), "changed")
+    same = now.join(new.select("song_id", "stem_type").distinct(), ["song_id", "stem_type"], "left_anti")
+    of = lambda rows, kind: rows.filter(F.col("stem_type") == kind)
+    found = None
+    for kind, combo in (("vocals", VOCAL_OVER_INSTRUMENTAL), ("instrumental", INSTRUMENTAL_OVER_INSTRUMENTAL)):
+        for top, bed in ((new, now), (same, new)):
+            made = pairs(of(top, kind), of(bed, "instrumental"), combo, config, strategy)
+            found = made if found is None else found.unionByName(made)
+    return found
+
+
 def counts(features: DataFrame, songs: DataFrame, config: MatchConfig | None = None) -> DataFrame:
     """(combo_type, scored, skipped): how many ordered pairs passed and failed the filter.
 

@@ -133,6 +133,9 @@ SQL: dict[str, str] = {
     "candidates_min_score": _sql(f"{_SHORT} WHERE score_total >= 0.8 {_BEST.replace('score_total', 'candidates.score_total')} LIMIT 100", True),
     "candidates_for_song_vocal": _sql(f"{_SHORT} WHERE vocal_song_id = 5 AND combo_type = 'vocal_over_instrumental'", True),
     "candidates_for_song_inst": _sql(f"{_SHORT} WHERE inst_song_id = 5", True),
+    "find_matches_pruned": _sql(f"{_SHORT} WHERE vocal_song_id = 5 AND combo_type = 'vocal_over_instrumental' {_BEST.replace('score_total', 'candidates.score_total')} LIMIT 10", True),
+    "score_changed_pairs": _sql(f"{_SHORT} WHERE vocal_song_id % 100 = 5 OR inst_song_id % 100 = 5", True)
+        .replace("FROM named a, named b", "FROM moved a, moved b").replace("sides AS (", "moved AS (SELECT * REPLACE (CASE WHEN song_id % 100 = 5 THEN bpm + 1 ELSE bpm END AS bpm) FROM named), sides AS (", 1),
     "find_matches_topk": _sql(f"{_SHORT} WHERE vocal_song_id = 5 AND combo_type = 'vocal_over_instrumental' {_BEST.replace('score_total', 'candidates.score_total')} LIMIT 10", True),
     "seed_title": _sql("SELECT CAST(seed AS BIGINT) AS seed, CASE WHEN id IS NULL THEN 'Song #' || seed ELSE title || ' — ' || artist END AS title FROM (VALUES (5), (-1)) s(seed) LEFT JOIN songs ON id = seed"),
     "db_report_top20": _sql(f"SELECT combo_type, CAST(r AS INTEGER) AS rank, vocal_song_id, inst_song_id, score_total FROM (SELECT *, row_number() OVER (PARTITION BY combo_type {_BEST}) AS r FROM candidates) WHERE r <= 20", True),

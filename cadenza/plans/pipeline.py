@@ -89,10 +89,16 @@ def totals(store: Store) -> dict[str, int]:
     return out | {f"songs {r['status']}": r["n"] for r in store.read("songs").groupBy("status").agg(F.count("*").alias("n")).orderBy("status").collect()}
 
 
-def run_match(store: Store, config: MatchConfig | None = None) -> DataFrame:
-    features = store.read("features").withColumn("mfcc", F.from_json("mfcc_json", "array<double>"))
-    scored = pairs.score_all(features, store.read("songs"), config)
-    return store.merge("mashup_candidates", numbered(scored, ["combo_type", "vocal_song_id", "inst_song_id"], "seq"))
+def run_match(store: Store, config: MatchConfig | None = None, incremental: bool = False) -> DataFrame:
+    """Scores and upserts all pairs; incremental: only those with a side that is new or changed since the last run, if its features and songs are still there."""
+    now = {t: store.manifest(t)["version"] for t in ("features", "songs")}
+    then = store.manifest("mashup_candidates").get("matched", {})
+    read = lambda v: (store.read("features", v.get("features")).withColumn("mfcc", F.from_json("mfcc_json", "array<double>")), store.read("songs", v.get("songs")))
+    if incremental and then and all(v in store.versions(t) for t, v in then.items()):
+        scored = pairs.score_changed(*read(now), *read(then), config)
+    else:
+        scored = pairs.score_all(*read({}), config)
+    return store.merge("mashup_candidates", numbered(scored, ["combo_type", "vocal_song_id", "inst_song_id"], "seq"), notes={"matched": now})
 
 
 def seed_text(store: Store, seed: int, top_k: int = 10) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.constants import CAMELOT_MAJOR, CAMELOT_MINOR, INSTRUMENTAL_OVER_INSTRUMENTAL, KEY_NAMES, SEMITONES, STATUSES, VOCAL_OVER_INSTRUMENTAL
 from cadenza.functions import scalars as S
-from cadenza.operators import audio, pairs, rank, report, spectrum, store
+from cadenza.operators import audio, pairs, rank, report, seeds, spectrum, store
 from cadenza.plans.fixtures import candidates, features, songs, stems, table
 from cadenza.sources import acquire, ingest
 from cadenza.tables import written
@@ -123,6 +123,18 @@ def find_matches_topk(spark, sf):
     return _short(rank.find_matches(candidates(spark, sf), 5, 10, "vocal", VOCAL_OVER_INSTRUMENTAL))
 
 
+def find_matches_pruned(spark, sf):
+    """As ``find_matches_topk``, from the features by bounds."""
+    return _short(seeds.best_matches(features(spark, sf), songs(spark, sf), 5, 10)[0])
+
+
+def score_changed_pairs(spark, sf):
+    """Pairs to score anew after every hundredth song has another tempo."""
+    old = features(spark, sf)
+    new = old.withColumn("bpm", F.when(c("song_id") % 100 == 5, c("bpm") + 1.0).otherwise(c("bpm")))
+    return _short(pairs.score_changed(new, songs(spark, sf), old, songs(spark, sf)))
+
+
 def seed_title(spark, sf):
     """Titles of two seeds, one of them missing."""
     seeds = spark.createDataFrame([(5,), (-1,)], "seed long")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.constants import VOCAL_OVER_INSTRUMENTAL, MatchConfig
-from cadenza.operators import audio, pairs, rank, report
+from cadenza.operators import audio, pairs, rank, report, seeds
 from cadenza.operators import store as st
 from cadenza.plans import fixtures, pipeline
 from cadenza.sources import acquire, ingest
@@ -81,6 +81,38 @@ def test_pair_plans_agree(spark, key_min):
     assert found[0] == found[1] == found[2] != []
 
 
+@pytest.mark.parametrize("combo, role", [(VOCAL_OVER_INSTRUMENTAL, "vocal"), (VOCAL_OVER_INSTRUMENTAL, "inst"), ("instrumental_over_instrumental", "vocal")])
+def test_pruned_seeds_give_the_same_rows(spark, combo, role):
+    features, songs = fixtures.features(spark, SF), fixtures.songs(spark, SF)
+    every = pairs.score_all(features, songs).cache()
+    total, n_scored = every.filter(F.col("combo_type") == combo).count(), []
+    for seed, k in ((5, 10), (42, 3), (8, 1000), (-1, 5), (9, 0)):
+        found, n = seeds.best_matches(features, songs, seed, k, combo, role)
+        assert found.collect() == rank.find_matches(every, seed, k, role, combo).select(found.columns).collect()
+        n_scored.append(n)
+    assert n_scored[0] * 10 < total and n_scored[1] <= n_scored[2] or not n_scored[2] and n_scored[3] == 0
+
+
+def test_changed_pairs_bring_the_store_up_to_date(spark, tmp_path):
+    songs = fixtures.songs(spark, SF).select("id", "title", "artist", "source_url", "status", "raw_path")
+    features = fixtures.features(spark, SF).withColumn("mfcc_json", F.to_json("mfcc")).drop("mfcc").filter("song_id <= 120")
+    changed = features.filter("song_id % 60 = 5").withColumn("bpm", F.col("bpm") + 1.5).unionByName(features.filter("song_id = 7").withColumn("song_id", F.lit(130).cast("long")))
+    runs = []
+    for name, incremental in (("a", True), ("b", False)):
+        store = st.Store(spark, str(tmp_path / name), 8)
+        store.put("songs", songs)
+        store.put("features", features)
+        pipeline.run_match(store)
+        store.merge("features", changed.drop("id").withColumn("seq", F.struct("song_id", "stem_type")))
+        found = pipeline.run_match(store, incremental=incremental)
+        runs.append(sorted(map(repr, found.drop("scored_at").collect())))
+        if incremental:  # nothing has changed since
+            version = store.versions("mashup_candidates")[-1]
+            assert sorted(map(repr, pipeline.run_match(store, incremental=True).drop("scored_at").collect())) == runs[0]
+            assert store.manifest("mashup_candidates")["folders"] == store.manifest("mashup_candidates", version)["folders"]
+    assert runs[0] == runs[1] and len(runs[0]) > 500
+
+
 def test_ranks(spark):
     found = spark.createDataFrame([("b", 1, 2, 0.5), ("a", 2, 1, 0.5), ("a", 1, 2, 0.9), ("a", 1, 3, None)], "combo_type string, vocal_song_id long, inst_song_id long, score_total double")
     assert [r["rank"] for r in rank.ranked(found, 3).orderBy("rank").collect()] == [1, 2, 3]
