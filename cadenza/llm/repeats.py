@@ -7,7 +7,7 @@ anchor, and neighbouring starts that share an anchor form one run. About 1.7 %
 of byte positions (8 % of word positions) begin a run.
 
 1. Each document is scanned once for its runs: anchor hash, hash of the whole
-   run's units, first and last start.
+   run's units (``Equality``), first and last start.
 2. Counts by anchor (combined before the shuffle): an anchor seen once can't
    repeat; if all runs of an anchor are the same, all their windows repeat.
 3. Counts by (anchor, run) settle the equal runs among the mixed anchors. One
@@ -25,6 +25,7 @@ runs have one large side only, whose hot keys adaptive execution can split.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -83,6 +84,52 @@ class _Rolling:
         return _mix((self.sums[k:] - self.sums[:n]) * _Rolling.back[:n])
 
 
+#: The greatest prime below 2^32.
+_PRIME = (1 << 32) - 5
+
+
+class Equality:
+    """Hashes that decide which ranges of units are equal: 128 bits, from the values of four polynomials modulo a prime.
+
+    They are taken at points that are drawn anew for every job and not known
+    outside it, so no text can be made to collide: two different ranges of up
+    to n units agree in all four with a probability of (n / 2^32)^4.
+    """
+
+    tables: dict[tuple[int, ...], list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def __init__(self, values: np.ndarray, points: tuple[int, ...]):
+        n = len(values)
+        known = Equality.tables.get(points, [])
+        if not known or len(known[0][0]) <= n:
+            size = n + 1 if n >= _PIECE // 2 else 1 << (n + 1).bit_length()
+            Equality.tables.clear()
+            known = Equality.tables[points] = [tuple(self._powers(p, size) for p in (point, pow(point, -1, _PRIME))) for point in points]
+        self.back = [back for _, back in known]
+        small = values.astype(_U) % _U(_PRIME - 1) + _U(1)  # never zero, so that lengths count
+        self.sums = []
+        for forward, _ in known:
+            sums = np.zeros(n + 1, dtype=_U)
+            np.cumsum(small * forward[:n] % _U(_PRIME), out=sums[1:])
+            self.sums.append(sums)
+
+    @staticmethod
+    def draw() -> tuple[int, ...]:
+        return tuple(secrets.randbelow(_PRIME - 2) + 2 for _ in range(4))
+
+    @staticmethod
+    def _powers(base: int, n: int) -> np.ndarray:
+        out = np.ones(1, dtype=_U)
+        while len(out) < n:
+            out = np.concatenate([out, out[: n - len(out)] * _U(pow(base, len(out), _PRIME)) % _U(_PRIME)])
+        return out.astype(np.uint32)
+
+    def ranges(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The two halves of every range's hash, as signed numbers."""
+        parts = [(sums[hi] - sums[lo]) % _U(_PRIME) * back[lo] % _U(_PRIME) for sums, back in zip(self.sums, self.back)]
+        return tuple((a << _U(32) | b).view(np.int64) for a, b in (parts[:2], parts[2:]))
+
+
 class Bytes:
     """Units are the UTF-8 bytes of a text."""
 
@@ -128,14 +175,13 @@ class Words:
         return np.frombuffer(body, dtype="<u8")
 
 
-def runs(values: np.ndarray, window: int, anchor: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Arrays (first start, last start, anchor position, anchor hash, run hash), piece by piece."""
+def runs(values: np.ndarray, window: int, anchor: int) -> Iterator[tuple]:
+    """Arrays (first start, last start, anchor position, anchor hash) and where the piece begins, piece by piece."""
     starts = len(values) - window + 1
     width = window - anchor + 1
     for at in range(0, max(0, starts), _PIECE):
         count = min(_PIECE, starts - at)
-        rolling = _Rolling(values[at : at + count + window - 1])
-        grams = rolling.grams(anchor)
+        grams = _Rolling(values[at : at + count + window - 1]).grams(anchor)
         n = len(grams)
         rank = (grams >> _U(_POSITION) << _U(_POSITION)) | np.arange(n, dtype=_U)
         blocks = np.concatenate([rank, np.full(-n % width, ~_U(0))]).reshape(-1, width)
@@ -146,29 +192,31 @@ def runs(values: np.ndarray, window: int, anchor: int) -> Iterator[tuple[np.ndar
         lo = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1])
         hi = np.concatenate([lo[1:] - 1, [count - 1]])
         p = where[lo]
-        yield lo + at, hi + at, p + at, grams[p], rolling.ranges(lo, hi + window)
+        yield lo + at, hi + at, p + at, grams[p], at
 
 
-def _scan(docs: DataFrame, unit: type, window: int, anchor: int) -> DataFrame:
-    """(key, lo, hi, p, seed, run) for every run of docs (key, text)."""
-    schema = pa.schema([("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("p", pa.int32()), ("seed", pa.int64()), ("run", pa.int64())])
+def _scan(docs: DataFrame, unit: type, window: int, anchor: int, points: tuple[int, ...]) -> DataFrame:
+    """(key, lo, hi, p, seed, run, run2) for every run of docs (key, text)."""
+    schema = pa.schema([("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("p", pa.int32()), ("seed", pa.int64()), ("run", pa.int64()), ("run2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            out: list[list[np.ndarray]] = [[] for _ in schema]
             held = 0
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for lo, hi, p, seed, whole in runs(unit.values(unit.split(text)), window, anchor):
-                    for column, x in zip(out, (np.full(len(lo), key), lo.astype(np.int32), hi.astype(np.int32), p.astype(np.int32), seed.view(np.int64), whole.view(np.int64))):
+                units = unit.split(text)
+                for lo, hi, p, seed, at in runs(unit.values(units), window, anchor):
+                    hashes = Equality(units[at : hi[-1] + window], points).ranges(lo - at, hi - at + window)
+                    for column, x in zip(out, (np.full(len(lo), key), lo.astype(np.int32), hi.astype(np.int32), p.astype(np.int32), seed.view(np.int64), *hashes)):
                         column.append(x)
                     held += len(lo)
                 if held >= 1 << 17:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], schema=schema)
-                    out, held = [[], [], [], [], [], []], 0
+                    out, held = [[] for _ in schema], 0
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], schema=schema)
 
-    return docs.mapInArrow(leaning(run), "key long, lo int, hi int, p int, seed long, run long")
+    return docs.mapInArrow(leaning(run), "key long, lo int, hi int, p int, seed long, run long, run2 long")
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
@@ -253,7 +301,7 @@ def _resolved(bodies: DataFrame, unit: type, window: int, resolver: Resolver) ->
     return bodies.repartition("seed").sortWithinPartitions("seed").mapInArrow(leaning(run), "key long, lo int, hi int")
 
 
-def _counted(bodies: DataFrame, unit: type, window: int) -> DataFrame:
+def _counted(bodies: DataFrame, unit: type, window: int, points: tuple[int, ...]) -> DataFrame:
     """As ``_resolved`` for anchors with very many distinct runs: stretches, then windows are counted by (anchor, hash).
 
     A run is cut into stretches of up to ``_STRETCH`` starts at fixed distances
@@ -261,31 +309,31 @@ def _counted(bodies: DataFrame, unit: type, window: int) -> DataFrame:
     stretch that occurs again settles all its starts; windows are listed for
     one representative of every distinct stretch only.
     """
-    names = ["key", "seed", "open", "lo", "hi", "off", "stretch", "windows"]
-    schema = pa.schema(zip(names, (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))))
+    names = ["key", "seed", "open", "lo", "hi", "off", "stretch", "stretch2", "windows", "windows2"]
+    schema = pa.schema(zip(names, (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
             for key, lo, hi, p, seed, is_open, body in zip(*(b.column(n).to_pylist() for n in ("key", "lo", "hi", "p", "seed", "open", "body"))):
-                rolling = _Rolling(unit.values(unit.unpack(body)))
+                equal = Equality(unit.unpack(body), points)
                 inner = np.arange(hi - lo + 1)
-                each = rolling.ranges(inner, inner + window).view(np.int64)
+                each, each2 = equal.ranges(inner, inner + window)
                 place = (p - lo - inner) // _STRETCH
                 first = np.flatnonzero(np.diff(place, prepend=place[0] + 1))
                 last = np.append(first[1:] - 1, hi - lo)
-                whole = rolling.ranges(first, last + window).view(np.int64)
-                out += [(key, seed, is_open, lo + i, lo + k, p - lo - k, h, each[i : k + 1].tolist()) for i, k, h in zip(first.tolist(), last.tolist(), whole.tolist())]
+                whole = [x.tolist() for x in equal.ranges(first, last + window)]
+                out += [(key, seed, is_open, lo + i, lo + k, p - lo - k, h, h2, each[i : k + 1].tolist(), each2[i : k + 1].tolist()) for i, k, h, h2 in zip(first.tolist(), last.tolist(), *whole)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
-    stretches = bodies.mapInArrow(leaning(run), "key long, seed long, open boolean, lo int, hi int, off int, stretch long, windows array<long>")
-    same = ["seed", "off", "stretch"]
-    distinct = written(stretches.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "hi", "open", "windows")).alias("one")), "stretches")
+    stretches = bodies.mapInArrow(leaning(run), "key long, seed long, open boolean, lo int, hi int, off int, stretch long, stretch2 long, windows array<long>, windows2 array<long>")
+    same = ["seed", "off", "stretch", "stretch2"]
+    distinct = written(stretches.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "hi", "open", "windows", "windows2")).alias("one")), "stretches")
     settled = stretches.filter("open").join(distinct.filter("n > 1").select(*same), same, "left_semi").select("key", "lo", "hi")
-    windows = distinct.select("seed", "n", "one.key", "one.lo", "one.open", F.posexplode("one.windows").alias("at", "window"))
-    many = windows.groupBy("seed", "window").agg(F.sum(F.least("n", F.lit(2))).alias("n")).filter("n > 1").select("seed", "window")
-    single = windows.filter("n = 1 and open").join(many, ["seed", "window"], "left_semi").select("key", (F.col("lo") + F.col("at")).alias("lo"))
+    windows = distinct.select("seed", "n", "one.key", "one.lo", "one.open", F.posexplode(F.arrays_zip(F.col("one.windows").alias("a"), F.col("one.windows2").alias("b"))).alias("at", "w")).withColumns({"window": F.col("w.a"), "window2": F.col("w.b")}).drop("w")
+    many = windows.groupBy("seed", "window", "window2").agg(F.sum(F.least("n", F.lit(2))).alias("n")).filter("n > 1").select("seed", "window", "window2")
+    single = windows.filter("n = 1 and open").join(many, ["seed", "window", "window2"], "left_semi").select("key", (F.col("lo") + F.col("at")).alias("lo"))
     return settled.unionByName(single.select("key", "lo", F.col("lo").alias("hi")))
 
 
@@ -302,8 +350,10 @@ def keyed(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 def repeated_starts(docs: DataFrame, unit: type, window: int, anchor: int, resolver: Resolver, group_limit: int = 1500) -> DataFrame:
     """(key, starts): per document of docs (key, text) the ranges (lo, hi) of starts whose window occurs more than once."""
-    found = written(_scan(docs.select("key", "text"), unit, window, anchor), "runs")
-    by_seed = found.groupBy("seed").agg(F.count("*").alias("n"), F.min("run").alias("a"), F.max("run").alias("b")).filter("n > 1").select("seed", (F.col("a") != F.col("b")).alias("mixed"))
+    points = Equality.draw()
+    found = written(_scan(docs.select("key", "text"), unit, window, anchor, points), "runs")
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("run", "run2") for f in (F.min, F.max)]
+    by_seed = found.groupBy("seed").agg(F.count("*").alias("n"), *ends).filter("n > 1").selectExpr("seed", "min_run <> max_run or min_run2 <> max_run2 as mixed")
     # Written, so that the join reads two shuffles (or sends the small side) and adaptive execution can split a hot anchor.
     by_seed = written(by_seed, "anchors")
     # Dealt anew, as the join leaves a hot anchor's rows together.
@@ -312,12 +362,12 @@ def repeated_starts(docs: DataFrame, unit: type, window: int, anchor: int, resol
     same = known.filter("not mixed").select("key", "lo", "hi")
     mixed = known.filter("mixed")
     one = F.min(F.struct("key", "lo", "hi", "p"))
-    by_run = written(mixed.groupBy("seed", "run").agg(F.count("*").alias("n"), one.alias("one")), "distinct")
-    settled = mixed.join(by_run.filter("n > 1").select("seed", "run"), ["seed", "run"], "left_semi").select("key", "lo", "hi")
+    by_run = written(mixed.groupBy("seed", "run", "run2").agg(F.count("*").alias("n"), one.alias("one")), "distinct")
+    settled = mixed.join(by_run.filter("n > 1").select("seed", "run", "run2"), ["seed", "run", "run2"], "left_semi").select("key", "lo", "hi")
     size = by_run.groupBy("seed").agg(F.count("*").alias("distinct"))
     wanted = by_run.join(size, "seed").select("one.*", "seed", (F.col("distinct") > group_limit).alias("large"), (F.col("n") == 1).alias("open"))
     bodies = written(_bodies(docs, wanted, unit, window), "bodies")
-    ranges = same.unionByName(settled).unionByName(_resolved(bodies.filter("not large"), unit, window, resolver)).unionByName(_counted(bodies.filter("large"), unit, window))
+    ranges = same.unionByName(settled).unionByName(_resolved(bodies.filter("not large"), unit, window, resolver)).unionByName(_counted(bodies.filter("large"), unit, window, points))
     # Repeated rows have one key and the same ranges; the set holds each once.
     return written(ranges.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("starts")), "starts")
 

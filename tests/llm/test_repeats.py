@@ -132,3 +132,34 @@ def test_queries_match_brute_force(spark):
     assert sorted(map(tuple, suffix_dedup.op6_suffix_array_dedup(spark, SF).collect())) == expected
     expected = sorted((i, *x) for i, x in zip(ids, brute_words(texts, 35)))
     assert sorted(map(tuple, substring_dedup.op9_substring_dedup(spark, SF).collect())) == expected
+
+
+def collision(n=40_000, seed=1):
+    """Two different texts of 200 bytes with one anchor and one sum modulo 2^64, as found by search: a Thue-Morse sequence of two blocks and its opposite behind a common beginning."""
+    a, b = "kitidxht", "rwufehfy"
+    order = [bin(i).count("1") % 2 for i in range(16)]
+    first, second = ("".join((a, b)[x ^ flip] for x in order) for flip in (0, 1))
+    rng = random.Random(seed)
+    for _ in range(n):
+        yield (start := "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(72))) + first, start + second
+
+
+def test_equal_sums_are_not_equal_texts(spark):
+    pairs = list(collision(60))
+    sums = [[repeats._Rolling(repeats.Bytes.values(repeats.Bytes.split(t))).sums[-1] for t in pair] for pair in pairs]
+    assert all(x == y for x, y in sums) and all(x != y and len(x) == 200 for x, y in pairs)
+    texts = [t for pair in pairs for t in pair]
+    for limit in (1500, 0):
+        found = repeats.repeated_starts(repeats.keyed(docs(spark, texts)), repeats.Bytes, 200, suffix_dedup.ANCHOR, suffix_dedup.radix_passes, limit)
+        assert found.count() == 0
+    assert {(r["n_bytes"], r["n_spans"]) for r in suffix_dedup.remove_repeats(docs(spark, [*texts, texts[0]]), 200).selectExpr("n_bytes", "size(spans) as n_spans").collect()} == {(200, 0), (200, 1)}
+
+
+def test_equality_decides_by_all_units():
+    points = repeats.Equality.draw()
+    units = np.frombuffer(b"abcabcab" * 40, dtype=np.uint8)
+    lo = np.array([0, 3, 1, 0, 0])
+    one, two = repeats.Equality(units, points).ranges(lo, np.array([100, 103, 101, 99, 100]))
+    assert [(x, y) == (one[0], two[0]) for x, y in zip(one, two)] == [False if i in (1, 2, 3) and bytes(units[lo[i] : lo[i] + 100 - (i == 3)]) != bytes(units[:100]) else True for i in range(5)]
+    again = repeats.Equality(units[3:], points).ranges(np.array([0]), np.array([100]))
+    assert (again[0][0], again[1][0]) == (one[1], two[1])
