@@ -86,6 +86,7 @@ _NEXT = ", n AS (SELECT a.song_id, a.bpm AS b1, b.bpm AS b2, coalesce(nullif(a.l
 _SHIFT = "(CASE WHEN ((SEMI(vocal_key) - SEMI(inst_key)) % 12 + 12) % 12 > 6 THEN ((SEMI(vocal_key) - SEMI(inst_key)) % 12 + 12) % 12 - 12 ELSE ((SEMI(vocal_key) - SEMI(inst_key)) % 12 + 12) % 12 END)"
 _CODES = "('8B'),('3B'),('10B'),('5B'),('12B'),('7B'),('2B'),('9B'),('4B'),('11B'),('6B'),('1B'),('5A'),('12A'),('7A'),('2A'),('9A'),('4A'),('11A'),('6A'),('1A'),('8A'),('3A'),('10A'),(''),('?'),('8b'),('B'),('13B'),(NULL)"
 _SPELLINGS = "('C'),('C#'),('Db'),('D'),('D#'),('Eb'),('E'),('F'),('F#'),('Gb'),('G'),('G#'),('Ab'),('A'),('A#'),('Bb'),('B'),('H'),(''),(NULL)"
+_OPEN = str.maketrans("", "", "()")  # rows of one value as a list
 _SONG_BATCH = r""",
 batch AS (
   SELECT page_id AS seq, 'T' || page_id AS title, 'A' AS artist, 'g' AS genre, CASE WHEN page_id % 17 = 0 THEN '' ELSE 'https://example.invalid/t/' || (page_id * 3 % 400 * 13) END AS source_url, CAST(page_id AS DOUBLE) AS duration_secs,
@@ -118,9 +119,9 @@ SQL: dict[str, str] = {
     "work_queue": _sql("SELECT id, title, status FROM songs WHERE status IN ('queued', 'error')"),
     "features_for_song": _sql("SELECT song_id, stem_type, bpm, camelot, len(mfcc) AS n_mfcc, round(mfcc[1], 6) AS first_mfcc FROM features WHERE song_id = 42 AND stem_type = 'full'"),
     "features_with_titles": _sql("SELECT * EXCLUDE (mfcc) FROM named WHERE stem_type = 'vocals'"),
-    "semitone_shift_matrix": _sql(f"SELECT vocal_key, inst_key, {_SHIFT} AS semitone_shift FROM (VALUES {_SPELLINGS}) a(vocal_key), (VALUES {_SPELLINGS}) b(inst_key)"),
-    "camelot_lookup": "WITH k(idx, key, major, minor) AS (VALUES (0,'C','8B','5A'),(1,'C#','3B','12A'),(2,'D','10B','7A'),(3,'D#','5B','2A'),(4,'E','12B','9A'),(5,'F','7B','4A'),(6,'F#','2B','11A'),(7,'G','9B','6A'),(8,'G#','4B','1A'),(9,'A','11B','8A'),(10,'A#','6B','3A'),(11,'B','1B','10A')) SELECT CAST(idx AS BIGINT) AS idx, mode, key, CASE mode WHEN 'major' THEN major WHEN 'minor' THEN minor ELSE '?' END AS camelot FROM k, (VALUES ('major'), ('minor'), ('dorian')) m(mode)",
-    "camelot_score_matrix": _sql(f"SELECT c1, c2, KEYSCORE(c1, c2) AS score FROM (VALUES {_CODES}) a(c1), (VALUES {_CODES}) b(c2)"),
+    "semitone_shift_matrix": _sql(f"SELECT event_id, vocal_key, inst_key, {_SHIFT} AS semitone_shift FROM (SELECT event_id, k[event_id % 20 + 1] AS vocal_key, k[event_id // 20 % 20 + 1] AS inst_key FROM events, (SELECT [{_SPELLINGS.translate(_OPEN)}] AS k))"),
+    "camelot_lookup": _sql("SELECT event_id, key, mode, coalesce(w.camelot, '?') AS camelot FROM (SELECT event_id, (['C', 'C#', 'D', 'D#', 'E', 'F', 'F#', 'G', 'G#', 'A', 'A#', 'B'])[event_id % 12 + 1] AS key, (['major', 'minor', 'dorian'])[event_id // 12 % 3 + 1] AS mode FROM events) LEFT JOIN wheel w USING (key, mode)"),
+    "camelot_score_matrix": _sql(f"SELECT event_id, c1, c2, KEYSCORE(c1, c2) AS score FROM (SELECT event_id, k[event_id % 30 + 1] AS c1, k[event_id // 30 % 30 + 1] AS c2 FROM events, (SELECT [{_CODES.translate(_OPEN)}] AS k))"),
     "bpm_score_pairs": _sql("SELECT song_id, round(BPMDIFF(b1, b2), 6) AS min_diff, round(BPMSCORE(BPMDIFF(b1, b2)), 6) AS score FROM n", more=_NEXT),
     "energy_score_pairs": _sql("SELECT song_id, round(ENERGY(e1, e2), 6) AS score FROM n", more=_NEXT),
     "mfcc_cosine_pairs": _sql("SELECT song_id, round(COSINE(m1, m2), 6) AS score FROM n", more=_NEXT),

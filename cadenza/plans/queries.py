@@ -42,24 +42,26 @@ def features_with_titles(spark, sf):
     return pairs.with_titles(features(spark, sf), songs(spark, sf)).filter("stem_type = 'vocals'").drop("mfcc")
 
 
-def _keys(spark: SparkSession, extra: list[str | None]) -> DataFrame:
-    return spark.createDataFrame([(k,) for k in [*SEMITONES, *extra]], "key string")
+def _dealt(spark: SparkSession, sf: str, first: list, second: list) -> DataFrame:
+    """(event_id, a, b): two values for every event, so that all combinations come in turn."""
+    n = len(first)
+    pick = lambda values, i: F.get(F.array(*[F.lit(v).cast("string") for v in values]), i.cast("int"))
+    return table(spark, sf, "events").select("event_id", pick(first, c("event_id") % n).alias("a"), pick(second, F.floor(c("event_id") / n) % len(second)).alias("b"))
 
 
 def semitone_shift_matrix(spark, sf):
-    a, b = _keys(spark, ["H", "", None]).toDF("vocal_key"), _keys(spark, ["H", "", None]).toDF("inst_key")
-    return a.crossJoin(b).withColumn("semitone_shift", S.semitone_shift(c("vocal_key"), c("inst_key")))
+    keys = [*SEMITONES, "H", "", None]
+    return _dealt(spark, sf, keys, keys).select("event_id", c("a").alias("vocal_key"), c("b").alias("inst_key"), S.semitone_shift(c("a"), c("b")).alias("semitone_shift"))
 
 
 def camelot_lookup(spark, sf):
-    rows = spark.range(12).crossJoin(spark.createDataFrame([("major",), ("minor",), ("dorian",)], "mode string")).withColumnRenamed("id", "idx")
-    return rows.withColumn("key", F.get(F.array(*[F.lit(k) for k in KEY_NAMES]), c("idx").cast("int"))).withColumn("camelot", S.camelot_of(c("idx"), c("mode")))
+    rows = _dealt(spark, sf, KEY_NAMES, ["major", "minor", "dorian"])
+    return rows.select("event_id", c("a").alias("key"), c("b").alias("mode"), S.camelot_of(c("event_id") % 12, c("b")).alias("camelot"))
 
 
 def camelot_score_matrix(spark, sf):
     codes = [*CAMELOT_MAJOR, *CAMELOT_MINOR, "", "?", "8b", "B", "13B", None]
-    df = spark.createDataFrame([(x,) for x in codes], "c1 string")
-    return df.crossJoin(df.toDF("c2")).withColumn("score", S.camelot_score(c("c1"), c("c2")))
+    return _dealt(spark, sf, codes, codes).select("event_id", c("a").alias("c1"), c("b").alias("c2"), S.camelot_score(c("a"), c("b")).alias("score"))
 
 
 def _neighbours(spark, sf) -> DataFrame:
