@@ -24,7 +24,6 @@ SONG_COLUMNS = "id title artist status genre source_url track_id duration_secs d
 FEATURE_COLUMNS = "bpm bpm_confidence key mode camelot loudness_rms energy spectral_centroid spectral_rolloff zero_crossing_rate mfcc_json".split()
 # The names of the kinds of pairs, and the layout of a match's text in format_results.
 LABELS = {VOCAL_OVER_INSTRUMENTAL: "Vocals → Instrumental", INSTRUMENTAL_OVER_INSTRUMENTAL: "Instrumental → Instrumental"}
-RULE = "─" * 72
 
 
 def shown_path(path: Column, exists: Column) -> Column:
@@ -133,8 +132,21 @@ def _scores(r: dict, gap: str) -> str:
     return gap.join(f"{n}: {_num(_score(r, n.lower()), '.2f')}" for n in ("BPM", "Key", "Energy", "Timbre"))
 
 
-def _song_lines(r: dict, side: str) -> list[str]:
-    return [f"{r[side + '_title']} — {r[side + '_artist']}", f"{_num(r[side + '_bpm'], '.2f')} BPM  |  Key: {r[side + '_key']} {r[side + '_mode']}  |  Camelot: {r[side + '_camelot']}"]
+def pair_lines(r: dict) -> list[str]:
+    """A pair for people: what it is, its layers, what to do to the lower layer so that tempo and pitch fit, and the files."""
+    layer = lambda side: f"{r[side + '_title'] or '?'} — {r[side + '_artist'] or '?'} | {_num(r[side + '_bpm'], '.2f')} BPM | {r[side + '_key'] or '?'} {r[side + '_mode'] or '?'} | {r[side + '_camelot'] or '?'}"
+    stretch, shift = r["bpm_stretch_ratio"], r["semitone_shift"]
+    way = "" if not shift else " (up)" if shift > 0 else " (down)"
+    return [
+        f"Rank {r['rank']}: {r['combo_type']}",
+        f"  SCORE: {_num(r['score_total'], '.3f')} = {_scores(r, ', ')}",
+        f"  Upper layer: {layer('vocal')}",
+        f"  Lower layer: {layer('inst')}",
+        f"  Tempo: play the lower layer at {f'{stretch:.4f}x' if stretch else '?'}, so that it runs at {_num(r['vocal_bpm'], '.2f')} BPM",
+        f"  Pitch: move the lower layer by {_shift(shift)} semitones{way}",
+        f"  Upper file: {r['vocal_wav_path'] or 'missing'}",
+        f"  Lower file: {r['inst_wav_path'] or 'missing'}",
+    ]
 
 
 def write_report(rows: DataFrame, path: str) -> bool:
@@ -146,28 +158,11 @@ def write_report(rows: DataFrame, path: str) -> bool:
         out = csv.DictWriter(f, CSV_FIELDS)
         out.writeheader()
         out.writerows(found)
-    text = []
-    for r in found:
-        stretch = f"{r['bpm_stretch_ratio']:.4f}x" if r["bpm_stretch_ratio"] else "?"
-        text += [RULE, f"#{r['rank']:02d}  [{r['combo_type']}]  Score: {_num(r['score_total'], '.3f')}"]
-        for label, side in (("VOCAL:", "vocal"), ("INST: ", "inst")):
-            first, second = _song_lines(r, side)
-            text += [f"  {label}  {first}", f"          {second}"]
-        text += [f"  BPM:    Stretch instrumental by {stretch}", f"  KEY:    Pitch instrumental {_shift(r['semitone_shift'])} semitones", f"  SCORE:  {_scores(r, '  ')}", "  FILES:", f"    Vocals: {r['vocal_wav_path']}", f"    Inst:   {r['inst_wav_path']}"]
-    Path(path).with_suffix(".txt").write_text("\n".join([*text, RULE, ""]), encoding="utf-8")
+    text = "\n\n".join("\n".join(pair_lines(r)) for r in found)
+    Path(path).with_suffix(".txt").write_text(f"{text}\n", encoding="utf-8")
     return True
 
 
-def session_text(r: dict) -> str:
-    shift = r["semitone_shift"]
-    stretch = f"{r['bpm_stretch_ratio']:.4f}x" if r["bpm_stretch_ratio"] else "?"
-    top, bed = _song_lines(r, "vocal"), _song_lines(r, "inst")
-    lines = ["Session Info", "============", f"Rank:   #{r['rank']:02d} / {r['combo_type']}", f"Score:  {_num(r['score_total'], '.3f')}  ({_scores(r, '  ')})", ""]
-    lines += [f"TOP (vocals)   {top[0]}", f"  {top[1]}", "", f"BED (instrumental)  {bed[0]}", f"  {bed[1]}", "", f"BPM stretch ratio:  {stretch}"]
-    lines += [f"Semitone shift:     {_shift(shift)} ({'up' if (shift or 0) >= 0 else 'down'})", "", f"vocals.wav        → {r['vocal_wav_path'] or 'MISSING'}", f"instrumental.wav  → {r['inst_wav_path'] or 'MISSING'}"]
-    return "\n".join(lines) + "\n"
-
-
 def link_or_copy(source: Path, target: Path) -> None:
     """Puts a link at target, or a copy where links can't be made; what was there goes."""
     target.unlink(missing_ok=True)
@@ -187,11 +182,11 @@ def write_sessions(plan: DataFrame, folder: str) -> int:
     for r in found:
         own = top / r["folder"]
         own.mkdir(exist_ok=True)
-        text = session_text(r)
+        lines = pair_lines(r)
         for column, name in (("vocal_wav_path", "vocals.wav"), ("inst_wav_path", "instrumental.wav")):
             if r[column] and Path(r[column]).exists():
                 link_or_copy(Path(r[column]), own / name)
             else:
-                text += f"WARNING: {name} source missing: {r[column]}\n"
-        (own / "session_info.txt").write_text(text, encoding="utf-8")
+                lines.append(f"  Warning: {name} isn't here, as its source is missing: {r[column]}")
+        (own / "session_info.txt").write_text("\n".join(lines) + "\n", encoding="utf-8")
     return len(found)

@@ -160,9 +160,11 @@ def test_stages_end_to_end(spark, tmp_path):
     with (tmp_path / "r.csv").open() as f:
         rows = list(csv.DictReader(f))
     assert [r["rank"] for r in rows] == list("12345") and list(rows[0]) == list(report.CSV_FIELDS)
-    assert "SCORE:" in (tmp_path / "r.txt").read_text()
+    text = (tmp_path / "r.txt").read_text()
+    assert "SCORE:" in text and text.count("Tempo: play the lower layer at") == 5 and "so that it runs at 10" in text and "Pitch: move the lower layer by +0 semitones" in text
     assert report.write_sessions(report.session_plan(candidates, stems, 2), str(tmp_path / "fl")) == 2
-    assert len(list(Path(tmp_path / "fl").glob("*/session_info.txt"))) == 2
+    infos = [p.read_text() for p in Path(tmp_path / "fl").glob("*/session_info.txt")]
+    assert len(infos) == 2 and all("Tempo:" in t and t.count("Warning:") == 2 for t in infos)
     text = report.report_text(store.read("songs"), store.read("features"), candidates, 2)
     assert text.startswith("Songs: 6 (shown: 2)") and "MFCC [1.0" in text and "(shown: 12)" in text and "centroid 1.0" in text
     assert pipeline.totals(store)["stems"] == 12 and pipeline.totals(store)["songs analysed"] == 4
