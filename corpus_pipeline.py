@@ -58,7 +58,7 @@ STAGES = [
     ("benchmark_decontamination", decontaminated),
     ("packing", packed),
 ]
-#: Language ID and packing can't be said in SQL; the tests hold every stage against a brute-force version.
+#: Language ID and packing can't be said in SQL; the tests hold the operators against brute force, and the stages against the operators.
 ORACLE_SQL = None
 
 
