@@ -8,11 +8,21 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 
-from cadenza.tables import dropped, release, shared_dir, written
+from pyspark.sql import DataFrame
+
+from cadenza import tables
+from cadenza.tables import dropped, release, shared_dir
 
 __all__ = ["dropped", "lean", "leaning", "release", "shared_dir", "written"]
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``tables.written``, after which shuffle files that are out of use can go: these operators write several tables as large as their input."""
+    out = tables.written(df, name)
+    release(df.sparkSession)
+    return out
+
+
 @contextmanager
 def lean(*caches: dict) -> Iterator[None]:
     """Inside a task: at its end the caches are emptied and freed memory goes back to the system, as workers are used again by later stages."""
