@@ -83,8 +83,7 @@ def pairs(top: DataFrame, bed: DataFrame, combo: str, config: MatchConfig | None
     broadcasts it only up to ``broadcast_rows``.
     """
     config = config or MatchConfig()
-    if strategy == "auto":
-        strategy = "equi" if bed.count() <= broadcast_rows else "banded"
+    strategy = plan_for(bed, strategy, broadcast_rows)
     if strategy == "literal":
         joined = literal_pairs(top, bed, combo, config)
     else:
@@ -104,12 +103,20 @@ def scored(joined: DataFrame, combo: str, config: MatchConfig) -> DataFrame:
     return parts.withColumn("score_total", S.total_score(c("score_bpm"), c("score_key"), c("score_energy"), c("score_timbre"), config))
 
 
-def score_all(features: DataFrame, songs: DataFrame, config: MatchConfig | None = None, strategy: str = "auto") -> DataFrame:
-    """Both kinds of pairs: vocals over instrumentals, and instrumentals over instrumentals of higher song id."""
+def plan_for(bed: DataFrame, strategy: str = "auto", broadcast_rows: int = BROADCAST_ROWS) -> str:
+    """The strategy of ``pairs``; 'auto' counts the bed."""
+    if strategy != "auto":
+        return strategy
+    return "equi" if bed.count() <= broadcast_rows else "banded"
+
+
+def score_all(features: DataFrame, songs: DataFrame, config: MatchConfig | None = None, strategy: str = "auto", combos: tuple[str, ...] = (VOCAL_OVER_INSTRUMENTAL, INSTRUMENTAL_OVER_INSTRUMENTAL)) -> DataFrame:
+    """Pairs of the kinds asked for: vocals over instrumentals, and instrumentals over instrumentals of higher song id. The bed is counted once for both."""
     named = with_titles(features, songs)
     vocals, beds = named.filter("stem_type = 'vocals'"), named.filter("stem_type = 'instrumental'")
-    over = pairs(vocals, beds, VOCAL_OVER_INSTRUMENTAL, config, strategy)
-    return over.unionByName(pairs(beds, beds, INSTRUMENTAL_OVER_INSTRUMENTAL, config, strategy))
+    strategy = plan_for(beds, strategy)
+    made = [pairs(vocals if combo == VOCAL_OVER_INSTRUMENTAL else beds, beds, combo, config, strategy) for combo in combos]
+    return made[0] if len(made) == 1 else made[0].unionByName(made[1])
 
 
 def score_changed(features: DataFrame, songs: DataFrame, old_features: DataFrame, old_songs: DataFrame, config: MatchConfig | None = None, strategy: str = "auto") -> DataFrame:

@@ -45,5 +45,5 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("key", key).withColumn("mode", mode)
 
 
-def candidates(spark: SparkSession, sf_dir: str, strategy: str = "auto") -> DataFrame:
-    return pairs.score_all(features(spark, sf_dir), songs(spark, sf_dir), None, strategy)
+def candidates(spark: SparkSession, sf_dir: str, strategy: str = "auto", combo: str | None = None) -> DataFrame:
+    return pairs.score_all(features(spark, sf_dir), songs(spark, sf_dir), None, strategy, *([(combo,)] if combo else []))

@@ -89,20 +89,20 @@ def pair_filter_counts(spark, sf):
 
 
 def vocal_over_instrumental(spark, sf):
-    return _short(candidates(spark, sf).filter(c("combo_type") == VOCAL_OVER_INSTRUMENTAL))
+    return _short(candidates(spark, sf, combo=VOCAL_OVER_INSTRUMENTAL))
 
 
 def vocal_over_instrumental_banded(spark, sf):
     """The plan for inputs beyond the broadcast bound; same rows."""
-    return _short(candidates(spark, sf, "banded").filter(c("combo_type") == VOCAL_OVER_INSTRUMENTAL))
+    return _short(candidates(spark, sf, "banded", VOCAL_OVER_INSTRUMENTAL))
 
 
 def vocal_over_instrumental_literal(spark, sf):
-    return _short(candidates(spark, sf, "literal").filter(c("combo_type") == VOCAL_OVER_INSTRUMENTAL))
+    return _short(candidates(spark, sf, "literal", VOCAL_OVER_INSTRUMENTAL))
 
 
 def instrumental_over_instrumental(spark, sf):
-    return _short(candidates(spark, sf).filter(c("combo_type") == INSTRUMENTAL_OVER_INSTRUMENTAL))
+    return _short(candidates(spark, sf, combo=INSTRUMENTAL_OVER_INSTRUMENTAL))
 
 
 def all_pairs_by_combo(spark, sf):
@@ -114,7 +114,7 @@ def candidates_min_score(spark, sf):
 
 
 def candidates_for_song_vocal(spark, sf):
-    return _short(rank.for_song(candidates(spark, sf), 5, "vocal", VOCAL_OVER_INSTRUMENTAL))
+    return _short(rank.for_song(candidates(spark, sf, combo=VOCAL_OVER_INSTRUMENTAL), 5, "vocal", VOCAL_OVER_INSTRUMENTAL))
 
 
 def candidates_for_song_inst(spark, sf):
@@ -122,7 +122,7 @@ def candidates_for_song_inst(spark, sf):
 
 
 def find_matches_topk(spark, sf):
-    return _short(rank.find_matches(candidates(spark, sf), 5, 10, "vocal", VOCAL_OVER_INSTRUMENTAL))
+    return _short(rank.find_matches(candidates(spark, sf, combo=VOCAL_OVER_INSTRUMENTAL), 5, 10, "vocal", VOCAL_OVER_INSTRUMENTAL))
 
 
 def find_matches_pruned(spark, sf):
@@ -162,7 +162,7 @@ def session_plan(spark, sf):
 
 
 def format_results_text(spark, sf):
-    rows = rank.find_matches(candidates(spark, sf), 5, 10, "vocal", VOCAL_OVER_INSTRUMENTAL).collect()
+    rows = rank.find_matches(candidates(spark, sf, combo=VOCAL_OVER_INSTRUMENTAL), 5, 10, "vocal", VOCAL_OVER_INSTRUMENTAL).collect()
     text = report.format_results(rows, "Seed", VOCAL_OVER_INSTRUMENTAL)
     return spark.createDataFrame([(i, x) for i, x in enumerate(text.split("\n"))], "line int, text string")
 

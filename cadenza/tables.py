@@ -33,7 +33,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
