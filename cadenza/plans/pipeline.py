@@ -127,9 +127,16 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     return p.parse_args(argv)
 
 
+def best_files(store: Store, top_n: int) -> DataFrame:
+    """(path): the stem files of the best pairs that exist; only their folders are listed."""
+    best = rank.top(store.read("mashup_candidates"), top_n)
+    songs = best.select(F.explode(F.array("vocal_song_id", "inst_song_id")).alias("song_id")).distinct()
+    return listing.existing(store.read("stems").join(songs, "song_id", "left_semi").select(F.col("file_path").alias("path")))
+
+
 def _exports(store: Store, args: argparse.Namespace) -> None:
     if args.export:
-        report.write_report(report.export_rows(store.read("mashup_candidates"), store.read("stems"), None, args.top_n), args.export)
+        report.write_report(report.export_rows(store.read("mashup_candidates"), store.read("stems"), best_files(store, args.top_n), args.top_n), args.export)
     if args.prep:
         report.write_sessions(report.session_plan(store.read("mashup_candidates"), store.read("stems"), args.top_n), args.prep)
 

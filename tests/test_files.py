@@ -1,5 +1,6 @@
 """Listing, the data source of tracks, and stages over real files."""
 
+import csv
 import json
 
 import numpy as np
@@ -110,4 +111,9 @@ def test_command_line_analyses_waves_and_matches(spark, tmp_path, capsys):
     assert len(features) == 6 and all(abs(r["bpm"] / 120 - 1) < 0.02 and r["key"] == "A" and len(json.loads(r["mfcc_json"])) == 13 for r in features)
     assert {r["status"] for r in store.read("songs").collect()} == {"analysed"}
     out = capsys.readouterr().out
-    assert "songs analysed: 2" in out and "BPM" in out.upper() and (tmp_path / "r.csv").exists()
+    assert "songs analysed: 2" in out and "BPM" in out.upper()
+    rows = list(csv.DictReader((tmp_path / "r.csv").open()))
+    assert rows and {r["vocal_wav_path"] for r in rows} <= {str(audio / f"{i}vocals.wav") for i in (1, 2)}
+    (audio / "2instrumental.wav").unlink()
+    assert run("--export", str(tmp_path / "again")) == 0
+    assert f"FILE_MISSING:{audio / '2instrumental.wav'}" in {r["inst_wav_path"] for r in csv.DictReader((tmp_path / "again.csv").open())}
