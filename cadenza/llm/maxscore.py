@@ -77,6 +77,16 @@ def quantised(vector: Column, scale: int) -> Column:
     return F.when(sound, F.transform(doubles, whole))
 
 
+#: Below the range of a long by more than sums of floats can be off.
+_RANGE = 2.0**63 * (1 - 1e-9)
+
+
+def _most_by_component(items: DataFrame, queries: DataFrame, width: int) -> float:
+    """The sum over components of the greatest of any item times the greatest of any query: no score is beyond it."""
+    greatest = lambda df: df.agg(*[F.max(F.abs(F.get("vector", F.lit(i)).cast("double"))).alias(f"c{i}") for i in range(width)]).first()
+    return sum((a or 0.0) * (b or 0.0) for a, b in zip(greatest(items), greatest(queries)))
+
+
 def top_k(items: DataFrame, queries: DataFrame, k: int = 5, block_mb: int = 32) -> DataFrame:
     """(query_id, rank int, id, score long): the k items with the greatest inner product for every query.
 
@@ -86,7 +96,9 @@ def top_k(items: DataFrame, queries: DataFrame, k: int = 5, block_mb: int = 32)
     a null id or vector take no part. Every row counts: an item given twice can
     be found twice, and the rows of one query_id share its k places. With no
     other item a query has no rows. Other columns are ignored. If a score could
-    pass the range of a long, a ValueError is raised.
+    pass the range of a long by the greatest components of items and queries,
+    a ValueError is raised: component by component, so that an outlier in one
+    that no query has large is no reason.
 
     Items are dealt by hash over shards, queries over blocks, each of at most
     about ``block_mb`` MB (small tables: so many shards that all cores work);
@@ -100,7 +112,7 @@ def top_k(items: DataFrame, queries: DataFrame, k: int = 5, block_mb: int = 32)
     n, width, greatest = items.agg(F.count("*"), F.max(F.size("vector")), F.max(size)).first()
     asked, longest, largest = queries.agg(F.count("*"), F.max(F.size("vector")), F.max(size)).first()
     width, largest = max(1, width or 0, longest or 0), max(1, int(largest or 0))
-    if (greatest or 0) * largest * width >= 2.0**63:
+    if (greatest or 0) * largest * width >= _RANGE and _most_by_component(items, queries, width) >= _RANGE:
         raise ValueError("scores could pass the range of 64 bits: scale the vectors down")
     most = max(1, (block_mb << 20) // (8 * width))
     cores = items.sparkSession.sparkContext.defaultParallelism

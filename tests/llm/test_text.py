@@ -254,6 +254,13 @@ def test_top_k_of_repeated_short_and_large_vectors(spark, tmp_path):
         maxscore.top_k(huge, huge.withColumnRenamed("id", "query_id"))
 
 
+def test_outliers_in_other_components_are_no_reason_to_refuse(spark):
+    items = spark.createDataFrame([(1, [0, 2**31]), (2, [1, 1]), (3, [-1, 2**62]), (4, [3, -(2**61)])], "id long, vector array<long>")
+    asked = spark.createDataFrame([(9, [2**33, 0]), (8, [-(2**60), 0])], "query_id long, vector array<long>")
+    found = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in maxscore.top_k(items, asked, 2).collect()}
+    assert found == {(9, 1): (4, 3 * 2**33), (9, 2): (2, 2**33), (8, 1): (3, 2**60), (8, 2): (1, 0)}
+
+
 def test_out_of_fold_models_do_not_see_their_fold(spark):
     """Each fold's model, refit by hand from the other folds' rows alone; a word of one fold's positives is no input of its model."""
     rng = random.Random(9)
