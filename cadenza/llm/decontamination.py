@@ -89,13 +89,14 @@ def _among(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
     return at[known[np.minimum(np.searchsorted(known, codes[at]), len(known) - 1)] == codes[at]]
 
 
-def template(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def template(text: str | None, typed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, codes, slots) of a text's tokens: a code is that of the word or placeholder; slots tells which are placeholders.
 
     Numbers (digits, also joined by .,:/ or number words), capitalised words
     (first letter upper, last lower case: names, wherever they stand) and units
     (symbols, or unit words right after a number) become typed placeholders.
-    Other words are compared in lower case; punctuation isn't.
+    Other words are compared in lower case; punctuation isn't. Not ``typed``:
+    no token becomes a placeholder.
     """
     kind, lower, case = _read(text or "")
     joint = np.flatnonzero(kind == 4)
@@ -111,6 +112,8 @@ def template(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     if not len(start):
         return start, end, np.zeros(0, dtype=_U), np.zeros(0, dtype=bool)
     codes = _word_codes(lower, start, end)
+    if not typed:
+        return start, end, codes, np.zeros(len(codes), dtype=bool)
     number = kind[start] == 2
     number[_among(codes, _codes_of(tuple(NUMBER_WORDS)))] = True
     unit = kind[start] == 3
@@ -164,6 +167,88 @@ def windows(rows: DataFrame, size: int, wanted: np.ndarray | None = None) -> Dat
     return rows.select("key", "text").mapInArrow(leaning(run), "key long, pos long, hash long, slots array<string>")
 
 
+def _phrases(rows: DataFrame, size: int, lengths: list[int] | None = None, wanted: np.ndarray | None = None) -> DataFrame:
+    """(key, length, hash): a hash of tokens as they stand, in lower case, without placeholders.
+
+    lengths None: of the whole text, if it has fewer than ``size`` tokens. Else
+    of every distinct sequence of so many tokens in a text; only those whose
+    hash is in the sorted array wanted, if it is given.
+    """
+    handle = None if wanted is None else rows.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list[np.ndarray]] = [[], [], []]
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                codes = template(text, typed=False)[2]
+                for n in lengths if lengths is not None else [len(codes)] * (len(codes) < size):
+                    hashes = window_hashes(codes, n) if 0 < n <= len(codes) else codes[:0]
+                    hashes = np.unique(hashes if handle is None else hashes[_among(hashes, handle.value)])
+                    for column, x in zip(out, (np.full(len(hashes), key, dtype=np.int64), np.full(len(hashes), n, dtype=np.int32), hashes.view(np.int64))):
+                        column.append(x)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["key", "length", "hash"])
+
+    return rows.select("key", "text").mapInArrow(leaning(run), "key long, length int, hash long")
+
+
+def _short_items(rows: DataFrame, asked: DataFrame, size: int, broadcast_bytes: int) -> DataFrame | None:
+    """(key, item_id): items of fewer than ``size`` tokens that stand word for word anywhere in a text; None if no item is so short."""
+    short = written(_phrases(asked, size).select(F.col("key").alias("item_id"), "length", "hash").distinct(), "short")
+    lengths = sorted(r["length"] for r in short.select("length").distinct().collect())
+    if not lengths:
+        return None
+    wanted = None
+    if 8 * short.count() <= broadcast_bytes:
+        wanted = np.sort(np.array([r["hash"] for r in short.select("hash").distinct().collect()], dtype=np.int64).view(_U))
+    return _phrases(rows, size, lengths, wanted).join(short, ["length", "hash"]).select("key", "item_id").distinct()
+
+
+def _fits_itself(values: tuple, held: tuple) -> bool:
+    return len(set(zip(values, held))) == len(set(values))
+
+
+def consistent(group: list[dict], needed: float) -> int:
+    """As ``best_consistent`` for the hits (pos, hash, slots, places) of a pair, places being those of the hash in the item.
+
+    The fillings over the whole text are counted by slot, not by hit and place,
+    so that an item that is one template over and over (numbers, say) costs in
+    proportion to its places and the hits.
+    """
+    places, fillings = {}, {}
+    for h in group:
+        places.setdefault(h["hash"], [tuple(p["item_slots"]) for p in h["places"]])
+        fillings.setdefault(h["hash"], Counter())[tuple(h["slots"])] += 1
+    held: dict[tuple, Counter] = {}
+    for name, found in fillings.items():
+        for slots, n in found.items():
+            for i, x in enumerate(slots):
+                held.setdefault((name, i), Counter())[x] += n
+    asked: dict[str, Counter] = {}
+    for name, found in places.items():
+        for values in found:
+            for i, v in enumerate(values):
+                asked.setdefault(v, Counter())[name, i] += 1
+
+    @lru_cache(maxsize=None)
+    def likeliest(slots: frozenset) -> str:
+        votes: Counter = Counter()
+        for slot, n in slots:
+            for x, c in held[slot].items():
+                votes[x] += n * c
+        return max(votes.items(), key=lambda x: (x[1], x[0]))[0]
+
+    usual = {v: likeliest(frozenset(c.items())) for v, c in asked.items()}
+    best = sum(any(tuple(usual[v] for v in values) in fillings[name] for values in found) for name, found in places.items())
+    if best == len(places):
+        return best
+    if len(places) == 1:  # any occurrence is as good as its one window
+        (name, found), = places.items()
+        shapes = {tuple(values.index(v) for v in values): values for values in found}
+        return int(any(_fits_itself(values, slots) for values in shapes.values() for slots in fillings[name]))
+    return best_consistent([(h["pos"], p["item_pos"], h["hash"], tuple(p["item_slots"]), tuple(h["slots"])) for h in group for p in h["places"]], needed)
+
+
 def _fitting(hits: list[tuple]) -> int:
     """How many distinct windows fit the usual fillings of the hits (place in the text, place in the item, hash, item's values, text's values).
 
@@ -222,8 +307,10 @@ def leaks(docs: DataFrame, items: DataFrame, size: int = 5, share: float = 0.8,
     """(key, doc_id, item_id, item_windows, matched, consistent, share): benchmark items that a document holds, also with other numbers, names or units.
 
     docs: doc_id, text; items: item_id, text. An item's windows of ``size``
-    template tokens are looked up in the documents (a text of fewer tokens is
-    one window, so it equals only such a whole text). Slots are consistent if
+    template tokens are looked up in the documents. A text of fewer tokens is
+    one window, which equals only such a whole text; inside longer texts such an
+    item is found where its tokens stand word for word, in any case (one window,
+    consistent), as its template alone would fit clean texts. Slots are consistent if
     each value of the item stands for one value of the document; a window with
     a slot that differs from the usual value for it doesn't count. This is
     judged over the whole text and in each occurrence on its own, so that
@@ -270,12 +357,16 @@ def leaks(docs: DataFrame, items: DataFrame, size: int = 5, share: float = 0.8,
         for b in batches:
             best = []
             for n, group in zip(b.column("item_windows").to_pylist(), b.column("hits").to_pylist()):
-                own = [(h["pos"], p["item_pos"], h["hash"], tuple(p["item_slots"]), tuple(h["slots"])) for h in group for p in h["places"]]
-                best.append(best_consistent(own, share * n))
+                best.append(consistent(group, share * n))
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(best, pa.int64())], names=["key", "item_id", "item_windows", "matched", "consistent"])
 
     found = pairs.mapInArrow(leaning(judge), "key long, item_id long, item_windows long, matched long, consistent long")
     found = written(found.withColumn("share", F.col("consistent") / F.col("item_windows")).filter(F.col("share") >= share), "found")
+    short = _short_items(rows, asked, size, broadcast_bytes)
+    if short is not None:
+        ones = [F.lit(1).cast("long").alias(c) for c in ("item_windows", "matched", "consistent")]
+        more = short.join(found.select("key", "item_id"), ["key", "item_id"], "left_anti").select("key", "item_id", *ones, F.lit(1.0).alias("share"))
+        found = written(found.unionByName(more), "found")
     named = rows.select("key", "doc_id").join(found.select("key").distinct(), "key", "left_semi").distinct()
     return named.join(found, "key").select("key", "doc_id", "item_id", "item_windows", "matched", "consistent", "share")
 
@@ -324,6 +415,14 @@ usual AS (
   QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, value ORDER BY n DESC, held DESC) = 1),
 wrong AS (SELECT DISTINCT f.r FROM filled f JOIN usual u USING (doc_id, item_id, value) WHERE f.held <> u.held),
 sound AS (
-  SELECT doc_id, item_id, item_windows, matched, count(DISTINCT win) AS consistent FROM near WHERE r NOT IN (SELECT r FROM wrong) GROUP BY ALL)
-SELECT doc_id, item_id, item_windows, matched, consistent, consistent / item_windows AS share FROM sound WHERE consistent / item_windows >= 0.8
+  SELECT doc_id, item_id, item_windows, matched, count(DISTINCT win) AS consistent FROM near WHERE r NOT IN (SELECT r FROM wrong) GROUP BY ALL),
+found AS (SELECT doc_id, item_id, item_windows, matched, consistent, consistent / item_windows AS share FROM sound WHERE consistent / item_windows >= 0.8),
+short AS (SELECT DISTINCT id AS item_id, len(t) AS k, list_transform(t, lambda x: lower(x)) AS words FROM tokens WHERE side = 'i' AND len(t) BETWEEN 1 AND 4),
+spots AS (
+  SELECT id AS doc_id, t, k, unnest(range(0, len(t) - k + 1)) AS pos FROM tokens CROSS JOIN (SELECT DISTINCT k FROM short) WHERE side = 'd' AND len(t) >= k),
+verbatim AS (
+  SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, list_transform(t[pos + 1 : pos + k], lambda x: lower(x)) AS words FROM spots) JOIN short USING (words))
+SELECT * FROM found
+UNION ALL
+SELECT doc_id, item_id, 1, 1, 1, 1.0 FROM verbatim WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.doc_id IS NOT DISTINCT FROM verbatim.doc_id AND f.item_id = verbatim.item_id)
 """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -34,10 +35,12 @@ CLOSES = {
 PAD = 80
 #: Levels of lists and quotations that are indented; deeper ones stand below the last.
 LEVELS = 50
+#: No cell is moved further to the right than so many characters, so that blanks stay in proportion to a table's cells.
+REACH = 1000
 _SPACES = re.compile(r"[ \t\n\f\r]+")
 _STYLE = re.compile(r"(?<![\w-])(display|visibility)\s*:\s*([a-z-]+)")
 _COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.S)
-_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+_MARK = re.compile(r"[@{};]")
 _SELECTOR = re.compile(r"(\*|[a-z][a-z0-9]*)?((?:[.#][\w-]+)*)", re.I)
 
 
@@ -62,7 +65,13 @@ class Tree(HTMLParser):
         self.places: dict[str, list[int]] = {}
         self.styles: list[str] = []
         self._enter(self.root)
-        self.feed(html)
+        end = html.rfind("<", html.rfind(">") + 1)
+        end = html.rfind(">") + 1 if end >= 0 else len(html)
+        self.feed(html[:end])
+        if end < len(html) and not self.rawdata and self.cdata_elem is None:
+            self.handle_data(unescape(html[end:]))  # no tag ends here: text, read once instead of tag by tag
+        else:
+            self.feed(html[end:])
         self.close()
 
     def _enter(self, node: Node) -> None:
@@ -233,7 +242,7 @@ class Table:
     def __init__(self) -> None:
         self.rows: list[list[tuple[int, int, list[str]]]] = []
 
-    def lines(self, pad: int) -> list[str]:
+    def lines(self, pad: int, reach: int) -> list[str]:
         placed, busy = [], {}
         for cells in self.rows:
             row, at = [], 0
@@ -260,8 +269,9 @@ class Table:
                 text = ""
                 for at, _, lines in row:
                     left = ends[at] if at < len(ends) else ends[-1] + 2 * (at - len(ends) + 1) if at < 1000 else len(text)
+                    apart, left = 2 * (left > reach), min(left, reach)
                     if i < len(lines) and lines[i]:
-                        text = text.ljust(left) if len(text) <= left else f"{text}  "
+                        text = text.ljust(left) if len(text) + apart <= left else f"{text}  "
                         text += lines[i]
                 out.append(text)
         return out
@@ -272,6 +282,24 @@ def _number(node: Node, name: str, most: int) -> int:
     return min(most, max(1, int(value))) if value.isdecimal() and len(value) < 9 else 1
 
 
+def _flat(css: str) -> str:
+    """Style text without at-rules and their blocks, in one pass; an @ whose statement doesn't end is plain text."""
+    flat, start, depth, rule = [], 0, 0, None
+    for m in _MARK.finditer(css):
+        mark, at = m[0], m.start()
+        if depth:
+            depth += {"{": 1, "}": -1}.get(mark, 0)
+            start = at + 1
+        elif mark == "@":
+            rule = at if rule is None else rule
+        elif rule is not None:
+            if mark != "}":
+                flat.append(css[start:rule])
+                start, depth = at + 1, int(mark == "{")
+            rule = None
+    return "".join([*flat, "" if depth else css[start:]])
+
+
 class Styles:
     """Rules of a page's style elements that set display or visibility.
 
@@ -282,17 +310,11 @@ class Styles:
 
     def __init__(self, texts: list[str]):
         self.rules: dict[str, list[tuple]] = {}
-        css, depth, start, flat = _COMMENT.sub("", "\n".join(texts)), 0, 0, []
-        if "@" in css:  # at-rules go, with their blocks
-            for m in re.finditer(r"@[^{};]*[;{]|[{}]", css):
-                if depth == 0 and m[0][0] == "@":
-                    flat.append(css[start : m.start()])
-                    start, depth = m.end(), int(m[0][-1] == "{")
-                elif depth:
-                    depth += {"{": 1, "}": -1}.get(m[0][-1], 0)
-                    start = m.end()
-            css = "".join([*flat, css[start:] if not depth else ""])
-        for at, (selectors, body) in enumerate(_RULE.findall(css)):
+        css = _flat(_COMMENT.sub("", "\n".join(texts)))
+        for at, part in enumerate(css.split("}")[:-1]):
+            *_, selectors, body = ["", *part.rsplit("{", 2)]
+            if "{" not in part:
+                continue
             found = dict(_STYLE.findall(body.lower()))
             for one in selectors.split(",") if found else ():
                 m = _SELECTOR.fullmatch(one.strip())
@@ -340,14 +362,16 @@ def _shown_option(select: Node) -> list[Node]:
     return [n for n in found if "selected" in n.attrs][:1] or found[:1]
 
 
-def render(html: str | None, pad: int = PAD, levels: int = LEVELS) -> str:
+def render(html: str | None, pad: int = PAD, levels: int = LEVELS, reach: int = REACH) -> str:
     """All visible text of a page, with line breaks, blank lines, list markers and aligned table cells as it would be laid out.
 
     Visibility follows element types, the hidden attribute, inline styles and
     the rules of style elements (see ``Styles``; no linked sheets or scripts).
     A table's columns are as wide as their widest line of at most ``pad``
     characters: longer lines push what follows in their row, but lose nothing.
-    ``levels`` of lists and quotations are indented. Null or empty: ''.
+    Cells of columns farther than ``reach`` characters from the left begin
+    there, or after what stands there. Time is linear in style text and in tags
+    that never end, and blanks grow with the number of cells. ``levels`` of lists and quotations are indented. Null or empty: ''.
     """
     if not html:
         return ""
@@ -373,7 +397,7 @@ def render(html: str | None, pad: int = PAD, levels: int = LEVELS) -> str:
                 if tables[-1].rows:
                     tables[-1].rows[-1].append((_number(node, "colspan", 1000), _number(node, "rowspan", 65534), lines))
             elif tag == "table":
-                lines = tables.pop().lines(pad)
+                lines = tables.pop().lines(pad, reach)
                 box.whole(lines)
                 box.block(True)
             elif tag in BLOCK:

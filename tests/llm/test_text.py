@@ -113,6 +113,52 @@ def test_common_windows_ties_and_long_texts(spark):
         assert found == {(i, 40) for i in range(302)} | {(300, 3), (301, 7), (303, 41)}, found
 
 
+def test_short_items_are_found_inside_texts(spark):
+    """Items of one to four tokens stand word for word in a text, at its ends too; another number or order isn't the item."""
+    items = ["How many are 7", "blue whale", "Zürich", "42 km", "", None, "!", "blue whale"]
+    texts = ["x y how many are 7, then z", "how many are 8 of them", "How many are 9", "a blue, WHALE", "whale blue", "in zürich and zürich", "it is 42 km", "it is 43 km and 42 m", None, "", "blue whale"]
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for bound in (1 << 26, 0):
+        rows = decontamination.leaks(docs(spark, texts), table, broadcast_bytes=bound).collect()
+        assert {(r["consistent"], r["share"]) for r in rows} == {(1, 1.0)}
+        assert sorted((r["doc_id"], r["item_id"]) for r in rows) == [(0, 0), (2, 0), (3, 1), (3, 7), (5, 2), (6, 3), (10, 1), (10, 7)]
+
+
+def test_short_items_in_the_query_and_its_sql(spark, tmp_path):
+    texts = ["a blue whale swims", "blue whale", None, "it is 42 km to that place where all of us will meet some day", "the blue fish"]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "Blue whale!"), (2, texts[3]), (3, "42 km"), (None, "blue")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = decontamination.op3_benchmark_decontamination(spark, str(tmp_path))
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(map(tuple, found.collect())) == sorted(db.execute(decontamination.OP3_SQL).fetchall())
+    assert found.count() == 4
+
+
+def test_repeated_templates_are_counted_by_slot():
+    """The same as by hit and place; 1,000 numbers against 20,000 take seconds."""
+    rng = random.Random(3)
+    for _ in range(400):
+        value = lambda: rng.choice("123")
+        group = []
+        for name in range(rng.randint(2, 4)):
+            width = rng.randint(0, 2)
+            places = [{"item_pos": q, "item_slots": [value() for _ in range(width)]} for q in rng.sample(range(9), rng.randint(1, 4))]
+            group += [{"pos": p, "hash": name, "slots": [value() for _ in range(width)], "places": places} for p in rng.sample(range(12), rng.randint(1, 4))]
+        tuples = [(h["pos"], p["item_pos"], h["hash"], tuple(p["item_slots"]), tuple(h["slots"])) for h in group for p in h["places"]]
+        for needed in (1.6, 3):
+            assert decontamination.consistent(group, needed) == decontamination.best_consistent(tuples, needed)
+    began = time.time()
+    numbers = lambda n, least: [str(x) for x in range(least, least + n)]
+    item, text = numbers(1000, 0), numbers(20_000, 5000)
+    places = [{"item_pos": q, "item_slots": item[q : q + 5]} for q in range(996)]
+    assert decontamination.consistent([{"pos": p, "hash": 1, "slots": text[p : p + 5], "places": places} for p in range(19_996)], 0.8) == 1
+    assert time.time() - began < 10
+    one = lambda values, held: decontamination.consistent([{"pos": 0, "hash": 1, "slots": held, "places": [{"item_pos": 0, "item_slots": values}]}], 0.8)
+    assert one(["1", "1"], ["2", "3"]) == 0 and one(["1", "2"], ["3", "3"]) == 1
+
+
 def test_simhash_components_match_brute_force(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(6)]
@@ -368,6 +414,44 @@ def test_deep_pages_take_linear_time():
     assert time.time() - began < 60
 
 
+def test_odd_style_text_and_tags_take_linear_time():
+    began = time.time()
+    r = html_extraction.render
+    for css in ("x" * 200_000, "@" * 200_000, "a{" * 100_000, "@media{" * 50_000, "}" * 200_000, "@a}" * 100_000):
+        assert r(f"<style>{css}</style>text") == "text"
+    assert r("<a " * 100_000).count("<a") == 100_000 and r("<p>x</p>a < b &amp; <b") == "x\n\na < b & <b"
+    assert r("<!-- > no <b") == r("<!-- > no <b", 80)
+    assert time.time() - began < 20
+
+
+def test_style_text_against_patterns():
+    """Rules and at-rules as two backtracking patterns find them, on short texts."""
+    rng = random.Random(8)
+    for _ in range(3000):
+        css = "".join(rng.choice(["a", ".b", "@m ", "{", "}", ";", "display:none", ",", " "]) for _ in range(rng.randint(0, 14)))
+        depth, start, flat = 0, 0, []
+        for m in re.finditer(r"@[^{};]*[;{]|[{}]", css):
+            if depth == 0 and m[0][0] == "@":
+                flat.append(css[start : m.start()])
+                start, depth = m.end(), int(m[0][-1] == "{")
+            elif depth:
+                depth += {"{": 1, "}": -1}.get(m[0][-1], 0)
+                start = m.end()
+        plain = "".join([*flat, css[start:] if not depth else ""])
+        assert html_extraction._flat(css) == plain, css
+        gone = {x.strip() for sel, body in re.findall(r"([^{}]*)\{([^{}]*)\}", plain) if re.search(r"(?<![\w-])display:none(?![a-z-])", body) for x in sel.split(",")}
+        rules = html_extraction.Styles([css]).rules
+        assert {k for k in ("a", ".b") if any(rule[1:3] == (("a", set()) if k == "a" else ("*", {".b"})) and rule[3] == {"display": "none"} for rule in rules.get(k, ()))} == gone & {"a", ".b"}, css
+
+
+def test_blanks_grow_with_the_cells():
+    wide = "<tr>" + "".join(f"<td>{'w' * 80}" for _ in range(1000))
+    page = f"<table>{wide}" + "<tr><td colspan=999><td>x" * 2000 + "<tr><td>a<td>b</table>"
+    out = html_extraction.render(page)
+    assert len(out) < 1002 * 2000 + 90_000 and out.count("x") == 2000 and out.endswith("a" + " " * 81 + "b") and out.count("w") == 80_000
+    assert html_extraction.render("<table><tr><td>ab<td>cd<td>e<tr><td>a<td>b<td>c</table>", reach=3) == "ab  cd  e\na  b  c"
+
+
 def test_extract_keeps_rows(spark):
     df = spark.createDataFrame([(1, "<p>x</p>", "old"), (1, "<p>x</p>", "old"), (None, None, "old")], "page_id long, html string, text string")
     assert sorted((r["page_id"] or 0, r["text"]) for r in html_extraction.extract(df).collect()) == [(0, ""), (1, "x"), (1, "x")]
