@@ -6,15 +6,33 @@ reread as the next one's docs. All but the last return the columns of ``document
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import decontamination, edited, language_id, packing, simhash, suffix_dedup
 from cadenza.llm._shared import written
 
+#: Rows sent to a Python worker at once. Spark's 10,000 whole texts take memory on both sides, which workers and executors keep from stage to stage.
+BATCH_ROWS = 1000
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def in_small_batches(stage: Stage) -> Stage:
+    """The stage, in a session that sends whole texts to Python by ``BATCH_ROWS``."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@in_small_batches
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that language ID rejects."""
     docs = docs.select(*COLUMNS)
@@ -26,6 +44,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return simhash.representatives(docs.select(*COLUMNS), 3, 2)
 
 
+@in_small_batches
 def singled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``deduplicated``, then without the edited copies (Jaccard of 5-word shingles of 0.8 or more) of a document with a smaller doc_id."""
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -34,6 +53,7 @@ def singled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.join(copies, F.col("_key") == F.col("key"), "left_anti").select(*COLUMNS)
 
 
+@in_small_batches
 def trimmed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages of 200 bytes or more that occur more than once; a character cut in two goes too."""
     found = suffix_dedup.remove_repeats(docs, 200, keep=["lang", "source"])
@@ -41,11 +61,13 @@ def trimmed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+@in_small_batches
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a benchmark item."""
     return decontamination.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@in_small_batches
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents into sequences of 2048 tokens; one row per piece, with its ids."""
     return packing.pack(docs)
