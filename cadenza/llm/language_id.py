@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm._shared import lean
+from cadenza.llm._shared import lean, leaning
 
 #: Buckets that hold the 1- to 3-grams of letters.
 BITS = 13
@@ -70,7 +70,7 @@ def _frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
                     found[-1] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found))), pa.array(found)], names=["bucket", "n"])
 
-    rows = train.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    rows = train.select("text").mapInArrow(leaning(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     found = np.zeros((1 << BITS) + 1, dtype=np.int64)
     for r in rows:
         found[r["bucket"]] = r["n"]
@@ -188,8 +188,9 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     @F.pandas_udf(struct)
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = handle.value
-        for part in texts:
-            yield pd.DataFrame([own.predict(t) for t in part], columns=["lang_pred", "score", "rejected"])
+        with lean():
+            for part in texts:
+                yield pd.DataFrame([own.predict(t) for t in part], columns=["lang_pred", "score", "rejected"])
 
     kept = docs.drop("lang_pred", "score", "rejected")
     return kept.withColumn("_language", predict(F.col("text").cast("string"))).select(*[F.col(f"`{c}`") for c in kept.columns], "_language.*")

@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm._shared import leaning
@@ -49,14 +48,15 @@ def radix_passes(kind: np.ndarray, units: np.ndarray) -> np.ndarray:
     return hit
 
 
-def remove_repeats(docs: DataFrame, window: int = 200, anchor: int = ANCHOR, keep: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 200, anchor: int = ANCHOR, keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, kept binary, spans, rest): every whole text without the bytes of repeated windows.
 
     A byte goes if it lies in a string of ``window`` bytes that also starts
     anywhere else in the corpus, the same document included; overlaps count.
     Strings are judged on the input, and none crosses documents. spans holds
     the maximal removed runs as (start, end) byte offsets; kept the other bytes
-    (a removed run may end inside a character). Null text: empty. A null doc_id
+    (a removed run may end inside a character; ``as_text`` gives kept as a
+    string without the rests of cut characters). Null text: empty. A null doc_id
     is an ordinary value. Repeated rows are documents of their own, so a
     repeated text of at least ``window`` bytes is removed in every row. An
     empty table gives an empty result. Only doc_id and text are read; rest is a
@@ -80,22 +80,13 @@ def remove_repeats(docs: DataFrame, window: int = 200, anchor: int = ANCHOR, kee
                 units = Bytes.split(text)
                 mask = covered(len(units), found, window)
                 sizes.append(len(units))
-                kept.append(units[~mask].tobytes())
+                left = units[~mask].tobytes()
+                kept.append(left.decode("utf-8", "ignore") if as_text else left)
                 spans.append([{"start": int(s), "end": int(e)} for s, e in zip(*spans_of(mask))])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, span), b.column(3)], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(spans, span), b.column(3)], names=names)
 
     joined = rows.join(starts, "key", "left").select("doc_id", "text", "starts", "rest")
-    return joined.mapInArrow(leaning(run), f"doc_id long, n_bytes long, kept binary, spans array<struct<start: long, end: long>>, rest {rows.schema['rest'].dataType.simpleString()}")
-
-
-def as_text(kept: str) -> Column:
-    """A column of bytes as text, without the rests of cut characters."""
-
-    @F.pandas_udf("string")
-    def decoded(part: pd.Series) -> pd.Series:
-        return part.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-    return decoded(kept)
+    return joined.mapInArrow(leaning(run), f"doc_id long, n_bytes long, kept {'string' if as_text else 'binary'}, spans array<struct<start: long, end: long>>, rest {rows.schema['rest'].dataType.simpleString()}")
 
 
 def op6_suffix_array_dedup(spark, sf_dir):

@@ -56,8 +56,8 @@ def singled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @in_small_batches
 def trimmed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages of 200 bytes or more that occur more than once; a character cut in two goes too."""
-    found = suffix_dedup.remove_repeats(docs, 200, keep=["lang", "source"])
-    found = found.select("doc_id", suffix_dedup.as_text("kept").alias("text"), "rest.*")
+    found = suffix_dedup.remove_repeats(docs, 200, keep=["lang", "source"], as_text=True)
+    found = found.select("doc_id", F.col("kept").alias("text"), "rest.*")
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

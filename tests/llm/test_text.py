@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from cadenza.llm import chat_format, decontamination, edited, html_extraction, language_id, maxscore, packing, simhash, toxicity
+from cadenza.llm import chat_format, decontamination, edited, html_extraction, language_id, maxscore, packing, simhash, suffix_dedup, toxicity
 from tests.llm.helpers import SCHEMA, SF, corpus, docs
 
 MESSAGES = "tree long, node long, parent long, score double, role string, text string, t string, known string"
@@ -552,6 +552,17 @@ def test_ids_of_odd_texts_are_the_tokenizers():
         assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1], text
 
 
+def test_suffix_stage_needs_one_python_worker_a_task(spark):
+    """Two Python steps in a row hold two workers a task, and executors keep them through the later stages."""
+    plan = corpus_pipeline.trimmed(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
+    texts = ["ab" + "é" * 30 + "x", "b" + "é" * 30 + "yé", None]
+    found = [
+        sorted((r["doc_id"], r["kept"]) for r in suffix_dedup.remove_repeats(docs(spark, texts), 51, 16, as_text=as_text).select("doc_id", "kept").collect()) for as_text in (False, True)
+    ]
+    assert [(i, bytes(b).decode("utf-8", "ignore")) for i, b in found[0]] == found[1] and all("é" * 30 not in t for _, t in found[1])
+
+
 def test_pipeline_stages(spark):
     docs_in = spark.read.parquet(f"{SF}/documents.parquet")
     kept = corpus_pipeline.identified(spark, docs_in, SF)
