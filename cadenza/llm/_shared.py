@@ -24,8 +24,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextmanager
-def lean(*caches: dict) -> Iterator[None]:
-    """Inside a task: at its end the caches are emptied and freed memory goes back to the system, as workers are used again by later stages."""
+def lean(*caches) -> Iterator[None]:
+    """Inside a task: at its end the caches (what has ``clear``) are emptied and freed memory goes back to the system, as workers are used again by later stages."""
     try:
         yield
     finally:

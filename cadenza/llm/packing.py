@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import re
@@ -11,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark import TaskContext
@@ -26,10 +28,25 @@ _SEPARATORS = re.compile(r"[\x1c-\x1f]")
 _SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: Words that need neither normalisation across characters nor added tokens: Latin letters up to U+024F and ASCII, without "<|".
 _PLAIN = re.compile(r"(?!.*<\|)[!-~\u00c0-\u024f]+")
-#: The vocabulary's own division of words (fixed).
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The same without "<", in which there is nothing to look for.
+_PLAINEST = re.compile(r"[!-;=-~\u00c0-\u024f]+").fullmatch
+#: The vocabulary's own division of words (fixed), letters first: no other branch begins with one.
+_PIECES = regex.compile(r"[\p{L}]+|'s|'t|'re|'ve|'m|'ll|'d|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
+def _marked(word: str) -> str:
+    """The pieces of a lower-cased word with a zero byte after each; most words are letters with at most one sign behind them."""
+    if word.isalpha():
+        return f"{word}\0"
+    if word[-1] in ".,;:!?" and word[:-1].isalpha():
+        return f"{word[:-1]}\0{word[-1]}\0"
+    return _PIECES.sub("\\g<0>\0", word)
+
+
 #: Words whose ids a task keeps; beyond, the store begins anew.
 _WORDS = 600_000
+#: Bytes of text that are divided at once.
+_SLICE = 1 << 22
 
 
 def _byte_letters() -> dict[str, int]:
@@ -43,7 +60,9 @@ class Words:
     """Ids by word for a vocabulary that drops white space and joins nothing across it.
 
     A text's ids are those of its words in a row, so up to 600,000 words are
-    kept with their ids while a task lasts. Words not seen before are merged in bulk: the same
+    kept with their ids while a task lasts. Arrow divides the texts and numbers
+    their different words, so only these are looked up; NumPy lays out the ids.
+    Words not seen before are merged in bulk: the same
     vocabulary as ranks, in which a zero byte stands for the end of a piece.
     Words outside plain Latin are left to the tokenizer itself.
     """
@@ -68,34 +87,53 @@ class Words:
                 self.ids_of[rank] = i
         self.merger = tiktoken.Encoding("words", pat_str=r"[^\x00 ]+\x00| ", mergeable_ranks=ranks, special_tokens={})
         self.space = ranks[b" "]
-        self.known: dict[str, bytes] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        """Begins the store anew: the empty word, and at place 1 the end of a document, which no word is."""
+        self.known: dict[str, int] = {"": 0}
+        self.starts, self.sizes, self.pool = np.array([0, 0]), np.array([0, 1]), np.array([END], dtype="<u4")
 
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if _PLAIN.fullmatch(w)]
-        for w in set(words).difference(plain):
-            self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if not plain:
-            return
-        joined = unicodedata.normalize("NFC", " ".join(plain)).lower()
-        ranks = self.merger.encode_to_numpy(_PIECES.sub("\\g<0>\0", joined), disallowed_special=())
-        ids = self.ids_of[ranks].tobytes()
-        ends = np.append(np.flatnonzero(ranks == self.space), len(ranks)) * 4
-        at = 0
-        for w, end in zip(plain, ends.tolist()):
-            self.known[w] = ids[at:end]
-            at = end + 4
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of whole texts, each followed by ``END``."""
+        plain = [w for w in words if _PLAINEST(w) or _PLAIN.fullmatch(w)]
+        others = list(set(words).difference(plain)) if len(plain) < len(words) else []
+        ids = [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4") for w in others]
+        sizes = np.array([len(x) for x in ids], dtype=np.int64)
+        if plain:
+            joined = unicodedata.normalize("NFC", " ".join(plain)).lower()
+            ranks = self.merger.encode_to_numpy(" ".join(map(_marked, joined.split(" "))), disallowed_special=())
+            space = ranks == self.space
+            ids.append(self.ids_of[ranks[~space]])
+            sizes = np.append(sizes, np.diff(np.flatnonzero(space), prepend=-1, append=len(ranks)) - 1)
+        first = len(self.sizes)
+        self.known.update(zip(others + plain, range(first, first + len(words))))
+        self.starts = np.append(self.starts, len(self.pool) + np.cumsum(sizes) - sizes)
+        self.sizes = np.append(self.sizes, sizes)
+        self.pool = np.concatenate([self.pool, *ids])
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of whole texts in a row, each text's followed by ``END``, and the bounds between texts."""
         if len(self.known) > _WORDS:
-            self.known.clear()
-        split = [_SPACE.split(t) if _SEPARATORS.search(t) else t.split() for t in texts]
-        self._learn(list(set().union(*split).difference(self.known)))
-        ids_of = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(ids_of, words)) + _END, dtype="<u4") for words in split]
-
-
-_END = np.array([END], dtype="<u4").tobytes()
+            self.clear()
+        if pc.any(pc.match_substring_regex(texts, _SEPARATORS.pattern)).as_py():
+            split = pa.array([_SPACE.split(t) if _SEPARATORS.search(t) else t.split() for t in texts.to_pylist()], pa.list_(pa.string()))
+        else:
+            split = pc.utf8_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False)  # much faster than a list
+        of_word = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), dtype=np.int64, count=len(words))
+        new = np.flatnonzero(of_word < 0)
+        if len(new):
+            fresh = words[new].tolist()
+            self._learn(fresh)
+            of_word[new] = list(map(self.known.__getitem__, fresh))
+        places = of_word[coded.indices.to_numpy()]
+        ends = np.cumsum(pc.list_value_length(split).to_numpy())
+        places = np.insert(places, ends, 1)
+        sizes = self.sizes[places]
+        after = np.cumsum(sizes)
+        at = np.arange(after[-1]) + np.repeat(self.starts[places] - after + sizes, sizes)
+        return self.pool[at], np.append(0, after[ends + np.arange(len(ends))])
 
 
 @lru_cache(maxsize=1)
@@ -112,7 +150,19 @@ def public_vocabulary() -> str:
 
 def token_ids(texts: list[str], vocabulary: str) -> list[np.ndarray]:
     """The ids of whole texts, each followed by ``END``, by this worker's own word store."""
-    return _words(vocabulary).ids(texts)
+    if not texts:
+        return []
+    ids, bounds = _words(vocabulary).ids(pa.array(texts, pa.string()))
+    return np.split(ids, bounds[1:-1])
+
+
+def by_bytes(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``_SLICE`` bytes of a text column, a longer text by itself or as the last."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
+    cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // _SLICE)) + 1
+    for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)]):
+        if end > start:
+            yield batch.slice(start, end - start)
 
 
 def tokenized(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -124,20 +174,19 @@ def tokenized(docs: DataFrame, vocabulary: str) -> DataFrame:
     width = "<u2" if Tokenizer.from_file(vocabulary).get_vocab_size() <= 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with lean(_words(vocabulary).known):
+        with lean(_words(vocabulary)):
             yield from parts(batches)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = 0
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for at in range(0, len(texts), 100):
-                ids = token_ids(texts[at : at + 100], vocabulary)
-                n = len(ids)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[at : at + n], pa.array(np.arange(place, place + n)), pa.array([x.astype(width).tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())],
-                    names=["doc_id", "place", "ids", "n"],
-                )
+            for part in by_bytes(b, 1):
+                ids, bounds = _words(vocabulary).ids(pc.fill_null(part.column(1), ""))
+                n = part.num_rows
+                kept = ids.astype(width)
+                offsets = pa.py_buffer((bounds * kept.itemsize).astype(np.int32))
+                packed = pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(kept)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.arange(place, place + n)), packed, pa.array(np.diff(bounds), pa.int64())], names=["doc_id", "place", "ids", "n"])
                 place += n
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

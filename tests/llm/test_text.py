@@ -10,6 +10,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -552,6 +553,30 @@ def test_ids_of_odd_texts_are_the_tokenizers():
         assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1], text
 
 
+def test_words_of_a_slice_are_looked_up_once(monkeypatch):
+    """Only the different words of a slice meet the store; slices and a store that begins anew change no ids."""
+    tokenizer = Tokenizer.from_file(packing.public_vocabulary())
+    words = packing.Words(packing.public_vocabulary())
+    asked = []
+
+    class Counted(dict):
+        def get(self, word, *rest):
+            asked.append(word)
+            return super().get(word, *rest)
+
+    words.known = Counted(words.known)
+    texts = ["ab cd, ab  ab"] * 50 + ["x\x1cy ab", "", " "]
+    words.ids(pa.array(texts))
+    assert len(asked) == len(set(asked)) == 3
+    monkeypatch.setattr(packing, "_SLICE", 40)
+    monkeypatch.setattr(packing, "_WORDS", 3)
+    found = []
+    for part in packing.by_bytes(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]), 0):
+        ids, bounds = words.ids(part.column(0))
+        found += [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+    assert found == [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
 def test_suffix_stage_needs_one_python_worker_a_task(spark):
     """Two Python steps in a row hold two workers a task, and executors keep them through the later stages."""
     plan = corpus_pipeline.trimmed(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)._jdf.queryExecution().executedPlan().toString()
