@@ -24,29 +24,79 @@ from cadenza.llm._shared import lean, leaning, written
 
 #: Ends every document.
 END = 1
+#: White space as the vocabulary has it, and what only Python takes for it (``token_counts``).
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
 _SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: Words that need neither normalisation across characters nor added tokens: Latin letters up to U+024F and ASCII, without "<|".
 _PLAIN = re.compile(r"(?!.*<\|)[!-~\u00c0-\u024f]+")
-#: The same without "<", in which there is nothing to look for.
-_PLAINEST = re.compile(r"[!-;=-~\u00c0-\u024f]+").fullmatch
+#: Several such words with a space between them and without "<", in which there is nothing to look for.
+_PLAINEST = re.compile(r"[ -;=-~\u00c0-\u024f]+").fullmatch
 #: The vocabulary's own division of words (fixed), letters first: no other branch begins with one.
 _PIECES = regex.compile(r"[\p{L}]+|'s|'t|'re|'ve|'m|'ll|'d|[\p{N}]|[^\s\p{L}\p{N}]+")
-
-
-def _marked(word: str) -> str:
-    """The pieces of a lower-cased word with a zero byte after each; most words are letters with at most one sign behind them."""
-    if word.isalpha():
-        return f"{word}\0"
-    if word[-1] in ".,;:!?" and word[:-1].isalpha():
-        return f"{word[:-1]}\0{word[-1]}\0"
-    return _PIECES.sub("\\g<0>\0", word)
-
-
 #: Words whose ids a task keeps; beyond, the store begins anew.
 _WORDS = 600_000
 #: Bytes of text that are divided at once.
 _SLICE = 1 << 22
+#: What a byte is part of: white space, a letter, a digit, a sign, or something that leaves its whole word to be divided later.
+_GAP, _LETTER, _DIGIT, _SIGN, _WHOLE = range(5)
+
+
+def _byte_kinds() -> np.ndarray:
+    """The kind of each byte of UTF-8, for words of ASCII and the letters U+00C0 to U+00FF (byte C3 and one more); contractions and special strings stay whole."""
+    kinds = np.full(256, _WHOLE, dtype=np.uint8)
+    kinds[[*b"\t\n\v\f\r "]] = _GAP
+    for b in {*range(33, 127)}.difference(b"'<"):
+        kinds[b] = _LETTER if chr(b).isalpha() else _DIGIT if chr(b).isdigit() else _SIGN
+    kinds[[0xC3, *range(0x80, 0xC0)]] = _LETTER
+    kinds[[0x97, 0xB7]] = _WHOLE  # multiplication and division signs
+    return kinds
+
+
+def _lower_bytes() -> np.ndarray:
+    """Each byte of such a letter in lower case."""
+    lower = np.arange(256, dtype=np.uint8)
+    lower[[*range(65, 91), *range(0x80, 0x9F)]] += 32
+    return lower
+
+
+_KIND, _LOWER = _byte_kinds(), _lower_bytes()
+
+
+def _laid_out(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values of a column in a row, and the bounds between values."""
+    column = column.cast(pa.binary())
+    bounds = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def divided(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Parts of texts that can be encoded each by itself: pieces in lower case of simple words (``_byte_kinds``), any other word as it is.
+
+    Returns, for all parts in a row, the byte of those that are one ASCII
+    character and 255 for the others, the others as strings, and the count of
+    parts up to each text's end.
+    """
+    data, bounds = _laid_out(texts)
+    kinds = _KIND[data]
+    gap = kinds == _GAP
+    start = np.append(True, gap[:-1])[: len(data)]
+    start[bounds[:-1][bounds[:-1] < len(data)]] = True
+    start &= ~gap
+    if (kinds == _WHOLE).any():
+        words = np.flatnonzero(start)
+        whole = np.repeat(np.maximum.reduceat(kinds, words) == _WHOLE, np.diff(words, append=len(data)))
+        kinds[words[0] :][whole & ~gap[words[0] :]] = _WHOLE
+    start[1:] |= (kinds[1:] != kinds[:-1]) & ~gap[1:]
+    start |= kinds == _DIGIT
+    single = start & (data < 128)
+    single[:-1] &= start[1:] | gap[1:]
+    at = np.flatnonzero(start)
+    one = np.where(single[at], data[at], np.uint8(255))
+    kept = ~(gap | single)
+    lowered = np.where(kinds == _LETTER, _LOWER[data], data)[kept]
+    offsets = np.append(np.flatnonzero(start[kept]), len(lowered)).astype(np.int32)
+    longer = pa.Array.from_buffers(pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(lowered)])
+    return one, longer, np.searchsorted(at, bounds[1:])
 
 
 def _byte_letters() -> dict[str, int]:
@@ -59,12 +109,13 @@ def _byte_letters() -> dict[str, int]:
 class Words:
     """Ids by word for a vocabulary that drops white space and joins nothing across it.
 
-    A text's ids are those of its words in a row, so up to 600,000 words are
-    kept with their ids while a task lasts. Arrow divides the texts and numbers
-    their different words, so only these are looked up; NumPy lays out the ids.
-    Words not seen before are merged in bulk: the same
-    vocabulary as ranks, in which a zero byte stands for the end of a piece.
-    Words outside plain Latin are left to the tokenizer itself.
+    A text's ids are those of its words in a row, and a word's those of its
+    pieces, so up to 600,000 pieces (of words that ``divided`` leaves whole:
+    words) are kept with their ids while a task lasts. Arrow numbers the
+    different ones, so only these are looked up; NumPy lays out the ids. Those
+    of one byte have a fixed place. Those not seen before are merged in bulk:
+    the same vocabulary as ranks, in which a zero byte stands for the end of a
+    piece. Words outside plain Latin are left to the tokenizer itself.
     """
 
     def __init__(self, vocabulary: str):
@@ -85,54 +136,65 @@ class Words:
         for token, i in model["vocab"].items():
             if all(x in letters for x in token.removesuffix(suffix)) and (rank := ranks.get(octets(token))) is not None:
                 self.ids_of[rank] = i
-        self.merger = tiktoken.Encoding("words", pat_str=r"[^\x00 ]+\x00| ", mergeable_ranks=ranks, special_tokens={})
-        self.space = ranks[b" "]
+        self.merger = tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+        self.ends = np.zeros(len(self.ids_of), dtype=bool)
+        self.ends[[rank for octet, rank in ranks.items() if octet.endswith(b"\0")]] = True
+        self.fixed = [*(self.tokenizer.encode(chr(b), add_special_tokens=False).ids for b in range(128)), [END]]
         self.clear()
 
     def clear(self) -> None:
-        """Begins the store anew: the empty word, and at place 1 the end of a document, which no word is."""
-        self.known: dict[str, int] = {"": 0}
-        self.starts, self.sizes, self.pool = np.array([0, 0]), np.array([0, 1]), np.array([END], dtype="<u4")
-
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if _PLAINEST(w) or _PLAIN.fullmatch(w)]
-        others = list(set(words).difference(plain)) if len(plain) < len(words) else []
-        ids = [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4") for w in others]
-        sizes = np.array([len(x) for x in ids], dtype=np.int64)
+        """Begins the store anew: ASCII by its own numbers, and at place 128 the end of a document, which no word is."""
+        self.known: dict[str, int] = {}
+        self.sizes = np.array([len(x) for x in self.fixed], dtype=np.int32)
+        self.starts = np.cumsum(self.sizes, dtype=np.int32) - self.sizes
+        self.pool = np.array([i for x in self.fixed for i in x], dtype="<u4")
+
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """Stores different words that aren't known yet; their places."""
+        if _PLAINEST(" ".join(words)):
+            plain, others = range(len(words)), []
+        else:
+            fit = [_PLAIN.fullmatch(w) is not None for w in words]
+            plain, others = np.flatnonzero(fit).tolist(), np.flatnonzero(~np.array(fit)).tolist()
+        ids = [np.array(self.tokenizer.encode(words[i], add_special_tokens=False).ids, dtype="<u4") for i in others]
+        sizes = np.array([len(x) for x in ids], dtype=np.int32)
+        order = np.array(others, dtype=np.int64)
         if plain:
-            joined = unicodedata.normalize("NFC", " ".join(plain)).lower()
-            ranks = self.merger.encode_to_numpy(" ".join(map(_marked, joined.split(" "))), disallowed_special=())
-            space = ranks == self.space
-            ids.append(self.ids_of[ranks[~space]])
-            sizes = np.append(sizes, np.diff(np.flatnonzero(space), prepend=-1, append=len(ranks)) - 1)
-        first = len(self.sizes)
-        self.known.update(zip(others + plain, range(first, first + len(words))))
-        self.starts = np.append(self.starts, len(self.pool) + np.cumsum(sizes) - sizes)
+            lowered = unicodedata.normalize("NFC", " ".join(words[i] for i in plain)).lower().split(" ")
+            letters = np.fromiter(map(str.isalpha, lowered), dtype=bool, count=len(lowered))
+            mixed = [_PIECES.sub("\\g<0>\0", w) for w in itertools.compress(lowered, ~letters)]
+            pieces = np.append(np.ones(letters.sum(), dtype=np.int64), np.array([w.count("\0") for w in mixed], dtype=np.int64))
+            ranks = self.merger.encode_to_numpy("".join([*(f"{w}\0" for w in itertools.compress(lowered, letters)), *mixed]), disallowed_special=())
+            ids.append(self.ids_of[ranks])
+            ends = np.flatnonzero(self.ends[ranks])[np.cumsum(pieces) - 1]
+            sizes = np.append(sizes, np.diff(ends, prepend=-1).astype(np.int32))
+            order = np.concatenate([order, np.array(plain)[letters], np.array(plain)[~letters]])
+        places = np.empty(len(words), dtype=np.int32)
+        places[order] = np.arange(len(self.sizes), len(self.sizes) + len(words))
+        self.known.update(zip(words, places.tolist()))
+        self.starts = np.append(self.starts, len(self.pool) + np.cumsum(sizes, dtype=np.int32) - sizes)
         self.sizes = np.append(self.sizes, sizes)
         self.pool = np.concatenate([self.pool, *ids])
+        return places
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of whole texts in a row, each text's followed by ``END``, and the bounds between texts."""
         if len(self.known) > _WORDS:
             self.clear()
-        if pc.any(pc.match_substring_regex(texts, _SEPARATORS.pattern)).as_py():
-            split = pa.array([_SPACE.split(t) if _SEPARATORS.search(t) else t.split() for t in texts.to_pylist()], pa.list_(pa.string()))
-        else:
-            split = pc.utf8_split_whitespace(texts)
-        coded = split.flatten().dictionary_encode()
+        places, longer, ends = divided(texts)
+        coded = longer.dictionary_encode()
         words = coded.dictionary.to_numpy(zero_copy_only=False)  # much faster than a list
-        of_word = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), dtype=np.int64, count=len(words))
+        of_word = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), dtype=np.int32, count=len(words))
         new = np.flatnonzero(of_word < 0)
         if len(new):
             fresh = words[new].tolist()
-            self._learn(fresh)
-            of_word[new] = list(map(self.known.__getitem__, fresh))
-        places = of_word[coded.indices.to_numpy()]
-        ends = np.cumsum(pc.list_value_length(split).to_numpy())
-        places = np.insert(places, ends, 1)
+            of_word[new] = self._learn(fresh)
+        places = places.astype(np.int32)
+        places[places == 255] = of_word[coded.indices.to_numpy()]
+        places = np.insert(places, ends, len(self.fixed) - 1)
         sizes = self.sizes[places]
-        after = np.cumsum(sizes)
-        at = np.arange(after[-1]) + np.repeat(self.starts[places] - after + sizes, sizes)
+        after = np.cumsum(sizes, dtype=np.int32)
+        at = np.arange(after[-1], dtype=np.int32) + np.repeat(self.starts[places] - after + sizes, sizes)
         return self.pool[at], np.append(0, after[ends + np.arange(len(ends))])
 
 
@@ -165,20 +227,32 @@ def by_bytes(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, end - start)
 
 
+def count_documents(ids: np.ndarray, bounds: np.ndarray, counts: np.ndarray, at_once: int = 64) -> None:
+    """Adds to counts in how many documents each id occurs; ``at_once`` (at most 255) documents have a table of flags."""
+    for first in range(0, len(bounds) - 1, at_once):
+        own = bounds[first : first + at_once + 1]
+        seen = np.zeros((len(own) - 1, len(counts)), dtype=np.uint8)
+        seen[np.repeat(np.arange(len(own) - 1), np.diff(own)), ids[own[0] : own[-1]]] = 1
+        counts += seen.sum(axis=0, dtype=np.uint8)
+
+
 def tokenized(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, part, ids binary, n): the ids of every row as little-endian unsigned 16-bit (or 32-bit) numbers.
+    """(doc_id, part, ids binary, n, counts): the ids of every row as little-endian unsigned 16-bit (or 32-bit) numbers.
 
     part is a hash that also takes the row's place in its task, so that
-    repeated rows don't fall together.
+    repeated rows don't fall together. counts is null, but each task adds one
+    row that has nothing else: in how many of its documents each id occurs.
     """
-    width = "<u2" if Tokenizer.from_file(vocabulary).get_vocab_size() <= 1 << 16 else "<u4"
+    size = Tokenizer.from_file(vocabulary).get_vocab_size()
+    width = "<u2" if size <= 1 << 16 else "<u4"
+    names, kinds = ["doc_id", "place", "ids", "n", "counts"], [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with lean(_words(vocabulary)):
             yield from parts(batches)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = 0
+        place, counts = 0, np.zeros(size, dtype=np.int64)
         for b in batches:
             for part in by_bytes(b, 1):
                 ids, bounds = _words(vocabulary).ids(pc.fill_null(part.column(1), ""))
@@ -186,35 +260,24 @@ def tokenized(docs: DataFrame, vocabulary: str) -> DataFrame:
                 kept = ids.astype(width)
                 offsets = pa.py_buffer((bounds * kept.itemsize).astype(np.int32))
                 packed = pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(kept)])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.arange(place, place + n)), packed, pa.array(np.diff(bounds), pa.int64())], names=["doc_id", "place", "ids", "n"])
+                count_documents(ids, bounds, counts)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.arange(place, place + n)), packed, pa.array(np.diff(bounds), pa.int64()), pa.nulls(n, pa.list_(pa.int64()))], names=names)
                 place += n
+        if place:
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip([None, None, None, None, counts], kinds)], names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = rows.mapInArrow(run, "doc_id long, place long, ids binary, n long")
-    return found.select("doc_id", F.xxhash64("doc_id", "place", F.crc32("ids")).alias("part"), "ids", "n")
+    found = rows.mapInArrow(run, "doc_id long, place long, ids binary, n long, counts array<long>")
+    return found.select("doc_id", F.xxhash64("doc_id", "place", F.crc32("ids")).alias("part"), "ids", "n", "counts")
 
 
-def _unpacked(ids: bytes, n: int) -> np.ndarray:
+def _unpacked(ids: bytes | np.ndarray, n: int) -> np.ndarray:
     return np.frombuffer(ids, dtype="<u2" if len(ids) == 2 * n else "<u4")
 
 
 def document_frequencies(tokens: DataFrame, size: int) -> np.ndarray:
     """In how many documents each id occurs; one number per id of the vocabulary."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(size, dtype=np.int64)
-        seen = np.zeros(size, dtype=bool)
-        for b in batches:
-            for ids, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = _unpacked(ids, n)
-                seen[own] = True
-                at = np.flatnonzero(seen)
-                found[at] += 1
-                seen[at] = False
-        at = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], names=["id", "n"])
-
-    rows = tokens.select("ids", "n").mapInArrow(leaning(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.select(F.posexplode("counts").alias("id", "n")).filter("n > 0").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(size, dtype=np.int64)
     for r in rows:
         out[r["id"]] = r["n"]
@@ -225,21 +288,19 @@ class Index:
     """A BM25 inverted index over one shard's documents, with corpus-wide statistics."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75):
-        self.terms: list[np.ndarray] = []
-        weights = []
-        for ids in docs:
-            terms, tf = np.unique(ids, return_counts=True)
-            self.terms.append(terms)
-            weights.append(idf[terms] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(ids) / mean)))
-        of = np.repeat(np.arange(len(docs)), [len(t) for t in self.terms])
-        flat = np.concatenate(self.terms)
-        order = np.argsort(flat, kind="stable")
-        self.docs, self.weights = of[order], np.concatenate(weights)[order]
-        vocabulary, first = np.unique(flat[order], return_index=True)
-        self.first = np.zeros(len(idf) + 1, dtype=np.int64)
-        self.last = np.zeros(len(idf) + 1, dtype=np.int64)
-        self.first[vocabulary] = first
-        self.last[vocabulary] = np.append(first[1:], len(flat))
+        sizes, flat = np.array([len(ids) for ids in docs]), np.concatenate(docs)
+        pairs = np.repeat(np.arange(len(docs)) << 32, sizes) | flat
+        pairs.sort()
+        first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+        tf = np.diff(first, append=len(pairs))
+        of, terms = pairs[first] >> 32, pairs[first] & 0xFFFFFFFF
+        weights = idf[terms] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[of] / mean))
+        self.terms = np.split(terms, np.cumsum(np.bincount(of, minlength=len(docs)))[:-1])
+        order = np.argsort(terms.astype(flat.dtype), kind="stable")  # of 16 bits: a radix sort
+        self.docs, self.weights = of[order], weights[order]
+        counts = np.bincount(terms, minlength=len(idf))
+        self.last = np.cumsum(counts)
+        self.first = self.last - counts
         self.n = len(docs)
 
     def neighbours(self, doc: int, unused: np.ndarray) -> np.ndarray:
@@ -313,22 +374,27 @@ def content_keys(tokens: DataFrame, frequency: np.ndarray, n: int, most: int = 5
     more documents than the first id's frequency can have it first, so ids of
     more than ``most`` documents (-1: of n) are split by salt.
     """
-    handle = tokens.sparkSession.sparkContext.broadcast(frequency)
+    order = np.argsort(frequency, kind="stable")
+    rank = np.full(len(order) + 1, len(order), dtype=np.int32)  # the last: none
+    rank[order] = np.where(frequency[order] >= 2, np.arange(len(order)), len(order))
+    handle = tokens.sparkSession.sparkContext.broadcast((np.append(order, -1), rank, np.append(frequency, n)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, rank, frequency = handle.value
         for b in batches:
-            keys, salts = [], []
-            for part, ids, size in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
-                terms = _unpacked(ids, size)[:-1].astype(np.int64)
-                ranks = (handle.value[terms] << 32) + terms
-                ranks = ranks[ranks >= 2 << 32]
-                least = np.unique(np.partition(ranks, 15)[:16] if len(ranks) > 16 else ranks)[:3]
-                if len(least) < 3 and len(ranks) > 16:
-                    least = np.unique(ranks)[:3]
-                rare = (least & 0xFFFFFFFF).tolist()
-                keys.append([*rare, *[-1] * (3 - len(rare))])
-                salts.append(part % -(-int(handle.value[rare[0]] if rare else n) // most))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.list_(pa.int32())), pa.array(salts, pa.int64())], names=["doc_id", "part", "ids", "n", "key", "salt"])
+            for part in by_bytes(b, 2):
+                sizes = part.column(3).to_numpy()
+                ends = np.cumsum(sizes)
+                ranks = rank[_unpacked(_laid_out(part.column(2))[0], ends[-1])]
+                ranks[ends - 1] = rank[-1]  # END
+                keys = np.empty((len(sizes), 3), dtype=np.int32)
+                for i in range(3):
+                    least = np.minimum.reduceat(ranks, ends - sizes)
+                    keys[:, i] = order[least]
+                    ranks[ranks == np.repeat(least, sizes)] = rank[-1]
+                salts = part.column(1).to_numpy() % -(-frequency[keys[:, 0]] // most)
+                listed = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, 3, dtype=np.int32), keys.ravel())
+                yield pa.RecordBatch.from_arrays([*part.columns, listed, pa.array(salts)], names=["doc_id", "part", "ids", "n", "key", "salt"])
 
     return tokens.select("doc_id", "part", "ids", "n").mapInArrow(leaning(run), "doc_id long, part long, ids binary, n long, key array<int>, salt long")
 
@@ -349,9 +415,10 @@ def pack(docs: DataFrame, vocabulary: str | None = None, length: int = 2048, sha
     """
     vocabulary = vocabulary or public_vocabulary()
     size = Tokenizer.from_file(vocabulary).get_vocab_size()
-    tokens = written(tokenized(docs, vocabulary), "tokens")
+    table = written(tokenized(docs, vocabulary), "tokens")
+    tokens = table.filter("n is not null")
     total, n = tokens.agg(F.sum("n"), F.count("*")).first()
-    frequency = document_frequencies(tokens, size)
+    frequency = document_frequencies(table, size)
     idf = np.log(1 + (n - frequency + 0.5) / (frequency + 0.5))
     mean = (total or 1) / max(1, n)
     handle = docs.sparkSession.sparkContext.broadcast(idf)

@@ -577,6 +577,40 @@ def test_words_of_a_slice_are_looked_up_once(monkeypatch):
     assert found == [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
 
 
+def test_pieces_are_merged_once_whatever_stands_around_them():
+    """The store holds pieces in lower case, not every word that they make with signs and capitals; contractions and other letters stay words. All ids are the tokenizer's."""
+    tokenizer = Tokenizer.from_file(packing.public_vocabulary())
+    words = packing.Words(packing.public_vocabulary())
+    texts = ["Étage étage, (ÉTAGE) étage!! 7étage7 étage\u00d72", "étage", "", "don't 'Tis ''s <|endoftext|> <|ENDOFTEXT|> a<b Œuvre œuvre İx x\x00y ×÷ Ǆ", "b\u00a0c\x1cd", "éé"]
+    for column in (pa.array(texts), pa.array(["?", *texts]).slice(1), pa.array(texts, pa.large_string())):
+        ids, bounds = words.ids(column)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert [w for w in words.known if "tage" in w.lower()] == ["étage", "étage\u00d72"]
+    for broken in (b"a \xc3 b", b"\x80", b"ab\xe9"):
+        with pytest.raises(pa.ArrowException):
+            words.ids(pa.Array.from_buffers(pa.string(), 1, [None, pa.py_buffer(np.array([0, len(broken)], np.int32)), pa.py_buffer(broken)]))
+
+
+def test_document_frequencies_come_with_the_ids(spark):
+    """Documents are counted while they are divided, so their ids aren't read again for it; keys are the rarest ids of two documents or more."""
+    texts = [*corpus(5)[:150], None, "", "ab ab", "ab"]
+    tokenizer = Tokenizer.from_file(packing.public_vocabulary())
+    expected = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    size = tokenizer.get_vocab_size()
+    table = packing.tokenized(docs(spark, texts).repartition(3), packing.public_vocabulary()).cache()
+    assert table.filter("counts is not null").count() == 3 and table.filter("n is not null").count() == len(texts)
+    found = packing.document_frequencies(table, size)
+    df = np.bincount([i for t in expected for i in set(t)], minlength=size)
+    assert found.tolist() == df.tolist()
+    rows = packing.content_keys(table.filter("n is not null"), found, len(texts), 20).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        least = sorted((df[i], i) for i in set(expected[r["doc_id"]][:-1]) if df[i] >= 2)[:3]
+        assert r["key"] == [*(i for _, i in least), *[-1] * (3 - len(least))]
+        assert r["salt"] == r["part"] % -(-int(least[0][0] if least else len(texts)) // 20)
+    table.unpersist()
+
+
 def test_suffix_stage_needs_one_python_worker_a_task(spark):
     """Two Python steps in a row hold two workers a task, and executors keep them through the later stages."""
     plan = corpus_pipeline.trimmed(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)._jdf.queryExecution().executedPlan().toString()
