@@ -8,12 +8,20 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from cadenza import tables
 from cadenza.tables import dropped, release, shared_dir
 
-__all__ = ["dropped", "lean", "leaning", "release", "shared_dir", "written"]
+__all__ = ["BATCH_ROWS", "dropped", "lean", "leaning", "release", "shared_dir", "small_batches", "written"]
+
+#: Rows sent to a Python worker at once. Spark's 10,000 whole texts take memory on both sides, which workers and executors keep from stage to stage.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python by ``BATCH_ROWS`` from now on in this session; a plan takes the setting when it runs, so it can't be put back on return."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm._shared import leaning
+from cadenza.llm._shared import leaning, small_batches
 from cadenza.llm.repeats import Bytes, covered, keyed, repeated_starts, slices, spans_of
 
 ANCHOR = 64
@@ -91,6 +91,7 @@ def remove_repeats(docs: DataFrame, window: int = 200, anchor: int = ANCHOR, kee
 
 def op6_suffix_array_dedup(spark, sf_dir):
     """Every document without its repeated byte strings; edge cases as in ``remove_repeats``."""
+    small_batches(spark)
     found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), 200)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -13,10 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import decontamination, edited, language_id, packing, simhash, suffix_dedup
-from cadenza.llm._shared import written
+from cadenza.llm._shared import small_batches, written
 
-#: Rows sent to a Python worker at once. Spark's 10,000 whole texts take memory on both sides, which workers and executors keep from stage to stage.
-BATCH_ROWS = 1000
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,7 +24,7 @@ def in_small_batches(stage: Stage) -> Stage:
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        small_batches(spark)
         return stage(spark, docs, sf_dir)
 
     return run_stage

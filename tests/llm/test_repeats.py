@@ -134,6 +134,27 @@ def test_queries_match_brute_force(spark):
     assert sorted(map(tuple, substring_dedup.op9_substring_dedup(spark, SF).collect())) == expected
 
 
+def test_whole_texts_go_to_python_in_small_batches(spark, tmp_path, monkeypatch):
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    passage = "".join(random.Random(9).choice("abcdef ") for _ in range(300))
+    docs(spark, [f"text {i}" for i in range(9000)] + [passage, passage]).repartition(1).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def bounded(batches, part=repeats.slices):
+        for b in batches:
+            if b.num_rows > 1000:
+                raise ValueError(f"{b.num_rows} whole texts at once")
+            yield from part(iter([b]))
+
+    monkeypatch.setattr(suffix_dedup, "slices", bounded)
+    spark.conf.set(size, "10000")
+    try:
+        found = suffix_dedup.op6_suffix_array_dedup(spark, str(tmp_path)).filter("n_removed > 0").collect()
+    finally:
+        spark.conf.set(size, before)
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"]) for r in found) == [(9000, 300, 300, 1), (9001, 300, 300, 1)]
+
+
 def collision(n=40_000, seed=1):
     """Two different texts of 200 bytes with one anchor and one sum modulo 2^64, as found by search: a Thue-Morse sequence of two blocks and its opposite behind a common beginning."""
     a, b = "kitidxht", "rwufehfy"
