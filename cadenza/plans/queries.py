@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.constants import CAMELOT_MAJOR, CAMELOT_MINOR, INSTRUMENTAL_OVER_INSTRUMENTAL, KEY_NAMES, SEMITONES, STATUSES, VOCAL_OVER_INSTRUMENTAL
 from cadenza.functions import scalars as S
-from cadenza.operators import audio, pairs, rank, report, seeds, spectrum, store
+from cadenza.operators import audio, blocks, pairs, rank, report, seeds, spectrum, store
 from cadenza.plans.fixtures import candidates, features, songs, stems, table
 from cadenza.sources import acquire, ingest
 from cadenza.tables import written
@@ -18,7 +18,7 @@ SCORES = ["score_total", "score_bpm", "score_key", "score_energy", "score_timbre
 
 def _round_scores(df: DataFrame) -> DataFrame:
     """Component scores to 6 decimals, as engines differ in the last bit of exp and sqrt."""
-    return df.withColumns({n: F.round(n, 6) for n in SCORES if n in df.columns})
+    return df.withColumns({n: S.rounded(c(n), 6) for n in SCORES if n in df.columns})
 
 
 def _short(df: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def instrumental_over_instrumental(spark, sf):
 
 
 def all_pairs_by_combo(spark, sf):
-    return candidates(spark, sf).groupBy("combo_type").agg(F.count("*").alias("n_pairs"), F.round(F.avg("score_total"), 6).alias("mean_total"))
+    return blocks.summary(features(spark, sf), songs(spark, sf)).withColumn("mean_total", F.round("mean_total", 6))
 
 
 def candidates_min_score(spark, sf):
