@@ -109,8 +109,13 @@ def all_pairs_by_combo(spark, sf):
     return blocks.summary(features(spark, sf), songs(spark, sf)).withColumn("mean_total", F.round("mean_total", 6))
 
 
+def _best(spark, sf, most: int, combos=blocks.BOTH) -> DataFrame:
+    """The first ``most`` pairs of each kind, and a few others."""
+    return blocks.best(features(spark, sf), songs(spark, sf), most, None, combos)
+
+
 def candidates_min_score(spark, sf):
-    return _short(rank.at_least(candidates(spark, sf), 0.8, 100))
+    return _short(rank.at_least(_best(spark, sf, 100), 0.8, 100))
 
 
 def candidates_for_song_vocal(spark, sf):
