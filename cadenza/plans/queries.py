@@ -150,7 +150,7 @@ def seed_title(spark, sf):
 
 
 def db_report_top20(spark, sf):
-    return report.report_pairs(candidates(spark, sf), 20)
+    return report.report_pairs(_best(spark, sf, 20), 20)
 
 
 def db_report_features(spark, sf):
