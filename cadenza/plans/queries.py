@@ -159,7 +159,7 @@ def db_report_features(spark, sf):
 
 def export_rows(spark, sf):
     files = stems(spark, sf).filter("song_id % 5 <> 0").select(c("file_path").alias("path"))
-    return _round_scores(report.export_rows(candidates(spark, sf), stems(spark, sf), files, 20))
+    return _round_scores(report.export_rows(_best(spark, sf, 20), stems(spark, sf), files, 20))
 
 
 def session_plan(spark, sf):
