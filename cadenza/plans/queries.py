@@ -163,7 +163,7 @@ def export_rows(spark, sf):
 
 
 def session_plan(spark, sf):
-    return report.session_plan(candidates(spark, sf), stems(spark, sf), 10).select("rank", "folder", "vocal_song_id", "inst_song_id", "bpm_stretch_ratio", "semitone_shift", "vocal_wav_path", "inst_wav_path")
+    return report.session_plan(_best(spark, sf, 10, (VOCAL_OVER_INSTRUMENTAL,)), stems(spark, sf), 10).select("rank", "folder", "vocal_song_id", "inst_song_id", "bpm_stretch_ratio", "semitone_shift", "vocal_wav_path", "inst_wav_path")
 
 
 def format_results_text(spark, sf):
