@@ -172,10 +172,16 @@ def energy_score(e1: Column, e2: Column) -> Column:
 
 
 def _dot(x: Column, y: Column, length: int | None = None) -> Column:
-    """length: of both, where it is known; places are then added one by one, in the same order but in compiled code."""
+    """Of vectors of one length. length: a usual one, at which places are added one by one, in the same order but in compiled code.
+
+    The other branch isn't compiled, which also keeps a projection of pairs out
+    of the one method that Spark makes of a stage: that would be longer than
+    the 8,000 bytes up to which Java compiles a method.
+    """
+    some = F.aggregate(F.zip_with(x, y, lambda p, q: p * q), _d(0), lambda s, v: s + v)
     if length is None:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), _d(0), lambda s, v: s + v)
-    return sum((F.get(x, F.lit(k)) * F.get(y, F.lit(k)) for k in range(length)), _d(0))
+        return some
+    return F.when(F.size(x) == length, sum((F.get(x, F.lit(k)) * F.get(y, F.lit(k)) for k in range(length)), _d(0))).otherwise(some)
 
 
 def mfcc_norm(v: Column) -> Column:
@@ -188,13 +194,15 @@ def mfcc_cosine(a: Column, b: Column) -> Column:
 
 
 def mfcc_cosine_of(a: Column, b: Column, norm_a: Column, norm_b: Column, length: int | None = None) -> Column:
-    """``mfcc_cosine`` with the norms given. length: of all vectors that aren't empty, if it is one."""
+    """``mfcc_cosine`` with the norms given. length: a usual one."""
     norms = norm_a * norm_b
     missing = F.coalesce((F.size(a) <= 0) | (F.size(b) <= 0), F.lit(True))
-    found = F.when(missing, _d(0.5))
-    if length is None:
-        found = found.when(F.size(a) != F.size(b), F.raise_error("vectors of different lengths").cast("double"))
-    return found.when(norms == 0, _d(0.0)).otherwise(F.least(_d(1.0), F.greatest(_d(0.0), F.try_divide(_dot(a, b, length), norms))))
+    return (
+        F.when(missing, _d(0.5))
+        .when(F.size(a) != F.size(b), F.raise_error("vectors of different lengths").cast("double"))
+        .when(norms == 0, _d(0.0))
+        .otherwise(F.least(_d(1.0), F.greatest(_d(0.0), F.try_divide(_dot(a, b, length), norms))))
+    )
 
 
 def rounded(x: Column, digits: int) -> Column:

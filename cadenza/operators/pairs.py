@@ -141,7 +141,7 @@ def pairs(top: DataFrame, bed: DataFrame, combo: str, config: MatchConfig | None
 
 
 def scored(joined: DataFrame, combo: str, config: MatchConfig, length: int | None = None) -> DataFrame:
-    """The columns of ``pairs`` of unscored ones. length: of all their vectors, if it is one."""
+    """The columns of ``pairs`` of unscored ones. length: a usual one of their vectors."""
     c = F.col
     found = joined.withColumn("_apart", S.bpm_min_diff(c("vocal_bpm"), c("inst_bpm")))
     parts = found.select(

@@ -19,22 +19,22 @@ def odd(spark):
     """Songs with unknown, zero, repeated and missing values; tempos at the exact bounds, some rows twice."""
     draw, rows = random.Random(4), []
     vectors = [None, [], [0.0, 0.0, 0.0], [1.0, None, 2.0], [1.0, 2.0, 2.0], [2.0, 4.0, 4.0], [-1.0, -2.0, -2.0]]
-    for song in range(40):
+    for song in range(30):
         for stem in ("full", "vocals", "instrumental"):
             vector = draw.choice(vectors) if song % 3 else [draw.gauss(0, 1) for _ in range(3)]
             row = (song, stem, draw.choice([None, 0.0, -5.0, 65.0, 70.0, 75.1, 85.1, 130.0, 140.0, 150.3, 60 + draw.randrange(1200) / 10]), "C", "major", draw.choice([None, "?", "", "8B", "9B", "8A", "10B", "12B", "1B", "13x"]),
                    draw.choice([None, 0.0, -1.0, 0.2, 0.2, draw.random()]), draw.choice([None, 0.0, 3.0, draw.random()]), vector)
             rows += [row] * (1 + (song == 7))
-    songs = spark.createDataFrame([(i, f"T{i}", "A") for i in range(36)], "id long, title string, artist string")
+    songs = spark.createDataFrame([(i, f"T{i}", "A") for i in range(28)], "id long, title string, artist string")
     return spark.createDataFrame(rows, FEATURES).cache(), songs
 
 
 @pytest.fixture
 def small(monkeypatch):
     """Chunks and blocks of a few rows."""
-    monkeypatch.setattr(blocks, "CHUNK", 5)
+    monkeypatch.setattr(blocks, "CHUNK", 6)
     monkeypatch.setattr(blocks, "CELLS", 40)
-    monkeypatch.setattr(pairs, "JOIN_CHUNK", 5)
+    monkeypatch.setattr(pairs, "JOIN_CHUNK", 9)
 
 
 CONFIGS = [MatchConfig(), MatchConfig(bpm_max=40.0, key_min=0.25, weights={"bpm": 0.1, "key": 0.2, "timbre": 0.7}), MatchConfig(bpm_max=0.0, key_min=0.5, weights={"bpm": -1.0, "key": 0.5, "energy": 0.5, "timbre": -0.5})]
@@ -93,7 +93,7 @@ def test_rounding_is_that_of_decimals(spark):
     assert all(repr(r["a4"]) == repr(r["b4"]) and repr(r["a6"]) == repr(r["b6"]) for r in df.collect())
 
 
-@pytest.mark.parametrize("name", ["all_pairs_by_combo", "candidates_min_score", "db_report_top20", "export_rows", "session_plan", "pair_filter_counts"])
+@pytest.mark.parametrize("name", ["all_pairs_by_combo", "candidates_min_score"])
 def test_no_join_makes_all_pairs(spark, monkeypatch, name):
     """Rows of pairs are made only of the few that blocks have found."""
     made = []
@@ -113,6 +113,17 @@ def test_pairs_of_one_file_are_spread_over_tasks(spark, tmp_path, strategy):
     assert made.groupBy(F.spark_partition_id()).count().count() >= 4
 
 
+def test_scoring_is_left_out_of_the_joins_method(spark):
+    """Java doesn't compile a method of over 8,000 bytes; the join's loop had 10,827 with the scores in it."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made = [queries.vocal_over_instrumental(spark, SF), queries.vocal_over_instrumental_literal(spark, SF)]
+        parts = [df._jdf.queryExecution().debug().codegenToSeq() for df in made]
+        assert max(x.apply(i)._3().maxMethodCodeSize() for x in parts for i in range(x.size())) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 @pytest.mark.parametrize("strategy", ["literal", "banded"])
 def test_sides_in_chunks_make_the_same_pairs(spark, odd, small, monkeypatch, strategy):
     shown = ["combo_type", "vocal_song_id", "inst_song_id", "score_total"]
